@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
