@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules, substring_dedup
+from . import near_dedup, packing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_packing": packing.op2_packing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
 }
