@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality_rules, substring_dedup
+from . import chat_format, near_dedup, packing, quality_model, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": packing.op2_packing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op10_chat_format": chat_format.ORACLE_SQL,
 }
