@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, near_dedup, packing, quality_model, quality_rules, substring_dedup
+from . import chat_format, decontamination, license_scan, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,7 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality_model": quality_model.op4_quality_model,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES: dict[str, str] = {

@@ -214,13 +214,13 @@ def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
                 left = b" ".join(words)
             n_words.append(len(words))
             n_removed.append(gone)
-            kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
+            kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode() if gone else text.as_py())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
 
 
 def strip_repeats(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, digest: bool = False) -> DataFrame:
     """(row, n_words, n_removed, kept): docs' row as a struct without its text, and the kept words joined by
-    one space, or their SHA-256 if digest."""
+    one space (the text as it is, null included, if no word goes), or the SHA-256 of the joined words if digest."""
     runs = repeated_runs(docs, width, mmer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
