@@ -8,17 +8,19 @@ bytes has one, the first of its `mer`-byte grams with the least hash, and equal
 have theirs at the same place. Windows in a row with one anchor form a string of the
 bytes that they cover, sent to the bucket that the anchor's hash names. A shard is the part of a task's
 texts handled at once. Its anchors are sorted once, by the 8-byte blocks that follow
-them, and its transform is that order with the text before each anchor (the strings'
-heads) as the preceding symbols. The symbols are blocks of eight bytes, not bytes, so an
-interleave needs `mer` / 8 rounds and not one for each byte.
+them; its transform is that order with the text before each anchor (the strings'
+heads) as the preceding symbols. The symbols are blocks of eight bytes and the suffixes
+those at anchors, so an interleave takes `width` / 8 rounds over a fraction of the
+places: a transform of every byte, refined byte by byte, reads each text a hundred times.
 
 Merge. A bucket's shards arrive sorted. The merge holds an interleave of them: runs of
 suffixes that agree on all blocks so far. Each round refines the runs by the next
-block; runs of one suffix are done. The round in which a run splits, with the equal leading bytes of the two
-blocks there, gives the longest common prefix of its neighbours. Runs that remain
-after the last round share `mer` bytes or more: these are the repeated intervals, and
-only windows with an anchor in one can repeat. Their windows are then counted exactly: sorted by a
-hash, and compared byte by byte.
+block; runs of one suffix are done. The round in which a run splits, with the equal leading bytes of the
+two blocks there, gives the longest common prefix of its neighbours. The preceding
+symbols are interleaved in the same way, backwards. A window d bytes before its anchor can repeat
+only if the anchor has d bytes in common with another to the left and `width` - d to the right: that
+leaves the repeated intervals, whose windows are counted exactly, sorted by a hash and
+compared byte by byte.
 
 The first copy of a window in a shard is sent on and later ones are known to repeat,
 so a passage that a third of all texts share reaches its bucket once for each shard.
@@ -47,7 +49,7 @@ from pyspark.sql import types as T
 from .common import _BYTE, blocks, mix, rows_of, sliding_min, table, text_buffers, text_bytes, window_sums
 from .substring_dedup import _runs, repeated
 
-WIDTH, MER = 100, 32
+WIDTH, MER, LEVEL = 100, 16, 3
 #: Text of one shard; packed strings for which a bucket is made.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 
@@ -56,19 +58,20 @@ _SPANS = "id long, tag long, s int, e int"
 _META = 5  # id, tag, start of the string in its text, its bytes, the place of its anchor in it
 
 
-def block_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number that sorts like them."""
+def block_at(text: np.ndarray, places: np.ndarray, step: int = 1) -> np.ndarray:
+    """The eight bytes from each place on, forwards or backwards, as one number that sorts like them."""
     out = np.zeros(len(places), np.uint64)
     for i in range(8):
-        out = (out << np.uint64(8)) | text[places + i].astype(np.uint64)
+        out = (out << np.uint64(8)) | text[places + step * i].astype(np.uint64)
     return out
 
 
-def interleave(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(text: np.ndarray, places: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Merge suffixes that arrive in sorted shards: their order, and each one's common prefix with the one before.
 
     Prefixes are counted up to `depth`, a multiple of 8. The stable sort of each round finds
-    the shards' runs in order and merges them; it touches runs of two or more alone.
+    the shards' runs in order and merges them; it touches runs of two or more alone. With a step of -1, what
+    comes before the places is read backwards.
     """
     n = len(places)
     order = np.arange(n)
@@ -80,7 +83,7 @@ def interleave(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nda
     for done in range(0, depth, 8):
         if not len(active):
             break
-        key = block_at(text, places[order[active]] + done)
+        key = block_at(text, places[order[active]] + step * done, step)
         by = np.lexsort((key, run)) if done else np.argsort(key, kind="stable")
         order[active] = order[active][by]
         key, run = key[by], run[by]
@@ -90,63 +93,52 @@ def interleave(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nda
         same = np.zeros(len(at), np.int64)
         for i in range(1, 8):
             same += (differ >> np.uint64(64 - 8 * i)) == 0
-        common[active[at]] = done + same
+        common[active[at]] = done + same  # the first slot of a run keeps the prefix found before
         fresh = np.concatenate([[True], (run[1:] != run[:-1]) | split])
         run = np.cumsum(fresh)
         alone = fresh & np.concatenate([fresh[1:], [True]])
         active, run = active[~alone], run[~alone]
-        # the first slot of a run keeps the prefix found before
     return order, common
 
 
-def shared(text: np.ndarray, places: np.ndarray, mer: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix lies in an interval that shares mer bytes; and the merged order."""
-    order, common = interleave(text, places, mer)
-    inside = common >= mer
-    inside[:-1] |= inside[1:].copy()
-    out = np.zeros(len(places), bool)
-    out[order] = inside
+def longest(text: np.ndarray, places: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The longest prefix that each suffix has in common with any other, up to depth; and the merged order."""
+    order, common = interleave(text, places, depth, step)
+    common[:-1] = np.maximum(common[:-1], common[1:])
+    out = np.zeros(len(places), np.int64)
+    out[order] = common
     return out, order
 
 
+def candidates(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows from lo to hi round each anchor, the first and last that may repeat; and the merged order.
+
+    A window d bytes before its anchor needs d bytes in common to the left and width - d to the right.
+    `text` has `width` more bytes at either end.
+    """
+    depth = -(-width // 8) * 8
+    right, order = longest(text, place, depth)
+    first, last = lo.copy(), np.minimum(hi, place - width + right)
+    some = np.flatnonzero(last >= lo)
+    left, _ = longest(text, place[some] - 1, depth, -1)
+    first[some] = np.maximum(lo[some], place[some] - left)
+    return first, last, order
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Strings of windows in a row with one anchor: first and last window, anchor's place, and its hash."""
-    none = np.zeros(0, np.int64)
-    if len(data) < width:
+    long = np.flatnonzero(np.diff(offsets) >= width)
+    if not len(long):
+        none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
     grams = window_sums(_BYTE[data], mer)
-    # the place is part of what is compared, so a window's anchor is the first of equal grams
-    least = sliding_min(grams, width - mer + 1)
-    row = rows_of(offsets, np.arange(len(data)))
-    at = np.flatnonzero(row[width - 1 :] == row[: len(data) - width + 1])
-    if not len(at):
-        return none, none, none, none.astype(np.uint64)
-    low = least[at]
-    hit = np.flatnonzero(sliding_hit(grams, least, width - mer + 1))
-    place = hit[next_hit(hit, grams, at, low)]
-    fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1])])
-    lo = np.flatnonzero(fresh)
+    # 32 bits of the hash, then the place: the first of equal grams is the least
+    least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), width - mer + 1)
+    at = _windows(offsets[:-1][long], offsets[1:][long] - width)
+    place = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    lo = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     hi = np.concatenate([lo[1:], [len(at)]]) - 1
-    return at[lo], at[hi], place[lo], low[lo]
-
-
-def sliding_hit(grams: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
-    """Grams that are the least of some window."""
-    # a gram at i is least somewhere if the greatest of the minima of the windows that hold it is its own hash
-    pad = np.zeros(len(grams) + span - 1, np.uint64)
-    pad[span - 1 : span - 1 + len(least)] = least
-    most = ~sliding_min(~pad, span)
-    return most[: len(grams)] == grams
-
-
-def next_hit(hit: np.ndarray, grams: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For windows that begin at `at` (ascending): the first of the hits from there on with the hash `low`."""
-    i = np.searchsorted(hit, at)
-    wrong = np.flatnonzero(grams[hit[i]] != low)
-    while len(wrong):
-        i[wrong] += 1
-        wrong = wrong[grams[hit[i[wrong]]] != low[wrong]]
-    return i
+    return at[lo], at[hi], place[lo], grams[place[lo]]
 
 
 def _windows(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -185,11 +177,12 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
     lo, hi, place, low = lo[fresh], hi[fresh], place[fresh], low[fresh]
     if not len(lo):
         return
-    suspect, order = shared(data, place, mer)
-    suspects = _windows(lo[suspect], hi[suspect])
+    first, last, order = candidates(np.pad(data, width), lo + width, hi + width, place + width, width)
+    some = last >= first
+    suspects = _windows(first[some] - width, last[some] - width)
     again = np.zeros(int(hi[-1]) + 1, bool)
     again[suspects] = _again(data, suspects, width)
-    zip_up = zstandard.ZstdCompressor(level=1).compress
+    zip_up = zstandard.ZstdCompressor(level=LEVEL).compress
     if again.any():
         gone = suspects[again[suspects]]
         row = rows_of(offsets, gone)
@@ -197,8 +190,8 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
         first = np.flatnonzero(cut)
         last = np.concatenate([first[1:], [len(gone)]]) - 1
         of = row[first]
-        known = np.stack([ids[of], tags[of], gone[first] - offsets[of], gone[last] + width - offsets[of]])
-        yield int(mix(low[:1])[0] % np.uint64(parts)), zip_up(known.astype(np.int64).tobytes()), b""
+        known = [ids[of], tags[of], gone[first] - offsets[of], gone[last] + width - offsets[of]]
+        yield int(mix(low[:1])[0] % np.uint64(parts)), zip_up(_planes(known)), b""
     # what is left of each string: the stretches of windows not seen before
     left = np.cumsum(np.concatenate([[0], ~again]))
     whole = left[hi + 1] - left[lo] == hi - lo + 1
@@ -217,11 +210,20 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
     by = np.lexsort((rank[of], bucket))
     a, b, of, bucket = a[by], b[by], of[by], bucket[by]
     row = rows_of(offsets, a)
-    meta = np.stack([ids[row], tags[row], a - offsets[row], b - a + width, place[of] - a]).astype(np.int64)
+    meta = [ids[row], tags[row], a - offsets[row], b - a + width, place[of] - a]
     text, s, e = data.tobytes(), a.tolist(), (b + width).tolist()
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
     for i, j in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[i]), zip_up(meta[:, i:j].tobytes()), zip_up(b"".join([text[s[k] : e[k]] for k in range(i, j)]))
+        yield int(bucket[i]), zip_up(_planes([m[i:j] for m in meta])), zip_up(b"".join([text[s[k] : e[k]] for k in range(i, j)]))
+
+
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Numbers by the order of their bytes, which packs well."""
+    return b"".join([np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns])
+
+
+def _columns(planes: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(n, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
 
 
 def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mer: int) -> Iterator[pa.RecordBatch]:
@@ -236,30 +238,31 @@ def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mer: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(meta, pa.binary()), pa.array(words, pa.binary())], names=["part", "meta", "words"])
 
 
-def _bucket(group: pa.Table, width: int, mer: int) -> pa.Table:
+def _bucket(group: pa.Table, width: int) -> pa.Table:
     """Merge the shards of a bucket; the spans of windows equal to one that starts earlier."""
     unzip = zstandard.ZstdDecompressor().decompress
     out, metas, texts = [np.zeros((4, 0), np.int64)], [np.zeros((_META, 0), np.int64)], []
     for meta, words in zip(group.column("meta").to_pylist(), group.column("words").to_pylist(), strict=True):
-        table_ = np.frombuffer(unzip(meta), np.int64)
+        columns = _columns(unzip(meta), _META if words else 4)
         if words:
-            metas.append(table_.reshape(_META, -1))
+            metas.append(columns)
             texts.append(unzip(words))
         else:
-            out.append(table_.reshape(4, -1))
-    text, meta = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(metas, axis=1)
+            out.append(columns)
+    meta = np.concatenate(metas, axis=1)
+    text = np.frombuffer(b"".join([bytes(width), *texts, bytes(width)]), np.uint8)
     del texts, metas
-    if len(text):
-        ends = np.cumsum(meta[3])
-        begin = ends - meta[3]
-        suspect, _ = shared(text, begin + meta[4], mer)
+    if meta.shape[1]:
+        begin = width + np.cumsum(meta[3]) - meta[3]
+        first, last, _ = candidates(text, begin, begin + meta[3] - width, begin + meta[4], width)
         # the strings in the order of the documents, so that the first copy of a window is the one that stays
-        chosen = np.flatnonzero(suspect)
+        chosen = np.flatnonzero(last >= first)
+        meta[2] += first - begin
         chosen = chosen[np.lexsort((meta[2][chosen], meta[1][chosen], meta[0][chosen]))]
         if len(chosen):
-            size = meta[3][chosen]
+            size = last[chosen] - first[chosen] + width
             at = np.concatenate([[0], np.cumsum(size)])
-            packed = text[_windows(begin[chosen], begin[chosen] + size - 1)]
+            packed = text[_windows(first[chosen], first[chosen] + size - 1)]
             places = _windows(at[:-1], at[1:] - width)
             of = np.repeat(np.arange(len(chosen)), size - width + 1)
             # rows of one document and text may come from several shards: each of their windows counts once
@@ -280,30 +283,39 @@ def _bucket(group: pa.Table, width: int, mer: int) -> pa.Table:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs' rows with an id (null: the least number) and a tag that tells texts and null ids apart."""
-    tag = F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
+    tag = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))), 32)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), tag.alias("tag"), F.struct("*").alias("row"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
     """Spans (id, tag, s, e) of bytes that windows which also start earlier cover; spans may overlap."""
-    if mer % 8 or not 8 <= mer <= width:
-        raise ValueError("mer is a multiple of 8 and at most width")
+    if not 1 <= mer <= width:
+        raise ValueError("mer is from 1 to width")
     # a string repeats width - 1 bytes, so packed text is about four times the input
     parts = max(8, -(-4 * text_bytes(docs) // BUCKET_BYTES))
     sent = _keyed(docs).select("id", "tag", F.col("row.text").alias("text")).mapInArrow(partial(_map, parts=parts, width=width, mer=mer), _SENT)
 
     def bucket(group: pa.Table) -> pa.Table:
-        return _bucket(group, width, mer)
+        return _bucket(group, width)
 
     return sent.groupBy("part").applyInArrow(bucket, _SPANS)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed, as they travel to their spans."""
+    zip_up = zstandard.ZstdCompressor(level=LEVEL).compress
+    for batch in batches:
+        texts = [zip_up((t.as_py() or "").encode()) for t in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names)
+
+
 def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    unzip = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts, spans = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for text, found in zip(texts, spans, strict=True):
-            data = (text.as_py() or "").encode()
+            data = unzip(text.as_py())
             left, at, gone, runs = [], 0, 0, 0
             for span in sorted((x["s"], x["e"]) for x in found.as_py() or ()):
                 if span[0] > at or not runs:
@@ -328,6 +340,7 @@ def strip_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, digest: boo
     spans = repeated_spans(docs, width, mer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
+    keyed = keyed.mapInArrow(_squeezed, T.StructType([*keyed.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
     joined = keyed.join(spans, ["id", "tag"], "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if digest else T.BinaryType())])
     return joined.mapInArrow(partial(_strip, digest=digest), schema)
