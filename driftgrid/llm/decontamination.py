@@ -1,27 +1,29 @@
 """Operator 9, benchmark decontamination: latent semantic retrieval.
 
 Texts are lower-cased over A-Z and read as words of letters and digits, hashed to `TERMS`
-terms. The corpus is a matrix T of blocks of `BLOCK` words by terms, weighted by
-inverse document frequencies D. Its leading right singular vectors come from a
-distributed randomised SVD: tasks add up T'(T D Omega) for a random Omega, the
-driver makes Q orthonormal, tasks add up the Gram matrix of T D Q, and its
-eigenvectors turn Q into singular vectors. The driver holds TERMS x RANK numbers,
-whatever the size of the corpus; all counts cover all documents.
+terms. The corpus is a matrix of blocks of `BLOCK` words by terms, weighted by
+inverse document frequencies; terms in more than `COMMON` of the documents weigh nothing. Its leading right
+singular vectors come from a distributed randomised SVD: tasks add their blocks, with random signs, to
+`SKETCH` random rows, the rows of all tasks are summed, and the driver takes the singular vectors of
+that sketch. It holds SKETCH x TERMS numbers, whatever the size of the corpus. Counts
+and sketch cover all documents, in one scan.
 
 A passage, two blocks in a row, is projected by adding the rows of its words, scaled by
 the singular values. Items are cut into passages of at most `ITEM` words. Every passage whose cosine with an
-item's passage is `NEAR` or more is a candidate. Items go to the tasks in groups of at most
-`GROUP` passages, so what is broadcast is bounded.
+item's passage is `NEAR` or more is a candidate; of candidates in adjoining blocks for one item, the best
+stands for all. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
 the whole item: it is a leak if this covers `COVER` of the item's words, or
 `COVER_ANSWER` of them and `ANSWER` of those of the item's answer (its last
-sentence, or its last quarter if it has one sentence only).
+sentence, or its last quarter if it has one sentence only). Retrieval and confirmation are one more scan; no text is
+shuffled.
 
 Defined results: null and empty texts and items have no words and match nothing; an item
 of under `LEAST` words is not searched for; repeated rows are reported each; a document that holds an
 item at several places is reported once, at the place of the longest subsequence, the
-first in a tie; empty tables give an empty one; other columns are not read.
+first in a tie; items that share an item_id are searched for each; empty tables give an empty one; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, rows_of, runs_of, table, text_buffers, word_hashes, written
+from .common import LOWER, blocks, mix, runs_of, table, text_buffers, word_hashes
 
-TERMS, RANK, BLOCK, ITEM, NEAR, GROUP = 1 << 14, 128, 16, 48, 0.42, 20_000
+TERMS, RANK, SKETCH, BLOCK, ITEM, NEAR, COMMON, GROUP = 1 << 14, 96, 192, 16, 48, 0.34, 0.05, 20_000
 COVER, COVER_ANSWER, ANSWER, LEAST = 0.7, 0.5, 0.8, 5
-#: Words whose rows are gathered at once.
-CHUNK = 1 << 14
-SLICE = 256
+#: Words and blocks handled at once.
+CHUNK, CHUNK_BLOCKS = 1 << 14, 2048
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -55,22 +56,13 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return word_hashes(np.where(inside, data, np.uint8(32)), starts, ends), np.searchsorted(starts, offsets)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids, word hashes and bounds of some texts at once."""
     for batch in batches:
-        data, offsets = text_buffers(batch.column(2))
+        data, offsets = text_buffers(batch.column(1))
         for lo, hi in blocks(offsets):
             hashes, bounds = word_ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            terms = (hashes % np.uint64(TERMS)).astype(np.uint16)
-            packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((bounds * 2).astype(np.int64)), pa.py_buffer(terms)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), packed.cast(pa.binary())], names=["id", "tag", "terms"])
-
-
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Terms of whole rows, about CHUNK at once, and their bounds."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(column))
-        for lo, hi in blocks(offsets, 2 * CHUNK):
-            yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]].view(np.uint16), (offsets[lo : hi + 1] - offsets[lo]) // 2
+            yield batch.column(0).slice(lo, hi - lo), hashes, bounds
 
 
 def _block_bounds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,121 +73,81 @@ def _block_bounds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[row] + BLOCK * (np.arange(len(row)) - first[row]), row
 
 
-def _block_sums(weights: np.ndarray, terms: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sums of the rows of weights over the blocks of terms."""
-    edges = np.append(begin, len(terms))
-    out = np.empty((len(begin), weights.shape[1]), np.float32)
-    lo = 0
-    while lo < len(begin):
-        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + CHUNK)))
-        a, b = int(edges[lo]), int(edges[hi])
-        out[lo:hi] = np.add.reduceat(weights[terms[a:b]], begin[lo:hi] - a, axis=0)
-        lo = hi
-    return out
-
-
-def _slices(total: np.ndarray, kind: str) -> pa.RecordBatch:
-    rows = [total[i : i + SLICE].astype(kind).tobytes() for i in range(0, len(total), SLICE)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "data"])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(TERMS + SLICE)
-    for _, terms, bounds in _batches(batches, 0):
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row 0: documents that hold each term, and documents; other rows: blocks added up with random signs."""
+    held = np.zeros(TERMS + 1)
+    total = np.zeros(SKETCH * TERMS, np.float32)
+    for ids, hashes, bounds in _texts(batches):
+        terms = (hashes % np.uint64(TERMS)).astype(np.int64)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        total[:TERMS] += np.bincount(np.unique(row * TERMS + terms) % TERMS, minlength=TERMS)
-        total[TERMS] += len(bounds) - 1
-    yield _slices(total, "<f8")
-
-
-def _sketched(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
-    """T' (T weights), by terms."""
-    w = weights.value
-    total = np.zeros((TERMS, w.shape[1]), np.float64)
-    for _, terms, bounds in _batches(batches, 0):
-        if len(terms):
-            begin, _ = _block_bounds(bounds)
-            sums = _block_sums(w, terms, begin)
-            order = np.argsort(terms, kind="stable")
-            block = np.searchsorted(begin, order, "right") - 1
-            ranked = terms[order]
-            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            edges = np.append(first, len(ranked))
-            lo = 0
-            while lo < len(first):
-                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK)))
-                a, b = int(edges[lo]), int(edges[hi])
-                total[ranked[first[lo:hi]]] += np.add.reduceat(sums[block[a:b]], first[lo:hi] - a, axis=0)
-                lo = hi
-    yield _slices(total, "<f4")
-
-
-def _gram(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
-    w = weights.value
-    total = np.zeros((w.shape[1], w.shape[1]))
-    for _, terms, bounds in _batches(batches, 0):
-        if len(terms):
-            sums = _block_sums(w, terms, _block_bounds(bounds)[0])
-            total += sums.T @ sums
-    yield _slices(total, "<f8")
-
-
-def _summed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """Adds the slices of one partition; all of a slice are in one."""
+        held[:TERMS] += np.bincount(np.unique(row * TERMS + terms) % TERMS, minlength=TERMS)
+        held[TERMS] += len(bounds) - 1
+        begin, of = _block_bounds(bounds)
+        # a block's row and sign depend on its document and place, so copies do not add up in step
+        seed = mix(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))[of] + begin.astype(np.uint64) - bounds[:-1][of].astype(np.uint64))
+        place = ((seed >> np.uint64(1)) % np.uint64(SKETCH)).astype(np.int64) * TERMS
+        size = np.diff(np.append(begin, len(terms)))
+        cells, count = np.unique((np.repeat(place, size) + terms) * 2 + np.repeat((seed & np.uint64(1)).astype(np.int64), size), return_counts=True)
+        np.add.at(total, cells >> 1, np.where(cells & 1, count, -count).astype(np.float32))
+    rows = [held.tobytes(), *[r.tobytes() for r in total.reshape(SKETCH, TERMS)]]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["row", "data"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the rows of one partition; all of a row are in one."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(data, kind).astype(np.float64)
+            part = np.frombuffer(data, np.float32 if at else np.float64).astype(np.float64)
             total[at] = total[at] + part if at in total else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(kind).tobytes() for v in total.values()], pa.binary())], names=["slice", "data"])
-
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "data"])
 
-def _gathered(parts: DataFrame, kind: str, width: int) -> np.ndarray:
-    """The sum over all tasks; its size is set by parameters alone."""
-    rows = parts.repartition("slice").mapInArrow(partial(_summed, kind=kind), "slice int, data binary").collect()
-    if not rows:
-        return np.zeros((0, width))
-    return np.concatenate([np.frombuffer(r["data"], kind).astype(np.float64).reshape(-1, width) for r in sorted(rows, key=lambda r: r["slice"])])
 
-
-def latent_space(features: DataFrame, seed: int = 9) -> np.ndarray:
+def latent_space(docs: DataFrame) -> np.ndarray:
     """TERMS x RANK weights that project a passage, by adding them over its words, on scaled singular vectors."""
-    spark = features.sparkSession
-    terms = features.select("terms")
-    counts = _gathered(terms.mapInArrow(_frequencies, "slice int, data binary"), "<f8", 1).ravel()
-    if not len(counts) or not counts[TERMS]:
+    rows = docs.mapInArrow(_sketched, "row int, data binary").repartition("row").mapInArrow(_summed, "row int, data binary").collect()
+    found = {r["row"]: np.frombuffer(r["data"], np.float64) for r in rows}
+    if not found or not found[0][TERMS]:
         return np.zeros((TERMS, RANK), np.float32)
-    idf = np.log((1 + counts[TERMS]) / (1 + counts[:TERMS]))[:, None]
-    omega = np.random.default_rng(seed).standard_normal((TERMS, RANK))
-    sent = spark.sparkContext.broadcast((idf * omega).astype(np.float32))
-    sketch = _gathered(terms.mapInArrow(partial(_sketched, weights=sent), "slice int, data binary"), "<f4", RANK)
-    basis, _ = np.linalg.qr(idf * sketch)
-    sent = spark.sparkContext.broadcast((idf * basis).astype(np.float32))
-    values, vectors = np.linalg.eigh(_gathered(terms.mapInArrow(partial(_gram, weights=sent), "slice int, data binary"), "<f8", RANK))
-    scale = np.where(values > 1e-9 * max(values.max(), 1e-30), 1 / np.sqrt(np.maximum(values, 1e-30)), 0)
-    return (idf * (basis @ vectors) * scale).astype(np.float32)
+    held, n = found[0][:TERMS], found[0][TERMS]
+    idf = np.log((1 + n) / (1 + held)) * (held <= max(1, COMMON * n))
+    sketch = np.stack([found[i + 1] for i in range(SKETCH)]) * idf
+    values, vectors = np.linalg.eigh(sketch @ sketch.T)
+    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
+    scale = np.where(values > 1e-9 * max(values.max(), 1e-30), 1 / np.maximum(values, 1e-30), 0)
+    return (idf[:, None] * (sketch.T @ vectors) * scale).astype(np.float32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _near(batches: Iterator[pa.RecordBatch], weights, items, near: float) -> Iterator[pa.RecordBatch]:
-    """(id, tag, item, block, cosine) of passages near to an item's passage."""
-    w, (vectors, of_item) = weights.value, items.value
-    for batch, terms, bounds in _batches(batches, 2):
-        if not len(terms):
-            continue
-        begin, row = _block_bounds(bounds)
-        sums = _block_sums(w, terms, begin)
-        sums[:-1][row[1:] == row[:-1]] += sums[1:][row[1:] == row[:-1]]
-        first = np.searchsorted(row, np.arange(len(bounds) - 1))
-        for lo in range(0, len(sums), 2048):
-            cosines = _unit(sums[lo : lo + 2048]) @ vectors.T
-            i, j = np.nonzero(cosines >= near)
-            if len(i):
-                at = pa.array(row[lo + i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(of_item[j]), pa.array(lo + i - first[row[lo + i]]), pa.array(cosines[i, j].astype(np.float64))], names=["id", "tag", "item", "block", "cosine"])
+def passages(weights: np.ndarray, used: np.ndarray, terms: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Unit vectors of the passages that begin at each block: it and the next one of its row."""
+    keep = np.flatnonzero(used[terms])
+    block = np.searchsorted(begin, keep, "right") - 1
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else block
+    edges = np.append(first, len(keep))
+    out = np.zeros((len(begin), weights.shape[1]), np.float32)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK)))
+        a, b = int(edges[lo]), int(edges[hi])
+        out[block[first[lo:hi]]] = np.add.reduceat(weights[terms[keep[a:b]]], first[lo:hi] - a, axis=0)
+        lo = hi
+    next_to = np.flatnonzero(row[1:] == row[:-1])
+    both = out.copy()
+    both[next_to] += out[next_to + 1]
+    return _unit(both)
+
+
+def _best_of_runs(item: np.ndarray, block: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Of hits of one item in adjoining blocks, the best."""
+    order = np.lexsort((block, item))
+    fresh = np.concatenate([[True], (item[order][1:] != item[order][:-1]) | (block[order][1:] != block[order][:-1] + 1)])
+    run = np.cumsum(fresh)
+    ranked = np.lexsort((-cosine[order], run))
+    return order[ranked[np.flatnonzero(np.concatenate([[True], run[ranked][1:] != run[ranked][:-1]]))]]
 
 
 def common_words(words: list[int], places: dict[int, int], full: int) -> int:
@@ -227,83 +179,90 @@ def _masks(words: list[int]) -> tuple[dict[int, int], int]:
     return places, (1 << len(words)) - 1
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], items, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Leaks among (doc_id, text, found), found being a list of (item, block, cosine)."""
-    words_of_item = items.value
-    masks: dict[int, tuple] = {}
-    for batch in batches:
-        out: list[tuple] = []
-        data, offsets = text_buffers(batch.column(1))
-        for i, (doc_id, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            words = word_ids(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0].tolist()
-            best: dict[int, tuple] = {}
-            for hit in sorted(found, key=lambda x: (x["item"], x["block"])):
-                item = hit["item"]
-                own, last = words_of_item[item]
-                if item not in masks:
-                    masks[item] = (*_masks(own), *_masks(own[-last:]))
-                places, full, answer, full_answer = masks[item]
-                margin = max(BLOCK, len(own))
-                a, b = max(0, BLOCK * hit["block"] - margin), min(len(words), BLOCK * (hit["block"] + 2) + margin)
-                part = words[a:b]
-                n, m = common_words(part, places, full), common_words(part, answer, full_answer)
-                leak = n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last
-                if leak and (item not in best or n > best[item][4]):
-                    best[item] = (doc_id, item, a, len(own), n, last, m, hit["cosine"])
-            out += best.values()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Leaks of a group of items into (doc_id, text)."""
+    w, (items, vectors, of_vector) = weights.value, group.value
+    used = w.any(axis=1)
+    masks = [(*_masks(own), *_masks(own[-last:])) for _, own, last in items]
+    for ids, hashes, bounds in _texts(batches):
+        if not len(hashes):
+            continue
+        begin, row = _block_bounds(bounds)
+        rows = passages(w, used, (hashes % np.uint64(TERMS)).astype(np.int64), begin, row)
+        hits = []
+        for lo in range(0, len(rows), CHUNK_BLOCKS):
+            cosines = rows[lo : lo + CHUNK_BLOCKS] @ vectors.T
+            at = np.flatnonzero(cosines >= near)
+            if len(at):
+                hits.append((at // len(of_vector) + lo, of_vector[at % len(of_vector)], cosines.ravel()[at]))
+        if not hits:
+            continue
+        block, item, cosine = (np.concatenate(c) for c in zip(*hits, strict=True))
+        # the code of a block skips one between rows, so that runs end there
+        best = _best_of_runs(item, block + row[block], cosine)
+        found: dict[tuple[int, int], tuple] = {}
+        doc_ids = ids.to_pylist()
+        for block_, item_, cosine_ in sorted(zip(block[best].tolist(), item[best].tolist(), cosine[best].tolist(), strict=True)):
+            i = int(row[block_])
+            item_id, own, last = items[item_]
+            places, full, answer, full_answer = masks[item_]
+            margin = max(BLOCK, len(own))
+            a, b = max(int(bounds[i]), int(begin[block_]) - margin), min(int(bounds[i + 1]), int(begin[block_]) + 2 * BLOCK + margin)
+            part = [x for x in hashes[a:b].tolist() if x in places]
+            if len(part) < COVER_ANSWER * len(own):  # no subsequence is longer
+                continue
+            n, m = common_words(part, places, full), common_words(part, answer, full_answer)
+            if (n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last) and n > found.get((i, item_), (0,) * 5)[4]:
+                found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found.values(), strict=True), schema, strict=True)], schema=schema)
 
 
 _KINDS = [("doc_id", pa.int64(), "long"), ("item_id", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("item_words", pa.int64(), "long"), ("common_words", pa.int64(), "long"), ("answer_words", pa.int64(), "long"), ("answer_common", pa.int64(), "long"), ("cosine", pa.float64(), "double")]
 
 
-def _item_groups(benchmark: DataFrame) -> Iterator[dict[int, tuple[list[int], int]]]:
-    """Items in groups of a bounded number of passages: hashes of their words and the number of answer words."""
-    held: dict[int, tuple[list[int], int]] = {}
+def _item_groups(benchmark: DataFrame) -> Iterator[list[tuple[int, list[int], int]]]:
+    """Items in groups of a bounded number of passages: item_id, hashes of the words, number of answer words."""
+    held: list[tuple[int, list[int], int]] = []
     size = 0
-    for row in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
         words = word_ids(*_buffers(row["text"]))[0].tolist()
         if len(words) < LEAST:
             continue
-        if size and (size + len(words) // BLOCK + 1 > GROUP or row["item_id"] in held):
+        if held and size + len(words) // ITEM + 1 > GROUP:
             yield held
-            held, size = {}, 0
-        held[row["item_id"]] = (words, min(len(words), answer_words(row["text"])))
-        size += len(words) // BLOCK + 1
+            held, size = [], 0
+        held.append((row["item_id"], words, min(len(words), answer_words(row["text"]))))
+        size += len(words) // ITEM + 1
     if held:
         yield held
 
 
-def _item_vectors(items: dict[int, tuple[list[int], int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the passages of all items, and their items."""
+def item_passages(items: list[tuple[int, list[int], int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the passages of all items, and the places of their items."""
     rows, of = [], []
-    for item, (words, _) in items.items():
-        terms = (np.array(words, np.uint64) % np.uint64(TERMS)).astype(np.uint16)
+    for at, (_, words, _) in enumerate(items):
+        terms = (np.array(words, np.uint64) % np.uint64(TERMS)).astype(np.int64)
         parts = -(-len(terms) // ITEM)
         for k in range(parts):
             rows.append(weights[terms[len(terms) * k // parts : len(terms) * (k + 1) // parts]].sum(axis=0))
-            of.append(item)
+            of.append(at)
     return _unit(np.array(rows, np.float32)), np.array(of, np.int64)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
     """(doc_id, item_id, first_word, item_words, common_words, answer_words, answer_common, cosine) of each leak."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tag"), "text")
-    features = written(keyed.mapInArrow(_featured, "id long, tag long, terms binary"), "terms")
-    weights = latent_space(features)
-    sent = spark.sparkContext.broadcast(weights)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([(name, kind) for name, kind, _ in _KINDS])
     out = spark.createDataFrame([], ", ".join(f"{name} {kind}" for name, _, kind in _KINDS))
+    weights = sent = None
     for items in _item_groups(benchmark):
-        vectors = spark.sparkContext.broadcast(_item_vectors(items, weights))
-        hits = features.mapInArrow(partial(_near, weights=sent, items=vectors, near=near), "id long, tag long, item long, block long, cosine double")
-        # one row for each document that holds candidates; copies of a row have the same ones
-        found = hits.dropDuplicates(["id", "tag", "item", "block"]).groupBy("id", "tag").agg(F.collect_list(F.struct("item", "block", "cosine")).alias("found"))
-        found = written(found, "candidates").select(F.col("id").alias("of"), F.col("tag").alias("mark"), "found")
-        texts = keyed.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("mark"))).select("id", "text", "found")
-        out = out.unionByName(texts.mapInArrow(partial(_confirmed, items=spark.sparkContext.broadcast(items), schema=schema), out.schema))
+        if sent is None:
+            weights = latent_space(texts)
+            sent = spark.sparkContext.broadcast(weights)
+        group = spark.sparkContext.broadcast((items, *item_passages(items, weights)))
+        out = out.unionByName(texts.mapInArrow(partial(_leaks, weights=sent, group=group, near=near, schema=schema), out.schema))
     return out
 
 
