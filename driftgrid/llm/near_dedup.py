@@ -10,17 +10,17 @@ it. After as many rounds as there are coordinates, round r instead places every
 element in one given bin, so every coordinate fills however small the set, and the
 estimate stays concentrated because one round spreads the elements over the bins
 without repeats. One byte of each coordinate is stored. Rows of ROWS coordinates
-form BANDS band keys; sets that agree on a band are candidates: with 48 bands of 6,
-sets at a similarity of 0.8 fail to meet with a chance under 1e-6.
+form BANDS band keys; sets that agree on a band are candidates: with 32 bands of 5,
+sets at a similarity of 0.8 fail to meet with a chance of 3 in a million.
 
 Links, confirmed on the full sets of 64-bit shingle hashes: intersection * 100 >=
 percent * union. Equal sets are one class, found by an aggregation. In each bucket
 every class is first confirmed against one leader, so a bucket of m near copies
 costs m pairs. Buckets whose members then lie in different components go through
-further rounds with other leaders, and in the end all remaining pairs between
-components of a bucket are confirmed (those whose sketches agree on less than
-MIN_AGREE of the bytes are passed over; at 0.8 that is over seven standard
-deviations off). No bucket or partner is capped.
+a few rounds with other leaders while that saves work, and in the end all remaining pairs between
+components of a bucket are compared by their sketches, in blocks of at most CHUNK members a side, and
+confirmed where these agree on MIN_AGREE of the bytes (at 0.8 less is over six standard
+deviations off). A pair is confirmed in the first of its buckets alone. No bucket or partner is capped.
 
 Defined results: null text is empty; equal rows are one class; a row with a null
 doc_id takes the component of an equal set and else has none (kept); rows that
@@ -39,10 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, mix, rows_of, table, text_buffers, window_sums, word_hashes, words_of, written
 
-BANDS, ROWS = 48, 6
-MIN_AGREE = 0.64
+BANDS, ROWS = 32, 5
+MIN_AGREE = 0.6
 #: A round of leaders is worth its cost while more than this many pairs for each bucket row remain.
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 64
+#: Rounds of leaders at most; members of a bucket on one side of a comparison.
+TURNS, CHUNK = 4, 2000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FEATURES = "doc_id long, n_shingles long, k0 long, k1 long, sketch binary"
 
@@ -115,14 +117,32 @@ def _linked(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> It
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sketch_a, sketch_b, n_a, n_b), those a and b that may be similar enough."""
-    for batch in batches:
-        (x, _), (y, _) = (text_buffers(batch.column(i)) for i in (2, 3))
-        n_a, n_b = (batch.column(i).to_numpy() for i in (4, 5))
-        agree = (x.reshape(batch.num_rows, -1) == y.reshape(batch.num_rows, -1)).mean(axis=1)
-        good = (agree >= MIN_AGREE * percent / 80) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+def _alike(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a bucket's members on sides i and j (one side if i = j) that may be similar enough.
+
+    Members are sorted by set size, so those that may match one are a range; a pair is given by the first band it shares.
+    """
+    band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+    side, node, component, size = (group.column(c).to_numpy() for c in ("side", "node", "component", "n"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    order = np.lexsort((node, size))
+    side, node, component, size, sketch = side[order], node[order], component[order], size[order], sketch[order]
+    left, right = (np.flatnonzero(side == x) for x in (i, j))
+    out = [np.zeros((2, 0), np.int64)]
+    lo = np.searchsorted(size[right] * 100, percent * size[left])
+    hi = np.searchsorted(size[right] * percent, 100 * size[left], "right")
+    for k, x in enumerate(left.tolist()):
+        at = right[lo[k] : hi[k]]
+        at = at[component[at] != component[x]]
+        if i == j:
+            at = at[at > x]
+        at = at[(sketch[at] == sketch[x]).mean(axis=1) >= MIN_AGREE * percent / 80]
+        if len(at):
+            equal = (sketch[at] == sketch[x])[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2)
+            at = at[np.argmax(equal, axis=1) == band]
+            out.append(np.stack([np.full(len(at), node[x]), node[at]]))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"a": a, "b": b})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,12 +175,17 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     features = written(source.mapInArrow(partial(_features, shingle=shingle), _FEATURES), "features")
     sets = features.filter("n_shingles > 0 and doc_id is not null")
     classes = written(sets.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")).select("k0", "k1", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "classes")
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
-    bands = classes.select("node", keys.alias("key"))
-    leaders = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "leaders")
-    buckets = written(bands.join(leaders.select("key", "lead"), "key").select("key", "node", "lead"), "buckets")
-    members = buckets.select("node").distinct()
-    texts = written(source.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+
+    def banded(rows: DataFrame) -> DataFrame:
+        """A row for each band of each class."""
+        others = [c for c in rows.columns if c != "sketch"]
+        return rows.select(*others, F.posexplode(F.array(*[F.substring("sketch", i * ROWS + 1, ROWS) for i in range(BANDS)])).alias("band", "key"))
+
+    bands = banded(classes.select("node", "sketch"))
+    leaders = bands.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).filter("m > 1")
+    buckets = written(bands.join(leaders, ["band", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "buckets")
+    members = buckets.select("a").unionByName(buckets.select(F.col("b").alias("a"))).distinct()
+    texts = written(source.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -171,28 +196,30 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         counted = pairs.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
         return counted.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("s")).select("a", (-F.col("s.less")).alias("b"))
 
-    links = written(confirmed(written(best(buckets.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "pairs")), "links")
+    links = written(confirmed(written(best(buckets), "pairs")), "links")
     turn = 0
     while True:
         labels = written(components(links), "labels")
-        labelled = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        per_key = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")).alias("s"))
-        split = per_key.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("s.r", "s.node", "component")).alias("one"), F.max(F.struct("s.r", "s.node", "component")).alias("two"))
+        labelled = banded(classes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch"))
+        per_key = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")).alias("s"))
+        split = per_key.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("s.r", "s.node", "component")).alias("one"), F.max(F.struct("s.r", "s.node", "component")).alias("two"))
         split = written(split.filter("parts > 1"), "split")
-        rows, pairs = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0))).first()
+        rows, pairs = split.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2), F.lit(0))).first()
         if not rows:
             break
-        open_ = written(labelled.join(split.select("key", "one", "two"), "key"), "open")
-        if pairs <= PAIRS_PER_ROW * rows or turn >= 8:
-            last = True
-            x, y = (open_.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in "ab")
-            candidates = x.join(y, "key").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-            side = classes.select("node", "sketch", "n")
-            for n in "ab":
-                candidates = candidates.join(side.select(F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}"), F.col("n").alias(f"n_{n}")), n)
-            candidates = candidates.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(partial(_alike, percent=percent), "a long, b long")
+        open_ = labelled.join(split.select("band", "key", "one", "two", "m"), ["band", "key"])
+        last = pairs <= PAIRS_PER_ROW * rows or turn >= TURNS
+        if last:
+            sides = F.ceil(F.col("m") / CHUNK).cast("int")
+            cut = open_.select("band", "key", "node", "component", sides.alias("c"), F.pmod(F.xxhash64("node", F.lit(5)), sides).cast("int").alias("side"))
+            other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j"))))
+            cut = cut.withColumn("p", other).select("band", "key", "node", "component", "side", "p.i", "p.j").join(classes.select("node", "n", "sketch"), "node")
+
+            def alike(group: pa.Table) -> pa.Table:
+                return _alike(group, percent)
+
+            candidates = cut.groupBy("band", "key", "i", "j").applyInArrow(alike, "a long, b long")
         else:
-            last = False
             other = F.when(F.col("one.component") != F.col("component"), F.col("one.node")).otherwise(F.col("two.node"))
             candidates = best(open_.select(F.col("node").alias("a"), other.alias("b")))
         found = written(confirmed(written(candidates, "pairs")), "links")
@@ -201,7 +228,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         if last:
             labels = written(components(links), "labels") if fresh else labels
             break
-        turn += 1 if fresh else 8
+        turn += 1 if fresh else TURNS
     nodes = classes.select("k0", "k1", "node").join(labels, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
     rows = features.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k0")).alias("k0"), F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"))
     return rows.join(written(nodes, "nodes"), ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

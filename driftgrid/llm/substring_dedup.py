@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, mix, rows_of, sliding_min, table, text_buffers, text_bytes, window_sums, word_hashes, words_of
+from .common import IS_SPACE, blocks, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums, word_hashes, words_of
 
 WIDTH, MMER = 35, 4
 #: Text handled at once by the combiner, and packed text for which a bucket is made.
@@ -198,11 +198,13 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, mmer: int = MMER) -> Data
 
 
 def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    unzip = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts, runs = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(texts, runs, strict=True):
-            words = (text.as_py() or "").encode().split()
+            whole = unzip(text.as_py())
+            words = whole.split()
             gone = 0
             if spans.is_valid and len(spans):
                 keep = np.ones(len(words), bool)
@@ -214,17 +216,17 @@ def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
                 left = b" ".join(words)
             n_words.append(len(words))
             n_removed.append(gone)
-            kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode() if gone else text.as_py())
+            kept.append(hashlib.sha256(left).hexdigest() if digest else (left if gone else whole).decode())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
 
 
 def strip_repeats(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, digest: bool = False) -> DataFrame:
     """(row, n_words, n_removed, kept): docs' row as a struct without its text, and the kept words joined by
-    one space (the text as it is, null included, if no word goes), or the SHA-256 of the joined words if digest."""
+    one space (the text as it is if no word goes; a null text is empty), or the SHA-256 of the joined words if digest."""
     runs = repeated_runs(docs, width, mmer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
-    joined = keyed.join(runs, ["id", "tag"], "left").select("row", "text", "runs")
+    joined = squeezed(keyed).join(runs, ["id", "tag"], "left").select("row", "text", "runs")
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(partial(_strip, digest=digest), schema)
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, blocks, mix, rows_of, sliding_min, table, text_buffers, text_bytes, window_sums
+from .common import _BYTE, blocks, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums
 from .substring_dedup import _runs, repeated
 
 WIDTH, MER, LEVEL = 100, 16, 3
@@ -301,14 +301,6 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
     return sent.groupBy("part").applyInArrow(bucket, _SPANS)
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed, as they travel to their spans."""
-    zip_up = zstandard.ZstdCompressor(level=LEVEL).compress
-    for batch in batches:
-        texts = [zip_up((t.as_py() or "").encode()) for t in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names)
-
-
 def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -340,7 +332,7 @@ def strip_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, digest: boo
     spans = repeated_spans(docs, width, mer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
-    keyed = keyed.mapInArrow(_squeezed, T.StructType([*keyed.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
+    keyed = squeezed(keyed)
     joined = keyed.join(spans, ["id", "tag"], "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if digest else T.BinaryType())])
     return joined.mapInArrow(partial(_strip, digest=digest), schema)
