@@ -42,7 +42,7 @@ from .common import LOWER, blocks, mix, rows_of, table, text_buffers, window_sum
 BANDS, ROWS = 32, 5
 MIN_AGREE = 0.6
 #: A round of leaders is worth its cost while more than this many pairs for each bucket row remain.
-PAIRS_PER_ROW = 64
+PAIRS_PER_ROW = 8
 #: Rounds of leaders at most; members of a bucket on one side of a comparison.
 TURNS, CHUNK = 4, 2000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
