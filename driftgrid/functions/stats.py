@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,8 +134,8 @@ def dickey_fuller(df: DataFrame, value: str, key: list[str], order: list[str], l
 def kalman_beta(df: DataFrame, y: str, x: str, key: list[str], order: list[str], drift: float = 1e-4, noise: float = 1e-2) -> DataFrame:
     """beta and alpha that drift as random walks, filtered in order within each key; both before the row is seen (M9)."""
 
-    def run(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        group = groups.sort_values(order)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
         mean, cov = np.zeros(2), np.eye(2)
         out = np.full((len(group), 2), np.nan)
         for i, (b, a) in enumerate(zip(group[y].to_numpy(float), group[x].to_numpy(float), strict=True)):

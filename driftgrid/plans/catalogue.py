@@ -1,10 +1,317 @@
-"""Queries over the driver's tables, one for each operator, with equal DuckDB SQL."""
+"""Queries over the driver's tables, one or more for each operator, with equal DuckDB SQL.
+
+`events` stands for feeds (a series is a user, sparse days), daily `orders` for one long series.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import align, asof, calendars, dedup, provenance, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+START, END = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
+
+#: SQL that several oracles begin with.
+CLOSES = """closes AS (SELECT user_id, CAST(ts AS DATE) AS obs_date, arg_max(value, (ts, event_id)) AS value
+  FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)"""
+CALENDAR = """cal AS (SELECT CAST(d AS DATE) AS date, CASE WHEN isodow(d) = 1 THEN 3 ELSE 1 END AS back
+  FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6)"""
+USERS = "users AS (SELECT DISTINCT user_id FROM events)"
+DAILY = """daily AS (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS price, count(*) AS n,
+  round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1)"""
+US_DAYS = "us(date) AS (VALUES (DATE '2024-01-01'), (DATE '2024-01-15'))"
+JP_DAYS = "jp(date) AS (VALUES (DATE '2024-01-01'), (DATE '2024-01-02'), (DATE '2024-01-03'), (DATE '2024-01-08'))"
+
+
+def query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily closes of events as observations."""
+    events = _read(spark, sf_dir, "events").filter("value is not null and ts is not null")
+    day = events.select(F.col("user_id").alias("series"), F.to_date("ts").alias("obs_date"), "value", "ts", "event_id")
+    return dedup.keep_last(day, ["series", "obs_date"], ["ts", "event_id"]).select("series", "obs_date", "value")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("series")).filter("series is not null").distinct()
+
+
+def _rules(spark: SparkSession, sf_dir: str, max_lag: int, shift: str = "none") -> DataFrame:
+    exact = max_lag == 0
+    return _users(spark, sf_dir).select("series", F.pmod("series", F.lit(3)).cast("string").alias("grp"), F.when(F.col("series") % 2 == 0, "us").otherwise("jp").alias("market"), F.lit(max_lag).alias("max_lag"), F.lit(shift).alias("shift"), (F.col("series") % 5 != 0).alias("required"), F.lit(exact).alias("exact"))
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    return calendars.weekday_calendar(spark, START, END)
+
+
+def _long(spark: SparkSession, sf_dir: str, max_lag: int, shift: str) -> DataFrame:
+    return align.aligned_long(_closes(spark, sf_dir), _rules(spark, sf_dir, max_lag, shift), _calendar(spark))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders")
+    return orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("price"), F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+def _long_sql(max_lag: int, back: str) -> str:
+    """The as-of join of closes on users and days, in DuckDB's own as-of form."""
+    return f"""WITH {CLOSES}, {CALENDAR}, {USERS},
+t AS (SELECT u.user_id, cal.date, {back} AS back, CAST(cal.date - {back} AS DATE) AS target FROM cal CROSS JOIN users u),
+a AS (SELECT t.*, c.obs_date AS o, c.value AS v FROM t ASOF LEFT JOIN closes c ON t.user_id = c.user_id AND t.target >= c.obs_date),
+long AS (SELECT user_id, date, back, CASE WHEN target - o <= {max_lag} THEN v END AS value,
+  CASE WHEN target - o <= {max_lag} THEN CAST(date - o AS INTEGER) END AS lag_days, user_id % 5 <> 0 AS required, CAST(user_id % 3 AS VARCHAR) AS grp FROM a)
+"""
+
+
+@query(f"WITH {CLOSES} SELECT * FROM closes")
+def daily_close(spark, sf_dir):
+    return _closes(spark, sf_dir).withColumnRenamed("series", "user_id")
+
+
+@query(_long_sql(2, "0") + "SELECT user_id, date, value, lag_days FROM long")
+def asof_tolerance(spark, sf_dir):
+    """Flagship: each user's close on each weekday, at most two days old."""
+    return _long(spark, sf_dir, 2, "none").select(F.col("series").alias("user_id"), "date", "value", "lag_days")
+
+
+@query(_long_sql(0, "0") + "SELECT user_id, date, value FROM long")
+def exact_lookup(spark, sf_dir):
+    return _long(spark, sf_dir, 0, "none").select(F.col("series").alias("user_id"), "date", "value")
+
+
+@query(_long_sql(10000, "0") + "SELECT user_id, date, value, lag_days FROM long")
+def asof_unbounded(spark, sf_dir):
+    targets = _calendar(spark).select(F.col("date").alias("target")).crossJoin(_users(spark, sf_dir))
+    found = asof.asof_unbounded(targets, _closes(spark, sf_dir))
+    return found.select(F.col("series").alias("user_id"), F.col("target").alias("date"), "value", F.datediff("target", "obs_date").alias("lag_days"))
+
+
+@query(f"WITH {CALENDAR} SELECT date, CAST(back AS INTEGER) AS back, CAST(date - back AS DATE) AS before FROM cal")
+def prev_weekday_shift(spark, sf_dir):
+    return _calendar(spark).select("date", "back", F.expr("date_sub(date, back)").alias("before"))
+
+
+@query(_long_sql(3, "back") + "SELECT user_id, date, value, lag_days, CASE WHEN required AND value IS NULL THEN 'stale_beyond_max_lag' END AS drop_reason FROM long")
+def aligned_shifted(spark, sf_dir):
+    long = _long(spark, sf_dir, 3, "previous")
+    reasons = align.drop_log(long)
+    return long.join(reasons, ["date", "series"], "left").select(F.col("series").alias("user_id"), "date", "value", "lag_days", F.col("reason").alias("drop_reason"))
+
+
+@query(_long_sql(3, "back") + "SELECT date, user_id, 'stale_beyond_max_lag' AS reason FROM long WHERE required AND value IS NULL")
+def drop_log(spark, sf_dir):
+    return align.drop_log(_long(spark, sf_dir, 3, "previous")).withColumnRenamed("series", "user_id")
+
+
+@query(_long_sql(0, "0") + "SELECT date, count(*) AS n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS users, 'missing_on_snapshot_date' AS reasons FROM long WHERE required AND value IS NULL GROUP BY date")
+def drop_reasons(spark, sf_dir):
+    found = align.dropped_dates(align.drop_log(_long(spark, sf_dir, 0, "none")))
+    return found.select("date", F.size("columns").cast("long").alias("n"), F.array_join(F.col("columns").cast("array<string>"), ",").alias("users"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_long_sql(3, "back") + """SELECT user_id, count(*) FILTER (lag_days > back) AS carried_forward, count(*) FILTER (lag_days > 1) AS carried_over_one, max(lag_days) AS max_lag
+FROM long GROUP BY user_id""")
+def carried_counts(spark, sf_dir):
+    long = _long(spark, sf_dir, 3, "previous")
+    return align.carries(long, _calendar(spark)).withColumnRenamed("series", "user_id")
+
+
+@query(_long_sql(2, "0") + "SELECT user_id, max(lag_days) AS max_lag FROM long WHERE lag_days IS NOT NULL GROUP BY user_id")
+def max_lag(spark, sf_dir):
+    return _long(spark, sf_dir, 2, "none").filter("lag_days is not null").groupBy(F.col("series").alias("user_id")).agg(F.max("lag_days").alias("max_lag"))
+
+
+@query(_long_sql(2, "0") + "SELECT date, grp, max(lag_days) FILTER (required) AS lag_days, count(value) AS n_values FROM long GROUP BY date, grp")
+def group_lag(spark, sf_dir):
+    long = _long(spark, sf_dir, 2, "none")
+    return long.groupBy("date", "grp").agg(F.max(F.when(F.col("required"), F.col("lag_days"))).alias("lag_days"), F.count("value").alias("n_values"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS date, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'view'), 4) AS view_,
+round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase FROM events GROUP BY 1""")
+def pivot_wide(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date"))
+    total = lambda kind, name: F.round(F.sum(F.when(F.col("event_type") == kind, F.col("value"))), 4).alias(name)
+    return events.agg(total("click", "click"), total("view", "view_"), total("purchase", "purchase"))
+
+
+@query("""WITH f AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice, o_orderkey, 0 AS p FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), -o_totalprice, o_orderkey, 1 FROM orders WHERE o_orderkey % 3 <> 1)
+SELECT o_custkey AS series, d AS obs_date, arg_max(o_totalprice, (p, o_orderkey)) AS value FROM f GROUP BY ALL""")
+def priority_merge(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series"), F.to_date("o_orderdate").alias("obs_date"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ordinal"))
+    later = rows.filter("ordinal % 3 <> 1").withColumn("value", -F.col("value"))
+    return dedup.priority_merge([rows.filter("ordinal % 3 <> 0"), later], ["series", "obs_date"], ["ordinal"]).drop("ordinal")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1")
+def keep_last_dedup(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return dedup.keep_last(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE isodow(o_orderdate) < 6),
+g AS (SELECT lag(date) OVER (ORDER BY date) AS before, date FROM d),
+n AS (SELECT before, date, (SELECT count(*) FROM generate_series(before + 1, date - 1, INTERVAL 1 DAY) s(x) WHERE isodow(x) < 6) AS n FROM g WHERE before IS NOT NULL)
+SELECT * FROM n WHERE n > 0""")
+def date_gaps(spark, sf_dir):
+    return validate.gaps(_daily(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) < 6),
+g AS (SELECT user_id, lag(date) OVER (PARTITION BY user_id ORDER BY date) AS before, date FROM d),
+n AS (SELECT *, (SELECT count(*) FROM generate_series(before + 1, date - 1, INTERVAL 1 DAY) s(x) WHERE isodow(x) < 6) AS weekdays_between FROM g WHERE before IS NOT NULL)
+SELECT * FROM n WHERE weekdays_between > 0""")
+def series_gaps(spark, sf_dir):
+    days = _read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date")).filter(F.weekday("date") < 5)
+    return calendars.date_gaps(days, ["user_id"])
+
+
+@query(f"""WITH {CLOSES}, {CALENDAR}, {USERS}, {US_DAYS}, {JP_DAYS},
+m AS (SELECT u.user_id, cal.date FROM cal CROSS JOIN users u ANTI JOIN closes c ON u.user_id = c.user_id AND cal.date = c.obs_date)
+SELECT m.user_id, m.date, CASE WHEN m.user_id % 2 = 0 AND us.date IS NOT NULL OR m.user_id % 2 <> 0 AND jp.date IS NOT NULL THEN 'holiday'
+  WHEN m.date > DATE '2024-01-27' THEN 'publication_lag' ELSE 'unexplained' END AS reason
+FROM m LEFT JOIN us ON m.date = us.date LEFT JOIN jp ON m.date = jp.date""")
+def gap_classification(spark, sf_dir):
+    series = _rules(spark, sf_dir, 0)
+    return calendars.classify_gaps(_closes(spark, sf_dir), series, _calendar(spark), calendars.holidays(spark, START, END), END, 3).withColumnRenamed("series", "user_id")
+
+
+@query(f"""WITH {US_DAYS}, {JP_DAYS} SELECT 'us' AS market, date FROM us UNION ALL SELECT 'jp', date FROM jp""")
+def holiday_table(spark, sf_dir):
+    return calendars.holidays(spark, START, END).select("market", "date")
+
+
+@query("SELECT user_id, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
+def ordered_list_agg(spark, sf_dir):
+    return _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query("SELECT event_type AS series, count(*) AS n_rows, min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events WHERE value IS NOT NULL GROUP BY 1")
+def source_ranges(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.to_date("ts").alias("obs_date"), "value")
+    return provenance.source_ranges(rows)
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT date, count(*) OVER p AS k, regr_slope(price, n) OVER p AS s, regr_intercept(price, n) OVER p AS i FROM daily
+WINDOW p AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT date, CASE WHEN k = 60 AND NOT isnan(s) THEN round(s, 2) END AS slope, CASE WHEN k = 60 AND NOT isnan(i) THEN round(i, 1) END AS intercept FROM w""")
+def rolling_ols(spark, sf_dir):
+    found = stats.rolling_ols(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "price", "n", ["one"], ["date"], 60)
+    return found.select("date", F.round("slope", 2).alias("slope"), F.round("intercept", 1).alias("intercept"))
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT date, mean, count(*) OVER p AS k, avg(mean) OVER p AS m, stddev_samp(mean) OVER p AS s FROM daily
+WINDOW p AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT date, CASE WHEN k = 60 THEN round((mean - m) / nullif(s, 0), 5) END AS z FROM w""")
+def rolling_zscore(spark, sf_dir):
+    return stats.rolling_zscore(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"], 60).select("date", F.round("z", 5).alias("z"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT lag(mean) OVER (ORDER BY date) AS x, mean - lag(mean) OVER (ORDER BY date) AS y FROM daily)
+SELECT round(regr_slope(y, x), 8) AS kappa, round(-ln(2) / regr_slope(y, x), 6) AS half_life, regr_count(y, x)::BIGINT AS n FROM s""")
+def half_life(spark, sf_dir):
+    found = stats.half_life(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"])
+    return found.select(F.round("kappa", 8).alias("kappa"), F.round("half_life", 6).alias("half_life"), "n")
+
+
+@query(f"""WITH {DAILY}, r AS (SELECT count(*) AS n, regr_syy(price, n) - regr_sxy(price, n) ** 2 / regr_sxx(price, n) AS a,
+  regr_syy(price, n) FILTER (date < DATE '1998-01-01') - regr_sxy(price, n) FILTER (date < DATE '1998-01-01') ** 2 / regr_sxx(price, n) FILTER (date < DATE '1998-01-01') AS b,
+  regr_syy(price, n) FILTER (date >= DATE '1998-01-01') - regr_sxy(price, n) FILTER (date >= DATE '1998-01-01') ** 2 / regr_sxx(price, n) FILTER (date >= DATE '1998-01-01') AS c FROM daily)
+SELECT n, round(((a - b - c) / 2) / ((b + c) / (n - 4)), 5) AS f FROM r""")
+def chow_test(spark, sf_dir):
+    found = stats.chow(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "price", "n", "date", dt.date(1998, 1, 1), ["one"])
+    return found.select("n", F.round("f", 5).alias("f"))
+
+
+@query("SELECT o_orderpriority AS series, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept, regr_count(o_totalprice, o_custkey)::BIGINT AS n FROM orders GROUP BY 1")
+def static_ols(spark, sf_dir):
+    found = stats.fit(_read(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", ["o_orderpriority"])
+    return found.select(F.col("o_orderpriority").alias("series"), F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+
+
+@query(f"""WITH {DAILY} SELECT 'bounds' AS check_name, 'error' AS level, count(*) AS n FROM daily WHERE mean < 100000 OR mean > 200000
+UNION ALL SELECT 'nan', 'error', count(*) FROM daily WHERE mean IS NULL UNION ALL SELECT 'rows', 'error', CAST(count(*) < 2500 AS BIGINT) FROM daily""")
+def quality_findings(spark, sf_dir):
+    daily = _daily(spark, sf_dir)
+    counts = daily.agg(F.count_if(validate.outside("mean", 1e5, 2e5)).alias("bounds"), F.count_if(F.col("mean").isNull()).alias("nan"), (F.count("*") < 2500).cast("long").alias("rows"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.lit("error").alias("level"), F.col(c).alias("n")) for c in ("bounds", "nan", "rows")])).alias("f")).select("f.*")
+
+
+@query(f"""WITH {DAILY} SELECT count(*) AS n_rows, min(date) AS first, max(date) AS last, round(min(mean), 4) AS low, round(max(mean), 4) AS high FROM daily""")
+def quality_stats(spark, sf_dir):
+    return _daily(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.min("mean"), 4).alias("low"), F.round(F.max("mean"), 4).alias("high"))
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_quantity < 5 OR l_quantity > 45) AS n, min(l_orderkey) FILTER (l_quantity < 5 OR l_quantity > 45) AS first_key FROM lineitem GROUP BY 1")
+def bounds_violations(spark, sf_dir):
+    bad = validate.outside("l_quantity", 5, 45)
+    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(bad).alias("n"), F.min(F.when(bad, F.col("l_orderkey"))).alias("first_key"))
+
+
+@query("SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_dates(spark, sf_dir):
+    return validate.duplicate_dates(_read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")))
+
+
+@query(_long_sql(0, "0") + "SELECT date, count(*) - count(value) AS n_null FROM long GROUP BY date")
+def null_counts(spark, sf_dir):
+    return _long(spark, sf_dir, 0, "none").groupBy("date").agg(F.count_if(F.col("value").isNull()).alias("n_null"))
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE NOT abs(l_extendedprice * (1 - l_discount) - l_extendedprice * 0.95) <= 1e-9 + 1e-5 * abs(l_extendedprice * 0.95)")
+def consistency_check(spark, sf_dir):
+    stored = F.col("l_extendedprice") * 0.95
+    return _read(spark, sf_dir, "lineitem").agg(F.count_if(validate.differs(F.col("l_extendedprice") * (1 - F.col("l_discount")), stored)).alias("n"))
+
+
+@query(None)
+def raw_provenance(spark, sf_dir):
+    from ..sources.feeds import raw_files
+
+    return raw_files(spark, f"{sf_dir}/nation.parquet", "nation").select("source", "sha256", "bytes")
+
+
+@query(None)
+def signal_state_fold(spark, sf_dir):
+    """Held against a plain loop in the tests."""
+    scores = rolling_zscore(spark, sf_dir).withColumn("one", F.lit(1))
+    return stats.signal_states(scores, "z", ["one"], ["date"]).drop("one")
+
+
+@query(f"""WITH {DAILY}, e AS (SELECT date, mean, sum(mean - 150000) OVER (ORDER BY date) AS equity FROM daily),
+p AS (SELECT date, equity, greatest(max(equity) OVER (ORDER BY date), 0) AS peak FROM e) SELECT date, round(equity, 1) AS equity, round(equity - peak, 1) AS drawdown FROM p""")
+def drawdowns(spark, sf_dir):
+    daily = _daily(spark, sf_dir).select("date", (F.col("mean") - 150000).alias("r"), F.lit(1).alias("one"))
+    return stats.drawdown(daily, "r", ["one"], ["date"]).select("date", F.round("equity", 1).alias("equity"), F.round("drawdown", 1).alias("drawdown"))
+
+
+@query(None)
+def dickey_fuller(spark, sf_dir):
+    """Held against a plain regression in the tests."""
+    return stats.dickey_fuller(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"])
+
+
+@query(None)
+def kalman_beta(spark, sf_dir):
+    return stats.kalman_beta(_closes(spark, sf_dir).withColumn("x", F.lit(1.0)), "value", "x", ["series"], ["obs_date"])
