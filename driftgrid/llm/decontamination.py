@@ -2,7 +2,8 @@
 
 Texts are lower-cased over A-Z and read as words of letters and digits, hashed to `TERMS`
 terms. The corpus is a matrix of blocks of `BLOCK` words by terms, weighted by
-inverse document frequencies; terms in more than `COMMON` of the documents weigh nothing. Its leading right
+inverse document frequencies. Terms in more than `COMMON` of the documents (20 at least) weigh nothing, unless
+some items have them and no more than `COMMON` of the items do: a leak may stand in a third of all documents. Its leading right
 singular vectors come from a distributed randomised SVD: tasks add their blocks, with random signs, to
 `SKETCH` random rows, the rows of all tasks are summed, and the driver takes the singular vectors of
 that sketch. It holds SKETCH x TERMS numbers, whatever the size of the corpus. Counts
@@ -103,14 +104,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "data"])
 
 
-def latent_space(docs: DataFrame) -> np.ndarray:
+def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> np.ndarray:
     """TERMS x RANK weights that project a passage, by adding them over its words, on scaled singular vectors."""
     rows = docs.mapInArrow(_sketched, "row int, data binary").repartition("row").mapInArrow(_summed, "row int, data binary").collect()
     found = {r["row"]: np.frombuffer(r["data"], np.float64) for r in rows}
     if not found or not found[0][TERMS]:
         return np.zeros((TERMS, RANK), np.float32)
     held, n = found[0][:TERMS], found[0][TERMS]
-    idf = np.log((1 + n) / (1 + held)) * (held <= max(1, COMMON * n))
+    special = (in_items > 0) & (in_items <= max(1, COMMON * n_items))
+    idf = np.log((1 + n) / (1 + held)) * ((held <= max(20, COMMON * n)) | special)
     sketch = np.stack([found[i + 1] for i in range(SKETCH)]) * idf
     values, vectors = np.linalg.eigh(sketch @ sketch.T)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
@@ -256,11 +258,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([(name, kind) for name, kind, _ in _KINDS])
     out = spark.createDataFrame([], ", ".join(f"{name} {kind}" for name, _, kind in _KINDS))
-    weights = sent = None
+    in_items, n_items = np.zeros(TERMS), 0
+    for items in _item_groups(benchmark):
+        for words in {tuple(words) for _, words, _ in items}:
+            in_items[np.unique(np.array(words, np.uint64) % np.uint64(TERMS)).astype(np.int64)] += 1
+            n_items += 1
+    if not n_items:
+        return out
+    weights = latent_space(texts, in_items, n_items)
+    sent = spark.sparkContext.broadcast(weights)
     for items in _item_groups(benchmark):
-        if sent is None:
-            weights = latent_space(texts)
-            sent = spark.sparkContext.broadcast(weights)
         group = spark.sparkContext.broadcast((items, *item_passages(items, weights)))
         out = out.unionByName(texts.mapInArrow(partial(_leaks, weights=sent, group=group, near=near, schema=schema), out.schema))
     return out
