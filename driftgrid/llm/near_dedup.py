@@ -182,8 +182,13 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         return rows.select(*others, F.posexplode(F.array(*[F.substring("sketch", i * ROWS + 1, ROWS) for i in range(BANDS)])).alias("band", "key"))
 
     bands = banded(classes.select("node", "sketch"))
-    leaders = bands.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).filter("m > 1")
-    buckets = written(bands.join(leaders, ["band", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "buckets")
+    counts = bands.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = written(bands.join(counts, ["band", "key"]), "shared")
+    # the member that meets the most others over all its buckets leads: in a group of edited copies, their original
+    weights = shared.groupBy("node").agg(F.sum("m").alias("w"))
+    leaders = shared.join(weights, "node").groupBy("band", "key").agg(F.max(F.struct("w", (-F.col("node")).alias("less"))).alias("s"))
+    leaders = leaders.select("band", "key", (-F.col("s.less")).alias("lead"))
+    buckets = written(shared.join(leaders, ["band", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "buckets")
     members = buckets.select("a").unionByName(buckets.select(F.col("b").alias("a"))).distinct()
     texts = written(source.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
