@@ -45,6 +45,8 @@ MIN_AGREE = 0.6
 PAIRS_PER_ROW = 8
 #: Rounds of leaders at most; members of a bucket on one side of a comparison.
 TURNS, CHUNK = 4, 2000
+#: Pairs of one leader that share a copy of its text.
+LEADER_PAIRS = 200
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FEATURES = "doc_id long, n_shingles long, k0 long, k1 long, sketch binary"
 
@@ -193,7 +195,11 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     texts = written(source.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        # one leader may be in a third of all pairs: its text is copied once for each LEADER_PAIRS of them
+        copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("c"))
+        right = copies.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"))
+        left = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("c")).cast("int").alias("salt"))
+        sides = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(right, ["b", "salt"])
         return sides.select("a", "b", "x", "y").mapInArrow(partial(_linked, shingle=shingle, percent=percent), "a long, b long")
 
     def best(pairs: DataFrame) -> DataFrame:
