@@ -14,13 +14,15 @@ form BANDS band keys; sets that agree on a band are candidates: with 32 bands of
 sets at a similarity of 0.8 fail to meet with a chance of 3 in a million.
 
 Links, confirmed on the full sets of 64-bit shingle hashes: intersection * 100 >=
-percent * union. Equal sets are one class, found by an aggregation. In each bucket
-every class is first confirmed against one leader, so a bucket of m near copies
-costs m pairs. Buckets whose members then lie in different components go through
-a few rounds with other leaders while that saves work, and in the end all remaining pairs between
-components of a bucket are compared by their sketches, in blocks of at most CHUNK members a side, and
-confirmed where these agree on MIN_AGREE of the bytes (at 0.8 less is over six standard
-deviations off). A pair is confirmed in the first of its buckets alone. No bucket or partner is capped.
+percent * union. Equal sets are one class, found by an aggregation. Every class is first
+confirmed against one leader of its buckets, so a group of m near copies costs m
+pairs; linked classes get one label. Buckets whose members then have different labels
+may take another round with other leaders while that saves work. In the end all remaining pairs between
+labels of a bucket are compared by their sketches, in blocks bounded in members and shingles; members
+left with a partner that agrees on MIN_AGREE of the bytes (at 0.8 less is over six standard deviations off)
+bring their texts to the same block, where every such pair is confirmed on its full sets unless a link
+found before joins them already. A block gives members, then links of a spanning forest, never its
+pairs. A pair is compared in the first of its buckets alone. No bucket or partner is capped.
 
 Defined results: null text is empty; equal rows are one class; a row with a null
 doc_id takes the component of an equal set and else has none (kept); rows that
@@ -43,8 +45,8 @@ BANDS, ROWS = 32, 5
 MIN_AGREE = 0.6
 #: A round of leaders is worth its cost while more than this many pairs for each bucket row remain.
 PAIRS_PER_ROW = 8
-#: Rounds of leaders at most; members of a bucket on one side of a comparison.
-TURNS, CHUNK = 4, 2000
+#: Further rounds of leaders at most; members, and shingles, of a bucket on one side of a comparison.
+TURNS, CHUNK, CHUNK_SHINGLES = 1, 2000, 500_000
 #: Pairs of one leader that share a copy of its text.
 LEADER_PAIRS = 200
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,32 +121,72 @@ def _linked(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> It
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _alike(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a bucket's members on sides i and j (one side if i = j) that may be similar enough.
+def _candidates(group: pa.Table, percent: int) -> tuple[pa.Table, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """A bucket's members on sides i and j (one side if i = j) by set size, their labels, and the pairs that may be similar enough.
 
-    Members are sorted by set size, so those that may match one are a range; a pair is given by the first band it shares.
+    The pairs come as a member's row and its partners' rows, which have other labels at that time (the
+    labels may change meanwhile). Partners of a like size are a range; a pair comes in the first band it shares alone.
     """
+    group = group.sort_by([("n", "ascending"), ("node", "ascending")])
     band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
-    side, node, component, size = (group.column(c).to_numpy() for c in ("side", "node", "component", "n"))
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-    order = np.lexsort((node, size))
-    side, node, component, size, sketch = side[order], node[order], component[order], size[order], sketch[order]
+    side, component, size = (group.column(c).to_numpy().copy() for c in ("side", "component", "n"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
     left, right = (np.flatnonzero(side == x) for x in (i, j))
-    out = [np.zeros((2, 0), np.int64)]
     lo = np.searchsorted(size[right] * 100, percent * size[left])
     hi = np.searchsorted(size[right] * percent, 100 * size[left], "right")
-    for k, x in enumerate(left.tolist()):
-        at = right[lo[k] : hi[k]]
-        at = at[component[at] != component[x]]
-        if i == j:
-            at = at[at > x]
-        at = at[(sketch[at] == sketch[x]).mean(axis=1) >= MIN_AGREE * percent / 80]
-        if len(at):
-            equal = (sketch[at] == sketch[x])[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2)
-            at = at[np.argmax(equal, axis=1) == band]
-            out.append(np.stack([np.full(len(at), node[x]), node[at]]))
-    a, b = np.concatenate(out, axis=1)
-    return pa.table({"a": a, "b": b})
+    least = int(np.ceil(MIN_AGREE * percent / 80 * sketch.shape[1]))
+
+    def pairs() -> Iterator[tuple[int, np.ndarray]]:
+        for k, x in enumerate(left.tolist()):
+            at = right[lo[k] : hi[k]]
+            at = at[component[at] != component[x]]
+            if i == j:
+                at = at[at > x]
+            equal = sketch[at] == sketch[x]
+            near = np.count_nonzero(equal, axis=1) >= least
+            if near.any():
+                at, equal = at[near], equal[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+                at = at[np.argmax(equal, axis=1) == band]
+                if len(at):
+                    yield x, at
+
+    return group, component, pairs()
+
+
+def _alike(group: pa.Table, percent: int) -> pa.Table:
+    """The members that have a partner left."""
+    group, _, pairs = _candidates(group, percent)
+    keep = np.zeros(len(group), bool)
+    for x, at in pairs:
+        keep[x] = True
+        keep[at] = True
+    return group.filter(pa.array(keep))
+
+
+def _forest(group: pa.Table, shingle: int, percent: int) -> pa.Table:
+    """Links (a, b) that join all labels whose members' full sets are similar enough."""
+    group, component, pairs = _candidates(group, percent)
+    data, offsets = text_buffers(group.column("text").combine_chunks())
+    parts = [shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle) for lo, hi in blocks(offsets)]
+    names, elements = np.unique(np.concatenate([e for e, _ in parts]), return_inverse=True)
+    length = np.concatenate([np.diff(b) for _, b in parts])
+    start = np.cumsum(length) - length
+    mark = np.zeros(len(names), bool)
+    links: list[tuple[int, int]] = []
+    for x, at in pairs:
+        own = elements[start[x] : start[x] + length[x]]
+        mark[own] = True
+        heads = np.cumsum(length[at]) - length[at]
+        at_words = np.arange(int(length[at].sum())) + np.repeat(start[at] - heads, length[at])
+        shared = np.add.reduceat(mark[elements[at_words]], heads, dtype=np.int64)
+        mark[own] = False
+        for y in at[(shared > 0) & (100 * shared >= percent * (length[x] + length[at] - shared))].tolist():
+            if component[y] != component[x]:
+                component[component == component[y]] = component[x]
+                links.append((x, y))
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    node = group.column("node").to_numpy()
+    return pa.table({"a": node[ends[:, 0]], "b": node[ends[:, 1]]})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,7 +197,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
-    while True:
+    while edges.head(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -207,40 +249,54 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         counted = pairs.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
         return counted.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("s")).select("a", (-F.col("s.less")).alias("b"))
 
-    links = written(confirmed(written(best(buckets), "pairs")), "links")
+    # a leader outranks all whom it leads, so that the links form trees; classes under one root of height two get its label
+    links = written(confirmed(written(best(buckets), "pairs")).groupBy("a").agg(F.min("b").alias("b")), "links")
+    above = links.select(F.col("a").alias("b"), F.col("b").alias("root"))
+    roots = links.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("component"))
+    ids = classes.groupBy("node").agg(F.max("n").alias("n"))
+    labels = written(ids.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")), "labels")
+
+    def contracted(links: DataFrame) -> DataFrame:
+        """Links between labels, the larger one first."""
+        of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+        ends = links.join(of_a, "a").join(of_b, "b").filter("of_a <> of_b")
+        return ends.select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b"))
+
     turn = 0
     while True:
-        labels = written(components(links), "labels")
-        labelled = banded(classes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch"))
-        per_key = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")).alias("s"))
-        split = per_key.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("s.r", "s.node", "component")).alias("one"), F.max(F.struct("s.r", "s.node", "component")).alias("two"))
+        labelled = shared.select("band", "key", "node").join(labels, "node")
+        per_key = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")).alias("s"))
+        split = per_key.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("shingles"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.min(F.struct("s.r", "s.node", "component")).alias("one"), F.max(F.struct("s.r", "s.node", "component")).alias("two"))
         split = written(split.filter("parts > 1"), "split")
         rows, pairs = split.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2), F.lit(0))).first()
-        if not rows:
+        open_ = labelled.join(split.select("band", "key", "one", "two", F.col("m"), "shingles"), ["band", "key"])
+        if pairs <= PAIRS_PER_ROW * rows or turn >= TURNS:
             break
-        open_ = labelled.join(split.select("band", "key", "one", "two", "m"), ["band", "key"])
-        last = pairs <= PAIRS_PER_ROW * rows or turn >= TURNS
-        if last:
-            sides = F.ceil(F.col("m") / CHUNK).cast("int")
-            cut = open_.select("band", "key", "node", "component", sides.alias("c"), F.pmod(F.xxhash64("node", F.lit(5)), sides).cast("int").alias("side"))
-            other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j"))))
-            cut = cut.withColumn("p", other).select("band", "key", "node", "component", "side", "p.i", "p.j").join(classes.select("node", "n", "sketch"), "node")
-
-            def alike(group: pa.Table) -> pa.Table:
-                return _alike(group, percent)
-
-            candidates = cut.groupBy("band", "key", "i", "j").applyInArrow(alike, "a long, b long")
-        else:
-            other = F.when(F.col("one.component") != F.col("component"), F.col("one.node")).otherwise(F.col("two.node"))
-            candidates = best(open_.select(F.col("node").alias("a"), other.alias("b")))
-        found = written(confirmed(written(candidates, "pairs")), "links")
-        fresh = bool(found.head(1))
+        other = F.when(F.col("one.component") != F.col("component"), F.col("one.node")).otherwise(F.col("two.node"))
+        found = written(confirmed(written(best(open_.select(F.col("node").alias("a"), other.alias("b"))), "pairs")), "links")
         links = links.unionByName(found)
-        if last:
-            labels = written(components(links), "labels") if fresh else labels
-            break
-        turn += 1 if fresh else TURNS
-    nodes = classes.select("k0", "k1", "node").join(labels, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
+        hooks = contracted(found).groupBy(F.col("a").alias("component")).agg(F.min("b").alias("to"))
+        labels = written(labels.join(hooks, "component", "left").select("node", "n", F.coalesce("to", "component").alias("component")), "labels")
+        turn += 1
+    if rows:
+        sides = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+        cut = open_.select("band", "key", "node", "component", "n", sides.alias("c"), F.pmod(F.xxhash64("node", F.lit(5)), sides).cast("int").alias("side"))
+        other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j"))))
+        cut = cut.withColumn("p", other).select("band", "key", "node", "component", "n", "side", "p.i", "p.j").join(classes.select("node", "sketch"), "node")
+
+        def alike(group: pa.Table) -> pa.Table:
+            return _alike(group, percent)
+
+        def forest(group: pa.Table) -> pa.Table:
+            return _forest(group, shingle, percent)
+
+        block = ["band", "key", "i", "j"]
+        left = written(cut.groupBy(*block).applyInArrow(alike, cut.schema), "left")
+        links = links.unionByName(written(left.join(texts, "node").groupBy(*block).applyInArrow(forest, "a long, b long"), "links"))
+    joined = components(contracted(links)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    grown = written(labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("root")), "grown")
+    least = grown.groupBy("root").agg(F.min("node").alias("component_id"))
+    nodes = classes.select("k0", "k1", "node").join(grown.join(least, "root"), "node").select("k0", "k1", "component_id")
     rows = features.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k0")).alias("k0"), F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"))
     return rows.join(written(nodes, "nodes"), ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
