@@ -16,9 +16,8 @@ sets at a similarity of 0.8 fail to meet with a chance of 3 in a million.
 Links, confirmed on the full sets of 64-bit shingle hashes: intersection * 100 >=
 percent * union. Equal sets are one class, found by an aggregation. Every class is first
 confirmed against one leader of its buckets, so a group of m near copies costs m
-pairs; linked classes get one label. Buckets whose members then have different labels
-may take another round with other leaders while that saves work. In the end all remaining pairs between
-labels of a bucket are compared by their sketches, in blocks bounded in members and shingles; members
+pairs; linked classes get one label. Then all pairs between different labels
+of a bucket are compared by their sketches, in blocks bounded in members and shingles; members
 left with a partner that agrees on MIN_AGREE of the bytes (at 0.8 less is over six standard deviations off)
 bring their texts to the same block, where every such pair is confirmed on its full sets unless a link
 found before joins them already. A block gives members, then links of a spanning forest, never its
@@ -43,10 +42,8 @@ from .common import LOWER, blocks, mix, rows_of, table, text_buffers, window_sum
 
 BANDS, ROWS = 32, 5
 MIN_AGREE = 0.6
-#: A round of leaders is worth its cost while more than this many pairs for each bucket row remain.
-PAIRS_PER_ROW = 8
-#: Further rounds of leaders at most; members, and shingles, of a bucket on one side of a comparison.
-TURNS, CHUNK, CHUNK_SHINGLES = 1, 2000, 500_000
+#: Members, and shingles, of a bucket on one side of a comparison.
+CHUNK, CHUNK_SHINGLES = 2000, 500_000
 #: Pairs of one leader that share a copy of its text.
 LEADER_PAIRS = 200
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -262,37 +259,24 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         ends = links.join(of_a, "a").join(of_b, "b").filter("of_a <> of_b")
         return ends.select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b"))
 
-    turn = 0
-    while True:
-        labelled = shared.select("band", "key", "node").join(labels, "node")
-        per_key = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")).alias("s"))
-        split = per_key.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("shingles"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.min(F.struct("s.r", "s.node", "component")).alias("one"), F.max(F.struct("s.r", "s.node", "component")).alias("two"))
-        split = written(split.filter("parts > 1"), "split")
-        rows, pairs = split.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2), F.lit(0))).first()
-        open_ = labelled.join(split.select("band", "key", "one", "two", F.col("m"), "shingles"), ["band", "key"])
-        if pairs <= PAIRS_PER_ROW * rows or turn >= TURNS:
-            break
-        other = F.when(F.col("one.component") != F.col("component"), F.col("one.node")).otherwise(F.col("two.node"))
-        found = written(confirmed(written(best(open_.select(F.col("node").alias("a"), other.alias("b"))), "pairs")), "links")
-        links = links.unionByName(found)
-        hooks = contracted(found).groupBy(F.col("a").alias("component")).agg(F.min("b").alias("to"))
-        labels = written(labels.join(hooks, "component", "left").select("node", "n", F.coalesce("to", "component").alias("component")), "labels")
-        turn += 1
-    if rows:
-        sides = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-        cut = open_.select("band", "key", "node", "component", "n", sides.alias("c"), F.pmod(F.xxhash64("node", F.lit(5)), sides).cast("int").alias("side"))
-        other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j"))))
-        cut = cut.withColumn("p", other).select("band", "key", "node", "component", "n", "side", "p.i", "p.j").join(classes.select("node", "sketch"), "node")
-
-        def alike(group: pa.Table) -> pa.Table:
-            return _alike(group, percent)
-
-        def forest(group: pa.Table) -> pa.Table:
-            return _forest(group, shingle, percent)
-
-        block = ["band", "key", "i", "j"]
-        left = written(cut.groupBy(*block).applyInArrow(alike, cut.schema), "left")
-        links = links.unionByName(written(left.join(texts, "node").groupBy(*block).applyInArrow(forest, "a long, b long"), "links"))
+    labelled = shared.select("band", "key", "node").join(labels, "node")
+    per_key = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    split = per_key.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("shingles")).filter("parts > 1")
+    open_ = labelled.join(split.select("band", "key", "m", "shingles"), ["band", "key"])
+    sides = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    cut = open_.select("band", "key", "node", "component", "n", sides.alias("c"), F.pmod(F.xxhash64("node", F.lit(5)), sides).cast("int").alias("side"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j"))))
+    cut = cut.withColumn("p", other).select("band", "key", "node", "component", "n", "side", "p.i", "p.j").join(classes.select("node", "sketch"), "node")
+
+    def alike(group: pa.Table) -> pa.Table:
+        return _alike(group, percent)
+
+    def forest(group: pa.Table) -> pa.Table:
+        return _forest(group, shingle, percent)
+
+    block = ["band", "key", "i", "j"]
+    left = written(cut.groupBy(*block).applyInArrow(alike, cut.schema), "left")
+    links = links.unionByName(written(left.join(texts, "node").groupBy(*block).applyInArrow(forest, "a long, b long"), "links"))
     joined = components(contracted(links)).select(F.col("node").alias("component"), F.col("component").alias("root"))
     grown = written(labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("root")), "grown")
     least = grown.groupBy("root").agg(F.min("node").alias("component_id"))
