@@ -11,8 +11,8 @@ and sketch cover all documents, in one scan.
 
 A passage, two blocks in a row, is projected by adding the rows of its words, scaled by
 the singular values. Items are cut into passages of at most `ITEM` words. Every passage whose cosine with an
-item's passage is `NEAR` or more is a candidate; of candidates in adjoining blocks for one item, the best
-stands for all. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
+item's passage is `NEAR` or more is a candidate, and each is checked; in a run of adjoining blocks the cosine orders
+the checks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
 the whole item: it is a leak if this covers `COVER` of the item's words, or
@@ -22,8 +22,8 @@ shuffled.
 
 Defined results: null and empty texts and items have no words and match nothing; an item
 of under `LEAST` words is not searched for; repeated rows are reported each; a document that holds an
-item at several places is reported once, at the place of the longest subsequence, the
-first in a tie; items that share an item_id are searched for each; empty tables give an empty one; other columns
+item at several places is reported once, at the place of the longest subsequence, in a
+tie the first run's, there the highest cosine's; items that share an item_id are searched for each; empty tables give an empty one; other columns
 are not read.
 """
 
@@ -143,13 +143,11 @@ def passages(weights: np.ndarray, used: np.ndarray, terms: np.ndarray, begin: np
     return _unit(both)
 
 
-def _best_of_runs(item: np.ndarray, block: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-    """Of hits of one item in adjoining blocks, the best."""
+def _by_runs(item: np.ndarray, block: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The order of hits by item, then by run of adjoining blocks, the best of each run first."""
     order = np.lexsort((block, item))
     fresh = np.concatenate([[True], (item[order][1:] != item[order][:-1]) | (block[order][1:] != block[order][:-1] + 1)])
-    run = np.cumsum(fresh)
-    ranked = np.lexsort((-cosine[order], run))
-    return order[ranked[np.flatnonzero(np.concatenate([[True], run[ranked][1:] != run[ranked][:-1]]))]]
+    return order[np.lexsort((-cosine[order], np.cumsum(fresh)))]
 
 
 def common_words(words: list[int], places: dict[int, int], full: int) -> int:
@@ -201,17 +199,18 @@ def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schem
             continue
         block, item, cosine = (np.concatenate(c) for c in zip(*hits, strict=True))
         # the code of a block skips one between rows, so that runs end there
-        best = _best_of_runs(item, block + row[block], cosine)
+        order = _by_runs(item, block + row[block], cosine)
         found: dict[tuple[int, int], tuple] = {}
         doc_ids = ids.to_pylist()
-        for block_, item_, cosine_ in sorted(zip(block[best].tolist(), item[best].tolist(), cosine[best].tolist(), strict=True)):
+        for block_, item_, cosine_ in zip(block[order].tolist(), item[order].tolist(), cosine[order].tolist(), strict=True):
             i = int(row[block_])
             item_id, own, last = items[item_]
             places, full, answer, full_answer = masks[item_]
             margin = max(BLOCK, len(own))
             a, b = max(int(bounds[i]), int(begin[block_]) - margin), min(int(bounds[i + 1]), int(begin[block_]) + 2 * BLOCK + margin)
             part = [x for x in hashes[a:b].tolist() if x in places]
-            if len(part) < COVER_ANSWER * len(own):  # no subsequence is longer
+            most = min(len(part), len(own))  # no subsequence is longer
+            if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
                 continue
             n, m = common_words(part, places, full), common_words(part, answer, full_answer)
             if (n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last) and n > found.get((i, item_), (0,) * 5)[4]:

@@ -256,6 +256,18 @@ def test_leaks(spark, docs, odd):
     assert decontamination.find_leaks(odd.limit(0), benchmark).count() == 0 and decontamination.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_in_long_runs(spark):
+    rng = np.random.default_rng(9)
+    item = [f"q{i}" for i in range(20)]
+    shuffled = [item[i] for i in [19, 18, 17, 16, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0]]
+    bridge = [w for i in range(40) for w in (item[(7 * i) % 20], f"b{i}", item[(7 * i + 3) % 20])][:112]
+    leak = [w if i % 10 < 7 else f"z{i}" for i, w in enumerate(item)]
+    rows = [(1, " ".join([*shuffled, *shuffled[:12], *bridge, *leak]))]
+    rows += [(i, " ".join(f"w{x}" for x in rng.integers(0, 2000, 120))) for i in range(2, 200)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["common_words"] >= 14) for r in found] == [(1, True)]
+
+
 def test_common_words():
     rng = np.random.default_rng(3)
     for _ in range(50):
