@@ -12,7 +12,11 @@ and sketch cover all documents, in one scan.
 A passage, two blocks in a row, is projected by adding the rows of its words, scaled by
 the singular values. Items are cut into passages of at most `ITEM` words. Every passage whose cosine with an
 item's passage is `NEAR` or more is a candidate, and each is checked; in a run of adjoining blocks the cosine orders
-the checks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
+the checks. The cosine of a short or reworded item inside other text can be under `NEAR`, so exact counts give further candidates for
+every item: of an item of L words a leak holds K = `COVER_ANSWER` * L or more, so of all but its K - j most frequent
+words it holds j or more. Every block in which j of these begin within a span of L + min(L, `BLOCK`) words is
+checked with the words that far around it; no leak within such a span is lost, whatever its cosine. The same count
+over the words to be checked spares the check of hits that cannot be leaks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
 the whole item: it is a leak if this covers `COVER` of the item's words, or
@@ -29,6 +33,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -44,6 +49,8 @@ TERMS, RANK, SKETCH, BLOCK, ITEM, NEAR, COMMON, GROUP = 1 << 14, 96, 192, 16, 48
 COVER, COVER_ANSWER, ANSWER, LEAST = 0.7, 0.5, 0.8, 5
 #: Words and blocks handled at once.
 CHUNK, CHUNK_BLOCKS = 1 << 14, 2048
+#: Counted words held at once, and the bits of a place in their codes.
+COUNTED, PLACE = 1 << 22, 40
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -104,12 +111,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "data"])
 
 
-def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> np.ndarray:
-    """TERMS x RANK weights that project a passage, by adding them over its words, on scaled singular vectors."""
+def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray]:
+    """TERMS x RANK weights that project a passage, by adding them over its words, on scaled singular vectors; documents that hold each term."""
     rows = docs.mapInArrow(_sketched, "row int, data binary").repartition("row").mapInArrow(_summed, "row int, data binary").collect()
     found = {r["row"]: np.frombuffer(r["data"], np.float64) for r in rows}
     if not found or not found[0][TERMS]:
-        return np.zeros((TERMS, RANK), np.float32)
+        return np.zeros((TERMS, RANK), np.float32), np.zeros(TERMS)
     held, n = found[0][:TERMS], found[0][TERMS]
     special = (in_items > 0) & (in_items <= max(1, COMMON * n_items))
     idf = np.log((1 + n) / (1 + held)) * ((held <= max(20, COMMON * n)) | special)
@@ -117,7 +124,7 @@ def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> np.ndar
     values, vectors = np.linalg.eigh(sketch @ sketch.T)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
     scale = np.where(values > 1e-9 * max(values.max(), 1e-30), 1 / np.maximum(values, 1e-30), 0)
-    return (idf[:, None] * (sketch.T @ vectors) * scale).astype(np.float32)
+    return (idf[:, None] * (sketch.T @ vectors) * scale).astype(np.float32), held
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -150,6 +157,64 @@ def _by_runs(item: np.ndarray, block: np.ndarray, cosine: np.ndarray) -> np.ndar
     return order[np.lexsort((-cosine[order], np.cumsum(fresh)))]
 
 
+def word_index(items: list[tuple[int, list[int], int]], held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted words, bounds of their items and these; by item, how many of its words a leak holds at least, its span and its length."""
+    found, least, span = [], [], []
+    for at, (_, words, _) in enumerate(items):
+        n, full = len(words), math.ceil(COVER_ANSWER * len(words))
+        least.append(-(-full // 3))
+        span.append(n + min(n, BLOCK))
+        own = np.unique(np.array(sorted(words, key=lambda w: held[w % TERMS])[: n - full + least[-1]], np.uint64))
+        found.append((own, np.full(len(own), at, np.int64)))
+    words, of = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((of, words))
+    keys, first = np.unique(words[order], return_index=True)
+    return keys, np.append(first, len(order)), of[order], np.array(least), np.array(span), np.array([len(words) for _, words, _ in items])
+
+
+def _counted(index: tuple[np.ndarray, ...], hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For ranges of items, the sorted codes (item << PLACE) + place of the words that count for them."""
+    keys, first, of, least = index[:4]
+    low = np.zeros(1 << 16, bool)
+    low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+    place = np.flatnonzero(low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+    key = np.minimum(np.searchsorted(keys, hashes[place]), len(keys) - 1)
+    same = keys[key] == hashes[place]
+    place, key = place[same], key[same]
+    counts = np.bincount(of, np.repeat(np.bincount(key, minlength=len(keys)), np.diff(first)), minlength=len(least))
+    cuts = np.flatnonzero(np.diff(np.cumsum(counts) // COUNTED, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(least)], strict=True):
+        inside = (of >= lo) & (of < hi)
+        size = np.add.reduceat(inside.astype(np.int64), first[:-1])
+        begin, n = np.cumsum(size) - size, size[key]
+        item = of[inside][np.repeat(begin[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        # an item has a passage at least, so there are no more than GROUP of them
+        order = np.argsort((item - lo).astype(np.uint16), kind="stable")
+        yield lo, hi, ((item << PLACE) + np.repeat(place, n))[order]
+
+
+def candidates(index: tuple[np.ndarray, ...], hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(block, item, cosine, first and last word to check) of the hits, and of the blocks found by counts (cosine -2), for ranges of items."""
+    least, span, size = index[3:]
+    ends = lambda block, before, after: (np.maximum(bounds[row[block]], begin[block] - before), np.minimum(bounds[row[block] + 1], begin[block] + after))
+    for lo, hi, code in _counted(index, hashes):
+        own = np.flatnonzero((item >= lo) & (item < hi))
+        margin = np.maximum(BLOCK, size[item[own]])
+        a, b = ends(block[own], margin, 2 * BLOCK + margin)
+        base = item[own] << PLACE
+        enough = np.searchsorted(code, base + b) - np.searchsorted(code, base + a) >= least[item[own]]
+        own = own[enough]
+        yield block[own], item[own], cosine[own], a[enough], b[enough]
+        of, place = code >> PLACE, code & ((1 << PLACE) - 1)
+        last = np.arange(len(code)) + least[of] - 1
+        at = np.flatnonzero(last < len(code))
+        at = at[code[last[at]] - code[at] < span[of[at]]]
+        of, first, last = of[at], np.searchsorted(begin, place[at], "right") - 1, np.searchsorted(begin, place[last[at]], "right") - 1
+        cells = np.unique((of * len(begin) + first)[row[first] == row[last]])
+        of, first = cells // len(begin), cells % len(begin)
+        yield first, of, np.full(len(of), -2.0), *ends(first, span[of], BLOCK + span[of])
+
+
 def common_words(words: list[int], places: dict[int, int], full: int) -> int:
     """Length of the longest common subsequence; places: for each word of the item, the bits of its positions."""
     left = full
@@ -181,7 +246,7 @@ def _masks(words: list[int]) -> tuple[dict[int, int], int]:
 
 def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Leaks of a group of items into (doc_id, text)."""
-    w, (items, vectors, of_vector) = weights.value, group.value
+    w, (items, vectors, of_vector, index) = weights.value, group.value
     used = w.any(axis=1)
     masks = [(*_masks(own), *_masks(own[-last:])) for _, own, last in items]
     for ids, hashes, bounds in _texts(batches):
@@ -189,32 +254,31 @@ def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schem
             continue
         begin, row = _block_bounds(bounds)
         rows = passages(w, used, (hashes % np.uint64(TERMS)).astype(np.int64), begin, row)
-        hits = []
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for lo in range(0, len(rows), CHUNK_BLOCKS):
             cosines = rows[lo : lo + CHUNK_BLOCKS] @ vectors.T
             at = np.flatnonzero(cosines >= near)
             if len(at):
                 hits.append((at // len(of_vector) + lo, of_vector[at % len(of_vector)], cosines.ravel()[at]))
-        if not hits:
-            continue
         block, item, cosine = (np.concatenate(c) for c in zip(*hits, strict=True))
         # the code of a block skips one between rows, so that runs end there
-        order = _by_runs(item, block + row[block], cosine)
+        order = _by_runs(item, block + row[block], cosine) if len(item) else item
         found: dict[tuple[int, int], tuple] = {}
         doc_ids = ids.to_pylist()
-        for block_, item_, cosine_ in zip(block[order].tolist(), item[order].tolist(), cosine[order].tolist(), strict=True):
-            i = int(row[block_])
-            item_id, own, last = items[item_]
-            places, full, answer, full_answer = masks[item_]
-            margin = max(BLOCK, len(own))
-            a, b = max(int(bounds[i]), int(begin[block_]) - margin), min(int(bounds[i + 1]), int(begin[block_]) + 2 * BLOCK + margin)
-            part = [x for x in hashes[a:b].tolist() if x in places]
-            most = min(len(part), len(own))  # no subsequence is longer
-            if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
-                continue
-            n, m = common_words(part, places, full), common_words(part, answer, full_answer)
-            if (n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last) and n > found.get((i, item_), (0,) * 5)[4]:
-                found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
+        for part_ in candidates(index, hashes, bounds, begin, row, block[order], item[order], cosine[order]):
+            for block_, item_, cosine_, a, b in zip(*(c.tolist() for c in part_), strict=True):
+                i = int(row[block_])
+                item_id, own, last = items[item_]
+                places, full, answer, full_answer = masks[item_]
+                part = [x for x in hashes[a:b].tolist() if x in places]
+                most = min(len(part), len(own))  # no subsequence is longer
+                if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
+                    continue
+                n, m = common_words(part, places, full), common_words(part, answer, full_answer)
+                if (n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last) and n > found.get((i, item_), (0,) * 5)[4]:
+                    if cosine_ < -1:  # found by counts
+                        cosine_ = float((vectors[of_vector == item_] @ rows[block_]).max())
+                    found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found.values(), strict=True), schema, strict=True)], schema=schema)
 
@@ -264,10 +328,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
             n_items += 1
     if not n_items:
         return out
-    weights = latent_space(texts, in_items, n_items)
+    weights, held = latent_space(texts, in_items, n_items)
     sent = spark.sparkContext.broadcast(weights)
     for items in _item_groups(benchmark):
-        group = spark.sparkContext.broadcast((items, *item_passages(items, weights)))
+        group = spark.sparkContext.broadcast((items, *item_passages(items, weights), word_index(items, held)))
         out = out.unionByName(texts.mapInArrow(partial(_leaks, weights=sent, group=group, near=near, schema=schema), out.schema))
     return out
 

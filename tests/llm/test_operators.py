@@ -268,6 +268,29 @@ def test_leaks_in_long_runs(spark):
     assert [(r["doc_id"], r["common_words"] >= 14) for r in found] == [(1, True)]
 
 
+def test_leaks_by_item_length(spark):
+    rng = np.random.default_rng(5)
+    lengths = [5, 6, 8, 10, 14, 18, 24, 40]
+    items, rows = [], []
+    text = lambda n: [f"i{int(x) % 1500}" if x % 10 < 3 else f"w{int(x)}" for x in rng.integers(0, 20000, n)]
+    for k in range(len(lengths) * 10):
+        size = lengths[k // 10]
+        item = [f"i{int(x)}" for x in rng.integers(0, 1500, size)]
+        last, need = max(1, size // 4), -(-size // 2)
+        kept = set(range(size - last, size)) | set(rng.permutation(size - last)[: need - last].tolist())
+        reworded = [w if i in kept else f"r{int(rng.integers(0, 5000))}" for i, w in enumerate(item)]
+        at = int(rng.integers(0, 100))
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join([*text(at), *reworded, *text(150)])))
+        rows.append((1000 + k, " ".join([*text(150 - at), *item, *text(at + 1)])))
+    rows += [(2000 + k, " ".join(text(300))) for k in range(100)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    recall = {size: [sum((base + k, k) in got for k in range(10 * i, 10 * i + 10)) for base in (0, 1000)] for i, size in enumerate(lengths)}
+    assert recall == dict.fromkeys(lengths, [10, 10])
+    assert not any(d >= 2000 for d, _ in got)
+
+
 def test_common_words():
     rng = np.random.default_rng(3)
     for _ in range(50):
