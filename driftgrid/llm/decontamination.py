@@ -3,7 +3,8 @@
 Texts are lower-cased over A-Z and read as words of letters and digits, hashed to `TERMS`
 terms. The corpus is a matrix of blocks of `BLOCK` words by terms, weighted by
 inverse document frequencies. Terms in more than `COMMON` of the documents (20 at least) weigh nothing, unless
-some items have them and no more than `COMMON` of the items do: a leak may stand in a third of all documents. Its leading right
+some items have them and no more than `COMMON` of the items do: a leak may stand in a third of all documents. Terms that
+any item has weigh `FLOOR` at least, so no item's vector is zero for its terms' commonness. Its leading right
 singular vectors come from a distributed randomised SVD: tasks add their blocks, with random signs, to
 `SKETCH` random rows, the rows of all tasks are summed, and the driver takes the singular vectors of
 that sketch. It holds SKETCH x TERMS numbers, whatever the size of the corpus. Counts
@@ -15,7 +16,7 @@ item's passage is `NEAR` or more is a candidate, and each is checked; in a run o
 the checks. The cosine of a short or reworded item inside other text can be under `NEAR`, so exact counts give further candidates for
 every item: of an item of L words a leak holds K = `COVER_ANSWER` * L or more, so of all but its K - j most frequent
 words it holds j or more. Every block in which j of these begin within a span of L + min(L, `BLOCK`) words is
-checked with the words that far around it; no leak within such a span is lost, whatever its cosine. The same count
+checked with the words that far around it; no leak within such a span is lost, whatever its cosine or weights. The same count
 over the words to be checked spares the check of hits that cannot be leaks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, mix, runs_of, table, text_buffers, word_hashes
 
 TERMS, RANK, SKETCH, BLOCK, ITEM, NEAR, COMMON, GROUP = 1 << 14, 96, 192, 16, 48, 0.34, 0.05, 20_000
+FLOOR = 0.1
 COVER, COVER_ANSWER, ANSWER, LEAST = 0.7, 0.5, 0.8, 5
 #: Words and blocks handled at once.
 CHUNK, CHUNK_BLOCKS = 1 << 14, 2048
@@ -120,6 +122,7 @@ def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> tuple[n
     held, n = found[0][:TERMS], found[0][TERMS]
     special = (in_items > 0) & (in_items <= max(1, COMMON * n_items))
     idf = np.log((1 + n) / (1 + held)) * ((held <= max(20, COMMON * n)) | special)
+    idf = np.where(in_items > 0, np.maximum(idf, FLOOR), idf)
     sketch = np.stack([found[i + 1] for i in range(SKETCH)]) * idf
     values, vectors = np.linalg.eigh(sketch @ sketch.T)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]

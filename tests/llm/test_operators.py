@@ -291,6 +291,17 @@ def test_leaks_by_item_length(spark):
     assert not any(d >= 2000 for d, _ in got)
 
 
+def test_leaks_of_alike_items(spark):
+    rng = np.random.default_rng(4)
+    item = [f"t{i}" for i in range(20)]
+    items = [(1, " ".join(item)), (2, " ".join(item[::-1]))]
+    text = lambda n: [f"w{int(x)}" for x in rng.integers(0, 3000, n)]
+    rows = [(k, " ".join(item if k < 20 else [*text(60), *item, *text(60)] if k < 40 else text(140))) for k in range(100)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, 1) for k in range(40)]
+    assert min(r["cosine"] for r in found if r["doc_id"] < 20) > 0.9
+
+
 def test_common_words():
     rng = np.random.default_rng(3)
     for _ in range(50):
