@@ -16,7 +16,8 @@ item's passage is `NEAR` or more is a candidate, and each is checked; in a run o
 the checks. The cosine of a short or reworded item inside other text can be under `NEAR`, so exact counts give further candidates for
 every item: of an item of L words a leak holds K = `COVER_ANSWER` * L or more, so of all but its K - j most frequent
 words it holds j or more. Every block in which j of these begin within a span of L + min(L, `BLOCK`) words is
-checked with the words that far around it; no leak within such a span is lost, whatever its cosine or weights. The same count
+checked with the words that far around it, and what passes again in each such span there, as common words alone can make
+up half of an item in a wider stretch by chance; no leak within such a span is lost, whatever its cosine or weights. The same count
 over the words to be checked spares the check of hits that cannot be leaks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
@@ -228,6 +229,10 @@ def common_words(words: list[int], places: dict[int, int], full: int) -> int:
     return full.bit_count() - left.bit_count()
 
 
+def _is_leak(common: int, answer: int, size: int, last: int) -> bool:
+    return common >= COVER * size or common >= COVER_ANSWER * size and answer >= ANSWER * last
+
+
 def answer_words(text: str) -> int:
     """How many of the item's last words are its answer."""
     n = len(word_ids(*_buffers(text))[0])
@@ -278,9 +283,15 @@ def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schem
                 if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
                     continue
                 n, m = common_words(part, places, full), common_words(part, answer, full_answer)
-                if (n >= COVER * len(own) or n >= COVER_ANSWER * len(own) and m >= ANSWER * last) and n > found.get((i, item_), (0,) * 5)[4]:
-                    if cosine_ < -1:  # found by counts
-                        cosine_ = float((vectors[of_vector == item_] @ rows[block_]).max())
+                if not _is_leak(n, m, len(own), last) or n <= found.get((i, item_), (0,) * 5)[4]:
+                    continue
+                if cosine_ < -1:  # found by counts
+                    near_by, held = hashes[a:b].tolist(), int(index[4][item_])
+                    spans = [(at, [x for x in near_by[at : at + held] if x in places]) for at, x in enumerate(near_by) if x in places]
+                    checked = [(common_words(own_part, places, full), -at, common_words(own_part, answer, full_answer)) for at, own_part in spans]
+                    n, at, m = max((c for c in checked if _is_leak(c[0], c[2], len(own), last)), default=(0, 0, 0))
+                    a, cosine_ = a - at, float((vectors[of_vector == item_] @ rows[block_]).max())
+                if n > found.get((i, item_), (0,) * 5)[4]:
                     found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found.values(), strict=True), schema, strict=True)], schema=schema)

@@ -302,6 +302,17 @@ def test_leaks_of_alike_items(spark):
     assert min(r["cosine"] for r in found if r["doc_id"] < 20) > 0.9
 
 
+def test_leaks_by_counts_are_close(spark):
+    item = [f"c{i}" for i in range(18)]
+    spread = [w for i in range(9, 18) for w in (item[i], *[f"x{i * 9 + k}" for k in range(5)])]
+    close = [w for i in range(9, 18) for w in (item[i], f"y{i}")]
+    rows = [(1, " ".join(spread)), (2, " ".join(close)), *[(k, " ".join(f"w{k * 60 + i}" for i in range(60))) for k in range(3, 60)]]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    # no cosine reaches 2, so the counts alone find them
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), benchmark, near=2.0).collect()
+    assert [(r["doc_id"], r["common_words"], r["first_word"]) for r in found] == [(2, 9, 0)]
+
+
 def test_common_words():
     rng = np.random.default_rng(3)
     for _ in range(50):
