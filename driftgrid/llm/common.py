@@ -10,6 +10,7 @@ positions never cross a document; invalid UTF-8 never arises from Spark.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
 BLOCK_BYTES = 1 << 21
+#: Bytes of an Arrow batch that a task hands to Python.
+ARROW_BYTES = 4 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,20 +45,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only a local master may go without one and use a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="driftgrid-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as a Parquet table in the shared folder and read it back."""
+    """Cut lineage: write df as a Parquet table in the shared folder and read it back.
+
+    `dropped` deletes such tables; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftgrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/driftgrid/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, at = _file_system(spark, top)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what `written` wrote; nothing that is still to be computed may read these tables."""
+    for df in tables:
+        system, at = _file_system(df.sparkSession, df.written_to)
+        system.delete(at, True)
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most ARROW_BYTES, but for single longer rows.
+
+    The bound is a setting of the session (spark.sql.execution.arrow.maxBytesPerBatch); a lower one stays.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(setting))
+    if not held or int(held[1]) > ARROW_BYTES:
+        spark.conf.set(setting, str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -192,4 +232,4 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def squeezed(df: DataFrame) -> DataFrame:
     """df with its last column, a text, packed by zstd (null: empty), so that a shuffle moves less."""
-    return df.mapInArrow(_squeezed, T.StructType([*df.schema.fields[:-1], T.StructField(df.columns[-1], T.BinaryType())]))
+    return in_arrow(df, _squeezed, T.StructType([*df.schema.fields[:-1], T.StructField(df.columns[-1], T.BinaryType())]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, rows_of, runs_of, table, text_buffers
+from .common import LOWER, blocks, in_arrow, rows_of, runs_of, table, text_buffers
 
 #: Fixed phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -172,7 +172,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, places, matches) of each row of docs."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("places", T.ArrayType(_PLACE)), T.StructField("matches", T.ArrayType(_MATCH))])
-    return docs.select("doc_id", "text").mapInArrow(_scanned, schema)
+    return in_arrow(docs.select("doc_id", "text"), _scanned, schema)
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

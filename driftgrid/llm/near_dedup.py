@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix, rows_of, table, text_buffers, window_sums, word_hashes, words_of, written
+from .common import LOWER, blocks, in_arrow, mix, rows_of, table, text_buffers, window_sums, word_hashes, words_of, written
 
 BANDS, ROWS = 32, 5
 MIN_AGREE = 0.6
@@ -213,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = written(source.mapInArrow(partial(_features, shingle=shingle), _FEATURES), "features")
+    features = written(in_arrow(source, partial(_features, shingle=shingle), _FEATURES), "features")
     sets = features.filter("n_shingles > 0 and doc_id is not null")
     classes = written(sets.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")).select("k0", "k1", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "classes")
 
@@ -239,7 +239,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         right = copies.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"))
         left = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("c")).cast("int").alias("salt"))
         sides = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(right, ["b", "salt"])
-        return sides.select("a", "b", "x", "y").mapInArrow(partial(_linked, shingle=shingle, percent=percent), "a long, b long")
+        return in_arrow(sides.select("a", "b", "x", "y"), partial(_linked, shingle=shingle, percent=percent), "a long, b long")
 
     def best(pairs: DataFrame) -> DataFrame:
         """For each a, the b of most buckets in common."""

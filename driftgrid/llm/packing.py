@@ -1,25 +1,28 @@
 """Operator 2, packing: mixture-controlled, by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens in a fixed order. Windows of
-`window` tokens are filled from the queues in target proportions: in every window a
-source's deficit grows by its quantum, it is served up to its deficit, and what is
-left over (or taken in advance) is carried to the next window. A source whose
-deficit is under `least_piece` tokens waits, so small sources give few, longer pieces.
-A queue that runs dry leaves its share to the others.
-
-Scale: windows are dealt into lanes of `LANE` windows. How many tokens each source has
-served before a lane follows in closed form from weighted fair queueing (token i of
-source s has the virtual time (i + 1/2) / weight of s; tokens are served in that
-order), so the deficits a lane starts with are those that the lanes before it leave,
-less than one token for each source, and every lane is filled by itself. A document
-needs only its place in its source's queue to know its pieces: two-level prefix sums
-over (source, bucket) give that, and no source's queue is ever in one task.
+Each source is a queue of its documents' tokens in a fixed order, with a weight. While a
+source is due w tokens for each unit of time, its deficit (what it was due less what it
+got) grows; each time it has grown by half a piece of `least_piece` tokens the source is served
+its next piece, pieces due at one time by the order of the sources. The stream of
+pieces is cut into windows of `window` tokens, in which each source's tokens are put
+together. So every source has its share of every window to within two pieces, deficits are carried
+from window to window and from lane to lane, and small sources give few, longer
+pieces. A queue that runs dry leaves its share to the others, in proportion to their weights.
+
+Scale: which tokens of each source lie before a given place of the stream follows in
+closed form: piece j of a source of weight w comes at time (2 j + 1) / w, and the time
+of a place is found by bisection over what all sources are due. So each lane of
+`lane_windows` windows is filled by itself, from the deficits that all lanes before it leave,
+and a document needs only its place in its source's queue to know its pieces. Two-level prefix sums
+over (source, bucket) give that; no source's queue is ever in one task. The driver holds one
+number for each queue, at most `queues` of them: where there are more sources,
+those without a target share queues by a hash of their names, and proportions hold for each such group.
 
 By default the weights are the sources' token counts, so every window has the
 proportions of the whole corpus and all queues end together.
 
 Defined results: a null text is empty and packs as its end token; a null source is a
-source of its own; repeated rows are packed each; ties in the queue's order are broken
+source of its own; a target for a source that has no rows goes to the others; repeated rows are packed each; ties in the queue's order are broken
 by the row's text hash and then in any order; an empty table gives no piece.
 """
 
@@ -29,7 +32,8 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from dataclasses import dataclass
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import in_arrow, table, text_buffers, written
 
 WINDOW, LANE, LEAST_PIECE, END_ID = 4096, 256, 64, 2
 #: Documents for each bucket of the queues, over all sources.
 BUCKET_DOCS = 20_000
-#: Entries of a worker's cache of encoded words, about 150 bytes each.
-CACHE_WORDS = 500_000
-ONE = 1 << 61
+#: Bytes of a worker's caches of encoded words, each; an entry counts ENTRY bytes beside its word and ids.
+CACHE_BYTES, ENTRY = 24 << 20, 140
+#: Queues that the driver holds a number for.
+QUEUES = 4096
 
 # --- tokens -----------------------------------------------------------------------------
 
@@ -75,14 +80,17 @@ class WordEncoder:
         self.tokenizer, self.letters = Tokenizer.from_file(path), {b: s for b, s in _byte_letters().items()}
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words_held = self.pieces_held = 0
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             spelt = "".join([self.letters[b] for b in piece.encode()]) if not piece.isascii() else piece
             got = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], np.uint16).tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
+            self.pieces_held += len(piece) + len(got) + ENTRY
+            if self.pieces_held > CACHE_BYTES:
                 self.pieces.clear()
+                self.pieces_held = len(piece) + len(got) + ENTRY
             self.pieces[piece] = got
         return got
 
@@ -99,11 +107,15 @@ class WordEncoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) >= CACHE_WORDS:
-            known.clear()
         fresh = {w: self._word(w) for w in {*words} if w not in known}
         out = b"".join([known[w] if w in known else fresh[w] for w in words])
-        known.update(fresh)
+        size = sum(len(w) + len(ids) + ENTRY for w, ids in fresh.items())
+        if self.words_held + size > CACHE_BYTES:
+            known.clear()
+            self.words_held = 0
+        if size <= CACHE_BYTES:
+            known.update(fresh)
+            self.words_held += size
         return out
 
 
@@ -115,8 +127,8 @@ def _encoder(path: str) -> WordEncoder:
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, end = _encoder(path), np.array([end_id], np.uint16).tobytes()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
             ids = [encoder.encode((t.as_py() or "").encode()) + end for t in part.column(2)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "tie", "ids"])
 
@@ -124,130 +136,170 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 # --- the round-robin --------------------------------------------------------------------
 
 
-def due(total: tuple[int, ...], weight: tuple[int, ...], x: int) -> list[int]:
-    """Tokens of each source with a virtual time of at most x; that of token i is (2 i + 1) ONE / weight."""
-    return [min(t, (((x + 1) * w - 1) // ONE + 1) // 2) for t, w in zip(total, weight, strict=True)]
-
-
-def served(total: tuple[int, ...], weight: tuple[int, ...], tokens: int) -> list[int]:
-    """Tokens of each source among the first `tokens` in the order of virtual times."""
-    if tokens >= sum(total):
-        return list(total)
-    lo, hi = -1, max(2 * t * ONE // w + ONE for t, w in zip(total, weight, strict=True))
-    while hi - lo > 1:  # lo: at most that many tokens are due, hi: more
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if sum(due(total, weight, mid)) <= tokens else (lo, mid)
-    out, after = due(total, weight, lo), due(total, weight, lo + 1)
-    for s in range(len(out)):  # tokens due at the same time go by the order of the sources
-        take = min(after[s] - out[s], tokens - sum(out))
-        out[s] += max(0, take)
-    return out
+@dataclass(frozen=True)
+class Mixture:
+    """The queues' sizes in tokens and weights, and how the stream of their pieces is cut."""
+
+    total: tuple[int, ...]
+    weight: tuple[float, ...]
+    window: int
+    lane_windows: int
+    piece: int
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        total = np.array(self.total, np.int64)
+        return total, np.array(self.weight, float), -(-total // self.piece)
+
+    def due(self, time: float) -> np.ndarray:
+        """Pieces of each queue that come at or before a time; its last piece may be a short one."""
+        _, weight, most = self.arrays
+        n = np.minimum((time * weight + 1) / 2, most).astype(np.int64)
+        # what rounding did: the times of the pieces themselves decide
+        n += (n < most) & ((2 * n + 1) / weight <= time)
+        return n - ((n > 0) & ((2 * n - 1) / weight > time))
+
+    def served(self, tokens: int) -> np.ndarray:
+        """Tokens of each queue among the first `tokens` of the stream."""
+        total, weight, _ = self.arrays
+        if tokens >= total.sum():
+            return total
+        lo, hi = 0.0, float(((2 * total // self.piece + 3) / weight).max())
+        while (mid := (lo + hi) / 2) not in (lo, hi):  # lo: at most that many tokens have come, hi: more
+            lo, hi = (mid, hi) if np.minimum(self.due(mid) * self.piece, total).sum() <= tokens else (lo, mid)
+        out, after = (np.minimum(self.due(x) * self.piece, total) for x in (lo, hi))
+        room = tokens - int(out.sum())
+        takes = np.diff(np.minimum(np.cumsum(after - out), room), prepend=0)  # pieces of one time, by the order of the queues
+        return out + takes
+
+    def place(self, queue: int, at: int) -> int:
+        """Where in the stream a queue's token is."""
+        j = at // self.piece
+        time = (2 * j + 1) / np.float64(self.weight[queue])
+        total = self.arrays[0]
+        before, upto = (np.minimum(self.due(x) * self.piece, total) for x in (np.nextafter(time, 0), time))
+        return int(upto[:queue].sum() + before[queue:].sum()) + at - j * self.piece
+
+    @property
+    def span(self) -> int:
+        return self.window * self.lane_windows
+
+
+@lru_cache(maxsize=256)
+def _served(mix: Mixture, tokens: int) -> np.ndarray:
+    return mix.served(tokens)
 
 
 @lru_cache(maxsize=64)
-def lane_plan(total: tuple[int, ...], weight: tuple[int, ...], lane: int, window: int, lane_windows: int, least_piece: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each source: where its slices begin in its queue, their windows, and their offsets there."""
-    span = window * lane_windows
-    before, after = served(total, weight, lane * span), served(total, weight, (lane + 1) * span)
-    left = [b - a for a, b in zip(before, after, strict=True)]
-    windows = max(1, -(-sum(left) // window))
-    share, deficit, place = left.copy(), [0] * len(left), before.copy()
-    out: list[list[tuple[int, int, int]]] = [[] for _ in left]
-    turn = 0
-    for k in range(windows):
-        room, at = window, 0
-        deficit = [d + s for d, s in zip(deficit, share, strict=True)]  # in 1/windows of a token
-        order = [(turn + i) % len(left) for i in range(len(left))]
-
-        def serve(s: int, most: int) -> None:
-            nonlocal room, at
-            take = min(most, left[s], room)
-            if take > 0:
-                if out[s] and out[s][-1][1] == lane * lane_windows + k and out[s][-1][2] + (place[s] - out[s][-1][0]) == at:
-                    pass  # goes on from the slice before it
-                else:
-                    out[s].append((place[s], lane * lane_windows + k, at))
-                place[s], left[s], deficit[s] = place[s] + take, left[s] - take, deficit[s] - take * windows
-                room, at = room - take, at + take
-
-        for s in order:
-            due = deficit[s] // windows
-            if due >= min(least_piece, left[s]):
-                serve(s, due)
-        for s in sorted(order, key=lambda s: -deficit[s]):  # what rounding and waiting leave free
-            serve(s, max(least_piece, deficit[s] // windows))
-        while room and any(left):
-            serve(max(range(len(left)), key=lambda s: left[s]), room)
-        turn += 1
-    done = [np.array(x, np.int64).reshape(-1, 3) for x in out]
-    return [x[:, 0] for x in done], [x[:, 1] for x in done], [x[:, 2] for x in done]
-
-
-@lru_cache(maxsize=4096)
-def _before_lane(total: tuple[int, ...], weight: tuple[int, ...], lane: int, span: int) -> tuple[int, ...]:
-    return tuple(served(total, weight, lane * span))
-
-
-def _lane_of(total: tuple[int, ...], weight: tuple[int, ...], s: int, place: int, span: int) -> int:
-    """The lane that a source's token lies in: its rank by virtual time tells, but for ties."""
-    lane = max(0, sum(due(total, weight, (2 * place + 1) * ONE // weight[s])) - 1) // span
-    while _before_lane(total, weight, lane, span)[s] > place:
-        lane -= 1
-    while _before_lane(total, weight, lane + 1, span)[s] <= place:
-        lane += 1
-    return lane
-
-
-def _cut(batches: Iterator[pa.RecordBatch], names: dict, total: tuple[int, ...], weight: tuple[int, ...], window: int, lane_windows: int, least_piece: int) -> Iterator[pa.RecordBatch]:
-    span, schema = window * lane_windows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+def lane_plan(mix: Mixture, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slices of all queues in a lane, by queue and window: bounds of the queues' slices, where each begins in its queue, its window, its offset there."""
+    before, after = _served(mix, lane * mix.span), _served(mix, (lane + 1) * mix.span)
+    some = np.flatnonzero(after > before)
+    first, last = before[some] // mix.piece, -(-after[some] // mix.piece)
+    count = last - first
+    queue = np.repeat(some, count)
+    j = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    size = np.minimum((j + 1) * mix.piece, after[queue]) - np.maximum(j * mix.piece, before[queue])
+    order = np.lexsort((queue, (2 * j + 1) / mix.arrays[1][queue]))
+    queue, size = queue[order], size[order]
+    end = np.cumsum(size)
+    # tokens of each queue in each window; a piece may go over windows' ends
+    edges = np.union1d(np.append(end - size, end[-1:]), np.arange(0, int(size.sum()), mix.window))
+    of = np.searchsorted(end, edges[:-1], "right")
+    codes, where = np.unique(edges[:-1] // mix.window * len(mix.total) + queue[of], return_inverse=True)
+    tokens = np.bincount(where, np.diff(edges), len(codes)).astype(np.int64)
+    window, queue = codes // len(mix.total), codes % len(mix.total)
+    offset = np.cumsum(tokens) - tokens - window * mix.window
+    by = np.lexsort((window, queue))
+    window, queue, offset, tokens = window[by], queue[by], offset[by], tokens[by]
+    bounds = np.searchsorted(queue, np.arange(len(mix.total) + 1))
+    begin = np.cumsum(tokens) - tokens
+    begin += before[queue] - begin[bounds[queue]] if len(begin) else 0
+    return bounds, begin, lane * mix.lane_windows + window, offset
+
+
+def slices(mix: Mixture, queue: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a queue's tokens from start to stop: where its slices begin (the first at or before start), their windows and offsets."""
+    out = []
+    for lane in range(mix.place(queue, start) // mix.span, mix.place(queue, stop - 1) // mix.span + 1):
+        bounds, *columns = lane_plan(mix, lane)
+        out.append([c[bounds[queue] : bounds[queue + 1]] for c in columns])
+    begin, window, offset = (np.concatenate(c) for c in zip(*out, strict=True))
+    lo, hi = int(np.searchsorted(begin, start, "right")) - 1, int(np.searchsorted(begin, stop))
+    return begin[lo:hi], window[lo:hi], offset[lo:hi]
+
+
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], mix: Mixture) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents; documents that follow on in one queue are cut at once."""
     for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for doc_id, source, n, place, ids in zip(*[batch.column(i) for i in range(5)], strict=True):
-            doc_id, s, n, place = doc_id.as_py(), names[source.as_py()], n.as_py(), place.as_py()
-            wide = np.frombuffer(ids.as_buffer(), np.uint16).astype("<u4")
-            lane, start = _lane_of(total, weight, s, place, span), 0
-            while start < n:
-                begins, windows, offsets = (x[s] for x in lane_plan(total, weight, lane, window, lane_windows, least_piece))
-                stop = _before_lane(total, weight, lane + 1, span)[s]
-                i = int(np.searchsorted(begins, place + start, "right")) - 1
-                while start < n and place + start < stop:
-                    ends = int(begins[i + 1]) if i + 1 < len(begins) else stop
-                    length = min(n - start, ends - place - start)
-                    piece = wide[start : start + length]
-                    rows.append((doc_id, start, length, zlib.crc32(piece.tobytes()), n, int(windows[i]), int(offsets[i]) + place + start - int(begins[i]), piece.astype(np.uint16).tobytes()))
-                    start, i = start + length, i + 1
-                lane += 1
-            held += n
-            if held > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, targets: dict | None = None, least_piece: int = LEAST_PIECE, lane_windows: int = LANE) -> DataFrame:
-    """Pieces of all documents: (doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
-
-    `targets` maps sources to weights; sources without one, and all if it is None, weigh as many as
-    they have tokens. The table of sources is held by the driver: one number for each source.
+        queue, n, place = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+        data, _ = text_buffers(batch.column(4))
+        ids = data.view(np.uint16)
+        fresh = np.flatnonzero(np.concatenate([[True], (queue[1:] != queue[:-1]) | (place[1:] != place[:-1] + n[:-1])]))
+        at = np.concatenate([[0], np.cumsum(n)])
+        docs, lengths, starts, windows, offsets = [], [], [], [], []
+        for a, b in zip(fresh.tolist(), np.append(fresh[1:], len(n)).tolist(), strict=True):
+            low, high = int(place[a]), int(place[b - 1] + n[b - 1])
+            begin, window, offset = slices(mix, int(queue[a]), low, high)
+            edges = np.union1d(place[a:b], np.append(np.maximum(begin, low), high))
+            doc = np.searchsorted(place[a:b], edges[:-1], "right") - 1
+            part = np.searchsorted(begin, edges[:-1], "right") - 1
+            docs.append(doc + a)
+            lengths.append(np.diff(edges))
+            starts.append(edges[:-1] - place[a + doc])
+            windows.append(window[part])
+            offsets.append(offset[part] + edges[:-1] - begin[part])
+        if not docs:
+            continue
+        doc, length, start, window, offset = (np.concatenate(c) for c in (docs, lengths, starts, windows, offsets))
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        wide = memoryview(ids.astype("<u4").tobytes())
+        crc = [zlib.crc32(wide[p:q]) for p, q in zip((bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist(), strict=True)]
+        packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), n[doc], window, offset)), packed], schema=_PIECES)
+        assert at[-1] == bounds[-1]
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, targets: dict | None = None, least_piece: int = LEAST_PIECE, lane_windows: int = LANE, queues: int = QUEUES) -> DataFrame:
+    """Pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
+
+    `targets` maps sources to shares of a window (scaled down if they add up to more than 1); the sources without one
+    have what is left, by their token counts (if nothing is left, they come after all others). None: all by their token counts.
     """
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), "text").mapInArrow(partial(_tokens, path=tokenizer, end_id=end_id), T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["source"], T.StructField("n", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    targets = dict(targets or {})
+    if any(not w > 0 for w in targets.values()) or not 1 <= least_piece <= window:
+        raise ValueError("targets are above 0, and least_piece is from 1 to the window")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), "text")
+    encoded = in_arrow(encoded, partial(_tokens, path=tokenizer, end_id=end_id), T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["source"], T.StructField("n", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())]))
     encoded = written(encoded, "tokens")
-    sizes = encoded.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy("source").collect()
-    names, total = {r["source"]: i for i, r in enumerate(sizes)}, tuple(r["n"] for r in sizes)
-    weight = tuple(max(1, round((targets or {}).get(r["source"], r["n"]))) for r in sizes)
+    name = F.col("source").cast("string")
+    source = F.coalesce(F.concat(F.lit("source:"), name), F.lit("null"))
+    if encoded.select("source").distinct().count() > queues - len(targets):
+        own = F.coalesce(name.isin([str(t) for t in targets if t is not None]), F.lit(None in targets))
+        grouped = F.pmod(F.xxhash64(name), F.lit(max(1, queues - len(targets)))).cast("string")
+        key = F.when(own, source).otherwise(F.concat(F.lit("group:"), grouped))
+    else:
+        key = source
+    keyed = encoded.withColumn("key", key)
+    sizes = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy("key").collect()  # at most `queues` rows
+    shares = {"null" if k is None else f"source:{k}": w / max(1, sum(targets.values())) for k, w in targets.items()}
+    own = [shares.get(r["key"]) for r in sizes]
+    rest = max(1 - sum(shares.values()), 1e-9) / max(1, sum(r["n"] for r, w in zip(sizes, own, strict=True) if w is None))
+    mix = Mixture(tuple(r["n"] for r in sizes), tuple(w or r["n"] * rest for r, w in zip(sizes, own, strict=True)), window, lane_windows, least_piece)
     buckets = max(64, math.ceil(sum(r["docs"] for r in sizes) / BUCKET_DOCS))
-    keyed = encoded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = written(sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce(before, F.lit(0)).alias("before")), "queues")
-    queue = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("n").over(queue), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    placed = placed.select("doc_id", "source", "n", (F.col("before") + F.col("inside")).alias("place"), "ids")
-    cut = partial(_cut, names=names, total=total, weight=weight, window=window, lane_windows=lane_windows, least_piece=least_piece)
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    numbers = docs.sparkSession.createDataFrame([(r["key"], i) for i, r in enumerate(sizes)], "key string, queue int")
+    keyed = keyed.join(F.broadcast(numbers), "key").select("doc_id", "queue", "n", "tie", "ids", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)).alias("bucket"))
+    sums = keyed.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = written(sums.select(F.col("queue").alias("of"), F.col("bucket").alias("in"), F.coalesce(before, F.lit(0)).alias("before")), "queues")
+    order = Window.partitionBy("queue", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    placed = placed.join(sums, (F.col("queue") == F.col("of")) & (F.col("bucket") == F.col("in")))
+    placed = placed.select("doc_id", "queue", "n", (F.col("before") + F.col("inside")).alias("place"), "ids")
+    return in_arrow(placed, partial(_cut, mix=mix), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

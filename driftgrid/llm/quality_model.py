@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, rows_of, table, text_buffers, word_hashes, words_of
+from .common import blocks, in_arrow, rows_of, table, text_buffers, word_hashes, words_of
 from .quality_rules import MEASURES, measure
 
 SAMPLE, ROUNDS, PAIR_ROUNDS, PAIRS, BINS, PAIR_BINS, RATE = 20_000, 150, 60, 6, 64, 12, 0.1
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
     # at most `sample` rows of two numbers, so they go to every task
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("quality", "text")
     schema = T.StructType([T.StructField("quality", T.IntegerType()), *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
-    found = rows.mapInArrow(_featured, schema).toPandas()
+    found = in_arrow(rows, _featured, schema).toPandas()
     return fit(found[FEATURES].to_numpy(float), found["quality"].to_numpy(float))
 
 
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_scored, model=model), schema)
+    return in_arrow(rows, partial(_scored, model=model), schema)
 
 
 def op4_quality_model(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, line_hashes, rows_of, runs_of, text_buffers, window_sums, word_hashes, words_of
+from .common import IS_SPACE, blocks, in_arrow, line_hashes, rows_of, runs_of, text_buffers, window_sums, word_hashes, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
 
@@ -125,7 +125,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, the measurements and fail_bits, one row for each row of docs."""
     kept = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
     schema = T.StructType([*kept.schema.fields[:-1], *[T.StructField(m, T.LongType()) for m in MEASURES]])
-    measured = kept.mapInArrow(_measured, schema)
+    measured = in_arrow(kept, _measured, schema)
     return measured.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, failure_bits().alias("fail_bits"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums, word_hashes, words_of
+from .common import IS_SPACE, blocks, in_arrow, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums, word_hashes, words_of
 
 WIDTH, MMER = 35, 4
 #: Text handled at once by the combiner, and packed text for which a bucket is made.
@@ -189,7 +189,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, mmer: int = MMER) -> Data
     """Runs (id, tag, s, e) of word places that windows found elsewhere cover; runs may overlap."""
     # a super-k-mer repeats width - 1 words, so packed text is about three times the input
     parts = max(8, -(-3 * text_bytes(docs) // BUCKET_BYTES))
-    sent = _keyed(docs).select("id", "tag", F.col("row.text").alias("text")).mapInArrow(partial(_map, parts=parts, width=width, mmer=mmer), _SENT)
+    sent = in_arrow(_keyed(docs).select("id", "tag", F.col("row.text").alias("text")), partial(_map, parts=parts, width=width, mmer=mmer), _SENT)
 
     def bucket(group: pa.Table) -> pa.Table:
         return _bucket(group, width)
@@ -228,7 +228,7 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, digest:
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
     joined = squeezed(keyed).join(runs, ["id", "tag"], "left").select("row", "text", "runs")
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(partial(_strip, digest=digest), schema)
+    return in_arrow(joined, partial(_strip, digest=digest), schema)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_arrow, table
 
 RULES = ("start", "most", "share")
 #: Rows that leave a task at once.
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, split: str, fields: tuple[str
     schema = T.StructType([T.StructField(name, kind) for name, _, kind in out])
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     counted = partial(_counted, vocabulary=vocabulary, split=split, separator=separator, unit=unit, rule=rule, schema=pa.schema([(name, kind) for name, kind, _ in out]))
-    return rows.mapInArrow(counted, schema)
+    return in_arrow(rows, counted, schema)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -90,13 +90,60 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
-def test_packing_keeps_proportions():
-    total, weight = (100_000, 50_000, 10_000), (100_000, 50_000, 10_000)
-    begins, windows, _ = packing.lane_plan(total, weight, 0, 4096, 16, 64)
-    before, after = packing.served(total, weight, 0), packing.served(total, weight, 16 * 4096)
-    for s, share in enumerate((100 / 160, 50 / 160, 10 / 160)):
-        assert abs((after[s] - before[s]) - share * 16 * 4096) <= 2
-        assert len(begins[s]) and set(windows[s].tolist()) <= set(range(16))
+def _stream(mix):
+    """The queue of each token of the stream, piece by piece."""
+    pieces = [((2 * j + 1) / w, s, min(mix.piece, t - j * mix.piece)) for s, (t, w) in enumerate(zip(mix.total, mix.weight, strict=True)) for j in range(-(-t // mix.piece))]
+    return np.repeat(*map(np.array, zip(*((s, n) for _, s, n in sorted(pieces)), strict=True)))
+
+
+@pytest.mark.parametrize(("total", "weight"), [((5000, 3000, 700), (1.0, 3.0, 0.2)), ((1000, 1000), (1.0, 3.0)), ((300, 0, 77), (300.0, 1.0, 77.0)), ((9000, 9000, 9000, 5), (0.5, 0.25, 0.25, 1e-9))])
+def test_packing_plan(total, weight):
+    mix = packing.Mixture(total, weight, 256, 4, 16)
+    stream = _stream(mix)
+    for x in (0, 1, 17, 256, 1000, len(stream) // 2, len(stream) - 1, len(stream)):
+        assert mix.served(x).tolist() == np.bincount(stream[:x], minlength=len(total)).tolist()
+    found = defaultdict(list)
+    for s, n in enumerate(total):
+        at = np.flatnonzero(stream == s)
+        assert all(mix.place(s, i) == at[i] for i in range(0, n, 7))
+        if n:
+            begin, window, offset = packing.slices(mix, s, 0, n)
+            for b, e, w, o in zip(begin, [*begin[1:], n], window, offset, strict=True):
+                found[w].append((o, e - b, s))
+    for w, parts in found.items():
+        own, at = stream[w * 256 : (w + 1) * 256], 0
+        for offset, n, s in sorted(parts):
+            assert offset == at and n == (own == s).sum()
+            at += n
+        assert at == len(own)
+
+
+def test_packing_keeps_targets(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, "a" if i % 4 else "b" if i % 8 else None, "some words of text here " * 6) for i in range(400)]  # 300 of a, 50 each of b and null
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    of = {i: s for i, s, _ in rows}
+    got = packing.pack(docs, path, window=256, lane_windows=4, least_piece=16, targets={"a": 0.2, "b": 0.5, "gone": 0.1}).collect()
+    windows = defaultdict(Counter)
+    for r in got:
+        windows[r["sequence_id"]][of[r["doc_id"]]] += r["length"]
+    left = Counter({s: sum(r["length"] for r in got if of[r["doc_id"]] == s) for s in ("a", "b", None)})
+    lanes = set()
+    for w in sorted(windows):
+        due = {"a": 0.2, "b": 0.5, None: 0.2}
+        open_ = {s: x for s, x in due.items() if left[s] > windows[w][s] + 256}  # queues that last beyond this window
+        if sum(windows[w].values()) == 256 and len(open_) == 3 - sum(not left[s] for s in due):
+            total = sum(open_.values())
+            assert all(abs(windows[w][s] - 256 * x / total) <= 32 for s, x in open_.items())
+            lanes.add((w // 4, len(open_)))
+        left -= windows[w]
+    assert len(lanes) > 4 and {n for _, n in lanes} == {1, 2, 3}  # several lanes, before and after queues run dry
+    few = packing.pack(docs, path, window=256, queues=2).collect()
+    assert sum(r["length"] for r in few) == sum(r["length"] for r in got)
+    with pytest.raises(ValueError):
+        packing.pack(docs, path, targets={"a": 0})
 
 
 def _components(sets):
