@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache, partial
@@ -46,7 +47,7 @@ from .common import in_arrow, table, text_buffers, written
 WINDOW, LANE, LEAST_PIECE, END_ID = 4096, 256, 64, 2
 #: Documents for each bucket of the queues, over all sources.
 BUCKET_DOCS = 20_000
-#: Bytes of a worker's caches of encoded words, each; an entry counts ENTRY bytes beside its word and ids.
+#: Bytes of a generation of a worker's caches of encoded words and of their pieces; an entry counts ENTRY bytes beside its word and ids.
 CACHE_BYTES, ENTRY = 24 << 20, 140
 #: Queues that the driver holds a number for.
 QUEUES = 4096
@@ -65,6 +66,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """A cache in two generations of bounded bytes: what was not asked for since the last change of generation goes at the next."""
+
+    def __init__(self, make, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.room, self.old = make, limit, limit, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self.room -= len(key) + len(got) + ENTRY
+        if self.room < 0:
+            self.old = dict(self)
+            self.clear()
+            self.room = self.limit
+        self[key] = got
+        return got
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
@@ -77,46 +98,24 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), {b: s for b, s in _byte_letters().items()}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.words_held = self.pieces_held = 0
+        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.words, self.pieces = Known(self._word, CACHE_BYTES), Known(self._piece, CACHE_BYTES)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            spelt = "".join([self.letters[b] for b in piece.encode()]) if not piece.isascii() else piece
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], np.uint16).tobytes()
-            self.pieces_held += len(piece) + len(got) + ENTRY
-            if self.pieces_held > CACHE_BYTES:
-                self.pieces.clear()
-                self.pieces_held = len(piece) + len(got) + ENTRY
-            self.pieces[piece] = got
-        return got
+        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if text.isascii() and text.isalpha():
+            return self.pieces[text.lower()]
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self._piece(p) for p in _PIECE.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+            return b"".join([self.pieces[p] for p in _PIECE.findall(text.lower())])
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 16-bit numbers."""
-        known, words = self.words, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        fresh = {w: self._word(w) for w in {*words} if w not in known}
-        out = b"".join([known[w] if w in known else fresh[w] for w in words])
-        size = sum(len(w) + len(ids) + ENTRY for w, ids in fresh.items())
-        if self.words_held + size > CACHE_BYTES:
-            known.clear()
-            self.words_held = 0
-        if size <= CACHE_BYTES:
-            known.update(fresh)
-            self.words_held += size
-        return out
+        """Ids as unsigned 16-bit numbers in the machine's order."""
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
