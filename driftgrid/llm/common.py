@@ -14,6 +14,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +219,37 @@ def rows_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, "right") - 1
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """Bytes of a text column, counted in one scan."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0))).first()[0])
+def is_hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are among a few sorted ones."""
+    low = np.zeros(1 << 16, bool)
+    low[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
+    out = low[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+    at = np.flatnonzero(out)
+    out[at] = hot[np.minimum(np.searchsorted(hot, keys[at]), len(hot) - 1)] == keys[at]
+    return out
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], weigh, least: int) -> Iterator[pa.RecordBatch]:
+    total = 0
+    for size, keys, weights in weigh(batches):
+        total += size
+        own, of = np.unique(keys, return_inverse=True)
+        weight = np.bincount(of, weights, len(own)).astype(np.int64)
+        some = weight >= least
+        yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(weight[some])], names=["key", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["key", "weight"])
+
+
+def hot_keys(docs: DataFrame, weigh, bucket: int, most: int, least: int = 1024) -> tuple[int, np.ndarray]:
+    """The bytes of all texts, and the sorted keys whose weights add up to a bucket or more, at most `most` of them.
+
+    `weigh` gives (bytes of text, keys, weights) for each part of the texts; keys that weigh under `least` in a part are
+    not counted there, as they only tell how to spread the work.
+    """
+    counted = in_arrow(docs.select("text"), partial(_weighed, weigh=weigh, least=least), "key long, weight long").groupBy("key").agg(F.sum("weight").alias("weight"))
+    rows = counted.filter(F.col("key").isNull() | (F.col("weight") >= bucket)).orderBy(F.col("key").isNotNull(), F.desc("weight")).limit(most + 1).collect()
+    hot = np.array([r["key"] for r in rows if r["key"] is not None], np.int64).view(np.uint64)
+    return sum(r["weight"] for r in rows if r["key"] is None), np.sort(hot)
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,9 @@ are sorted by a hash and neighbours are compared byte by byte, so counts are exa
 Each task first counts its own batch in the same way (a combiner): a window that
 occurs twice there is known to repeat, and only one copy of it is sent on. So a
 passage that a third of all documents share reaches its bucket once for each
-batch, not once for each document.
+batch, not once for each document. A gram that is common among windows which differ would fill one
+bucket: a pass before counts the bytes of each minimiser's super-k-mers, and the grams that bring a bucket's worth or
+more (at most `HOT`) are minimisers only of windows that have no other.
 
 Every word covered by a window whose words also start anywhere else, in the same
 document or another, is removed from all its places.
@@ -34,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, blocks, in_arrow, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums, word_hashes, words_of
+from .common import IS_SPACE, blocks, hot_keys, in_arrow, is_hot, mix, rows_of, sliding_min, squeezed, table, text_buffers, window_sums, word_hashes, words_of
 
 WIDTH, MMER = 35, 4
 #: Text handled at once by the combiner, and packed text for which a bucket is made.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, BUCKET_BYTES, HOT = 4 << 20, 4 << 20, 4096
 
 _SENT = "part long, meta binary, words binary"
 _RUNS = "id long, tag long, s int, e int"
@@ -103,7 +105,32 @@ def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     return np.where(space, np.uint8(32), data)[keep].tobytes(), place[starts], place[ends]
 
 
-def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, parts: int, width: int, mmer: int) -> Iterator[tuple[int, bytes, bytes]]:
+def minimisers(hashes: np.ndarray, at: np.ndarray, width: int, mmer: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """The least gram of each window, hot ones last."""
+    grams = window_sums(hashes, mmer) >> np.uint64(1)
+    if hot is not None and len(hot):
+        grams[is_hot(grams, hot)] |= np.uint64(1 << 63)
+    return sliding_min(grams, width - mmer + 1)[at]
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], width: int, mmer: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Bytes of text, minimisers, and the bytes of their super-k-mers, for each part of the texts."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        for i, j in blocks(offsets, BATCH_BYTES):
+            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            starts, ends = words_of(part, bounds)
+            row = rows_of(bounds, starts)
+            at = np.flatnonzero(row[width - 1 :] == row[: len(row) - width + 1]) if len(row) >= width else row[:0]
+            if not len(at):
+                yield len(part), np.zeros(0, np.uint64), np.zeros(0)
+                continue
+            least = minimisers(word_hashes(part, starts, ends), at, width, mmer)
+            lo, hi = _runs(np.ones(len(at), bool), np.append(False, (at[1:] == at[:-1] + 1) & (least[1:] == least[:-1])))
+            yield len(part), least[lo], ends[at[hi] + width - 1] - starts[at[lo]]
+
+
+def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, parts: int, width: int, mmer: int, hot: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """Packed super-k-mers by bucket, and the runs of words that repeat within this batch."""
     starts, ends = words_of(data, offsets)
     if len(starts) < width:
@@ -123,7 +150,7 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
         of = row[at[lo]]
         known = np.stack([ids[of], tags[of], at[lo] - first_word[of], at[hi] - first_word[of] + width])
         yield int(mix(hashes[:1])[0] % np.uint64(parts)), zip_up(known.astype(np.int64).tobytes()), b""
-    least = sliding_min(window_sums(hashes, mmer), width - mmer + 1)[at]
+    least = minimisers(hashes, at, width, mmer, hot)
     joined = next_to & np.concatenate([[False], least[1:] == least[:-1]])
     lo, hi = _runs(~before, joined)
     bucket = (mix(least[lo]) % np.uint64(parts)).astype(np.int64)
@@ -139,13 +166,13 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
         yield int(bucket[a]), zip_up(meta[:, a:b].tobytes()), zip_up(packed)
 
 
-def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mmer: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mmer: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         tags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = text_buffers(batch.column(2))
         for lo, hi in blocks(offsets, BATCH_BYTES):
-            out = list(_send(ids[lo:hi], tags[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], parts, width, mmer))
+            out = list(_send(ids[lo:hi], tags[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], parts, width, mmer, hot))
             if out:
                 part, meta, words = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(meta, pa.binary()), pa.array(words, pa.binary())], names=["part", "meta", "words"])
@@ -185,11 +212,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tag.alias("tag"), F.struct("*").alias("row"))
 
 
-def repeated_runs(docs: DataFrame, width: int = WIDTH, mmer: int = MMER) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Runs (id, tag, s, e) of word places that windows found elsewhere cover; runs may overlap."""
+    total, hot = hot_keys(docs, partial(_weighed, width=width, mmer=mmer), bucket_bytes, HOT)
     # a super-k-mer repeats width - 1 words, so packed text is about three times the input
-    parts = max(8, -(-3 * text_bytes(docs) // BUCKET_BYTES))
-    sent = in_arrow(_keyed(docs).select("id", "tag", F.col("row.text").alias("text")), partial(_map, parts=parts, width=width, mmer=mmer), _SENT)
+    parts = max(8, -(-3 * total // bucket_bytes))
+    sent = in_arrow(_keyed(docs).select("id", "tag", F.col("row.text").alias("text")), partial(_map, parts=parts, width=width, mmer=mmer, hot=hot), _SENT)
 
     def bucket(group: pa.Table) -> pa.Table:
         return _bucket(group, width)
@@ -220,10 +248,10 @@ def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
 
 
-def strip_repeats(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, digest: bool = False) -> DataFrame:
+def strip_repeats(docs: DataFrame, width: int = WIDTH, mmer: int = MMER, digest: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(row, n_words, n_removed, kept): docs' row as a struct without its text, and the kept words joined by
     one space (the text as it is if no word goes; a null text is empty), or the SHA-256 of the joined words if digest."""
-    runs = repeated_runs(docs, width, mmer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    runs = repeated_runs(docs, width, mmer, bucket_bytes).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
     joined = squeezed(keyed).join(runs, ["id", "tag"], "left").select("row", "text", "runs")

@@ -1,29 +1,39 @@
-"""Operator 8, suffix-array dedup: shard transforms merged by interleave refinement.
+"""Operator 8, suffix-array dedup: shard Burrows-Wheeler transforms merged by interleave refinement.
 
 Texts are UTF-8 bytes. A byte goes if a `width`-byte string that also starts earlier
 (smaller doc_id, or same document, earlier start) covers it. Matches never cross texts.
 
-Shards. The suffixes that are sorted are those at anchors: each window of `width`
-bytes has one, the first of its `mer`-byte grams with the least hash, and equal windows
-have theirs at the same place. Windows in a row with one anchor form a string of the
-bytes that they cover, sent to the bucket that the anchor's hash names. A shard is the part of a task's
-texts handled at once. Its anchors are sorted once, by the 8-byte blocks that follow
-them; its transform is that order with the text before each anchor (the strings'
-heads) as the preceding symbols. The symbols are blocks of eight bytes and the suffixes
-those at anchors, so an interleave takes `width` / 8 rounds over a fraction of the
-places: a transform of every byte, refined byte by byte, reads each text a hundred times.
-
-Merge. A bucket's shards arrive sorted. The merge holds an interleave of them: runs of
-suffixes that agree on all blocks so far. Each round refines the runs by the next
-block; runs of one suffix are done. The round in which a run splits, with the equal leading bytes of the
-two blocks there, gives the longest common prefix of its neighbours. The preceding
-symbols are interleaved in the same way, backwards. A window d bytes before its anchor can repeat
-only if the anchor has d bytes in common with another to the left and `width` - d to the right: that
-leaves the repeated intervals, whose windows are counted exactly, sorted by a hash and
-compared byte by byte.
-
-The first copy of a window in a shard is sent on and later ones are known to repeat,
-so a passage that a third of all texts share reaches its bucket once for each shard.
+Strings. Each window of `width` bytes has an anchor, the first of its `mer`-byte grams with the least
+hash; equal windows have theirs at the same place. Windows in a row with one anchor form a string
+of the bytes that they cover, sent to the bucket that the anchor's hash names. A shard is the part of a task's
+texts handled at once.
+
+Transforms. A string is read from its anchor on in symbols of `SYMBOL` bytes, and its suffixes are
+those at whole symbols. A shard's transform holds, for the suffixes that begin at the k-th symbol in their
+sorted order, the symbol before each: a Burrows-Wheeler transform of all its
+strings, a column for each k. Windows reach to the left of their anchors too, so a second transform reads the strings
+backwards from there.
+
+Merge. The interleave of a bucket says for each slot of the merged order which shard's next suffix stands
+there. It begins as the shards on end; each round deals the preceding symbols of all shards to
+the slots and refines the interleave by them, stably: so slots ordered by their suffixes from
+symbol k + 1 on become slots ordered from k on. No suffix is compared with another. The common prefixes
+of neighbours come along: with equal symbols, a symbol more than the least common prefix between their two slots before; else the
+leading bytes that the symbols share.
+
+Repeated intervals. A window that begins d bytes before its anchor has d bytes to the left and
+`width` - d to the right. Slots between which no common prefix falls under `width` - d form an interval of
+the merged order, those of the backward order an interval by d: windows with one d are equal exactly if they share both
+intervals. All but the first of them, in the order of the documents, repeat. Nothing is hashed or compared beside that.
+
+A shard decides its own windows in this way before it sends them: the first copy is sent on and later ones are known to repeat,
+so a passage that a third of all texts share reaches its bucket once for each shard. Anchors in very many strings would fill
+a bucket with windows that differ: a pass before counts the bytes of each anchor's strings, and of the (at most `HOT`) grams
+that bring a bucket's worth or more none is an anchor in windows that have another.
+
+Why not every byte: a transform of all suffixes by single bytes takes `width` rounds over each text. With symbols of eight
+bytes at anchors there are some 24 rounds over a fraction of the places, with the same result. A shard's columns are built where its strings
+arrive: in the order of their suffixes, the symbols pack to more bytes than the strings do.
 
 Defined results: a null text is empty; texts shorter than `width` keep all; rows with one
 doc_id and one text count as one document; rows with one doc_id and other
@@ -46,94 +56,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, blocks, mix, rows_of, sliding_min, squeezed, table, text_buffers, text_bytes, window_sums
-from .substring_dedup import _runs, repeated
+from .common import _BYTE, blocks, hot_keys, in_arrow, is_hot, mix, rows_of, sliding_min, squeezed, table, text_buffers, window_sums
+from .substring_dedup import _runs
 
-WIDTH, MER, LEVEL = 100, 16, 3
-#: Text of one shard; packed strings for which a bucket is made.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+WIDTH, MER, LEVEL, SYMBOL = 100, 16, 3, 8
+#: Text of one shard; packed strings for which a bucket is made; grams that are no anchors if others are there, at most.
+SHARD_BYTES, BUCKET_BYTES, HOT = 4 << 20, 6 << 20, 4096
 
 _SENT = "part long, meta binary, words binary"
 _SPANS = "id long, tag long, s int, e int"
 _META = 5  # id, tag, start of the string in its text, its bytes, the place of its anchor in it
 
 
-def block_at(text: np.ndarray, places: np.ndarray, step: int = 1) -> np.ndarray:
-    """The eight bytes from each place on, forwards or backwards, as one number that sorts like them."""
-    out = np.zeros(len(places), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | text[places + step * i].astype(np.uint64)
+def symbols_at(text: np.ndarray, places: np.ndarray, step: int = 1) -> np.ndarray:
+    """The SYMBOL bytes from each place on, forwards or backwards, as one number that sorts like them."""
+    if step > 0:
+        return np.ndarray(len(text) - SYMBOL + 1, ">u8", text, strides=(1,))[places].astype(np.uint64)
+    return np.ndarray(len(text) - SYMBOL + 1, "<u8", text, strides=(1,))[places - SYMBOL + 1].astype(np.uint64)
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo..hi] for each range, both ends included."""
+    out = values[hi].copy()
+    level = np.log2(np.maximum(hi - lo + 1, 1)).astype(np.int64)
+    part = values
+    for k in range(1, int(level.max(initial=0)) + 1):
+        part = np.minimum(part[: -(1 << (k - 1))], part[1 << (k - 1) :])
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(part[lo[at]], part[hi[at] - (1 << k) + 1])
     return out
 
 
-def interleave(text: np.ndarray, places: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Merge suffixes that arrive in sorted shards: their order, and each one's common prefix with the one before.
+def refined(common: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots ordered stably by the symbol before each, and the common prefix of each with the one before it.
 
-    Prefixes are counted up to `depth`, a multiple of 8. The stable sort of each round finds
-    the shards' runs in order and merges them; it touches runs of two or more alone. With a step of -1, what
-    comes before the places is read backwards.
+    `common` holds the common prefixes of the slots as they were.
     """
-    n = len(places)
-    order = np.arange(n)
-    common = np.full(n, depth, np.int64)
-    if n:
-        common[0] = 0
-    active = np.arange(n)  # slots of the interleave in runs not yet told apart
-    run = np.zeros(n, np.int64)
-    for done in range(0, depth, 8):
-        if not len(active):
-            break
-        key = block_at(text, places[order[active]] + step * done, step)
-        by = np.lexsort((key, run)) if done else np.argsort(key, kind="stable")
-        order[active] = order[active][by]
-        key, run = key[by], run[by]
-        split = (run[1:] == run[:-1]) & (key[1:] != key[:-1])
-        at = np.flatnonzero(split) + 1
-        differ = key[at] ^ key[at - 1]
-        same = np.zeros(len(at), np.int64)
-        for i in range(1, 8):
-            same += (differ >> np.uint64(64 - 8 * i)) == 0
-        common[active[at]] = done + same  # the first slot of a run keeps the prefix found before
-        fresh = np.concatenate([[True], (run[1:] != run[:-1]) | split])
-        run = np.cumsum(fresh)
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        active, run = active[~alone], run[~alone]
+    by = np.argsort(symbol, kind="stable")
+    symbol = symbol[by]
+    out = np.zeros(len(by), common.dtype)
+    equal = symbol[1:] == symbol[:-1]
+    at = np.flatnonzero(equal) + 1
+    out[at] = SYMBOL + _least(common, by[at - 1] + 1, by[at])
+    at = np.flatnonzero(~equal) + 1
+    differ = symbol[at] ^ symbol[at - 1]
+    for i in range(1, SYMBOL):
+        out[at] += (differ >> np.uint64(64 - 8 * i)) == 0
+    return by, out
+
+
+def transform(text: np.ndarray, places: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """One shard's order of the suffixes at the places, and their common prefixes up to depth bytes or some more."""
+    order, common = np.arange(len(places)), np.zeros(len(places), np.int16)
+    for at in reversed(range(0, depth, SYMBOL)):
+        by, common = refined(common, symbols_at(text, places[order] + step * at, step))
+        order = order[by]
     return order, common
 
 
-def longest(text: np.ndarray, places: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The longest prefix that each suffix has in common with any other, up to depth; and the merged order."""
-    order, common = interleave(text, places, depth, step)
-    common[:-1] = np.maximum(common[:-1], common[1:])
-    out = np.zeros(len(places), np.int64)
-    out[order] = common
-    return out, order
+def columns(text: np.ndarray, places: np.ndarray, shard: np.ndarray, depth: int, step: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """The transforms of shards that stand on end: for each k the symbols before the suffixes at symbol k + 1, by shard and in their order; and the order of the first suffixes."""
+    order = np.arange(len(places))
+    out = []
+    for at in reversed(range(0, depth, SYMBOL)):
+        out.append(symbols_at(text, places[order] + step * at, step))
+        # the places stay with their shard
+        order = order[np.lexsort((out[-1], shard))]
+    return out[::-1], order
 
 
-def candidates(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows from lo to hi round each anchor, the first and last that may repeat; and the merged order.
+def merge(transforms: list[np.ndarray], shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of shards: the number of the shard for each slot, and the slots' common prefixes."""
+    interleave, common = shard, np.zeros(len(shard), np.int16)
+    for column in reversed(transforms):
+        symbol = np.empty(len(column), np.uint64)
+        symbol[np.argsort(interleave, kind="stable")] = column
+        by, common = refined(common, symbol)
+        interleave = interleave[by]
+    return interleave, common
 
-    A window d bytes before its anchor needs d bytes in common to the left and width - d to the right.
-    `text` has `width` more bytes at either end.
-    """
-    depth = -(-width // 8) * 8
-    right, order = longest(text, place, depth)
-    first, last = lo.copy(), np.minimum(hi, place - width + right)
-    some = np.flatnonzero(last >= lo)
-    left, _ = longest(text, place[some] - 1, depth, -1)
-    first[some] = np.maximum(lo[some], place[some] - left)
-    return first, last, order
 
+def merged(text: np.ndarray, places: np.ndarray, shard: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """As `transform`, for the strings of shards that stand on end."""
+    parts, order = columns(text, places, shard, depth, step)
+    interleave, common = merge(parts, shard)
+    out = np.empty(len(order), np.int64)
+    out[np.argsort(interleave, kind="stable")] = order
+    return out, common
+
+
+def repeated_windows(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, number: np.ndarray, width: int, mer: int, shard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings and places of the windows equal to one in a string of a smaller number; and the merged order of the strings.
+
+    String i has the windows from lo to hi, all round the anchor at place; strings with one number are the
+    same string of one document. `text` has `width` + SYMBOL more bytes at either end.
+    """
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ordered(at: np.ndarray, depth: int, step: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return transform(text, at, depth, step) if shard is None else merged(text, at, shard[some], depth, step)
+
+    every = np.arange(len(lo))
+    order, common = ordered(place, width, 1, every)
+    most = common.copy()
+    most[:-1] = np.maximum(most[:-1], most[1:])  # with any other string
+    right, rank = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
+    right[order], rank[order] = most, every
+    first, last = np.maximum(place - hi, width - right), place - lo  # bytes before the anchor
+    some = np.flatnonzero(first <= last)
+    strings, windows = [], []
+    if len(some):
+        back, back_common = ordered(place[some] - 1, max(width - mer, 1), -1, some)
+        back_most = back_common.copy()
+        back_most[:-1] = np.maximum(back_most[:-1], back_most[1:])
+        left, back_rank = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
+        left[back], back_rank[back] = back_most, np.arange(len(some))
+        first, last = first[some], np.minimum(last[some], left)
+        for d in range(int(first.min()), int(last.max()) + 1):
+            own = np.flatnonzero((first <= d) & (d <= last))
+            if len(own) < 2:
+                continue
+            # the intervals that the string is in, to the right and to the left
+            interval = np.cumsum(common < width - d)[rank[some[own]]] * (len(some) + 1) + np.cumsum(back_common < d)[back_rank[own]]
+            by = np.lexsort((number[some[own]], interval))
+            own, interval = own[by], interval[by]
+            begins = np.maximum.accumulate(np.where(np.append(True, interval[1:] != interval[:-1]), np.arange(len(own)), 0))
+            again = some[own[number[some[own]] > number[some[own[begins]]]]]
+            strings.append(again)
+            windows.append(place[again] - d)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *strings]), np.concatenate([none, *windows]), order
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int, mer: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Strings of windows in a row with one anchor: first and last window, anchor's place, and its hash."""
     long = np.flatnonzero(np.diff(offsets) >= width)
     if not len(long):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
     grams = window_sums(_BYTE[data], mer)
-    # 32 bits of the hash, then the place: the first of equal grams is the least
-    least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), width - mer + 1)
+    # 31 bits of the hash after a bit for hot grams, then the place: the first of equal grams is the least
+    least = (grams >> np.uint64(33) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+    if hot is not None and len(hot):
+        least[is_hot(grams, hot)] |= np.uint64(1 << 63)
+    least = sliding_min(least, width - mer + 1)
     at = _windows(offsets[:-1][long], offsets[1:][long] - width)
     place = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lo = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -148,23 +213,7 @@ def _windows(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - before[:-1], n) + np.arange(before[-1])
 
 
-def _again(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Windows at these places (ascending, in the order of the documents) equal to one before."""
-    if not len(at):
-        return np.zeros(0, bool)
-    keys = np.empty(len(at), np.uint64)
-    # hashes of stretches of places, so that memory follows the places
-    cut = np.flatnonzero(np.diff(at) > 4096) + 1
-    edges = [0, *cut.tolist(), len(at)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        base = int(at[a])
-        keys[a:b] = window_sums(_BYTE[text[base : int(at[b - 1]) + width]], width)[at[a:b] - base]
-    every = np.arange(len(text) + 1)
-    _, before = repeated(text.tobytes(), every[:-1], every[1:], keys, at, width)
-    return before
-
-
-def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, parts: int, width: int, mer: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, parts: int, width: int, mer: int, hot: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """A shard: spans known to repeat, and for each bucket the sorted strings."""
     by = np.lexsort((tags, ids))
     if (by[1:] != by[:-1] + 1).any():  # texts in the order of the documents
@@ -172,19 +221,18 @@ def _send(ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarr
         offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[by])])
         ids, tags = ids[by], tags[by]
     same = np.concatenate([[False], (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])])
-    lo, hi, place, low = anchors(data, offsets, width, mer)
+    lo, hi, place, low = anchors(data, offsets, width, mer, hot)
     fresh = ~same[rows_of(offsets, lo)]  # rows of one document and text count once
     lo, hi, place, low = lo[fresh], hi[fresh], place[fresh], low[fresh]
     if not len(lo):
         return
-    first, last, order = candidates(np.pad(data, width), lo + width, hi + width, place + width, width)
-    some = last >= first
-    suspects = _windows(first[some] - width, last[some] - width)
+    pad = width + SYMBOL
+    _, suspects, order = repeated_windows(np.pad(data, pad), lo + pad, hi + pad, place + pad, np.arange(len(lo)), width, mer)
     again = np.zeros(int(hi[-1]) + 1, bool)
-    again[suspects] = _again(data, suspects, width)
+    again[suspects - pad] = True
     zip_up = zstandard.ZstdCompressor(level=LEVEL).compress
     if again.any():
-        gone = suspects[again[suspects]]
+        gone = np.flatnonzero(again)
         row = rows_of(offsets, gone)
         cut = np.concatenate([[True], (gone[1:] > gone[:-1] + width) | (row[1:] != row[:-1])])
         first = np.flatnonzero(cut)
@@ -226,57 +274,47 @@ def _columns(planes: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(n, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
 
 
-def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mer: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], parts: int, width: int, mer: int, hot: np.ndarray, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         tags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = text_buffers(batch.column(2))
-        for lo, hi in blocks(offsets, SHARD_BYTES):
-            out = list(_send(ids[lo:hi], tags[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], parts, width, mer))
+        for lo, hi in blocks(offsets, shard_bytes):
+            out = list(_send(ids[lo:hi], tags[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], parts, width, mer, hot))
             if out:
                 part, meta, words = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(meta, pa.binary()), pa.array(words, pa.binary())], names=["part", "meta", "words"])
 
 
-def _bucket(group: pa.Table, width: int) -> pa.Table:
+def _bucket(group: pa.Table, width: int, mer: int) -> pa.Table:
     """Merge the shards of a bucket; the spans of windows equal to one that starts earlier."""
     unzip = zstandard.ZstdDecompressor().decompress
-    out, metas, texts = [np.zeros((4, 0), np.int64)], [np.zeros((_META, 0), np.int64)], []
-    for meta, words in zip(group.column("meta").to_pylist(), group.column("words").to_pylist(), strict=True):
-        columns = _columns(unzip(meta), _META if words else 4)
+    out, metas, texts = [np.zeros((4, 0), np.int64)], [np.zeros((_META + 1, 0), np.int64)], []
+    for i, (meta, words) in enumerate(zip(group.column("meta").to_pylist(), group.column("words").to_pylist(), strict=True)):
+        planes = _columns(unzip(meta), _META if words else 4)
         if words:
-            metas.append(columns)
+            metas.append(np.concatenate([planes, np.full((1, planes.shape[1]), i)]))
             texts.append(unzip(words))
         else:
-            out.append(columns)
-    meta = np.concatenate(metas, axis=1)
-    text = np.frombuffer(b"".join([bytes(width), *texts, bytes(width)]), np.uint8)
+            out.append(planes)
+    pad = bytes(width + SYMBOL)
+    ids, tags, start, size, anchor, shard = np.concatenate(metas, axis=1)
+    shard = shard.astype(np.uint16 if len(texts) < 1 << 16 else np.uint32)  # short numbers sort by their digits
+    text = np.frombuffer(b"".join([pad, *texts, pad]), np.uint8)
     del texts, metas
-    if meta.shape[1]:
-        begin = width + np.cumsum(meta[3]) - meta[3]
-        first, last, _ = candidates(text, begin, begin + meta[3] - width, begin + meta[4], width)
-        # the strings in the order of the documents, so that the first copy of a window is the one that stays
-        chosen = np.flatnonzero(last >= first)
-        meta[2] += first - begin
-        chosen = chosen[np.lexsort((meta[2][chosen], meta[1][chosen], meta[0][chosen]))]
-        if len(chosen):
-            size = last[chosen] - first[chosen] + width
-            at = np.concatenate([[0], np.cumsum(size)])
-            packed = text[_windows(first[chosen], first[chosen] + size - 1)]
-            places = _windows(at[:-1], at[1:] - width)
-            of = np.repeat(np.arange(len(chosen)), size - width + 1)
-            # rows of one document and text may come from several shards: each of their windows counts once
-            ids, tags = meta[0][chosen], meta[1][chosen]
-            document = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-            whole = (document[of] << 40) + places - at[:-1][of] + meta[2][chosen][of]
-            if (whole[1:] <= whole[:-1]).any():
-                _, first = np.unique(whole, return_index=True)
-                first.sort()
-                places, of = places[first], of[first]
-            p, q = _runs(_again(packed, places, width), np.concatenate([[False], (of[1:] == of[:-1]) & (places[1:] == places[:-1] + 1)]))
-            mine = chosen[of[p]]
-            shift = meta[2][mine] - at[:-1][of[p]]
-            out.append(np.stack([meta[0][mine], meta[1][mine], places[p] + shift, places[q] + width + shift]))
+    if len(ids):
+        begin = len(pad) + np.cumsum(size) - size
+        # the order of the documents; rows of one document and text may come from several shards
+        by = np.lexsort((start + anchor, tags, ids))
+        key = np.stack([ids, tags, start + anchor])[:, by]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(np.append(False, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        string, window, _ = repeated_windows(text, begin, begin + size - width, begin + anchor, number, width, mer, shard)
+        where = start[string] + window - begin[string]
+        by = np.lexsort((where, number[string]))
+        string, where = string[by], where[by]
+        p, q = _runs(np.ones(len(where), bool), np.append(False, (number[string][1:] == number[string][:-1]) & (where[1:] == where[:-1] + 1))[: len(where)])
+        out.append(np.stack([ids[string[p]], tags[string[p]], where[p], where[q] + width]))
     ids, tags, s, e = np.concatenate(out, axis=1)
     return pa.table({"id": ids, "tag": tags, "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
@@ -287,16 +325,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), tag.alias("tag"), F.struct("*").alias("row"))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
+def _anchored(batches: Iterator[pa.RecordBatch], width: int, mer: int, shard_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Bytes of text, anchors' hashes, and the bytes of their strings, for each shard."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        for i, j in blocks(offsets, shard_bytes):
+            lo, hi, _, low = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, mer)
+            yield int(offsets[j] - offsets[i]), low, hi - lo + width
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Spans (id, tag, s, e) of bytes that windows which also start earlier cover; spans may overlap."""
     if not 1 <= mer <= width:
         raise ValueError("mer is from 1 to width")
+    total, hot = hot_keys(docs, partial(_anchored, width=width, mer=mer, shard_bytes=shard_bytes), bucket_bytes, HOT)
     # a string repeats width - 1 bytes, so packed text is about four times the input
-    parts = max(8, -(-4 * text_bytes(docs) // BUCKET_BYTES))
-    sent = _keyed(docs).select("id", "tag", F.col("row.text").alias("text")).mapInArrow(partial(_map, parts=parts, width=width, mer=mer), _SENT)
+    parts = max(8, -(-4 * total // bucket_bytes))
+    sent = in_arrow(_keyed(docs).select("id", "tag", F.col("row.text").alias("text")), partial(_map, parts=parts, width=width, mer=mer, hot=hot, shard_bytes=shard_bytes), _SENT)
 
     def bucket(group: pa.Table) -> pa.Table:
-        return _bucket(group, width)
+        return _bucket(group, width, mer)
 
     return sent.groupBy("part").applyInArrow(bucket, _SPANS)
 
@@ -326,16 +374,16 @@ def _strip(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], names=[*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def strip_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, digest: bool = False) -> DataFrame:
+def strip_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, digest: bool = False, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): docs' row as a struct without its text, and the kept bytes, or
     their SHA-256 if digest."""
-    spans = repeated_spans(docs, width, mer).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs, width, mer, shard_bytes, bucket_bytes).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs).select("id", "tag", F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), F.col("row.text").alias("text"))
     keyed = squeezed(keyed)
     joined = keyed.join(spans, ["id", "tag"], "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.StringType() if digest else T.BinaryType())])
-    return joined.mapInArrow(partial(_strip, digest=digest), schema)
+    return in_arrow(joined, partial(_strip, digest=digest), schema)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
