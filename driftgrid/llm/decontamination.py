@@ -18,7 +18,10 @@ every item: of an item of L words a leak holds K = `COVER_ANSWER` * L or more, s
 words it holds j or more. Every block in which j of these begin within a span of L + min(L, `BLOCK`) words is
 checked with the words that far around it, and what passes again in each such span there, as common words alone can make
 up half of an item in a wider stretch by chance; no leak within such a span is lost, whatever its cosine or weights. The same count
-over the words to be checked spares the check of hits that cannot be leaks. Items go to the tasks in groups of at most `GROUP` passages, so what is broadcast is bounded.
+over the words to be checked spares the check of hits that cannot be leaks. The cosines are looked up in an index: item vectors are clustered, about `CLUSTER`
+in each, and a block is compared with those of its `PROBES` nearest clusters, or a quarter of them if that is more (so with all where the items are few); tests hold its recall to that of
+the full product. The benchmark is a set of queries: items go to the tasks in groups of at most `GROUP` passages, `GROUPS` groups in one
+scan of the texts; more take another scan, after which the groups before are let go, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
 the whole item: it is a leak if this covers `COVER` of the item's words, or
@@ -37,6 +40,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,9 +49,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix, runs_of, table, text_buffers, word_hashes
+from .common import LOWER, blocks, in_arrow, mix, runs_of, table, text_buffers, word_hashes, written
 
 TERMS, RANK, SKETCH, BLOCK, ITEM, NEAR, COMMON, GROUP = 1 << 14, 96, 192, 16, 48, 0.34, 0.05, 20_000
+#: Groups of items for one scan of the texts; item vectors in a cluster, and clusters looked into for each block.
+GROUPS, CLUSTER, PROBES = 4, 64, 12
 FLOOR = 0.1
 COVER, COVER_ANSWER, ANSWER, LEAST = 0.7, 0.5, 0.8, 5
 #: Words and blocks handled at once.
@@ -100,23 +106,27 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(begin, len(terms)))
         cells, count = np.unique((np.repeat(place, size) + terms) * 2 + np.repeat((seed & np.uint64(1)).astype(np.int64), size), return_counts=True)
         np.add.at(total, cells >> 1, np.where(cells & 1, count, -count).astype(np.float32))
-    rows = [held.tobytes(), *[r.tobytes() for r in total.reshape(SKETCH, TERMS)]]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["row", "data"])
+    # a task of few blocks sends the cells that it has, not the sketch
+    for lo in (-1, *range(0, SKETCH, 16)):
+        part = [(-1, held)] if lo < 0 else list(enumerate(total.reshape(SKETCH, TERMS)[lo : lo + 16], lo))
+        cells = [np.flatnonzero(r) for _, r in part]
+        yield pa.RecordBatch.from_arrays([pa.array([at + 1 for at, _ in part], pa.int32()), pa.array([c.astype(np.int32).tobytes() for c in cells], pa.binary()), pa.array([r[c].astype(np.float64).tobytes() for (_, r), c in zip(part, cells, strict=True)], pa.binary())], names=["row", "cells", "data"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the rows of one partition; all of a row are in one."""
-    total: dict[int, np.ndarray] = {}
+    total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(TERMS + 1))
     for batch in batches:
-        for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(data, np.float32 if at else np.float64).astype(np.float64)
-            total[at] = total[at] + part if at in total else part
+        for at, cells, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+            total[at.as_py()][np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(data.as_buffer(), np.float64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "data"])
 
 
 def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray]:
     """TERMS x RANK weights that project a passage, by adding them over its words, on scaled singular vectors; documents that hold each term."""
-    rows = docs.mapInArrow(_sketched, "row int, data binary").repartition("row").mapInArrow(_summed, "row int, data binary").collect()
+    # SKETCH + 1 rows of TERMS numbers
+    parts = in_arrow(docs, _sketched, "row int, cells binary, data binary").repartition("row")
+    rows = in_arrow(parts, _summed, "row int, data binary").collect()
     found = {r["row"]: np.frombuffer(r["data"], np.float64) for r in rows}
     if not found or not found[0][TERMS]:
         return np.zeros((TERMS, RANK), np.float32), np.zeros(TERMS)
@@ -124,7 +134,7 @@ def latent_space(docs: DataFrame, in_items: np.ndarray, n_items: int) -> tuple[n
     special = (in_items > 0) & (in_items <= max(1, COMMON * n_items))
     idf = np.log((1 + n) / (1 + held)) * ((held <= max(20, COMMON * n)) | special)
     idf = np.where(in_items > 0, np.maximum(idf, FLOOR), idf)
-    sketch = np.stack([found[i + 1] for i in range(SKETCH)]) * idf
+    sketch = np.stack([found[i + 1][:TERMS] for i in range(SKETCH)]) * idf
     values, vectors = np.linalg.eigh(sketch @ sketch.T)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
     scale = np.where(values > 1e-9 * max(values.max(), 1e-30), 1 / np.maximum(values, 1e-30), 0)
@@ -154,6 +164,40 @@ def passages(weights: np.ndarray, used: np.ndarray, terms: np.ndarray, begin: np
     return _unit(both)
 
 
+def clusters(vectors: np.ndarray, size: int = CLUSTER, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of clusters of about `size` unit vectors, and the cluster of each vector."""
+    centres = vectors[np.linspace(0, len(vectors) - 1, max(1, len(vectors) // size)).astype(np.int64)]
+    for _ in range(rounds):
+        of = np.concatenate([np.argmax(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T, axis=1) for lo in range(0, len(vectors), CHUNK_BLOCKS)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, vectors)
+        centres = np.where(np.bincount(of, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+    return centres, np.concatenate([np.argmax(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T, axis=1) for lo in range(0, len(vectors), CHUNK_BLOCKS)])
+
+
+def near_items(rows: np.ndarray, vectors: np.ndarray, centres: np.ndarray, of: np.ndarray, near: float, probes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, vector, cosine) of the pairs with a cosine of `near` or more in the clusters nearest to each row."""
+    probes = probes or max(PROBES, len(centres) // 4)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    members = [np.flatnonzero(of == c) for c in range(len(centres))]
+    for lo in range(0, len(rows), CHUNK_BLOCKS):
+        part = rows[lo : lo + CHUNK_BLOCKS]
+        if len(centres) > probes:
+            picked = np.zeros((len(part), len(centres)), bool)
+            np.put_along_axis(picked, np.argpartition(part @ centres.T, -probes, axis=1)[:, -probes:], True, axis=1)
+        else:
+            picked = np.ones((len(part), len(centres)), bool)
+        for c, own in enumerate(members):
+            at = np.flatnonzero(picked[:, c])
+            if not len(at) or not len(own):
+                continue
+            cosines = part[at] @ vectors[own].T
+            hit = np.flatnonzero(cosines >= near)
+            if len(hit):
+                found.append((at[hit // len(own)] + lo, own[hit % len(own)], cosines.ravel()[hit]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _by_runs(item: np.ndarray, block: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     """The order of hits by item, then by run of adjoining blocks, the best of each run first."""
     order = np.lexsort((block, item))
@@ -252,49 +296,51 @@ def _masks(words: list[int]) -> tuple[dict[int, int], int]:
     return places, (1 << len(words)) - 1
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], weights, group, near: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Leaks of a group of items into (doc_id, text)."""
-    w, (items, vectors, of_vector, index) = weights.value, group.value
+def _leaks(batches: Iterator[pa.RecordBatch], weights, groups: list, near: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Leaks of some groups of items into (doc_id, text)."""
+    w = weights.value
     used = w.any(axis=1)
-    masks = [(*_masks(own), *_masks(own[-last:])) for _, own, last in items]
+    masks = [[(*_masks(own), *_masks(own[-last:])) for _, own, last in g.value[0]] for g in groups]
     for ids, hashes, bounds in _texts(batches):
         if not len(hashes):
             continue
         begin, row = _block_bounds(bounds)
         rows = passages(w, used, (hashes % np.uint64(TERMS)).astype(np.int64), begin, row)
-        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        for lo in range(0, len(rows), CHUNK_BLOCKS):
-            cosines = rows[lo : lo + CHUNK_BLOCKS] @ vectors.T
-            at = np.flatnonzero(cosines >= near)
-            if len(at):
-                hits.append((at // len(of_vector) + lo, of_vector[at % len(of_vector)], cosines.ravel()[at]))
-        block, item, cosine = (np.concatenate(c) for c in zip(*hits, strict=True))
-        # the code of a block skips one between rows, so that runs end there
-        order = _by_runs(item, block + row[block], cosine) if len(item) else item
-        found: dict[tuple[int, int], tuple] = {}
-        doc_ids = ids.to_pylist()
-        for part_ in candidates(index, hashes, bounds, begin, row, block[order], item[order], cosine[order]):
-            for block_, item_, cosine_, a, b in zip(*(c.tolist() for c in part_), strict=True):
-                i = int(row[block_])
-                item_id, own, last = items[item_]
-                places, full, answer, full_answer = masks[item_]
-                part = [x for x in hashes[a:b].tolist() if x in places]
-                most = min(len(part), len(own))  # no subsequence is longer
-                if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
-                    continue
-                n, m = common_words(part, places, full), common_words(part, answer, full_answer)
-                if not _is_leak(n, m, len(own), last) or n <= found.get((i, item_), (0,) * 5)[4]:
-                    continue
-                if cosine_ < -1:  # found by counts
-                    near_by, held = hashes[a:b].tolist(), int(index[4][item_])
-                    spans = [(at, [x for x in near_by[at : at + held] if x in places]) for at, x in enumerate(near_by) if x in places]
-                    checked = [(common_words(own_part, places, full), -at, common_words(own_part, answer, full_answer)) for at, own_part in spans]
-                    n, at, m = max((c for c in checked if _is_leak(c[0], c[2], len(own), last)), default=(0, 0, 0))
-                    a, cosine_ = a - at, float((vectors[of_vector == item_] @ rows[block_]).max())
-                if n > found.get((i, item_), (0,) * 5)[4]:
-                    found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found.values(), strict=True), schema, strict=True)], schema=schema)
+        for group, own_masks in zip(groups, masks, strict=True):
+            found = _leaks_of(group.value, own_masks, rows, hashes, bounds, begin, row, ids.to_pylist(), near)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+
+def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, doc_ids: list, near: float) -> list[tuple]:
+    """Leaks of a group of items into some texts."""
+    items, vectors, of_vector, centres, cluster, index = group
+    block, vector, cosine = near_items(rows, vectors, centres, cluster, near)
+    item = of_vector[vector]
+    # the code of a block skips one between rows, so that runs end there
+    order = _by_runs(item, block + row[block], cosine) if len(item) else item
+    found: dict[tuple[int, int], tuple] = {}
+    for part_ in candidates(index, hashes, bounds, begin, row, block[order], item[order], cosine[order]):
+        for block_, item_, cosine_, a, b in zip(*(c.tolist() for c in part_), strict=True):
+            i = int(row[block_])
+            item_id, own, last = items[item_]
+            places, full, answer, full_answer = masks[item_]
+            part = [x for x in hashes[a:b].tolist() if x in places]
+            most = min(len(part), len(own))  # no subsequence is longer
+            if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
+                continue
+            n, m = common_words(part, places, full), common_words(part, answer, full_answer)
+            if not _is_leak(n, m, len(own), last) or n <= found.get((i, item_), (0,) * 5)[4]:
+                continue
+            if cosine_ < -1:  # found by counts
+                near_by, held = hashes[a:b].tolist(), int(index[4][item_])
+                spans = [(at, [x for x in near_by[at : at + held] if x in places]) for at, x in enumerate(near_by) if x in places]
+                checked = [(common_words(own_part, places, full), -at, common_words(own_part, answer, full_answer)) for at, own_part in spans]
+                n, at, m = max((c for c in checked if _is_leak(c[0], c[2], len(own), last)), default=(0, 0, 0))
+                a, cosine_ = a - at, float((vectors[of_vector == item_] @ rows[block_]).max())
+            if n > found.get((i, item_), (0,) * 5)[4]:
+                found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
+    return list(found.values())
 
 
 _KINDS = [("doc_id", pa.int64(), "long"), ("item_id", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("item_words", pa.int64(), "long"), ("common_words", pa.int64(), "long"), ("answer_words", pa.int64(), "long"), ("answer_common", pa.int64(), "long"), ("cosine", pa.float64(), "double")]
@@ -344,10 +390,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
         return out
     weights, held = latent_space(texts, in_items, n_items)
     sent = spark.sparkContext.broadcast(weights)
+    groups: list = []
+
+    def scan() -> DataFrame:
+        return in_arrow(texts, partial(_leaks, weights=sent, groups=list(groups), near=near, schema=schema), out.schema)
+
     for items in _item_groups(benchmark):
-        group = spark.sparkContext.broadcast((items, *item_passages(items, weights), word_index(items, held)))
-        out = out.unionByName(texts.mapInArrow(partial(_leaks, weights=sent, group=group, near=near, schema=schema), out.schema))
-    return out
+        if len(groups) == GROUPS:  # what is broadcast at once is bounded: this scan is done before the next groups are sent
+            out = out.unionByName(written(scan(), "leaks"))
+            for group in groups:
+                group.destroy()
+            groups = []
+        vectors, of_vector = item_passages(items, weights)
+        groups.append(spark.sparkContext.broadcast((items, vectors, of_vector, *clusters(vectors), word_index(items, held))))
+    return out.unionByName(scan())
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
