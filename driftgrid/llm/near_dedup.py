@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, in_arrow, mix, rows_of, table, text_buffers, window_sums, word_hashes, words_of, written
+from .common import LOWER, blocks, in_arrow, mix, rows_of, dropped, table, text_buffers, window_sums, word_hashes, words_of, written
 
 BANDS, ROWS = 32, 5
 MIN_AGREE = 0.6
@@ -195,6 +195,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while edges.head(1):
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -202,6 +203,7 @@ def components(links: DataFrame) -> DataFrame:
         down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         moved = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(before, least, large, down)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
@@ -215,7 +217,14 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(in_arrow(source, partial(_features, shingle=shingle), _FEATURES), "features")
     sets = features.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(sets.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")).select("k0", "k1", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "classes")
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """A table that goes before this function returns."""
+        held.append(written(df, name))
+        return held[-1]
+
+    classes = kept(sets.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s")).select("k0", "k1", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "classes")
 
     def banded(rows: DataFrame) -> DataFrame:
         """A row for each band of each class."""
@@ -224,14 +233,14 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
 
     bands = banded(classes.select("node", "sketch"))
     counts = bands.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = written(bands.join(counts, ["band", "key"]), "shared")
+    shared = kept(bands.join(counts, ["band", "key"]), "shared")
     # the member that meets the most others over all its buckets leads: in a group of edited copies, their original
     weights = shared.groupBy("node").agg(F.sum("m").alias("w"))
     leaders = shared.join(weights, "node").groupBy("band", "key").agg(F.max(F.struct("w", (-F.col("node")).alias("less"))).alias("s"))
     leaders = leaders.select("band", "key", (-F.col("s.less")).alias("lead"))
-    buckets = written(shared.join(leaders, ["band", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "buckets")
+    buckets = kept(shared.join(leaders, ["band", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "buckets")
     members = buckets.select("a").unionByName(buckets.select(F.col("b").alias("a"))).distinct()
-    texts = written(source.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    texts = kept(source.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         # one leader may be in a third of all pairs: its text is copied once for each LEADER_PAIRS of them
@@ -247,11 +256,11 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         return counted.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("s")).select("a", (-F.col("s.less")).alias("b"))
 
     # a leader outranks all whom it leads, so that the links form trees; classes under one root of height two get its label
-    links = written(confirmed(written(best(buckets), "pairs")).groupBy("a").agg(F.min("b").alias("b")), "links")
+    links = kept(confirmed(kept(best(buckets), "pairs")).groupBy("a").agg(F.min("b").alias("b")), "links")
     above = links.select(F.col("a").alias("b"), F.col("b").alias("root"))
     roots = links.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("component"))
     ids = classes.groupBy("node").agg(F.max("n").alias("n"))
-    labels = written(ids.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")), "labels")
+    labels = kept(ids.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")), "labels")
 
     def contracted(links: DataFrame) -> DataFrame:
         """Links between labels, the larger one first."""
@@ -275,14 +284,16 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
         return _forest(group, shingle, percent)
 
     block = ["band", "key", "i", "j"]
-    left = written(cut.groupBy(*block).applyInArrow(alike, cut.schema), "left")
-    links = links.unionByName(written(left.join(texts, "node").groupBy(*block).applyInArrow(forest, "a long, b long"), "links"))
+    left = kept(cut.groupBy(*block).applyInArrow(alike, cut.schema), "left")
+    links = links.unionByName(kept(left.join(texts, "node").groupBy(*block).applyInArrow(forest, "a long, b long"), "links"))
     joined = components(contracted(links)).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    grown = written(labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("root")), "grown")
+    grown = kept(labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("root")), "grown")
     least = grown.groupBy("root").agg(F.min("node").alias("component_id"))
     nodes = classes.select("k0", "k1", "node").join(grown.join(least, "root"), "node").select("k0", "k1", "component_id")
     rows = features.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k0")).alias("k0"), F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"))
-    return rows.join(written(nodes, "nodes"), ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(nodes, "nodes")
+    dropped(*held)
+    return rows.join(named, ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,28 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
+def test_shared_tables(spark, tmp_path, monkeypatch):
+    import os
+    from types import SimpleNamespace
+
+    from driftgrid.llm import common
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):  # a cluster without a shared folder
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    held = common.written(spark.range(3), "some")
+    assert held.count() == 3 and os.path.isdir(held.written_to) and held.written_to.startswith(str(tmp_path))
+    common.dropped(held)
+    assert not os.path.exists(held.written_to)
+    near_dedup.near_classes(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "x y z")], "doc_id long, text string"), 2).count()
+    (app,) = (tmp_path / "driftgrid").iterdir()
+    assert {name.split("-")[0] for name in os.listdir(app)} == {"features", "nodes", "edges"}
+
+
 def test_rules(spark, odd, docs):
     def brute(text):
         w = words(text)
@@ -267,24 +289,63 @@ def _bytes(rows, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [1 << 22, 2000])
-def test_suffixes(spark, odd, shard, monkeypatch):
-    rows = sorted({(-(1 << 63) if d is None else d, t or "") for d, t in ODD})
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
-    got = suffix_dedup.strip_spans(odd.filter("doc_id is not null or text is not null").dropDuplicates(["doc_id", "text"]), digest=True)
+@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 22), (2000, 1 << 22), (2000, 2000)])
+def test_suffixes(spark, odd, docs, sizes):
+    """Shards of 2000 bytes and more, in few buckets or many; a small bucket makes all of the common anchors hot."""
+    more = [(100_000 + d, t) for d, t in docs[:60]]  # copies of documents among them
+    rows = sorted({(-(1 << 63) if d is None else d, t or "") for d, t in [*ODD, *more, *[(d + 200_000, t) for d, t in more[:20]]]} - {(-(1 << 63), "")})
+    table = spark.createDataFrame([(None if d == -(1 << 63) else d, t) for d, t in rows], "doc_id long, text string").repartition(3)
+    kept = dict(zip(("shard_bytes", "bucket_bytes"), sizes, strict=True))
+    got = suffix_dedup.strip_spans(table, digest=True, **kept)
     got = got.select(F.coalesce("row.doc_id", F.lit(-(1 << 63))), "n_bytes", "n_removed", "n_spans", "kept")
-    assert sorted(map(tuple, got.collect())) == _bytes([r for r in rows if r != (-(1 << 63), "")], 100)
-    assert suffix_dedup.strip_spans(odd.limit(0)).count() == 0
+    assert sorted(map(tuple, got.collect())) == _bytes(rows, 100)
+
+    def shards(batches):  # as the workers see them
+        for batch in batches:
+            for rows_ in suffix_dedup._map([batch], 1, 100, 16, np.zeros(0, np.uint64), sizes[0]):
+                yield rows_.select(["part"])
 
+    seen = suffix_dedup._keyed(table).select("id", "tag", "row.text").mapInArrow(shards, "part long").count()
+    assert seen > 40 if sizes[0] == 2000 else seen <= 6
+    assert suffix_dedup.strip_spans(odd, digest=True, **kept).count() == len(ODD) and suffix_dedup.strip_spans(odd.limit(0)).count() == 0
 
-def test_interleave():
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_merged_transforms(step):
+    """The interleave of shards' transforms against a plain sort of all suffixes, with the common prefixes of neighbours."""
     rng = np.random.default_rng(2)
-    text = np.frombuffer(b"abcabc" * 30 + rng.integers(97, 100, 400).astype(np.uint8).tobytes() + bytes(40), np.uint8)
-    places = rng.permutation(500)
-    order, common = suffix_dedup.interleave(text, places, 32)
-    keys = [text[p : p + 32].tobytes() for p in places[order]]
-    assert keys == sorted(keys)
-    assert common[1:].tolist() == [next((i for i in range(32) if a[i] != b[i]), 32) for a, b in zip(keys, keys[1:], strict=False)]
+    text = np.frombuffer(bytes(64) + b"abcabc" * 30 + rng.integers(97, 100, 600).astype(np.uint8).tobytes() + bytes(64), np.uint8)
+    places = rng.permutation(np.arange(64, 764))
+    shard = np.sort(rng.integers(0, 9, 700)).astype(np.uint16)
+    keys = [text[p : p + 32].tobytes() if step > 0 else text[p - 31 : p + 1].tobytes()[::-1] for p in places]
+    want = sorted(keys)
+    prefixes = [next((i for i in range(32) if a[i] != b[i]), 32) for a, b in zip(want, want[1:], strict=False)]
+    for order, common in (suffix_dedup.merged(text, places, shard, 32, step), suffix_dedup.transform(text, places, 32, step)):
+        assert [keys[i] for i in order] == want and common[1:].tolist() == prefixes
+    parts, own = suffix_dedup.columns(text, places, shard, 32, step)
+    for z in range(9):  # a shard's transform: its suffixes in order, and the symbol before each
+        mine = own[shard == z]
+        assert [keys[i] for i in mine] == sorted(keys[i] for i in np.flatnonzero(shard == z))
+        after = sorted((keys[i][8:], i) for i in np.flatnonzero(shard == z))
+        assert sorted(parts[0][shard == z].tolist()) == sorted(int.from_bytes(keys[i][:8], "big") for _, i in after)
+
+
+def test_hot_anchors_spread(spark):
+    """One phrase in every document, among words that differ: it is an anchor of no string that has another."""
+    rng = np.random.default_rng(6)
+    phrase = "the same few words in every one of all these documents"
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 40)), phrase, *(f"w{x}" for x in rng.integers(0, 10**6, 40))])) for i in range(300)]
+    data, offsets = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for _, t in rows)])
+    counts = Counter(suffix_dedup.anchors(data, offsets, 100, 16)[3].tolist())
+    hot = np.sort(np.array([k for k, n in counts.items() if n > 100], np.uint64))
+    assert len(hot)
+    lo, hi, place, low = suffix_dedup.anchors(data, offsets, 100, 16, hot)
+    assert max(Counter(low.tolist()).values()) < max(counts.values()) and (hi - lo + 1).sum() == sum(len(t) - 99 for _, t in rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.strip_spans(table, digest=True, bucket_bytes=4000).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert sorted(map(tuple, got.collect())) == _bytes(rows, 100)
+    got = substring_dedup.strip_repeats(table, 8, digest=True, bucket_bytes=4000).select("row.doc_id", "n_words", "n_removed", "kept")
+    assert sorted(map(tuple, got.collect())) == _strip(rows, 8)
 
 
 def test_leaks(spark, docs, odd):
@@ -303,6 +364,59 @@ def test_leaks(spark, docs, odd):
     assert decontamination.find_leaks(odd.limit(0), benchmark).count() == 0 and decontamination.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_leak_index(spark, capsys):
+    """The items' index against the full product, and leaks with words replaced, against what the rule can confirm."""
+    rng = np.random.default_rng(8)
+    text = lambda n, topic: [f"t{topic}w{int(x)}" if x % 2 else f"w{int(x)}" for x in rng.integers(0, 600, n)]
+    items = [(k, " ".join(text(int(rng.integers(20, 31)), k % 30))) for k in range(1500)]
+    rows, planted = [], {}
+    for k in range(120):
+        words_, part = items[k * 12][1].split(), (0, 15, 25)[k % 3]
+        changed = set(rng.permutation(len(words_))[: round(len(words_) * part / 100)].tolist())
+        own = [f"z{i}" if i in changed else w for i, w in enumerate(words_)]
+        rows.append((k, " ".join([*text(80, k % 30), *own, *text(80, k % 30)])))
+        planted[k] = (k * 12, part)
+    rows += [(1000 + k, " ".join(text(200, k % 30))) for k in range(200)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    (group,) = decontamination._item_groups(benchmark)
+    in_items = np.zeros(decontamination.TERMS)
+    for _, own, _ in group:
+        in_items[np.unique(np.array(own, np.uint64) % np.uint64(decontamination.TERMS)).astype(np.int64)] += 1
+    weights, _ = decontamination.latent_space(docs_, in_items, len(group))
+    vectors, of = decontamination.item_passages(group, weights)
+    hashes, bounds = decontamination.word_ids(*_joined([t for _, t in rows]))
+    begin, row = decontamination._block_bounds(bounds)
+    blocks_ = decontamination.passages(weights, weights.any(axis=1), (hashes % np.uint64(decontamination.TERMS)).astype(np.int64), begin, row)
+    centres, cluster = decontamination.clusters(vectors)
+    assert len(centres) > decontamination.PROBES
+    block, vector, _ = decontamination.near_items(blocks_, vectors, centres, cluster, decontamination.NEAR)
+    full = set(map(tuple, np.argwhere(blocks_ @ vectors.T >= decontamination.NEAR).tolist()))
+    got = set(zip(block.tolist(), vector.tolist(), strict=True))
+    recall = len(got & full) / len(full)
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs_, benchmark).collect()}
+    by_part = {part: np.mean([(d, i) in found for d, (i, p) in planted.items() if p == part]) for part in (0, 15, 25)}
+    with capsys.disabled():
+        print(f"\nindex: {recall:.3f} of the full product's hits; leaks found by percent of words replaced: {by_part}")
+    assert recall >= 0.9 and got <= full
+    assert by_part[0] == 1 and by_part[15] == 1 and by_part[25] >= 0.95  # with 25 % replaced, some are beyond the rule
+
+
+def _joined(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def test_leaks_in_several_scans(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "GROUP", 3)
+    monkeypatch.setattr(decontamination, "GROUPS", 2)
+    few = spark.createDataFrame(docs[:60], "doc_id long, text string")
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").limit(20)
+    parts = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(few, benchmark).collect()}
+    monkeypatch.undo()
+    assert parts == {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(few, benchmark).collect()}
+
+
 def test_leaks_in_long_runs(spark):
     rng = np.random.default_rng(9)
     item = [f"q{i}" for i in range(20)]
