@@ -11,7 +11,7 @@ import datetime as dt
 import os
 import types
 import typing
-from dataclasses import MISSING, dataclass, field, fields, is_dataclass
+from dataclasses import MISSING, dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -49,6 +49,7 @@ class Paths:
     raw_dir: str = "data/raw"
     processed_dir: str = "data/processed"
     reports_dir: str = "reports"
+    signals_dir: str = "signals"
 
 
 @dataclass(frozen=True)
@@ -77,14 +78,26 @@ class Fx:
 
 
 @dataclass(frozen=True)
-class Ibkr:
-    host_env: str = "IBKR_HOST"
-    port_env: str = "IBKR_PORT"
-    client_id_env: str = "IBKR_CLIENT_ID"
+class Spot:
     symbol: str = "USD"
     currency: str = "JPY"
     exchange: str = "IDEALPRO"
     what_to_show: str = "MIDPOINT"
+
+
+@dataclass(frozen=True)
+class Futures:
+    symbol: str = "JPY"
+    exchange: str = "CME"
+
+
+@dataclass(frozen=True)
+class Ibkr:
+    host_env: str = "IBKR_HOST"
+    port_env: str = "IBKR_PORT"
+    client_id_env: str = "IBKR_CLIENT_ID"
+    spot: Spot = field(default_factory=Spot)
+    futures: Futures = field(default_factory=Futures)
     bar_size: str = "1 day"
     use_rth: bool = False
     live_account_confirmed: bool = False
@@ -123,6 +136,12 @@ class Config:
     alignment: Alignment
     validation: Validation
     paths: Paths = field(default_factory=Paths)
+    #: The folder that `paths` start from, set by `load`.
+    root: str = "."
+
+    def folder(self, kind: str) -> Path:
+        """The raw, processed, reports or signals folder."""
+        return Path(self.root) / getattr(self.paths, f"{kind}_dir")
 
 
 def _value(kind: Any, value: Any, where: str) -> Any:
@@ -186,15 +205,23 @@ def parse(data: dict) -> Config:
     return config
 
 
-def resolve_root(root: str | None = None) -> Path:
+DEFAULT_PATH = "configs/default.yaml"
+
+
+def resolve_root(root: str | Path | None = None) -> Path:
     """The folder that relative paths start from: the argument, DRIFTGRID_ROOT, or the current one."""
-    return Path(root or os.environ.get("DRIFTGRID_ROOT") or ".").resolve()
+    return Path(root or os.environ.get("DRIFTGRID_ROOT") or ".").expanduser().resolve()
 
 
-def load(path: str) -> Config:
+def load(path: str | Path | None = None, root: str | Path | None = None) -> Config:
+    """The settings of a YAML file; a relative path, configs/default.yaml if none is given, starts from the root."""
     import yaml
 
-    return parse(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
+    base = resolve_root(root)
+    data = yaml.safe_load((base / (path or DEFAULT_PATH)).read_text(encoding="utf-8")) or {}
+    if isinstance(data, dict) and "root" in data:
+        raise ConfigError("config: unknown keys root")
+    return replace(parse(data), root=str(base))
 
 
 def weekdays_of(mask: str) -> list[int]:

@@ -1,7 +1,11 @@
-"""Statistics that use past rows alone (M1-M5, M10, M13, M6 and M9 by series).
+"""Statistics by window and aggregation, of past rows alone where they roll.
 
 Rolling figures are window aggregations that end at the row before; they run by `key`, so series
-are spread over tasks. Degenerate windows give null, never NaN.
+are spread over tasks.
+
+Defined results: null values take no part in a regression but hold their place in a window of rows; a window that is not full, without spread in x, or
+degenerate in another way gives null, never NaN; rows that tie in `order` are windowed in any order, so an order should be
+unique in its key; repeated rows count each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,8 +13,6 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -68,85 +70,27 @@ def chow(df: DataFrame, y: str, x: str, date: str, split: dt.date, key: list[str
     return out.withColumn("f", F.when(F.col("n") > 4, ((F.col("rss_all") - apart) / 2) / F.nullif(apart / (F.col("n") - 4), F.lit(0.0))))
 
 
-def signal_states(df: DataFrame, z: str, key: list[str], order: list[str], enter: float = 2.0, leave: float = 0.25, stop: float = 3.5, most_rows: int = 60) -> DataFrame:
-    """position (-1, 0, 1) and reason after each row: a fold in order within a key.
+def walk_forward(df: DataFrame, y: str, x: str, key: list[str], block: str) -> DataFrame:
+    """df with slope, intercept and residual of the line fitted to all blocks before a row's own (M14); null in the first.
 
-    A position opens against z at `enter`, closes at `leave`, at `stop`, or after most_rows rows; after a
-    stop it opens again only once |z| has been under `leave`. One key's rows meet in one array.
+    Sums of each block are added up over the blocks before, so no row is fitted twice.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(z).alias("z"))))
-    state = F.struct(F.lit(0).alias("position"), F.lit(0).alias("held"), F.lit(False).alias("barred"), F.array().cast("array<struct<position:int,reason:string>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        size = F.abs(r["z"])
-        known = r["z"].isNotNull()
-        # a null z leaves everything as it is, but for the rows held
-        late = s["held"] + 1 >= most_rows
-        closing = F.when(known & (size >= stop), F.lit("stop")).when(known & (size <= leave), F.lit("exit")).when(late, F.lit("time"))
-        opening = known & (size >= enter) & (size < stop) & ~s["barred"]
-        reason = F.when(s["position"] != 0, closing).when(opening, F.lit("enter"))
-        position = F.when(s["position"] != 0, F.when(reason.isNull(), s["position"]).otherwise(0)).when(opening, -F.signum(r["z"]).cast("int")).otherwise(0)
-        barred = F.when(reason == "stop", True).when(known & (size <= leave), False).otherwise(s["barred"])
-        held = F.when((s["position"] != 0) & (position != 0), s["held"] + 1).otherwise(0)
-        return F.struct(position.alias("position"), held.alias("held"), barred.alias("barred"), F.concat(s["out"], F.array(F.struct(position.alias("position"), reason.alias("reason")))).alias("out"))
-
-    folded = df.groupBy(*key).agg(rows.alias("rows")).withColumn("out", F.aggregate("rows", state, step, lambda s: s["out"]))
-    both = folded.select(*key, F.explode(F.arrays_zip("rows", "out")).alias("p"))
-    return both.select(*key, *[F.col(f"p.rows.{c}").alias(c) for c in order], F.col("p.rows.z").alias("z"), "p.out.position", "p.out.reason")
-
-
-def drawdown(df: DataFrame, value: str, key: list[str], order: list[str]) -> DataFrame:
-    """equity, peak and drawdown of summed returns."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("equity", F.sum(value).over(w))
-    return out.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
-
-
-def performance(df: DataFrame, value: str, key: list[str], per_year: int = 252) -> DataFrame:
-    """n, mean, sharpe and sortino of returns."""
-    down = F.sqrt(F.avg(F.pow(F.least(F.col(value), F.lit(0.0)), 2)))
-    root = math.sqrt(per_year)
-    return df.groupBy(*key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.avg(value) / F.nullif(F.stddev_samp(value), F.lit(0.0)) * root).alias("sharpe"), (F.avg(value) / F.nullif(down, F.lit(0.0)) * root).alias("sortino"))
-
-
-def dickey_fuller(df: DataFrame, value: str, key: list[str], order: list[str], lags: int = 1) -> DataFrame:
-    """statistic of the augmented Dickey-Fuller regression with a constant, for each key (M6); null with too few rows."""
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order)[value].dropna().to_numpy(float)
-        d = np.diff(x)
-        n = len(d) - lags
-        out = None
-        if n > lags + 3:
-            cols = [np.ones(n), x[lags:-1], *[d[lags - k : len(d) - k] for k in range(1, lags + 1)]]
-            design, target = np.stack(cols, axis=1), d[lags:]
-            beta, _, rank, _ = np.linalg.lstsq(design, target, rcond=None)
-            rest = target - design @ beta
-            spread = rest @ rest / (n - design.shape[1])
-            if rank == design.shape[1] and spread > 0:
-                out = float(beta[1] / math.sqrt(spread * np.linalg.inv(design.T @ design)[1, 1]))
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in key}, "statistic": [out], "n": [max(n, 0)]})
-
-    kinds = dict(df.dtypes)
-    return df.select(*key, *order, value).groupBy(*key).applyInPandas(test, ", ".join([*[f"`{k}` {kinds[k]}" for k in key], "statistic double, n long"]))
-
-
-def kalman_beta(df: DataFrame, y: str, x: str, key: list[str], order: list[str], drift: float = 1e-4, noise: float = 1e-2) -> DataFrame:
-    """beta and alpha that drift as random walks, filtered in order within each key; both before the row is seen (M9)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        mean, cov = np.zeros(2), np.eye(2)
-        out = np.full((len(group), 2), np.nan)
-        for i, (b, a) in enumerate(zip(group[y].to_numpy(float), group[x].to_numpy(float), strict=True)):
-            out[i] = mean
-            cov = cov + drift * np.eye(2)
-            if np.isfinite(a) and np.isfinite(b):
-                h = np.array([1.0, a])
-                gain = cov @ h / (h @ cov @ h + noise)
-                mean = mean + gain * (b - h @ mean)
-                cov = cov - np.outer(gain, h @ cov)
-        return group[[*key, *order]].assign(alpha=out[:, 0], beta=out[:, 1])
-
-    kinds = dict(df.dtypes)
-    return df.select(*key, *order, y, x).groupBy(*key).applyInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in [*key, *order]], "alpha double, beta double"]))
+    known = F.col(y).isNotNull() & F.col(x).isNotNull()
+    a, b = F.when(known, F.col(x)), F.when(known, F.col(y))
+    sums = {"_n": F.count(a), "_x": F.sum(a), "_y": F.sum(b), "_xx": F.sum(a * a), "_xy": F.sum(a * b)}
+    before = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*key, block).agg(*[c.alias(n) for n, c in sums.items()])
+    blocks = blocks.select(*key, block, *[F.sum(n).over(before).alias(n) for n in sums])
+    spread = F.nullif(F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0.0))
+    slope = (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / spread
+    fits = blocks.select(*key, block, slope.alias("slope"), ((F.col("_y") - slope * F.col("_x")) / F.col("_n")).alias("intercept"))
+    return residual(df.join(fits, [*key, block]), y, x).drop("fair")
+
+
+def anchor_checks(df: DataFrame, value: str, date: str, key: list[str], anchors: list[tuple[str, dt.date, dt.date, int]]) -> DataFrame:
+    """(key, anchor, n, mean, ok): whether a value has the expected sign, on average, in spans of days that are known (M12); ok is null without rows."""
+    rows = []
+    for name, start, end, sign in anchors:
+        inside = F.when(F.col(date).between(start, end), F.col(value))
+        rows.append(F.struct(F.lit(name).alias("anchor"), F.count(inside).alias("n"), F.avg(inside).alias("mean"), (F.signum(F.avg(inside)) == sign).alias("ok")))
+    return df.groupBy(*key).agg(F.array(*rows).alias("_a")).select(*key, F.explode("_a").alias("_a")).select(*key, "_a.*")

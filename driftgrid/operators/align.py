@@ -33,20 +33,37 @@ class Aligned:
     gaps: DataFrame
 
 
-def aligned_long(observations: DataFrame, rules: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(date, series, grp, required, exact, back, obs_date, value, lag_days) for each calendar day and series."""
-    targets = calendar.crossJoin(F.broadcast(rules)).withColumn("back", F.when(F.col("shift") == "previous", F.col("back")).otherwise(F.lit(0)))
-    targets = targets.withColumn("target", F.expr("date_sub(date, back)")).select("date", "series", "target", "grp", "required", "exact", "shift", "back")
-    found = asof_lookup(targets, observations, rules)
+def targets_of(rules: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The day that is looked up for each series and calendar day: their product is what an alignment gives.
+
+    The calendar has a row for each day of the settings' range, so it may go to every task, however many series there are.
+    """
+    targets = rules.crossJoin(F.broadcast(calendar)).withColumn("back", F.when(F.col("shift") == "previous", F.col("back")).otherwise(F.lit(0)))
+    return targets.withColumn("target", F.expr("date_sub(date, back)")).select("date", "series", "target", "grp", "required", "exact", "shift", "back")
+
+
+def looked_up(targets: DataFrame, observations: DataFrame, rules: DataFrame, longest: int | None = None) -> DataFrame:
+    """Targets with the observation that each may read."""
+    found = asof_lookup(targets, observations, rules, longest)
     return found.withColumn("lag_days", F.datediff("date", "obs_date")).drop("target")
 
 
+def aligned_long(observations: DataFrame, rules: DataFrame, calendar: DataFrame, longest: int | None = None) -> DataFrame:
+    """(date, series, grp, required, exact, shift, back, obs_date, value, lag_days) for each calendar day and series."""
+    return looked_up(targets_of(rules, calendar), observations, rules, longest)
+
+
 def drop_log(long: DataFrame) -> DataFrame:
     """(date, series, reason) of each required series that is missing on a day."""
     reason = F.when(F.col("exact"), F.lit("missing_on_snapshot_date")).otherwise(F.lit("stale_beyond_max_lag"))
     return long.filter("required and value is null").select("date", "series", reason.alias("reason"))
 
 
+def group_lags(long: DataFrame) -> DataFrame:
+    """(date, grp, lag_days, n_values): the longest lag of each group's required series."""
+    return long.groupBy("date", "grp").agg(F.max(F.when(F.col("required"), F.col("lag_days"))).alias("lag_days"), F.count("value").alias("n_values"))
+
+
 def wide(long: DataFrame, columns: list[str]) -> DataFrame:
     """The daily table: series, spreads and the lag of each group, on days with all required series."""
     # one aggregation in place of a pivot and joins: the columns are known
@@ -71,7 +88,7 @@ def align(spark: SparkSession, observations: DataFrame, config: Config, series:
     start, end = config.project.start_date, config.project.end
     rules = policy(spark, config.alignment, series)
     calendar = weekday_calendar(spark, start, end, weekdays_of(config.alignment.weekmask))
-    long = aligned_long(observations, rules, calendar)
+    long = aligned_long(observations, rules, calendar, max(config.alignment.asof_max_lag_days.values(), default=0))
     daily = wide(long, series)
     gaps = classify_gaps(observations, rules, calendar, holidays(spark, start, end), end, config.alignment.publication_lag_days)
     return Aligned(long, daily, drop_log(long), carries(long, daily), gaps)
@@ -96,5 +113,17 @@ def report(aligned: Aligned) -> dict:
     }
 
 
+def report_rows(aligned: Aligned) -> DataFrame:
+    """The roll-up as a table (section, key, n), for reports that are kept and compared."""
+    total = lambda section, df: df.agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.lit("").alias("key"), "n")
+    keyed = lambda section, df: df.groupBy(F.concat_ws("/", "series", "reason").alias("key")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "key", "n")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.col("series").alias("key"), F.col(k).cast("long").alias("n")) for k in ("carried_forward", "carried_over_one", "max_lag")]))
+    parts = [total("rows_out", aligned.daily), total("rows_dropped", aligned.drops.select("date").distinct()), keyed("dropped", aligned.drops), keyed("gaps", aligned.gaps), aligned.carries.select(kinds.alias("c")).select("c.*")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def at_date(daily: DataFrame, date: dt.date) -> DataFrame:
     return daily.filter(F.col("date") == date)

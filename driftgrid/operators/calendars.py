@@ -145,14 +145,14 @@ def gap_reason(date: Column, holiday: Column, end: dt.date, publication_lag: int
 def classify_gaps(observations: DataFrame, series: DataFrame, calendar: DataFrame, closed: DataFrame, end: dt.date, publication_lag: int) -> DataFrame:
     """(series, date, reason) of each calendar day on which a series of `series` (series, market) has no value.
 
-    series and calendar are small by their settings; their product has a row for each day and series,
-    and the observations are reduced to their keys before they are shuffled.
+    The product has a row for each day and series; the calendar is bounded by the settings' range and goes to every
+    task, and the observations are reduced to their keys before they are shuffled.
     """
-    wanted = calendar.select("date").crossJoin(F.broadcast(series.select("series", "market")))
+    wanted = series.select("series", "market").crossJoin(F.broadcast(calendar.select("date")))
     seen = observations.filter(F.col("value").isNotNull()).select("series", F.col("obs_date").alias("date")).distinct()
     missing = wanted.join(seen, ["series", "date"], "left_anti")
     known = closed.select("market", "date", F.lit(True).alias("closed")).distinct()
-    found = missing.join(F.broadcast(known), ["market", "date"], "left")
+    found = missing.join(known, ["market", "date"], "left")
     return found.select("series", "date", gap_reason(F.col("date"), F.coalesce("closed", F.lit(False)), end, publication_lag).alias("reason"))
 
 

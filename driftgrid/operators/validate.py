@@ -1,7 +1,9 @@
 """Validation of a daily table: findings and figures, never repairs.
 
-Checks of values share one aggregation; duplicates and gaps are one more job. Findings are a
-DataFrame (level, check, subject, n, message), so they can be queried, kept and compared.
+Checks of values share one aggregation over the table; days found twice and gaps are aggregated from its distinct
+days, which are persisted for it. Findings are a DataFrame (level, check, subject, n, message), so they can be queried, kept and compared.
+Rows are compared with the row before them in ranges of their order: a window in each range, and the last row of each
+range carried to the next, so no window holds a whole table.
 
 Defined results: an empty table gives a `rows` finding and null figures; a day outside the weekday calendar is a finding of its own
 and does not count in gaps; missing required columns end the checks; a null value is reported by
@@ -52,23 +54,32 @@ def duplicate_dates(daily: DataFrame, key: str = "date") -> DataFrame:
     return daily.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def gaps(daily: DataFrame) -> DataFrame:
-    """(before, date, n): weekdays missing between neighbouring rows.
+def with_before(df: DataFrame, value: str, order: str, ranges: Column) -> DataFrame:
+    """df with `before`, the value of the row before each by `order`; ranges numbers stretches of that order."""
+    inside = Window.partitionBy("_range").orderBy(order)
+    rows = df.withColumn("_range", ranges)
+    rows = rows.withColumns({"_at": F.row_number().over(inside), "_own": F.lag(value).over(inside)})
+    ends = df.select(ranges.alias("_range"), value, order).groupBy("_range").agg(F.max_by(value, order).alias("_end"))
+    # a row for each range
+    carried = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_carried"))
+    found = rows.join(carried, rows["_range"].eqNullSafe(carried["_range"]), "left").drop(carried["_range"])
+    return found.withColumn("before", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_own"))).drop("_range", "_at", "_own", "_carried")
+
 
-    Days are distinct first, so the one window over a table's days holds a row a day at most.
-    """
-    days = daily.filter(F.weekday("date") < 5).select("date").distinct()
-    w = Window.orderBy("date")
-    out = days.select(F.lag("date").over(w).alias("before"), "date")
+def gaps(daily: DataFrame) -> DataFrame:
+    """(before, date, n): weekdays missing between neighbouring days."""
+    days = daily.filter(F.weekday("date") < 5).select(F.col("date").cast("date").alias("date")).distinct()
+    out = with_before(days, "date", "date", F.year("date"))
     return out.select("before", "date", (weekday_ordinal(F.col("date")) - weekday_ordinal(F.col("before")) - 1).cast("long").alias("n")).filter("n > 0")
 
 
-def unsorted_rows(daily: DataFrame, ordinal: str) -> DataFrame:
-    """Rows whose day is before that of the row before them by a stored ordinal."""
-    return daily.withColumn("_before", F.lag("date").over(Window.orderBy(ordinal))).filter("date < _before").drop("_before")
+def unsorted_rows(daily: DataFrame, ordinal: str, stretch: int = 1_000_000) -> DataFrame:
+    """Rows whose day is before that of the row before them by a stored ordinal, a number."""
+    return with_before(daily, "date", ordinal, F.floor(F.col(ordinal) / stretch)).filter("date < before").drop("before")
 
 
-def validate(daily: DataFrame, config: Config, metadata: dict | None = None) -> Result:
+def validate(daily: DataFrame, config: Config, metadata: dict | None = None, ordinal: str | None = None) -> Result:
+    """All checks of a daily table; ordinal names a column that keeps the order in which its rows were stored (H5)."""
     spark, rules = daily.sparkSession, config.validation
     found: list[tuple] = []
 
@@ -83,7 +94,9 @@ def validate(daily: DataFrame, config: Config, metadata: dict | None = None) ->
         return Result(spark.createDataFrame(found, FINDINGS), {})
     if kinds["date"] != "date":
         add("error", "schema", "date", 1, f"date is a {kinds['date']}")
-    if extra := [c for c in columns if c not in {*need, *OPTIONAL, *LAGS}]:
+    if ordinal and (late := unsorted_rows(daily, ordinal).count()):
+        add("error", "dates", "order", late, f"{late} rows are before the row stored before them")
+    if extra := [c for c in columns if c not in {*need, *OPTIONAL, *LAGS, ordinal}]:
         add("warning", "schema", ",".join(extra), len(extra), f"unexpected columns: {', '.join(extra)}")
     figures, optional = [*REQUIRED, *SPREADS], [c for c in OPTIONAL if c in columns]
     lags = [c for c in LAGS if c in columns]
@@ -101,9 +114,11 @@ def validate(daily: DataFrame, config: Config, metadata: dict | None = None) ->
         exprs += [F.count_if(F.col(c) < 0).alias(f"neg_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.avg(c), 3).alias(f"mean_{c}")]
     s = daily.agg(*exprs).first().asDict()
 
-    double = duplicate_dates(daily).orderBy("date").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("date")), 1, EXAMPLES).alias("days")).first()
-    if double["n"]:
-        add("error", "dates", "date", double["n"], f"{double['n']} days are repeated, such as {', '.join(map(str, double['days']))}")
+    days = daily.groupBy("date").agg(F.count("*").alias("n")).persist()
+    double = days.filter("n > 1")
+    if repeated := double.count():
+        shown = [str(r["date"]) for r in double.orderBy("date").limit(EXAMPLES).collect()]
+        add("error", "dates", "date", repeated, f"{repeated} days are repeated, such as {', '.join(shown)}")
     if s.get("time_of_day"):
         add("error", "dates", "date", s["time_of_day"], "dates have a time of day")
     if s["off_calendar"]:
@@ -129,7 +144,7 @@ def validate(daily: DataFrame, config: Config, metadata: dict | None = None) ->
     for c in lags:
         if s[f"neg_{c}"]:
             add("error", "lags", c, s[f"neg_{c}"], f"{c} is negative in {s[f'neg_{c}']} rows")
-    wide = gaps(daily)
+    wide = gaps(days)
     largest = wide.agg(F.max("n").alias("n"), F.sum("n").alias("total")).first()
     too_wide = wide.filter(F.col("n") > rules.max_gap_business_days)
     n = too_wide.count() if (largest["n"] or 0) > rules.max_gap_business_days else 0
@@ -137,6 +152,7 @@ def validate(daily: DataFrame, config: Config, metadata: dict | None = None) ->
         add("error", "gaps", str(r["date"]), r["n"], f"{r['n']} weekdays are missing between {r['before']} and {r['date']}")
     if n > MOST_GAPS:
         add("error", "gaps", "more", n - MOST_GAPS, f"and {n - MOST_GAPS} more gaps")
+    days.unpersist()
     for name, have, level in (("row_count", s["rows"], "error"), ("convention", config.alignment.convention, "warning")):
         if metadata and name in metadata and metadata[name] != have:
             add(level, "metadata", name, 1, f"{name} is {have} but recorded as {metadata[name]}")

@@ -1,6 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, with equal DuckDB SQL.
 
-`events` stands for feeds (a series is a user, sparse days), daily `orders` for one long series.
+`events` stands for feeds (a series is a user, sparse days), daily `orders` for long series, one for each priority. Readers
+read files that the query writes from these tables first, in the folder of `landing.scratch`.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..config import Config, parse
+from ..functions import series as models
+from ..functions import stats, trading
 from ..operators import align, asof, calendars, dedup, provenance, validate
+from ..sources import feeds, landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +29,10 @@ CALENDAR = """cal AS (SELECT CAST(d AS DATE) AS date, CASE WHEN isodow(d) = 1 TH
   FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6)"""
 USERS = "users AS (SELECT DISTINCT user_id FROM events)"
 DAILY = """daily AS (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS price, count(*) AS n,
-  round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1)"""
+  round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS top FROM orders GROUP BY 1)"""
+#: One long series for each priority.
+PRICES = """prices AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS price, count(*) AS n,
+  round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2)"""
 US_DAYS = "us(date) AS (VALUES (DATE '2024-01-01'), (DATE '2024-01-15'))"
 JP_DAYS = "jp(date) AS (VALUES (DATE '2024-01-01'), (DATE '2024-01-02'), (DATE '2024-01-03'), (DATE '2024-01-08'))"
 
@@ -70,7 +77,12 @@ def _long(spark: SparkSession, sf_dir: str, max_lag: int, shift: str) -> DataFra
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
-    return orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("price"), F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("price"), F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_totalprice").alias("top"))
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders")
+    return orders.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("price"), F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
 def _long_sql(max_lag: int, back: str) -> str:
@@ -143,8 +155,7 @@ def max_lag(spark, sf_dir):
 
 @query(_long_sql(2, "0") + "SELECT date, grp, max(lag_days) FILTER (required) AS lag_days, count(value) AS n_values FROM long GROUP BY date, grp")
 def group_lag(spark, sf_dir):
-    long = _long(spark, sf_dir, 2, "none")
-    return long.groupBy("date", "grp").agg(F.max(F.when(F.col("required"), F.col("lag_days"))).alias("lag_days"), F.count("value").alias("n_values"))
+    return align.group_lags(_long(spark, sf_dir, 2, "none"))
 
 
 @query("""SELECT CAST(ts AS DATE) AS date, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'view'), 4) AS view_,
@@ -197,9 +208,16 @@ def gap_classification(spark, sf_dir):
     return calendars.classify_gaps(_closes(spark, sf_dir), series, _calendar(spark), calendars.holidays(spark, START, END), END, 3).withColumnRenamed("series", "user_id")
 
 
-@query(f"""WITH {US_DAYS}, {JP_DAYS} SELECT 'us' AS market, date FROM us UNION ALL SELECT 'jp', date FROM jp""")
+CLOSED = {
+    "us": ["01-01", "01-15", "02-19", "03-29", "05-27", "06-19", "07-04", "09-02", "10-14", "11-11", "11-28", "12-25"],
+    "jp": ["01-01", "01-02", "01-03", "01-08", "02-11", "02-12", "02-23", "03-20", "04-29", "05-03", "05-04", "05-05", "05-06", "07-15", "08-11", "08-12", "09-16", "09-22", "09-23", "10-14", "11-03", "11-04", "11-23", "12-31"],
+}
+
+
+@query("SELECT market, CAST('2024-' || day AS DATE) AS date FROM (VALUES " + ", ".join(f"('{m}', '{d}')" for m, days in CLOSED.items() for d in days) + ") AS c(market, day)")
 def holiday_table(spark, sf_dir):
-    return calendars.holidays(spark, START, END).select("market", "date")
+    """The rules against the published closures of a whole year."""
+    return calendars.holidays(spark, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).select("market", "date")
 
 
 @query("SELECT user_id, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
@@ -213,35 +231,71 @@ def source_ranges(spark, sf_dir):
     return provenance.source_ranges(rows)
 
 
-@query(f"""WITH {DAILY}, w AS (SELECT date, count(*) OVER p AS k, regr_slope(price, n) OVER p AS s, regr_intercept(price, n) OVER p AS i FROM daily
-WINDOW p AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT date, CASE WHEN k = 60 AND NOT isnan(s) THEN round(s, 2) END AS slope, CASE WHEN k = 60 AND NOT isnan(i) THEN round(i, 1) END AS intercept FROM w""")
+@query(f"""WITH {PRICES}, w AS (SELECT series, date, count(*) OVER p AS k, regr_slope(price, mean) OVER p AS s, regr_intercept(price, mean) OVER p AS i FROM prices
+WINDOW p AS (PARTITION BY series ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT series, date, CASE WHEN k = 60 AND NOT isnan(s) THEN round(s, 6) END AS slope, CASE WHEN k = 60 AND NOT isnan(i) THEN round(i, 2) END AS intercept FROM w""")
 def rolling_ols(spark, sf_dir):
-    found = stats.rolling_ols(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "price", "n", ["one"], ["date"], 60)
-    return found.select("date", F.round("slope", 2).alias("slope"), F.round("intercept", 1).alias("intercept"))
+    found = stats.rolling_ols(_prices(spark, sf_dir), "price", "mean", ["series"], ["date"], 60)
+    return found.select("series", "date", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+ZSCORES = f"""{PRICES}, zw AS (SELECT series, date, mean, count(*) OVER p AS k, avg(mean) OVER p AS m, stddev_samp(mean) OVER p AS s FROM prices
+WINDOW p AS (PARTITION BY series ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+zscores AS (SELECT series, date, CASE WHEN k = 60 THEN round((mean - m) / nullif(s, 0), 5) END AS z FROM zw)"""
 
 
-@query(f"""WITH {DAILY}, w AS (SELECT date, mean, count(*) OVER p AS k, avg(mean) OVER p AS m, stddev_samp(mean) OVER p AS s FROM daily
-WINDOW p AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT date, CASE WHEN k = 60 THEN round((mean - m) / nullif(s, 0), 5) END AS z FROM w""")
+@query(f"WITH {ZSCORES} SELECT * FROM zscores")
 def rolling_zscore(spark, sf_dir):
-    return stats.rolling_zscore(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"], 60).select("date", F.round("z", 5).alias("z"))
+    return stats.rolling_zscore(_prices(spark, sf_dir), "mean", ["series"], ["date"], 60).select("series", "date", F.round("z", 5).alias("z"))
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT lag(mean) OVER (ORDER BY date) AS x, mean - lag(mean) OVER (ORDER BY date) AS y FROM daily)
-SELECT round(regr_slope(y, x), 8) AS kappa, round(-ln(2) / regr_slope(y, x), 6) AS half_life, regr_count(y, x)::BIGINT AS n FROM s""")
+@query(f"""WITH {PRICES}, s AS (SELECT series, lag(mean) OVER w AS x, mean - lag(mean) OVER w AS y FROM prices WINDOW w AS (PARTITION BY series ORDER BY date))
+SELECT series, round(regr_slope(y, x), 8) AS kappa, round(-ln(2) / regr_slope(y, x), 6) AS half_life, regr_count(y, x)::BIGINT AS n FROM s GROUP BY series""")
 def half_life(spark, sf_dir):
-    found = stats.half_life(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"])
-    return found.select(F.round("kappa", 8).alias("kappa"), F.round("half_life", 6).alias("half_life"), "n")
+    found = stats.half_life(_prices(spark, sf_dir), "mean", ["series"], ["date"])
+    return found.select("series", F.round("kappa", 8).alias("kappa"), F.round("half_life", 6).alias("half_life"), "n")
 
 
-@query(f"""WITH {DAILY}, r AS (SELECT count(*) AS n, regr_syy(price, n) - regr_sxy(price, n) ** 2 / regr_sxx(price, n) AS a,
+@query(None)
+def half_life_interval(spark, sf_dir):
+    """Seeded resamples; held in the tests against the half-life of the whole series and of resamples drawn by a plain loop."""
+    return models.half_life_interval(_prices(spark, sf_dir), "mean", ["series"], ["date"])
+
+
+@query(f"""WITH {PRICES}, r AS (SELECT series, count(*) AS n, regr_syy(price, n) - regr_sxy(price, n) ** 2 / regr_sxx(price, n) AS a,
   regr_syy(price, n) FILTER (date < DATE '1998-01-01') - regr_sxy(price, n) FILTER (date < DATE '1998-01-01') ** 2 / regr_sxx(price, n) FILTER (date < DATE '1998-01-01') AS b,
-  regr_syy(price, n) FILTER (date >= DATE '1998-01-01') - regr_sxy(price, n) FILTER (date >= DATE '1998-01-01') ** 2 / regr_sxx(price, n) FILTER (date >= DATE '1998-01-01') AS c FROM daily)
-SELECT n, round(((a - b - c) / 2) / ((b + c) / (n - 4)), 5) AS f FROM r""")
+  regr_syy(price, n) FILTER (date >= DATE '1998-01-01') - regr_sxy(price, n) FILTER (date >= DATE '1998-01-01') ** 2 / regr_sxx(price, n) FILTER (date >= DATE '1998-01-01') AS c FROM prices GROUP BY series)
+SELECT series, n, round(((a - b - c) / 2) / ((b + c) / (n - 4)), 5) AS f FROM r""")
 def chow_test(spark, sf_dir):
-    found = stats.chow(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "price", "n", "date", dt.date(1998, 1, 1), ["one"])
-    return found.select("n", F.round("f", 5).alias("f"))
+    found = stats.chow(_prices(spark, sf_dir), "price", "n", "date", dt.date(1998, 1, 1), ["series"])
+    return found.select("series", "n", F.round("f", 5).alias("f"))
+
+
+@query(f"""WITH {PRICES}, f AS (SELECT series, regr_slope(price, n) AS slope, regr_intercept(price, n) AS intercept FROM prices GROUP BY series)
+SELECT series, date, round(f.intercept + f.slope * p.n, 2) AS fair, round(p.price - f.intercept - f.slope * p.n, 2) AS residual FROM prices p JOIN f USING (series)""")
+def fair_value(spark, sf_dir):
+    prices = _prices(spark, sf_dir)
+    fits = stats.fit(prices, "price", "n", ["series"]).select("series", "slope", "intercept")
+    return stats.residual(prices.join(fits, "series"), "price", "n").select("series", "date", F.round("fair", 2).alias("fair"), F.round("residual", 2).alias("residual"))
+
+
+@query(f"""WITH {PRICES}, r AS (SELECT *, year(date) AS block FROM prices),
+b AS (SELECT series, block, (SELECT regr_slope(price, mean) FROM r q WHERE q.series = r.series AND q.block < r.block) AS slope,
+  (SELECT regr_intercept(price, mean) FROM r q WHERE q.series = r.series AND q.block < r.block) AS intercept FROM (SELECT DISTINCT series, block FROM r) r)
+SELECT series, date, round(slope, 6) AS slope, round(price - intercept - slope * mean, 2) AS residual FROM r JOIN b USING (series, block)""")
+def walk_forward(spark, sf_dir):
+    found = stats.walk_forward(_prices(spark, sf_dir).withColumn("block", F.year("date")), "price", "mean", ["series"], "block")
+    return found.select("series", "date", F.round("slope", 6).alias("slope"), F.round("residual", 2).alias("residual"))
+
+
+@query(f"""WITH {PRICES}, v AS (SELECT series, date, mean - 150000 AS v FROM prices), a(anchor, f, t, sign) AS (VALUES ('low', DATE '1996-01-01', DATE '1996-01-31', -1), ('high', DATE '1997-07-01', DATE '1997-07-31', 1))
+SELECT series, anchor, count(v) AS n, round(avg(v), 3) AS mean, sign(avg(v)) = any_value(sign) AS ok
+FROM (SELECT DISTINCT series FROM v) CROSS JOIN a LEFT JOIN v USING (series) WHERE date BETWEEN f AND t GROUP BY series, anchor""")
+def anchor_checks(spark, sf_dir):
+    rows = _prices(spark, sf_dir).withColumn("v", F.col("mean") - 150000)
+    spans = [("low", dt.date(1996, 1, 1), dt.date(1996, 1, 31), -1), ("high", dt.date(1997, 7, 1), dt.date(1997, 7, 31), 1)]
+    found = stats.anchor_checks(rows, "v", "date", ["series"], spans)
+    return found.filter("n > 0").select("series", "anchor", "n", F.round("mean", 3).alias("mean"), "ok")
 
 
 @query("SELECT o_orderpriority AS series, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept, regr_count(o_totalprice, o_custkey)::BIGINT AS n FROM orders GROUP BY 1")
@@ -250,17 +304,68 @@ def static_ols(spark, sf_dir):
     return found.select(F.col("o_orderpriority").alias("series"), F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
-@query(f"""WITH {DAILY} SELECT 'bounds' AS check_name, 'error' AS level, count(*) AS n FROM daily WHERE mean < 100000 OR mean > 200000
-UNION ALL SELECT 'nan', 'error', count(*) FROM daily WHERE mean IS NULL UNION ALL SELECT 'rows', 'error', CAST(count(*) < 2500 AS BIGINT) FROM daily""")
-def quality_findings(spark, sf_dir):
-    daily = _daily(spark, sf_dir)
-    counts = daily.agg(F.count_if(validate.outside("mean", 1e5, 2e5)).alias("bounds"), F.count_if(F.col("mean").isNull()).alias("nan"), (F.count("*") < 2500).cast("long").alias("rows"))
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.lit("error").alias("level"), F.col(c).alias("n")) for c in ("bounds", "nan", "rows")])).alias("f")).select("f.*")
-
-
-@query(f"""WITH {DAILY} SELECT count(*) AS n_rows, min(date) AS first, max(date) AS last, round(min(mean), 4) AS low, round(max(mean), 4) AS high FROM daily""")
-def quality_stats(spark, sf_dir):
-    return _daily(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.min("mean"), 4).alias("low"), F.round(F.max("mean"), 4).alias("high"))
+#: A daily table with defects of every kind: its days, and the rows of the 4th of each month twice.
+DEFECTS = f"""{DAILY}, base AS (SELECT date, n, day(date) AS d, round(mean / 50000, 4) AS m FROM daily WHERE isodow(date) < 6 AND day(date) NOT BETWEEN 10 AND 20),
+rows_ AS (SELECT date, 100.0 + n AS usdjpy, m AS us2y, m + 0.5 AS us10y, CASE WHEN d <> 1 THEN 0.1 END AS jgb2y, 0.25 AS jgb10y, CASE WHEN d <> 1 THEN m - 0.1 END AS spread2y,
+  m + 0.25 + CASE WHEN d = 5 THEN 0.5 ELSE 0 END AS spread10y, CASE WHEN d <> 2 THEN 1.0 END AS us10y_real, 0 AS fx_lag_days, CASE WHEN d = 3 THEN -1 ELSE 0 END AS us_lag_days, d % 3 AS jgb_lag_days, d FROM base),
+t AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE d = 4),
+g AS (SELECT lag(date) OVER (ORDER BY date) AS before, date FROM (SELECT DISTINCT date FROM t)),
+gaps AS (SELECT before, date, (SELECT count(*) FROM generate_series(before + 1, date - 1, INTERVAL 1 DAY) s(x) WHERE isodow(x) < 6) AS n FROM g WHERE before IS NOT NULL)"""
+
+
+def _defective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.dayofmonth("date")
+    base = _daily(spark, sf_dir).filter((F.weekday("date") < 5) & ~d.between(10, 20)).withColumns({"d": d, "m": F.round(F.col("mean") / 50000, 4)})
+    values = {
+        "usdjpy": F.col("n") + 100.0, "us2y": F.col("m"), "us10y": F.col("m") + 0.5, "jgb2y": F.when(F.col("d") != 1, 0.1), "jgb10y": F.lit(0.25), "spread2y": F.when(F.col("d") != 1, F.col("m") - 0.1),
+        "spread10y": F.col("m") + 0.25 + F.when(F.col("d") == 5, 0.5).otherwise(0), "us10y_real": F.when(F.col("d") != 2, 1.0), "fx_lag_days": F.lit(0), "us_lag_days": F.when(F.col("d") == 3, -1).otherwise(0), "jgb_lag_days": F.col("d") % 3,
+    }
+    rows = base.select("date", *[c.alias(n) for n, c in values.items()], "d")
+    return rows.unionByName(rows.filter("d = 4")).drop("d")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> validate.Result:
+    rules = {"bounds": {"usdjpy": [101.5, 106], "jgb10y": [0, 1]}, "required_start_before": "1990-01-01", "min_rows": 10**7, "max_gap_business_days": 5, "max_days_stale_end": 10}
+    table = _defective(spark, sf_dir).withColumn("note", F.lit("x"))
+    return validate.validate(table, _config("ny_close", "1990-01-01", "2024-12-31", rules), {"row_count": 1, "convention": "tokyo_close"})
+
+
+@query(f"""WITH {DEFECTS}, big AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM gaps WHERE n > 5), c AS (SELECT count(*) AS n, max(date) AS last FROM t)
+SELECT 'warning' AS level, 'schema' AS "check", 'note' AS subject, 1::BIGINT AS n UNION ALL SELECT 'error', 'dates', 'date', count(*) FROM (SELECT date FROM t GROUP BY date HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'error', 'rows', 'table', n FROM c UNION ALL SELECT 'error', 'coverage', 'start', 1 UNION ALL SELECT 'error', 'coverage', 'end', datediff('day', last, DATE '2024-12-31') FROM c
+UNION ALL SELECT 'error', 'nan', 'jgb2y', count(*) FROM t WHERE jgb2y IS NULL HAVING count(*) > 0 UNION ALL SELECT 'error', 'nan', 'spread2y', count(*) FROM t WHERE spread2y IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'nan', 'us10y_real', count(*) FROM t WHERE us10y_real IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'error', 'bounds', 'usdjpy', count(*) FROM t WHERE usdjpy < 101.5 OR usdjpy > 106 HAVING count(*) > 0 UNION ALL SELECT 'error', 'consistency', 'spread10y', count(*) FROM t WHERE d = 5 HAVING count(*) > 0
+UNION ALL SELECT 'error', 'lags', 'us_lag_days', count(*) FROM t WHERE us_lag_days < 0 HAVING count(*) > 0
+UNION ALL SELECT 'error', 'gaps', CAST(date AS VARCHAR), n FROM big WHERE i <= 20 UNION ALL SELECT 'error', 'gaps', 'more', count(*) - 20 FROM big HAVING count(*) > 20
+UNION ALL SELECT 'error', 'metadata', 'row_count', 1 UNION ALL SELECT 'warning', 'metadata', 'convention', 1""")
+def validation_findings(spark, sf_dir):
+    """All checks of `validate` at once on a table with every defect."""
+    return _checked(spark, sf_dir).findings.select("level", "check", "subject", "n")
+
+
+@query(f"""WITH {DEFECTS}, c AS (SELECT count(*) AS n, min(date) AS f, max(date) AS l, count(DISTINCT date) AS days FROM t),
+e AS (SELECT (SELECT count(*) FROM generate_series(f, l, INTERVAL 1 DAY) s(x) WHERE isodow(x) < 6) AS w, days FROM c)
+SELECT 'rows' AS figure, n::DOUBLE AS low, NULL::DOUBLE AS high FROM c UNION ALL SELECT 'largest_gap', max(n)::DOUBLE, NULL FROM gaps UNION ALL SELECT 'weekdays', w::DOUBLE, NULL FROM e
+UNION ALL SELECT 'missing', (w - days)::DOUBLE, NULL FROM e UNION ALL SELECT 'coverage_pct', round(100 * days / w, 2), NULL FROM e
+UNION ALL SELECT 'span', datediff('day', DATE '1970-01-01', f)::DOUBLE, datediff('day', DATE '1970-01-01', l)::DOUBLE FROM c
+UNION ALL SELECT 'usdjpy', min(usdjpy), max(usdjpy) FROM t UNION ALL SELECT 'us2y', round(min(us2y), 4), round(max(us2y), 4) FROM t UNION ALL SELECT 'us10y', round(min(us10y), 4), round(max(us10y), 4) FROM t
+UNION ALL SELECT 'jgb2y', min(jgb2y), max(jgb2y) FROM t UNION ALL SELECT 'jgb10y', min(jgb10y), max(jgb10y) FROM t UNION ALL SELECT 'spread2y', round(min(spread2y), 4), round(max(spread2y), 4) FROM t
+UNION ALL SELECT 'spread10y', round(min(spread10y), 4), round(max(spread10y), 4) FROM t
+UNION ALL SELECT 'fx_lag_days', max(fx_lag_days)::DOUBLE, round(avg(fx_lag_days), 3) FROM t UNION ALL SELECT 'us_lag_days', max(us_lag_days)::DOUBLE, round(avg(us_lag_days), 3) FROM t
+UNION ALL SELECT 'jgb_lag_days', max(jgb_lag_days)::DOUBLE, round(avg(jgb_lag_days), 3) FROM t""")
+def validation_figures(spark, sf_dir):
+    """The figures of `validate`: ranges of values, and for lags the most and the mean."""
+    found, epoch = dict(_checked(spark, sf_dir).stats), dt.date(1970, 1, 1)
+    found["span"] = ((found.pop("first") - epoch).days, (found.pop("last") - epoch).days)
+    pairs = {k: v if isinstance(v, tuple) else (v, None) for k, v in found.items()}
+    return spark.createDataFrame([(k, *(None if x is None else float(x) for x in v)) for k, v in pairs.items()], "figure string, low double, high double")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, lag(CAST(o_orderdate AS DATE)) OVER (ORDER BY o_orderkey) AS b FROM orders) SELECT o_orderkey, date FROM o WHERE date < b""")
+def unsorted_rows(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    return validate.unsorted_rows(rows, "o_orderkey", stretch=1000)
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_quantity < 5 OR l_quantity > 45) AS n, min(l_orderkey) FILTER (l_quantity < 5 OR l_quantity > 45) AS first_key FROM lineitem GROUP BY 1")
@@ -287,31 +392,299 @@ def consistency_check(spark, sf_dir):
 
 @query(None)
 def raw_provenance(spark, sf_dir):
-    from ..sources.feeds import raw_files
+    """Hashes of whole files; held in the tests against hashlib."""
+    return feeds.raw_files(spark, f"{sf_dir}/*.parquet", "table").select("source", F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "bytes")
+
+
+#: The fold of positions row by row.
+STATES = f"""WITH RECURSIVE {ZSCORES}, i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM zscores),
+f AS (SELECT series, 0::BIGINT AS k, 0 AS position, 0 AS held, false AS barred, NULL::VARCHAR AS reason, NULL::DATE AS date, NULL::DOUBLE AS z FROM (SELECT DISTINCT series FROM i)
+UNION ALL SELECT series, k, CASE WHEN p <> 0 THEN CASE WHEN reason IS NULL THEN p ELSE 0 END WHEN reason = 'enter' THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+  CASE WHEN p <> 0 THEN held + 1 ELSE 0 END, coalesce(reason = 'stop', false) OR barred AND NOT coalesce(abs(z) <= 0.25, false), reason, date, z
+FROM (SELECT i.series, i.k, f.position AS p, f.held, f.barred, i.date, i.z, CASE WHEN f.position <> 0 THEN CASE WHEN abs(i.z) >= 3.5 THEN 'stop' WHEN abs(i.z) <= 0.25 THEN 'exit' WHEN f.held + 1 >= 60 THEN 'time' END
+  WHEN abs(i.z) >= 2 AND abs(i.z) < 3.5 AND NOT f.barred THEN 'enter' END AS reason FROM f JOIN i ON i.series = f.series AND i.k = f.k + 1)),
+states AS (SELECT series, date, z, position, reason FROM f WHERE k > 0)
+"""
 
-    return raw_files(spark, f"{sf_dir}/nation.parquet", "nation").select("source", "sha256", "bytes")
 
+def _states(spark, sf_dir):
+    return trading.signal_states(rolling_zscore(spark, sf_dir), "z", ["series"], ["date"])
 
-@query(None)
+
+@query(STATES + "SELECT * FROM states")
 def signal_state_fold(spark, sf_dir):
-    """Held against a plain loop in the tests."""
-    scores = rolling_zscore(spark, sf_dir).withColumn("one", F.lit(1))
-    return stats.signal_states(scores, "z", ["one"], ["date"]).drop("one")
+    return _states(spark, sf_dir)
+
+
+RETURNS = STATES.rstrip() + """, h AS (SELECT s.series, s.date, s.position, p.mean, p.n, lag(s.position, 1, 0) OVER w AS held, lag(p.mean) OVER w AS before, lag(p.n) OVER w AS carry FROM states s JOIN prices p USING (series, date) WINDOW w AS (PARTITION BY s.series ORDER BY s.date)),
+r AS (SELECT series, date, held * (mean / before - 1) AS spot, held * coalesce(carry, 0) / 100 / 252 AS carry_return, abs(held - lag(held, 1, 0) OVER (PARTITION BY series ORDER BY date)) * 2.0 / 1e4 AS cost FROM h),
+v AS (SELECT *, spot + carry_return - cost AS value FROM r)
+"""
+
 
+def _returns(spark, sf_dir):
+    rows = _states(spark, sf_dir).join(_prices(spark, sf_dir), ["series", "date"])
+    return trading.backtest(rows, "position", "mean", ["series"], ["date"], carry="n", cost_bps=2.0)
 
-@query(f"""WITH {DAILY}, e AS (SELECT date, mean, sum(mean - 150000) OVER (ORDER BY date) AS equity FROM daily),
-p AS (SELECT date, equity, greatest(max(equity) OVER (ORDER BY date), 0) AS peak FROM e) SELECT date, round(equity, 1) AS equity, round(equity - peak, 1) AS drawdown FROM p""")
+
+@query(RETURNS + "SELECT series, date, round(spot, 6) AS spot, round(carry_return, 8) AS carry_return, cost, round(value, 6) AS value FROM v")
+def backtest(spark, sf_dir):
+    return _returns(spark, sf_dir).select("series", "date", F.round("spot", 6).alias("spot"), F.round("carry_return", 8).alias("carry_return"), "cost", F.round("value", 6).alias("value"))
+
+
+@query(RETURNS.rstrip() + """, e AS (SELECT *, sum(value) OVER (PARTITION BY series ORDER BY date) AS equity FROM v), m AS (SELECT *, equity - greatest(max(equity) OVER (PARTITION BY series ORDER BY date), 0) AS down FROM e)
+SELECT series, count(value) AS n, round(avg(value), 8) AS mean, round(avg(value) / nullif(stddev_samp(value), 0) * sqrt(252), 5) AS sharpe, round(avg(value) / nullif(sqrt(avg(least(value, 0) ** 2)), 0) * sqrt(252), 5) AS sortino,
+round(exp(avg(ln(1 + value) ) FILTER (value > -1) * 252) - 1, 6) AS growth, round(min(down), 6) AS max_drawdown, round(count(*) FILTER (value > 0) / nullif(count(*) FILTER (value <> 0), 0), 6) AS hit_rate,
+round(count(*) FILTER (value <> 0) / count(value), 6) AS exposure, round(sum(value) FILTER (value > 0) / nullif(-sum(value) FILTER (value < 0), 0), 5) AS profit_factor FROM m GROUP BY series""")
+def performance(spark, sf_dir):
+    found = trading.performance(_returns(spark, sf_dir), "value", ["series"], ["date"])
+    digits = {"mean": 8, "sharpe": 5, "sortino": 5, "growth": 6, "max_drawdown": 6, "hit_rate": 6, "exposure": 6, "profit_factor": 5}
+    return found.select("series", "n", *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
+@query(STATES + """SELECT series, max(date) AS date, CASE WHEN arg_max(day(date), date) > 15 OR series = '1-URGENT' THEN 'FLAT' ELSE CASE arg_max(position, date) WHEN 1 THEN 'LONG' WHEN -1 THEN 'SHORT' ELSE 'FLAT' END END AS state,
+CASE WHEN arg_max(day(date), date) > 15 OR series = '1-URGENT' THEN 'NONE' ELSE coalesce(CASE (SELECT reason FROM states q WHERE q.series = states.series ORDER BY date DESC LIMIT 1) WHEN 'enter' THEN 'ENTER_' || CASE WHEN arg_max(position, date) > 0 THEN 'LONG' ELSE 'SHORT' END
+  WHEN 'stop' THEN 'STOP' WHEN 'exit' THEN 'EXIT' WHEN 'time' THEN 'EXIT' END, 'NONE') END AS action FROM states GROUP BY series""")
+def signal_documents(spark, sf_dir):
+    """The last signal of each series; the day of the month stands for an input's age, one series for a regime not trusted."""
+    rows = _states(spark, sf_dir).withColumn("age", F.dayofmonth("date"))
+    return trading.signal_documents(rows, ["series"], "date", {"age": 15}, F.col("series") == "1-URGENT", ["z", "position"]).drop("document")
+
+
+@query(f"""WITH {PRICES}, e AS (SELECT series, date, sum(mean - 150000) OVER w AS equity FROM prices WINDOW w AS (PARTITION BY series ORDER BY date)),
+p AS (SELECT series, date, equity, greatest(max(equity) OVER (PARTITION BY series ORDER BY date), 0) AS peak FROM e) SELECT series, date, round(equity, 4) AS equity, round(equity - peak, 4) AS drawdown FROM p""")
 def drawdowns(spark, sf_dir):
-    daily = _daily(spark, sf_dir).select("date", (F.col("mean") - 150000).alias("r"), F.lit(1).alias("one"))
-    return stats.drawdown(daily, "r", ["one"], ["date"]).select("date", F.round("equity", 1).alias("equity"), F.round("drawdown", 1).alias("drawdown"))
+    rows = _prices(spark, sf_dir).select("series", "date", (F.col("mean") - 150000).alias("r"))
+    return trading.drawdown(rows, "r", ["series"], ["date"]).select("series", "date", F.round("equity", 4).alias("equity"), F.round("drawdown", 4).alias("drawdown"))
 
 
-@query(None)
+#: The regression of changes on the level and the change before, by sums.
+ROOT = """, d AS (SELECT series, v - lag(v) OVER w AS y, lag(v) OVER w AS x, lag(v) OVER w - lag(v, 2) OVER w AS z FROM u WINDOW w AS (PARTITION BY series ORDER BY date)), k AS (SELECT * FROM d WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL)"""
+
+
+@query(f"""WITH {PRICES}, u AS (SELECT series, date, mean AS v FROM prices){ROOT},
+q AS (SELECT series, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_sxy(z, x) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_syy(y, x) AS yy FROM k GROUP BY series),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM q)
+SELECT series, n, round(bx / sqrt((yy - bx * xy - bz * zy) / (n - 3) * zz / (xx * zz - xz * xz)), 5) AS statistic, round(-2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3, 6) AS critical_5 FROM b""")
 def dickey_fuller(spark, sf_dir):
-    """Held against a plain regression in the tests."""
-    return stats.dickey_fuller(_daily(spark, sf_dir).withColumn("one", F.lit(1)), "mean", ["one"], ["date"])
+    found = models.dickey_fuller(_prices(spark, sf_dir), "mean", ["series"], ["date"])
+    return found.select("series", "n", F.round("statistic", 5).alias("statistic"), F.round("critical_5", 6).alias("critical_5"))
+
+
+@query(f"""WITH {PRICES}, c AS (SELECT series, date, mean - avg(mean) OVER (PARTITION BY series) AS e FROM prices),
+l AS (SELECT series, e, sum(e) OVER w AS s, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3 FROM c WINDOW w AS (PARTITION BY series ORDER BY date))
+SELECT series, count(*) AS n, round(sum(s * s) / count(*) / (sum(e * e) + 2 * (0.75 * sum(e * e1) + 0.5 * sum(e * e2) + 0.25 * sum(e * e3))), 6) AS statistic FROM l GROUP BY series""")
+def kpss(spark, sf_dir):
+    return models.kpss(_prices(spark, sf_dir), "mean", ["series"], ["date"], lags=3).select("series", "n", F.round("statistic", 6).alias("statistic"))
+
+
+def _engle_granger_sql(dependent: str, y: str, x: str) -> str:
+    return f"""SELECT series, '{dependent}' AS dependent, slope, intercept, n, round(bx / sqrt((yy - bx * xy - bz * zy) / (n - 2) * zz / (xx * zz - xz * xz)), 4) AS statistic FROM (
+SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM (
+SELECT series, any_value(slope) AS slope, any_value(intercept) AS intercept, count(*) AS n, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM (
+SELECT series, slope, intercept, v - lag(v) OVER w AS y, lag(v) OVER w AS x, lag(v) OVER w - lag(v, 2) OVER w AS z FROM (
+SELECT p.series, date, {y} - f.intercept - f.slope * {x} AS v, round(f.slope, 6) AS slope, round(f.intercept, 3) AS intercept FROM prices p JOIN (SELECT series, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept FROM prices GROUP BY series) f USING (series))
+WINDOW w AS (PARTITION BY series ORDER BY date)) WHERE y IS NOT NULL AND z IS NOT NULL GROUP BY series))"""
+
+
+@query(f"WITH {PRICES} " + _engle_granger_sql("price", "price", "n") + " UNION ALL " + _engle_granger_sql("n", "n", "price"))
+def engle_granger(spark, sf_dir):
+    found = models.engle_granger(_prices(spark, sf_dir), "price", "n", ["series"], ["date"])
+    return found.select("series", "dependent", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n", F.round("statistic", 4).alias("statistic"))
+
+
+@query(None)
+def rolling_cointegration(spark, sf_dir):
+    """Held in the tests against the whole-series statistic of each window."""
+    return models.rolling_engle_granger(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], rows=500)
 
 
 @query(None)
+def johansen(spark, sf_dir):
+    """Held in the tests against a plain computation by the definition, and on series that share a trend."""
+    return models.johansen(_prices(spark, sf_dir), "price", "mean", ["series"], ["date"])
+
+
+@query(f"""WITH {PRICES}, i AS (SELECT series, price AS y, n AS x, row_number() OVER (PARTITION BY series ORDER BY date) AS k, count(*) OVER (PARTITION BY series) AS rows_ FROM prices),
+w AS (SELECT series, k, rows_, regr_syy(y, x) OVER a - coalesce(regr_sxy(y, x) OVER a ** 2 / nullif(regr_sxx(y, x) OVER a, 0), 0) AS left_, regr_syy(y, x) OVER b - coalesce(regr_sxy(y, x) OVER b ** 2 / nullif(regr_sxx(y, x) OVER b, 0), 0) AS right_ FROM i
+  WINDOW a AS (PARTITION BY series ORDER BY k ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY series ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+best AS (SELECT series, arg_min(k, left_ + right_) AS cut, min(left_ + right_) AS rss, any_value(rows_) AS n FROM w WHERE k >= 30 AND rows_ - k >= 30 GROUP BY series),
+whole AS (SELECT series, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS rss0 FROM i GROUP BY series),
+c AS (SELECT series, n, n * ln(rss / n) + 5 * ln(n) < n * ln(rss0 / n) + 2 * ln(n) AS broken, cut FROM best JOIN whole USING (series))
+SELECT series, broken::BIGINT AS n_breaks, 0::BIGINT AS segment, 0::BIGINT AS first, CASE WHEN broken THEN cut ELSE n END - 1 AS last FROM c UNION ALL SELECT series, 1, 1, cut, n - 1 FROM c WHERE broken""")
+def structural_breaks(spark, sf_dir):
+    """One break at most here; tests hold several against all cuts."""
+    return models.breaks(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], most=1).select("series", "n_breaks", "segment", "first", "last")
+
+
+@query(f"""WITH RECURSIVE {CLOSES}, i AS (SELECT user_id AS series, obs_date, value AS y, day(obs_date) / 10.0 AS x, row_number() OVER (PARTITION BY user_id ORDER BY obs_date) AS k FROM closes),
+f AS (SELECT series, 0::BIGINT AS k, NULL::DATE AS obs_date, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS b0 FROM (SELECT DISTINCT series FROM i)
+UNION ALL SELECT series, k, obs_date, a + u / s * e, b + v / s * e, p - u / s * u, q - u / s * v, r - v / s * v, a, b FROM (SELECT *, u + x * v + 1e-2 AS s, y - a - b * x AS e FROM (
+  SELECT i.series, i.k, i.obs_date, i.x::DOUBLE AS x, i.y, f.a, f.b, f.p + 1e-4 AS p, f.q, f.r + 1e-4 AS r, f.p + 1e-4 + f.q * i.x::DOUBLE AS u, f.q + (f.r + 1e-4) * i.x::DOUBLE AS v FROM f JOIN i ON i.series = f.series AND i.k = f.k + 1)))
+SELECT series, obs_date, round(a0, 4) AS alpha, round(b0, 4) AS beta FROM f WHERE k > 0""")
 def kalman_beta(spark, sf_dir):
-    return stats.kalman_beta(_closes(spark, sf_dir).withColumn("x", F.lit(1.0)), "value", "x", ["series"], ["obs_date"])
+    rows = _closes(spark, sf_dir).withColumn("x", F.dayofmonth("obs_date") / 10.0)
+    return models.kalman(rows, "value", "x", ["series"], ["obs_date"]).select("series", "obs_date", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
+
+
+# --- a whole alignment -----------------------------------------------------------------
+
+#: Users whose closes stand for the series of the data model.
+NAMES = {1: "usdjpy", 2: "us2y", 3: "us10y", 4: "jgb2y", 5: "jgb10y", 6: "us10y_real"}
+
+
+def _config(convention: str, start: str = "2024-01-01", end: str = "2024-01-30", validation: dict | None = None) -> Config:
+    shifted = convention == "tokyo_close"
+    exact = ["jgb2y", "jgb10y"] if shifted else ["usdjpy", "us2y", "us10y"]
+    lags = {"usdjpy": 2, "us2y": 3, "us10y": 3, "us10y_real": 1} if shifted else {"jgb2y": 2, "jgb10y": 3, "us10y_real": 1}
+    return parse({
+        "project": {"start_date": start, "end_date": end},
+        "sources": {"fred": {"series": {"us2y": "DGS2", "us10y": "DGS10"}}, "mof": {"tenors": {"jgb2y": "2Y", "jgb10y": "10Y"}}},
+        "alignment": {"convention": convention, "drop_if_missing": exact, "asof_max_lag_days": lags},
+        "validation": validation or {"bounds": {}, "required_start_before": "2024-01-05"},
+    })
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col("series").cast("int"))
+    return _closes(spark, sf_dir).filter(F.col("series").isin(*NAMES)).select(names.alias("series"), "obs_date", "value")
+
+
+def _aligned(spark: SparkSession, sf_dir: str, convention: str) -> align.Aligned:
+    return align.align(spark, _observed(spark, sf_dir), _config(convention), list(NAMES.values()))
+
+
+def _aligned_sql(convention: str) -> str:
+    rules = _config(convention).alignment
+    shifted = {"fx": 1, "us": 1, "jgb": 0} if convention == "tokyo_close" else {"fx": 0, "us": 0, "jgb": 0}
+    groups = {"usdjpy": "fx", "jgb2y": "jgb", "jgb10y": "jgb"}
+    rows = ", ".join(f"({u}, '{n}', '{groups.get(n, 'us')}', {rules.asof_max_lag_days.get(n, 0)}, {shifted[groups.get(n, 'us')]}, {n in rules.drop_if_missing}, {n != 'us10y_real'})" for u, n in NAMES.items())
+    return f"""WITH {CLOSES}, {CALENDAR}, {US_DAYS}, {JP_DAYS}, pol(user_id, series, grp, max_lag, shift, exact, required) AS (VALUES {rows}),
+t AS (SELECT pol.*, cal.date, cal.back * shift AS back, CAST(cal.date - cal.back * shift AS DATE) AS target FROM cal CROSS JOIN pol),
+a AS (SELECT t.*, c.obs_date AS o, c.value AS v FROM t ASOF LEFT JOIN closes c ON t.user_id = c.user_id AND t.target >= c.obs_date),
+long AS (SELECT date, series, grp, exact, required, shift, back, CASE WHEN target - o <= max_lag THEN v END AS value, CASE WHEN target - o <= max_lag THEN CAST(date - o AS INTEGER) END AS lag_days FROM a),
+w AS (SELECT date, max(value) FILTER (series = 'usdjpy') AS usdjpy, max(value) FILTER (series = 'us2y') AS us2y, max(value) FILTER (series = 'us10y') AS us10y, max(value) FILTER (series = 'jgb2y') AS jgb2y,
+  max(value) FILTER (series = 'jgb10y') AS jgb10y, max(value) FILTER (series = 'us10y_real') AS us10y_real, max(lag_days) FILTER (grp = 'fx') AS fx_lag_days,
+  max(lag_days) FILTER (grp = 'us' AND required) AS us_lag_days, max(lag_days) FILTER (grp = 'jgb') AS jgb_lag_days FROM long GROUP BY date),
+daily AS (SELECT date, usdjpy, us2y, us10y, jgb2y, jgb10y, us2y - jgb2y AS spread2y, us10y - jgb10y AS spread10y, us10y_real, fx_lag_days, us_lag_days, jgb_lag_days FROM w
+  WHERE usdjpy IS NOT NULL AND us2y IS NOT NULL AND us10y IS NOT NULL AND jgb2y IS NOT NULL AND jgb10y IS NOT NULL),
+drops AS (SELECT date, series, CASE WHEN exact THEN 'missing_on_snapshot_date' ELSE 'stale_beyond_max_lag' END AS reason FROM long WHERE required AND value IS NULL),
+holes AS (SELECT pol.series, cal.date, CASE WHEN grp <> 'jgb' AND us.date IS NOT NULL OR grp = 'jgb' AND jp.date IS NOT NULL THEN 'holiday' WHEN cal.date > DATE '2024-01-27' THEN 'publication_lag' ELSE 'unexplained' END AS reason
+  FROM cal CROSS JOIN pol ANTI JOIN closes c ON pol.user_id = c.user_id AND cal.date = c.obs_date LEFT JOIN us ON cal.date = us.date LEFT JOIN jp ON cal.date = jp.date)
+"""
+
+
+REPORT = """, kept AS (SELECT * FROM long WHERE date IN (SELECT date FROM daily)), c AS (SELECT series, count(*) FILTER (NOT exact AND lag_days > back) AS carried_forward,
+  count(*) FILTER (NOT exact AND lag_days > shift) AS carried_over_one, max(lag_days)::BIGINT AS max_lag FROM kept GROUP BY series)
+SELECT 'rows_out' AS section, '' AS key, count(*) AS n FROM daily UNION ALL SELECT 'rows_dropped', '', count(DISTINCT date) FROM drops UNION ALL SELECT 'dropped', series || '/' || reason, count(*) FROM drops GROUP BY ALL
+UNION ALL SELECT 'gaps', series || '/' || reason, count(*) FROM holes GROUP BY ALL UNION ALL SELECT 'carried_forward', series, carried_forward FROM c UNION ALL SELECT 'carried_over_one', series, carried_over_one FROM c
+UNION ALL SELECT 'max_lag', series, max_lag FROM c"""
+
+
+@query(_aligned_sql("ny_close") + "SELECT * FROM daily")
+def aligned_daily(spark, sf_dir):
+    return _aligned(spark, sf_dir, "ny_close").daily
+
+
+@query(_aligned_sql("tokyo_close") + "SELECT * FROM daily")
+def aligned_daily_tokyo(spark, sf_dir):
+    return _aligned(spark, sf_dir, "tokyo_close").daily
+
+
+@query(_aligned_sql("ny_close").rstrip() + REPORT)
+def alignment_report(spark, sf_dir):
+    return align.report_rows(_aligned(spark, sf_dir, "ny_close"))
+
+
+@query(_aligned_sql("tokyo_close").rstrip() + REPORT)
+def alignment_report_tokyo(spark, sf_dir):
+    return align.report_rows(_aligned(spark, sf_dir, "tokyo_close"))
+
+
+@query(_aligned_sql("ny_close") + """SELECT '1.0' AS schema_version, 'ny_close' AS convention, (SELECT count(*) FROM daily) AS row_count, (SELECT CAST(min(date) AS VARCHAR) FROM daily) AS first, (SELECT CAST(max(date) AS VARCHAR) FROM daily) AS last,
+(SELECT count(DISTINCT date) FROM drops) AS rows_dropped, series, count(c.value) AS n_rows, CAST(min(obs_date) AS VARCHAR) AS series_first, CAST(max(obs_date) AS VARCHAR) AS series_last FROM pol JOIN closes c USING (user_id) GROUP BY series""")
+def run_metadata(spark, sf_dir):
+    """The metadata document of a run, a row for each series."""
+    observed, config = _observed(spark, sf_dir), _config("ny_close")
+    document = provenance.metadata(observed, align.align(spark, observed, config, list(NAMES.values())), config)
+    first, last = document["range"] or (None, None)
+    rows = [(document["schema_version"], document["convention"], document["row_count"], first, last, document["alignment"]["rows_dropped"], r["series"], r["n_rows"], str(r["first"]), str(r["last"])) for r in document["series"]]
+    return spark.createDataFrame(rows, "schema_version string, convention string, row_count long, first string, last string, rows_dropped long, series string, n_rows long, series_first string, series_last string")
+
+
+# --- readers ---------------------------------------------------------------------------
+
+
+def _file(spark: SparkSession, lines: DataFrame, head: list[str], foot: list[str] | None = None) -> str:
+    """The path of a file with the lines of (i, line) between a head and a foot."""
+    extra = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)] + [(1 << 60, x) for x in foot or []], "i long, line string")
+    path = landing.scratch(spark)
+    lines.select(F.col("i").cast("long").alias("i"), "line").unionByName(extra).repartition(1).sortWithinPartitions("i").select("line").write.text(path)
+    return path
+
+
+def _fred_file(spark: SparkSession, sf_dir: str, column: str, header: str) -> str:
+    value = F.when(F.dayofmonth("date") == 13, ".").when(F.dayofmonth("date") == 14, " NA ").otherwise(F.col(column).cast("string"))
+    return _file(spark, _daily(spark, sf_dir).select(F.unix_date("date").alias("i"), F.concat_ws(",", F.col("date").cast("string"), value).alias("line")), [header])
+
+
+def _fred_sql(series: str, column: str) -> str:
+    return f"SELECT '{series}' AS series, date AS obs_date, CASE WHEN day(date) NOT IN (13, 14) THEN {column}::DOUBLE END AS value, row_number() OVER (ORDER BY date) AS ordinal FROM daily"
+
+
+@query(f"WITH {DAILY} SELECT * FROM ({_fred_sql('us10y', 'top')}) WHERE obs_date >= DATE '1996-02-29'")
+def fred_feed(spark, sf_dir):
+    return feeds.fred(spark, _fred_file(spark, sf_dir, "top", "observation_date,us10y"), "us10y", dt.date(1996, 2, 29))
+
+
+@query(f"WITH {DAILY} {_fred_sql('us2y', 'n')} UNION ALL {_fred_sql('us10y', 'top')}")
+def fred_feeds(spark, sf_dir):
+    paths = {"us2y": _fred_file(spark, sf_dir, "n", "DATE,DGS2"), "us10y": _fred_file(spark, sf_dir, "top", '"DATE","DGS10"')}
+    return feeds.fred_all(spark, paths, codes={"us2y": "DGS2", "us10y": "DGS10"})
+
+
+def _mof_file(spark: SparkSession, sf_dir: str, since: int = 1900, sign: int = 1) -> str:
+    d = F.dayofmonth("date")
+    day = F.when(d % 2 == 0, F.date_format("date", "yyyy-M-d")).otherwise(F.date_format("date", "yyyy/M/d"))
+    two = F.when(d == 3, "-").when(d == 4, "").otherwise((F.col("n") * sign).cast("string"))
+    lines = _daily(spark, sf_dir).filter(F.year("date") >= since).select(F.unix_date("date").alias("i"), F.concat_ws(",", day, F.lit('"1,5"'), two, (F.col("top") * sign).cast("string")).alias("line"))
+    return _file(spark, lines, ["\ufeffYields,,,(percent)", "Date,1Y,2Y,10Y"], ["end of table,,,"])
+
+
+def _mof_sql(since: int = 1900, sign: int = 1) -> str:
+    rows = f"(SELECT *, row_number() OVER (ORDER BY date) + 1 AS ordinal FROM daily WHERE year(date) >= {since})"
+    return f"SELECT 'jgb2y' AS series, date AS obs_date, CASE WHEN day(date) NOT IN (3, 4) THEN ({sign} * n)::DOUBLE END AS value, ordinal FROM {rows} UNION ALL SELECT 'jgb10y', date, {sign} * top, ordinal FROM {rows}"
+
+
+@query(f"WITH {DAILY} {_mof_sql()}")
+def mof_feed(spark, sf_dir):
+    """Titles above the header, two forms of dates, marks for missing values, a quoted cell and a footer."""
+    return feeds.mof(spark, _mof_file(spark, sf_dir), {"jgb2y": "2Y", "jgb10y": "10Y"})
+
+
+@query(f"WITH {DAILY} SELECT count(*) + 2 AS ordinal, 'end of table,,,' AS line FROM daily")
+def mof_rejects(spark, sf_dir):
+    return feeds.mof_rejects(spark, _mof_file(spark, sf_dir)).select("ordinal", "line")
+
+
+BARS = """bars AS (SELECT CAST(ts AS DATE) AS obs_date, event_id AS ordinal, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events),
+fx AS (SELECT 'usdjpy' AS series, obs_date, value FROM (SELECT *, row_number() OVER (PARTITION BY obs_date ORDER BY ordinal DESC) AS r FROM bars) WHERE r = 1 AND value IS NOT NULL)"""
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    close = F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string"))
+    return _read(spark, sf_dir, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+09:00")).alias("date"), F.lit("1").alias("Open|USDJPY=X"), close.alias("Close|USDJPY=X"), F.col("event_id").alias("ordinal"))
+
+
+@query(f"WITH {BARS} SELECT * FROM fx")
+def yahoo_feed(spark, sf_dir):
+    """Local days of stamps with a zone; a day whose last bar has no close is missing."""
+    return feeds.yahoo(_bars(spark, sf_dir), "usdjpy", "USDJPY=X").select("series", "obs_date", "value")
+
+
+@query(f"""WITH {DAILY}, {BARS}, old AS ({_mof_sql()}), new AS ({_mof_sql(1998, -1)}), bonds AS (SELECT series, obs_date, value FROM new UNION ALL SELECT series, obs_date, value FROM old ANTI JOIN new USING (series, obs_date))
+SELECT * FROM (SELECT series, obs_date, value FROM ({_fred_sql('us2y', 'n')}) UNION ALL SELECT series, obs_date, value FROM ({_fred_sql('us10y', 'top')}) UNION ALL SELECT * FROM bonds UNION ALL SELECT * FROM fx) WHERE obs_date >= DATE '1997-12-02'""")
+def fetched_feeds(spark, sf_dir):
+    """All feeds of a run that starts on 1998-01-02, from 31 days before; the later bond file wins where both have a day."""
+    landed = {"fred": {"us2y": _fred_file(spark, sf_dir, "n", "DATE,DGS2"), "us10y": _fred_file(spark, sf_dir, "top", "DATE,DGS10")}, "mof": [_mof_file(spark, sf_dir), _mof_file(spark, sf_dir, 1998, -1)], "yahoo": _bars(spark, sf_dir)}
+    return feeds.fetch_all(spark, _config("ny_close", "1998-01-02", "2024-01-30"), landed)

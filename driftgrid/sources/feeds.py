@@ -10,11 +10,13 @@ are an error in the FRED reader and dropped in the MoF reader; repeated dates ar
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -51,44 +53,65 @@ def _lines(files: DataFrame, encodings: tuple[str, ...]) -> DataFrame:
     return files.select("path", "content").mapInPandas(decoded, "path string, ordinal long, line string")
 
 
-def fred(spark: SparkSession, path: str, series: str, start: dt.date | None = None) -> DataFrame:
-    """A two-column CSV by position; header names vary. Rows from `start` on, with no upper bound (A1, B1)."""
+def _cells(width: int) -> Column:
+    """The first cells of a CSV line, quoted or not; null where the line has fewer."""
+    row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+    return F.array(*[row[f"c{i}"] for i in range(width)])
+
+
+def fred(spark: SparkSession, path: str, series: str, start: dt.date | None = None, code: str | None = None) -> DataFrame:
+    """A two-column CSV by position; header names vary. Rows from `start` on, with no upper bound (A1, B1).
+
+    A value column named other than `code` (the series if it is None) is a warning.
+    """
     files = spark.read.format("binaryFile").load(path)
-    rows = _lines(files, ("utf-8",)).filter("trim(line) <> ''")
-    cells = F.split("line", ",")
-    narrow = rows.filter((F.col("ordinal") == 0) & (F.size(cells) < 2))
-    if narrow.head(1):
+    rows = _lines(files, ("utf-8",)).filter("trim(line) <> ''").withColumn("cells", _cells(2))
+    heads = [r["cells"][1] for r in rows.filter("ordinal = 0").select("cells").collect()]  # one for each file
+    if not heads or any(h is None for h in heads):
         raise ValueError(f"{series}: a date and a value column are needed")
-    out = rows.filter("ordinal > 0").select(F.lit(series).alias("series"), strict_date(cells[0]).alias("obs_date"), number(F.get(cells, F.lit(1))).alias("value"), "ordinal")
+    if other := sorted({h.strip() for h in heads if h.strip().upper() != (code or series).upper()}):
+        warnings.warn(f"{series}: the value column is {', '.join(other)}, not {code or series}", stacklevel=2)
+    out = rows.filter("ordinal > 0").select(F.lit(series).alias("series"), strict_date(F.col("cells")[0]).alias("obs_date"), number(F.col("cells")[1]).alias("value"), "ordinal")
     return out.filter(F.col("obs_date") >= start) if start else out
 
 
-def fred_all(spark: SparkSession, paths: dict[str, str], start: dt.date | None = None) -> DataFrame:
-    """All FRED series as one long table (A3)."""
-    frames = [fred(spark, path, series, start) for series, path in paths.items()]
+def fred_all(spark: SparkSession, paths: dict[str, str], start: dt.date | None = None, codes: dict[str, str] | None = None) -> DataFrame:
+    """All FRED series as one long table (A3); codes maps series to the names of their value columns."""
+    frames = [fred(spark, path, series, start, (codes or {}).get(series)) for series, path in paths.items()]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
 
 
-def mof(spark: SparkSession, path: str, tenors: dict[str, str], encodings: tuple[str, ...] = ("utf-8", "cp932", "latin-1"), start: dt.date | None = None) -> DataFrame:
-    """A yield table with titles above its header and footers below; tenors maps series to columns."""
+def _mof_body(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """The header's names and the lines below it, with their cells and dates."""
     rows = _lines(spark.read.format("binaryFile").load(path), encodings)
     head = rows.filter(F.lower(F.ltrim("line")).startswith("date")).orderBy("ordinal").select("ordinal", "line").first()
     if head is None:
         raise ValueError(f"{path}: no header line begins with Date")
-    names = [c.strip().lstrip("﻿").upper() for c in head["line"].split(",")]
+    names = [c.strip().lstrip("﻿").upper() for c in next(csv.reader([head["line"]]))]
+    body = rows.filter(F.col("ordinal") > head["ordinal"]).withColumn("cells", _cells(len(names)))
+    return names, body.withColumn("obs_date", loose_date(F.col("cells")[0]))
+
+
+def mof(spark: SparkSession, path: str, tenors: dict[str, str], encodings: tuple[str, ...] = ("utf-8", "cp932", "latin-1"), start: dt.date | None = None) -> DataFrame:
+    """A yield table with titles above its header and footers below; tenors maps series to columns."""
+    names, body = _mof_body(spark, path, encodings)
     missing = [t for t in tenors.values() if t.upper() not in names]
     if missing:
         raise ValueError(f"{path}: no tenor {', '.join(missing)}")
-    cells = F.split("line", ",")
-    values = [F.struct(F.lit(s).alias("series"), number(F.get(cells, F.lit(names.index(t.upper())))).alias("value")) for s, t in tenors.items()]
-    body = rows.filter(F.col("ordinal") > head["ordinal"]).select(loose_date(cells[0]).alias("obs_date"), "ordinal", F.explode(F.array(*values)).alias("v"))
-    out = body.filter("obs_date is not null").select("v.series", "obs_date", "v.value", "ordinal")
+    values = [F.struct(F.lit(s).alias("series"), number(F.col("cells")[names.index(t.upper())]).alias("value")) for s, t in tenors.items()]
+    out = body.filter("obs_date is not null").select("obs_date", "ordinal", F.explode(F.array(*values)).alias("v")).select("v.series", "obs_date", "v.value", "ordinal")
     return out.filter(F.col("obs_date") >= start) if start else out
 
 
+def mof_rejects(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "cp932", "latin-1")) -> DataFrame:
+    """(path, ordinal, line) of the lines below the header, blank ones aside, that `mof` leaves out since their dates can't be read."""
+    _, body = _mof_body(spark, path, encodings)
+    return body.filter("obs_date is null and trim(line) <> ''").select("path", "ordinal", "line")
+
+
 def yahoo(frame: DataFrame, series: str, ticker: str, field: str = "Close") -> DataFrame:
     """Bars (date, then columns named FIELD or FIELD|TICKER, in file order by `ordinal`) as observations.
 
@@ -144,7 +167,7 @@ def fetch_all(spark: SparkSession, config: Config, landed: dict, provider: str |
     from ..operators.dedup import keep_last, priority_merge
 
     start = config.project.start_date - dt.timedelta(days=WARM_UP_DAYS)
-    rates = keep_last(fred_all(spark, landed["fred"], start), ["series", "obs_date"], ["ordinal"])
+    rates = keep_last(fred_all(spark, landed["fred"], start, config.sources.fred.series), ["series", "obs_date"], ["ordinal"])
     bonds = [mof(spark, p, config.sources.mof.tenors, config.sources.mof.encoding_candidates, start) for p in landed["mof"]]
     prices = fx(spark, config, landed, provider).filter(F.col("obs_date") >= start)
     parts = [rates, priority_merge(bonds, ["series", "obs_date"], ["ordinal"]), prices]

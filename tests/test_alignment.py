@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from driftgrid.config import ConfigError, parse, policy_rows
 from driftgrid.operators import align, asof, calendars, dedup, validate
@@ -88,6 +90,11 @@ def test_asof_tolerance(spark):
     far = {(r["series"], r["target"]): r["value"] for r in asof.asof_unbounded(targets.filter("series = 'a' and target is not null"), obs).collect()}
     assert far["a", day(9)] == 1.5 and far["a", day(10)] == 2.0
     assert asof.asof_lookup(targets.limit(0), obs, rules).count() == 0
+    # a long tolerance takes the other way, with the same answers
+    long = {(r["series"], r["target"]): r["value"] for r in asof.asof_lookup(targets, obs, rules, longest=400).collect()}
+    assert long == got
+    wide = spark.createDataFrame([("a", 400)], "series string, max_lag int")
+    assert sorted(map(str, asof.asof_lookup(targets, obs, wide, longest=400).collect())) == sorted(map(str, asof.asof_lookup(targets, obs, wide).collect()))
 
 
 def test_calendars(spark):
@@ -155,3 +162,21 @@ def test_odd_tables(spark):
     assert {r["check"] for r in validate.validate(_table(spark).drop("jgb2y"), config).rows()} == {"schema"}
     assert {(r["check"], r["level"]) for r in validate.validate(_table(spark).selectExpr("*", "1 as extra"), config, {"row_count": 1}).rows()} == {("schema", "warning"), ("metadata", "error")}
     assert validate.validate(_table(spark), config).stats["coverage_pct"] == 100.0
+
+
+def test_stored_order_and_many_gaps(spark):
+    config = parse(settings(start="2015-01-01", end="2024-08-29"))
+    table = _table(spark).withColumn("i", F.row_number().over(Window.orderBy("date")))
+    swapped = table.withColumn("i", F.when(F.col("i") == 5, 6).when(F.col("i") == 6, 5).otherwise(F.col("i")))
+    assert not validate.validate(table, config, ordinal="i").findings.filter("subject = 'order'").count()
+    assert [(r["check"], r["n"]) for r in validate.validate(swapped, config, ordinal="i").rows() if r["subject"] == "order"] == [("dates", 1)]
+    assert validate.unsorted_rows(swapped, "i", stretch=5).count() == 1  # the two rows are in different stretches
+    days = [(dt.date(2015, 1, 5) + dt.timedelta(14 * k),) for k in range(30)]
+    spaced = spark.createDataFrame(days, "date date").join(_table(spark).drop("date").limit(1))
+    found = [r for r in validate.validate(spaced, config).rows() if r["check"] == "gaps"]
+    assert len(found) == 21 and {r["n"] for r in found if r["subject"] != "more"} == {9} and [r["n"] for r in found if r["subject"] == "more"] == [9]
+    assert validate.gaps(spaced).count() == 29 and validate.gaps(spaced.limit(0)).count() == 0
+    stamped = _table(spark).withColumn("date", F.col("date").cast("timestamp") + F.expr("interval 3 hours"))
+    assert {r["check"] for r in validate.validate(stamped, parse(settings(end="2024-08-29"))).rows()} >= {"schema", "dates"}
+    holed = _table(spark).withColumn("us10y_real", F.when(F.dayofmonth("date") > 5, 1.0))
+    assert {(r["check"], r["level"]) for r in validate.validate(holed, parse(settings(end="2024-08-29"))).rows()} == {("nan", "warning")}

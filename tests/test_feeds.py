@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 from types import SimpleNamespace
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgrid.config import parse
-from driftgrid.functions import stats
+from driftgrid.functions import series as models
+from driftgrid.functions import stats, trading
 from driftgrid.operators import align, provenance
 from driftgrid.sources import feeds
 from driftgrid.streaming.increment import follow
@@ -25,6 +27,10 @@ def test_fred(spark, tmp_path):
     (tmp_path / "b.csv").write_text("DATE\n2024-07-01\n")
     with pytest.raises(ValueError):
         feeds.fred(spark, str(tmp_path / "b.csv"), "x")
+    (tmp_path / "c.csv").write_text('"observation_date","DGS2"\n"2024-07-01","4.5"\n2024-07-02,"1,5"\n')
+    with pytest.warns(UserWarning, match="DGS2"):
+        got = feeds.fred(spark, str(tmp_path / "c.csv"), "us2y", code="DGS10")
+    assert _values(got) == {("us2y", "2024-07-01"): 4.5, ("us2y", "2024-07-02"): None}
 
 
 def test_mof(spark, tmp_path):
@@ -33,12 +39,14 @@ def test_mof(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
         got = _values(feeds.mof(spark, str(tmp_path / name), {"jgb1y": "1Y", "jgb2y": "2Y"}))
         assert got == {("jgb1y", "2024-07-01"): 0.1, ("jgb2y", "2024-07-01"): 0.352, ("jgb1y", "2024-07-03"): None, ("jgb2y", "2024-07-03"): 0.36}
+    assert [(r["ordinal"], r["line"]) for r in feeds.mof_rejects(spark, str(tmp_path / "bom")).collect()] == [(4, "footer")]
     with pytest.raises(ValueError):
         feeds.mof(spark, str(tmp_path / "bom"), {"x": "50Y"})
     (tmp_path / "none").write_text("no header\n1,2\n")
     with pytest.raises(ValueError):
         feeds.mof(spark, str(tmp_path / "none"), {"x": "2Y"})
-    assert feeds.raw_files(spark, str(tmp_path / "none")).first()["bytes"] == 14
+    found = feeds.raw_files(spark, str(tmp_path / "none")).first()
+    assert found["bytes"] == 14 and found["sha256"] == hashlib.sha256(b"no header\n1,2\n").hexdigest()
 
 
 def test_prices(spark):
@@ -79,6 +87,12 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("series string, obs_date date, value double").parquet(str(tmp_path / "in"))
     follow(stream, str(tmp_path / "store"), rules, cal, lambda df, i: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted((r["date"].day, r["value"]) for r in out) == [(1, 5.0), (2, 5.0), (3, 5.0)]
+    # a later batch gives the days that it can change, from all that is stored
+    out.clear()
+    more = [("a", dt.date(2024, 7, 3), 7.0), ("b", dt.date(2024, 7, 1), 1.0), ("a", None, 2.0)]
+    spark.createDataFrame(more, "series string, obs_date date, value double").write.mode("append").parquet(str(tmp_path / "in"))
+    follow(stream, str(tmp_path / "store"), rules, cal, lambda df, i: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted((r["date"].day, r["value"]) for r in out) == [(3, 7.0), (4, 7.0)]
 
 
 def test_statistics(spark):
@@ -90,7 +104,7 @@ def test_statistics(spark):
     r = stats.half_life(df, "v", ["k"], ["i"]).first()
     d, b = np.diff(x), np.array(x[:-1])
     assert r["kappa"] == pytest.approx(np.polyfit(b, d, 1)[0]) and 4 < r["half_life"] < 10 and r["half_life"] == pytest.approx(-math.log(2) / r["kappa"])
-    assert stats.dickey_fuller(df, "v", ["k"], ["i"]).first()["statistic"] < -5
+    assert models.dickey_fuller(df, "v", ["k"], ["i"]).first()["statistic"] < -5
     z = [(r["i"], r["z"]) for r in stats.rolling_zscore(df, "v", ["k"], ["i"], 60).orderBy("i").collect()]
     assert z[59][1] is None and z[100][1] == pytest.approx((x[100] - np.mean(x[40:100])) / np.std(x[40:100], ddof=1))
     poisoned = df.withColumn("v", F.when(F.col("i") == 101, 1e9).otherwise(F.col("v")))
@@ -100,5 +114,5 @@ def test_statistics(spark):
 def test_signals(spark):
     path = [None, 1.0, 2.5, 1.0, 0.2, -2.2, -3.6, -2.5, -0.1, -2.0, -1.0, -1.0]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(path)], "k string, i int, z double")
-    got = [(r["position"], r["reason"]) for r in stats.signal_states(df, "z", ["k"], ["i"], most_rows=2).orderBy("i").collect()]
+    got = [(r["position"], r["reason"]) for r in trading.signal_states(df, "z", ["k"], ["i"], most_rows=2).orderBy("i").collect()]
     assert got == [(0, None), (0, None), (-1, "enter"), (-1, None), (0, "exit"), (1, "enter"), (0, "stop"), (0, None), (0, None), (1, "enter"), (1, None), (0, "time")]
