@@ -119,6 +119,17 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray,
     return out.tobytes().decode("latin-1"), before, text_at, first
 
 
+def _every(searched, text: str, lo: int, hi: int, least: int) -> Iterator:
+    """The best match of a stretch, then those of what is left before and after it: a search goes on after its best match, past worse ones before that."""
+    rest = [(lo, hi)]
+    while rest:
+        a, b = rest.pop()
+        m = searched.search(text, a, b) if b - a >= least else None
+        if m:
+            yield m
+            rest += [(a, m.start()), (m.end(), b)]
+
+
 def scan_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[dict]], dict[int, list[dict]]]:
     """Words of each text; by row, the exact places and the fuzzy matches."""
     automaton, patterns, exact = _search()
@@ -144,7 +155,7 @@ def scan_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[
     for (row, k), held in windows.items():
         notice, label = NOTICES[k]
         for lo, hi in held:
-            for m in patterns[k].finditer(text, lo, hi):
+            for m in _every(patterns[k], text, lo, hi, len(notice) - edits_of(notice)):
                 edits = sum(m.fuzzy_counts)
                 a, b = (int(np.searchsorted(word_at, p, "right")) - 1 - int(first[row]) for p in (m.start(), max(m.start(), m.end() - 1)))
                 matches.setdefault(row, []).append({"label": label, "notice": notice, "first_word": max(0, a), "last_word": b, "edits": edits, "score": 1 - edits / len(notice), "text": m.group().encode("latin-1").decode("utf-8", "replace")})
