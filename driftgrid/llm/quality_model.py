@@ -8,7 +8,8 @@ the same way. A score is the sigmoid of the intercept plus one table entry for e
 feature and pair, added up for whole batches.
 
 The model is fitted on at most `sample` labelled rows (the default is the documented
-bound; the rows with the least hash of their doc_id), because one driver fits it. Counts
+bound; those with the least hash of their doc_id, and of the documents that have these ids the rows with the least hash of id
+and text), because one driver fits it. Counts
 and scores cover all rows and whole texts.
 
 Defined results: a null or empty text is scored like any other (all features zero); rows
@@ -190,7 +191,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffers(batch.column(1))
         for lo, hi in blocks(offsets):
             x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, np.ascontiguousarray(x.T))], names=["quality", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, np.ascontiguousarray(x.T))], names=["own", *FEATURES])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel) -> Iterator[pa.RecordBatch]:
@@ -207,9 +208,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
     chosen = labels.filter("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = chosen.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
     # at most `sample` rows of two numbers, so they go to every task
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("quality", "text")
-    schema = T.StructType([T.StructField("quality", T.IntegerType()), *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
-    found = in_arrow(rows, _featured, schema).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    rows = rows.select(F.struct("quality", F.xxhash64("id", "text").alias("at"), "id").alias("own"), "text")
+    schema = T.StructType([rows.schema["own"], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
+    # many documents may share an id: the driver gets `sample` rows at most
+    found = in_arrow(rows, _featured, schema).orderBy("own.at", "own.id", "own.quality", *FEATURES).limit(sample).select("own.quality", *FEATURES).toPandas()
     return fit(found[FEATURES].to_numpy(float), found["quality"].to_numpy(float))
 
 
