@@ -301,6 +301,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
     return in_arrow(placed, partial(_cut, mix=mix), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
+def packed_mixture(spark, sf_dir: str) -> DataFrame:
+    """Tokens of each source in each window, with targets unlike the sources' sizes: half for src1, a fifth for src2, a hundredth for src3."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), targets={"src1": 0.5, "src2": 0.2, "src3": 0.01}).select("doc_id", "sequence_id", "length")
+    of = docs.select("doc_id", "source").distinct()
+    return pieces.join(of, "doc_id").groupBy("sequence_id", "source").agg(F.sum("length").alias("n_tokens"))
+
+
 def op2_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

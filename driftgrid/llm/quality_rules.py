@@ -156,6 +156,13 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """The ablation of the policy web-1 over all documents."""
+    from .common import table
+
+    return ablation(ledger(table(spark, sf_dir, "documents")), "web-1")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
@@ -189,3 +196,9 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+ABLATION_SQL = f"""
+WITH r AS (SELECT fail_bits FROM ({ORACLE_SQL}) AS ledger), rules(rule, b) AS (VALUES {", ".join(f"('{r}', {bit(r)})" for r in POLICIES["web-1"])})
+SELECT rule, count(*) FILTER (fail_bits & b <> 0) AS n_fail, count(*) FILTER (fail_bits = b) AS n_only, count(*) FILTER (fail_bits = b OR fail_bits = 0) AS n_kept_without
+FROM rules CROSS JOIN r GROUP BY rule
+"""

@@ -19,9 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat_format.op10_chat_format,
+    "rule_ablation": quality_rules.rule_ablation,
+    "packed_mixture": packing.packed_mixture,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "rule_ablation": quality_rules.ABLATION_SQL,
 }

@@ -75,8 +75,12 @@ def test_rules(spark, odd, docs):
     got = sorted(tuple(r)[:6] for r in quality_rules.ledger(odd).select("doc_id", *quality_rules.MEASURES).fillna(-1, ["doc_id"]).collect())
     assert got == sorted((-1 if d is None else d, *brute(t)) for d, t in ODD)
     rows = quality_rules.ledger(odd)
-    parts = {r["rule"]: r["n_fail"] for r in quality_rules.ablation(rows, "web-1").collect()}
-    assert parts["few_words"] == sum(len(words(t)) < 50 for _, t in ODD)
+    bits_ = [r["fail_bits"] for r in rows.collect()]
+    for policy, rules in quality_rules.POLICIES.items():
+        active = [b & quality_rules.mask(rules) for b in bits_]
+        want = {r: (sum(bool(b & quality_rules.bit(r)) for b in active), sum(b == quality_rules.bit(r) for b in active), sum(not b & ~quality_rules.bit(r) for b in active)) for r in rules}
+        assert {r["rule"]: (r["n_fail"], r["n_only"], r["n_kept_without"]) for r in quality_rules.ablation(rows, policy).collect()} == want
+    assert want["few_words"][0] == sum(len(words(t)) < 50 for _, t in ODD)
     assert quality_rules.ledger(odd.limit(0)).count() == 0
     found = {r["doc_id"]: tuple(r)[1:6] for r in quality_rules.op1_quality_rules(spark, SF).collect()}
     assert found == {d: brute(t) for d, t in docs}
@@ -264,6 +268,100 @@ def test_tokens(odd):
     assert token_counts.count_tokens(odd.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_lines(spark, docs):
+    """Every row of the query against the library's tokens, laid over the lines one by one."""
+    import public_tokenizers
+
+    encoder, lengths = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {}
+    extra = [(-1, "a\n\n\n\nb"), (-2, "über\n \n\n  c\n\n"), (-3, "\n\n\n")]  # tokens that cross lines
+    for d, text in [*docs, *extra]:
+        data = text.encode()
+        lines, at = [], 0
+        for line in re.findall(rb"[^\n]*\n|[^\n]+", data):
+            lines.append((at, at + len(line)))
+            at += len(line)
+        counts, crossing = [0] * len(lines), [0] * len(lines)
+        begin = line = 0
+        for token in encoder.encode_ordinary(text):
+            end = begin + len(encoder.decode_single_token_bytes(token))
+            while lines[line][1] <= begin:
+                line += 1
+            touched = [i for i in range(line, len(lines)) if lines[i][0] < end] if lines[line][1] < end else [line]
+            best = max(touched, key=lambda i: (min(end, lines[i][1]) - max(begin, lines[i][0]), -i))
+            counts[best] += 1
+            crossing[best] += len(touched) > 1
+            begin = end
+        for i, (a, b) in enumerate(lines):
+            want[d, i] = (len(data[:a].decode("utf-8")), len(data[a:b].decode("utf-8")), counts[i], crossing[i])
+    rows = token_counts.op6_token_counts(spark, SF).collect()
+    few = spark.createDataFrame(extra, "doc_id long, text string")
+    rows += token_counts.count_tokens(few, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="most").collect()
+    assert {(r["doc_id"], r["section"]): (r["first_char"], r["n_chars"], r["n_tokens"], r["n_crossing"]) for r in rows} == want
+    assert sum(w[3] for w in want.values()) > 0
+
+
+def test_license_query(spark, docs):
+    """The base columns of the whole query against plain Python, and notices with random edits within their bounds."""
+    phrases = [(p.split(), label) for p, label in license_scan.PHRASES]
+    want = {}
+    for d, text in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        places = [(i, label) for p, label in phrases for i in range(len(w)) if w[i : i + len(p)] == p]
+        starts = [i for i, _ in places]
+        want[d] = (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})))
+    rows = license_scan.op7_license_scan(spark, SF).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows} == want
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+    rng = np.random.default_rng(12)
+    edited = []
+    for k in range(400):
+        notice, label = license_scan.NOTICES[k % len(license_scan.NOTICES)]
+        letters = list(notice)
+        for at in rng.choice([i for i, c in enumerate(letters) if c != " "], int(rng.integers(0, license_scan.edits_of(notice) + 1)), replace=False).tolist():
+            letters[at] = "qxz"[int(rng.integers(0, 3))]  # no edit joins or parts words
+        edits = sum(a != b for a, b in zip(letters, notice, strict=True))
+        edited.append((k, "some words before " + "".join(letters) + " and words after it", label, edits))
+    found = {r["doc_id"]: r["matches"] for r in license_scan.scan(spark.createDataFrame([e[:2] for e in edited], "doc_id long, text string")).collect()}
+    for k, _, label, edits in edited:  # the notice itself, or another that is nearer to what is written
+        assert any(m["label"] == label and m["edits"] <= edits for m in found[k]) or any(m["edits"] < edits for m in found[k])
+    both = license_scan.scan(spark.createDataFrame([(1, "relesed under the mit license or released under the mit license")], "doc_id long, text string")).first()
+    assert [(m["first_word"], m["edits"]) for m in both["matches"] if m["label"] == "mit"] == [(0, 1), (6, 0)]
+
+
+def test_scores_against_loops(spark, docs):
+    """The scores of the query against tables looked up one by one."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality_model.learn(frame, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in quality_model.op4_quality_model(spark, SF).collect()}
+    for d, text in docs:
+        x = quality_model.features(*_joined([text]))[0]
+        odds = model.intercept
+        for i, value in enumerate(x):
+            odds += model.tables[i][sum(edge <= value for edge in model.edges[i])]
+        for (i, j), values in zip(model.pairs, model.pair_tables, strict=True):
+            odds += values[sum(e <= x[i] for e in model.pair_edges[i]), sum(e <= x[j] for e in model.pair_edges[j])]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -30, 30))), abs=1e-12)
+    # a tree of two leaves is the best of all cuts
+    rng = np.random.default_rng(0)
+    g, h = rng.normal(size=9), rng.random(9) + 0.1
+    worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    cut = max(range(1, 9), key=lambda c: worth(0, c) + worth(c, 9))
+    assert np.flatnonzero(np.diff(quality_model._tree(g, h, 2))).tolist() in ([cut - 1], [])
+    # an id that many documents share brings no more rows than the sample
+    learnt = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    shared = spark.createDataFrame([(learnt, f"text {i} of one id " * (i % 7 + 1)) for i in range(300)], "doc_id long, text string")
+    one = spark.createDataFrame([(learnt, 1)], "doc_id long, quality int")
+    seen = []
+    monkey = quality_model.fit
+    quality_model.fit = lambda x, y: seen.append(len(y)) or monkey(x, y)
+    try:
+        quality_model.learn(shared, one, sample=50)
+    finally:
+        quality_model.fit = monkey
+    assert seen == [50]
+
+
 def test_licenses(spark, odd):
     notice = license_scan.NOTICES[2][0]
     rows = [(1, f"Some text. {notice.replace('granted', 'granded').upper()}!"), (2, "MIT-License and the Apache  license, cc by"), (3, "smit license"), (4, None), (5, "licensed under cc by nc 4.0")]
@@ -499,6 +597,53 @@ def test_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], f"conv_id long, turn long, role string, content {chat_format.PARTS}")).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of 20 MB, and a batch of long ones, in every operator that reads documents."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"w{x}" for x in range(50_000)]
+    text = lambda n: " ".join(vocabulary[i] for i in rng.integers(0, 50_000, n))
+    long, part = text(3_200_000), text(60)
+    rows = [(1, long + " " + part), (2, part + " " + text(300)), *[(3 + i, text(150_000)) for i in range(12)]]
+    assert len(long) > 20_000_000
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(2)
+    import public_tokenizers
+
+    n_words = {d: len(t.split()) for d, t in rows}
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.ledger(table).collect()} == n_words
+    assert {r["doc_id"]: r["n_words"] for r in license_scan.scan(table).collect()} == n_words
+    assert quality_model.score(table, quality_model.fit(np.zeros((0, len(quality_model.FEATURES))), np.zeros(0))).count() == len(rows)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.strip_repeats(table, digest=True).select("row.doc_id", "n_removed").collect()}
+    assert got == {d: 60 if d < 3 else 0 for d, _ in rows}
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.strip_spans(table, digest=True).select("row.doc_id", "n_removed").collect()}
+    assert got[2] in (len(part), len(part) + 1) and sum(got.values()) == got[2]
+    pieces = packing.pack(table.filter("doc_id < 3"), public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(pieces) == 2 and all(r["n"] == r["m"] for r in pieces)
+    assert {r["component_id"] for r in near_dedup.near_classes(table.select("doc_id", "text"), 2).collect()} == {d for d, _ in rows}
+    found = decontamination.find_leaks(table, spark.createDataFrame([(9, part)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["first_word"]) for r in found) == [(1, 3_200_000), (2, 0)] or sorted(r["doc_id"] for r in found) == [1, 2]
+
+
+def test_pipeline_stages(spark, docs):
+    """What each stage keeps and removes, against plain computations on its own input."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_model.learn(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {d: float(model.score(quality_model.features(*_joined([t])))[0]) for d, t in docs}
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, table, SF).collect()}
+    assert kept == {d for d, s in scores.items() if s >= 0.5}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()}
+    assert kept == {d for d, (_, c) in _components({d: _shingles(t, 5) for d, t in docs}).items() if d == c}
+    rows = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, table, SF).collect()}
+    want = {d: (n, gone, digest) for d, n, gone, digest in _strip(docs, 35)}
+    assert set(rows) == {d for d, (n, gone, _) in want.items() if not n or gone < n}
+    for d, row in rows.items():
+        assert hashlib.sha256(" ".join(words(row["text"])).encode()).hexdigest() == want[d][2] and (row["n_chars"] == len(row["text"]) or not want[d][1])
+    leaks = {r["doc_id"] for r in decontamination.op9_decontamination(spark, SF).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.benchmark_leaks(spark, table, SF).collect()}
+    assert kept == {d for d, _ in docs} - leaks and leaks
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
