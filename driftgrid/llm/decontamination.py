@@ -326,15 +326,23 @@ def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds:
             item_id, own, last = items[item_]
             places, full, answer, full_answer = masks[item_]
             part = [x for x in hashes[a:b].tolist() if x in places]
-            most = min(len(part), len(own))  # no subsequence is longer
-            if most < COVER_ANSWER * len(own) or most <= found.get((i, item_), (0,) * 5)[4]:
+            if len(part) < COVER_ANSWER * len(own):
                 continue
-            n, m = common_words(part, places, full), common_words(part, answer, full_answer)
-            if not _is_leak(n, m, len(own), last) or n <= found.get((i, item_), (0,) * 5)[4]:
+            held = 0  # the item's words that are here at all: no subsequence holds more of them, or of its answer
+            for x in set(part):
+                held |= places[x]
+            best = found.get((i, item_), (0,) * 5)[4]
+            if held.bit_count() <= best or not _is_leak(held.bit_count(), (held >> len(own) - last).bit_count(), len(own), last):
+                continue
+            n = common_words(part, places, full)
+            if n <= best or n < COVER_ANSWER * len(own):
+                continue
+            m = common_words(part, answer, full_answer)
+            if not _is_leak(n, m, len(own), last):
                 continue
             if cosine_ < -1:  # found by counts
-                near_by, held = hashes[a:b].tolist(), int(index[4][item_])
-                spans = [(at, [x for x in near_by[at : at + held] if x in places]) for at, x in enumerate(near_by) if x in places]
+                near_by, reach = hashes[a:b].tolist(), int(index[4][item_])
+                spans = [(at, [x for x in near_by[at : at + reach] if x in places]) for at, x in enumerate(near_by) if x in places]
                 checked = [(common_words(own_part, places, full), -at, common_words(own_part, answer, full_answer)) for at, own_part in spans]
                 n, at, m = max((c for c in checked if _is_leak(c[0], c[2], len(own), last)), default=(0, 0, 0))
                 a, cosine_ = a - at, float((vectors[of_vector == item_] @ rows[block_]).max())
