@@ -190,7 +190,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (a, b), for every node of a link.
 
     Alternates stars: each node sends its larger neighbours, then its smaller ones, to its least
-    neighbour, until every edge is a star's. All steps are joins and aggregations.
+    neighbour, until every edge is a star's. All steps are joins and aggregations; a hub's edges are joined with one row of
+    its own, so adaptive execution can split them over tasks, and its least neighbour is aggregated before the shuffle.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
