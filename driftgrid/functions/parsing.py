@@ -1,4 +1,8 @@
-"""Tolerant parsing of cells (B1, B4-B6, B8, the NaN contract): null marks what is missing, never NaN."""
+"""Tolerant parsing of cells (B1, B4-B6, B8, the NaN contract): null marks what is missing, never NaN.
+
+Defined results: null and empty cells, marks for missing values and junk are null; cells are read one by one, so repeated rows, ties and empty
+tables have no say; long cells are junk; only `strict_date` takes junk for an error.
+"""
 
 from __future__ import annotations
 

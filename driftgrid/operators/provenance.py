@@ -1,4 +1,9 @@
-"""Metadata of a run and its sinks."""
+"""Metadata of a run and its sinks.
+
+Defined results: null values are left out of a series' range; a series without values, and a table without rows, give no range
+and no row of it; repeated rows count each; ties do not matter, as only counts, least and greatest days are kept; saving replaces what was
+there. The daily table has a row a day and is saved as one file in the order of its days.
+"""
 
 from __future__ import annotations
 
