@@ -47,8 +47,8 @@ from .common import in_arrow, table, text_buffers, written
 WINDOW, LANE, LEAST_PIECE, END_ID = 4096, 256, 64, 2
 #: Documents for each bucket of the queues, over all sources.
 BUCKET_DOCS = 20_000
-#: Bytes of a generation of a worker's caches of encoded words and of their pieces; an entry counts ENTRY bytes beside its word and ids.
-CACHE_BYTES, ENTRY = 24 << 20, 140
+#: Bytes of a generation of a worker's cache of encoded words (a quarter of it for their pieces); an entry counts ENTRY bytes beside its word and ids.
+CACHE_BYTES, ENTRY = 40 << 20, 140
 #: Queues that the driver holds a number for.
 QUEUES = 4096
 
@@ -56,7 +56,10 @@ QUEUES = 4096
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"(?:[{_LATIN}]+|[!-&(-/:-@\[-`{{-~]+)+")
-_PIECE = re.compile(rf"[{_LATIN}]+|[^{_LATIN}]+")
+_PIECE = re.compile(rf"[{_LATIN}]+|[^{_LATIN}\s]+")
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~][!-/:-@\[-`{-~]")
+#: Bytes of plain words and of white space: ASCII letters and punctuation, and those of U+00C0 to U+00FF.
+_PLAIN_BYTES = bytes([*range(9, 14), *range(32, 39), *range(40, 48), *range(58, 127), *range(128, 192), 0xC3])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -89,17 +92,19 @@ class Known(dict):
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
-    The vocabulary drops white space, so a text's ids are those of its words on end and
-    each distinct word is encoded once. Words of Latin letters and ASCII punctuation (no
-    apostrophe) skip the normaliser, which leaves them alone but for lower case; the
-    library encodes all others whole. Caches are bounded and hold no state that matters.
+    The vocabulary drops white space, so a text's ids are those of its words on end. Words of Latin letters
+    and ASCII punctuation (no apostrophe) skip the normaliser, which leaves them alone but for
+    lower case: they are cut into runs of letters and of punctuation, each encoded by itself, and the
+    library encodes all other words whole. Texts of plain words are put in lower case first, and where no two marks adjoin
+    full stops and commas are parted from their words, so that fewer words are distinct. Each distinct one is encoded once; caches are
+    bounded and hold no state that matters.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
-        self.words, self.pieces = Known(self._word, CACHE_BYTES), Known(self._piece, CACHE_BYTES)
+        self.words, self.pieces = Known(self._word, CACHE_BYTES), Known(self._piece, CACHE_BYTES // 4)
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
@@ -108,13 +113,17 @@ class WordEncoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if text.isascii() and text.isalpha():
-            return self.pieces[text.lower()]
+            return self._piece(text.lower())
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self.pieces[p] for p in _PIECE.findall(text.lower())])
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as unsigned 16-bit numbers in the machine's order."""
+        if not text.translate(None, _PLAIN_BYTES) and not any(x in text for x in (b"\xc3\x97", b"\xc3\xb7", b"<|")):
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(b",", b" , ").replace(b".", b" . ")
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

@@ -116,6 +116,24 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_encoder(docs):
+    """The encoder's ways for plain texts and others against the library, on whole documents and on odd strings."""
+    import random
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+    encoder.words.limit = encoder.words.room = 20_000  # several generations
+    rng = random.Random(3)
+    alphabet = "abcXYZ .,;:!?-_()[]{}<>|~^`'\"#$%&*+/=@\\ éÉÀßÿ×÷ÐØ 0123 \t\n\r\x0b\x0c ıİſK漢字\xa0 \x85\x1ć🙂 don't it's <|endoftext|> I'LL"
+    odd_ = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    for text in [*(t for _, t in docs), *(t or "" for _, t in ODD), *odd_, "plain, text. with marks, and.", "a.,b", "x,y.z", "Émile, Été. ÀÉ", ". , .", "<| x"]:
+        assert encoder.encode(text.encode()) == array("H", library.encode(text, add_special_tokens=False).ids).tobytes(), text[:200]
+
+
 def _stream(mix):
     """The queue of each token of the stream, piece by piece."""
     pieces = [((2 * j + 1) / w, s, min(mix.piece, t - j * mix.piece)) for s, (t, w) in enumerate(zip(mix.total, mix.weight, strict=True)) for j in range(-(-t // mix.piece))]
