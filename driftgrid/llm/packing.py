@@ -35,6 +35,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache, partial
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ QUEUES = 4096
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"(?:[{_LATIN}]+|[!-&(-/:-@\[-`{{-~]+)+")
 _PIECE = re.compile(rf"[{_LATIN}]+|[^{_LATIN}\s]+")
+_ID = attrgetter("id")
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~][!-/:-@\[-`{-~]")
 #: Bytes of plain words and of white space: ASCII letters and punctuation, and those of U+00C0 to U+00FF.
 _PLAIN_BYTES = bytes([*range(9, 14), *range(32, 39), *range(40, 48), *range(58, 127), *range(128, 192), 0xC3])
@@ -104,16 +106,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.merged = self.tokenizer.model.tokenize
         self.words, self.pieces = Known(self._word, CACHE_BYTES), Known(self._piece, CACHE_BYTES // 4)
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+        return array("H", map(_ID, self.merged(spelt))).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            return self._piece(text.lower())
+        if word.isalpha():  # ASCII letters alone
+            return array("H", map(_ID, self.merged(text.lower()))).tobytes()
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self.pieces[p] for p in _PIECE.findall(text.lower())])
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -198,7 +201,7 @@ def _served(mix: Mixture, tokens: int) -> np.ndarray:
     return mix.served(tokens)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=256)
 def lane_plan(mix: Mixture, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The slices of all queues in a lane, by queue and window: bounds of the queues' slices, where each begins in its queue, its window, its offset there."""
     before, after = _served(mix, lane * mix.span), _served(mix, (lane + 1) * mix.span)
