@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("benchmark_leaks", benchmark_leaks),
     ("packing", packed),
 ]
-#: SQL has no boosted model, sketch or latent space; tests hold every stage against brute force.
+#: SQL has no boosted model, sketch or latent space; tests hold the stages against plain computations on their own input.
 ORACLE_SQL = None
 
 
