@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import (
+    chat_format, collocations, decontamination, license_scan, near_dedup, packing, periodic_runs, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_toxicity": toxicity.op13_toxicity,
     "rule_ablation": quality_rules.rule_ablation,
     "packed_mixture": packing.packed_mixture,
 }
@@ -26,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "rule_ablation": quality_rules.ABLATION_SQL,
 }
