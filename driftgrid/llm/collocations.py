@@ -7,8 +7,9 @@ First the words are counted. Then every frequent word followed by another one se
 after it, equal ones of a batch as one with a count, to the part of its prefix. A part sorts its projections and grows each prefix to the right depth-first:
 an extension is a stretch of the pointers of the prefix, and is grown on if it is frequent.
 
-Hot prefixes: a part should hold about `part_words` projections. Words with an eighth of that or more are dealt by their projections' first three words,
-so no part holds all projections of a hot word; then the counts of its pairs come from several parts and are added up before the threshold.
+Hot prefixes: a part should hold about `part_words` projections. Words with a quarter of that or more are no prefix of their own: each pair of such a word
+and the next is one, and so are its first three words. A pair's count goes to the pair's part, one number for a batch; its longer projections
+go to the part of their first three words and are grown from there. So no part holds all projections of a hot word or of a hot pair.
 
 Tasks know frequent and hot words by bit maps of hashes of `bits` bits (a size that does not grow). A word that shares its
 bit with another only sends projections that are found rare, or is dealt more finely: counts are exact.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, dropped, in_arrow, mix, rows_of, runs_of, table, text_buffers, word_hashes, written
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
-PART_WORDS, BITS = 4_000_000, 25
+PART_WORDS, BITS = 2_000_000, 25
 _BLOCK = 1 << 15
 _SPLIT = np.zeros(256, bool)
 _SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -129,8 +130,27 @@ def _grouped(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tup
 
 
 def _projected(batches: Iterator[pa.RecordBatch], parts: int, longest: int, frequent: np.ndarray, hot: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """(part, lang, projections): for each part, its words and the numbers of `longest` words (0: none) with counts."""
+    """(part, lang, known, projections): for each part, its words and the numbers of `longest` words (0: none) with counts; the first `known` words are their prefix."""
     zip_up = zstandard.ZstdCompressor(level=3).compress
+    text = np.zeros(0, object)
+
+    def packed(name: str, known: int, columns: list[np.ndarray], counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows = order[a:b]
+            table_ = np.stack([c[rows] for c in columns])
+            seen = np.zeros(len(text) + 1, bool)
+            seen[table_.ravel()] = True
+            seen[0] = False
+            number = np.cumsum(seen)
+            number[0] = 0
+            numbers = np.concatenate([number[table_], counts[rows][None]]).astype(np.uint32)
+            head = "\n".join(text[np.flatnonzero(seen) - 1].tolist()).encode()
+            blob = zip_up(len(head).to_bytes(8, "little") + head + numbers.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[rows[0]])]), pa.array([name], pa.string()), pa.array([known], pa.int32()), pa.array([blob])], names=["part", "lang", "known", "projections"])
+
     for batch in batches:
         names, lang = _languages(batch.column(0))
         tongue = _language_hash(names)
@@ -138,7 +158,7 @@ def _projected(batches: Iterator[pa.RecordBatch], parts: int, longest: int, freq
         for lo, hi in blocks(offsets):
             words, row, piece = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             coded = words.dictionary_encode()
-            ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            ids = coded.indices.to_numpy().astype(np.int64)
             of = lang[lo:hi][row]
             text = np.array(coded.dictionary.to_pylist(), object)
             for k, name in enumerate(names):
@@ -160,30 +180,21 @@ def _projected(batches: Iterator[pa.RecordBatch], parts: int, longest: int, freq
                 if not len(counts):
                     continue
                 hashes = np.concatenate([[np.uint64(0)], mix(slots.astype(np.uint64) + np.uint64(1))])
-                first = hashes[columns[0]] * np.uint64(3)
-                fine = mix(first + hashes[columns[1]] * np.uint64(5) + hashes[columns[2]] * np.uint64(7)) if longest > 2 else mix(first + hashes[columns[1]] * np.uint64(5))
-                part = (np.where(busy[columns[0] - 1], fine, mix(first + tongue[k])) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    rows = order[a:b]
-                    table_ = np.stack([c[rows] for c in columns])
-                    seen = np.zeros(size + 1, bool)
-                    seen[table_.ravel()] = True
-                    seen[0] = False
-                    number = np.cumsum(seen)
-                    number[0] = 0
-                    packed = np.concatenate([number[table_], counts[rows][None]]).astype(np.uint32)
-                    head = "\n".join(text[np.flatnonzero(seen) - 1].tolist()).encode()
-                    blob = zip_up(len(head).to_bytes(8, "little") + head + packed.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[rows[0]])]), pa.array([name], pa.string()), pa.array([blob])], names=["part", "lang", "projections"])
-
-
-def _grow(columns: list[np.ndarray], counts: np.ndarray, least: int, busy: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(pointer, words, count) of each frequent phrase of two words or more: sorted projections, grown to the right depth-first.
-
-    Pairs of hot words are given whatever their count, as other parts hold more of them.
-    """
+                hot_word = busy[columns[0] - 1]
+                plain = [c[~hot_word] for c in columns]
+                yield from packed(name, 1, plain, counts[~hot_word], mix(hashes[plain[0]] * np.uint64(3) + tongue[k]))
+                if hot_word.any():
+                    pairs, n = _grouped([c[hot_word] for c in columns[:2]], counts[hot_word])
+                    pair_hash = hashes[pairs[0]] * np.uint64(3) + hashes[pairs[1]] * np.uint64(5) + tongue[k]
+                    yield from packed(name, 1, [*pairs, *[np.zeros(len(n), np.int64)] * (longest - 2)], n, mix(pair_hash))
+                    if longest > 2:
+                        deep = hot_word & (columns[2] > 0)
+                        own = [c[deep] for c in columns]
+                        yield from packed(name, 2, own, counts[deep], mix(hashes[own[0]] * np.uint64(3) + hashes[own[1]] * np.uint64(5) + hashes[own[2]] * np.uint64(7) + tongue[k]))
+
+
+def _grow(columns: list[np.ndarray], counts: np.ndarray, least: int, known: int) -> Iterator[tuple[int, int, int]]:
+    """(pointer, words, count) of each frequent phrase longer than the `known` words of a prefix: sorted projections, grown to the right depth-first."""
     total = np.concatenate([[0], np.cumsum(counts)])
     # where a column or one before it changes
     change, edges = np.zeros(len(counts), bool), []
@@ -197,28 +208,26 @@ def _grow(columns: list[np.ndarray], counts: np.ndarray, least: int, busy: np.nd
         own = edges[depth]
         cuts = own[np.searchsorted(own, lo) : np.searchsorted(own, hi) + 1]
         found = total[cuts[1:]] - total[cuts[:-1]]
-        keep = columns[depth][cuts[:-1]] > 0
-        large = found >= least
-        for i in np.flatnonzero(keep & (large | (depth == 1) & busy[lo])).tolist():
+        for i in np.flatnonzero((columns[depth][cuts[:-1]] > 0) & (found >= least)).tolist():
             yield int(cuts[i]), depth + 1, int(found[i])
-            if large[i] and depth + 1 < len(columns):
+            if depth + 1 < len(columns):
                 yield from extend(int(cuts[i]), int(cuts[i + 1]), depth + 1)
 
-    tops = edges[0]
-    for lo, hi in zip(tops[:-1].tolist(), tops[1:].tolist(), strict=True):
-        if busy[lo] or total[hi] - total[lo] >= least:
-            yield from extend(lo, hi, 1)
+    tops = edges[known - 1]
+    for i in np.flatnonzero(total[tops[1:]] - total[tops[:-1]] >= least).tolist():
+        yield from extend(int(tops[i]), int(tops[i + 1]), known)
 
 
-def _mined(group: pa.Table, longest: int, least: int, hot: np.ndarray, bits: int) -> pa.Table:
+def _mined(group: pa.Table, longest: int, least: int) -> pa.Table:
     """Phrases of one part."""
     unzip = zstandard.ZstdDecompressor().decompress
     out = {"lang": [], "phrase": [], "words": [], "f": []}
-    for name in group.column("lang").unique().to_pylist():
+    kinds = list(zip(group.column("lang").to_pylist(), group.column("known").to_pylist(), strict=True))
+    for name, known in sorted(set(kinds)):
         number: dict[str, int] = {}
         tables = []
-        for lang, blob in zip(group.column("lang").to_pylist(), group.column("projections"), strict=True):
-            if lang != name:
+        for kind, blob in zip(kinds, group.column("projections"), strict=True):
+            if kind != (name, known):
                 continue
             raw = unzip(blob.as_py())
             size = int.from_bytes(raw[:8], "little")
@@ -229,8 +238,7 @@ def _mined(group: pa.Table, longest: int, least: int, hot: np.ndarray, bits: int
         del tables
         columns, counts = _grouped(list(merged[:-1]), merged[-1].astype(np.int64))
         text = ["", *number]
-        is_hot = np.concatenate([[False], _is_set(hot, _slots(_language_hash([name])[0], pa.array(text[1:], pa.string()), bits))])
-        for at, words, f in _grow(columns, counts, least, is_hot[columns[0]]):
+        for at, words, f in _grow(columns, counts, least, known):
             out["lang"].append(name)
             out["phrase"].append(" ".join(text[c[at]] for c in columns[:words]))
             out["words"].append(words)
@@ -246,7 +254,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_words
     frequent = words.filter("word is not null")
     total = frequent.agg(F.sum("f")).first()[0] or 0
     parts = max(8, -(-total // part_words))
-    known, hot = bit_map(frequent, bits), bit_map(frequent.filter(F.col("f") >= max(least, part_words // 8)), bits)
+    known, hot = bit_map(frequent, bits), bit_map(frequent.filter(F.col("f") >= max(least, part_words // 4)), bits)
     spark = docs.sparkSession
     # two bit maps of 2**bits bits, whatever the number of words
     maps = spark.sparkContext.broadcast((known, hot))
@@ -255,11 +263,10 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_words
         return _projected(batches, parts, longest, *maps.value, bits)
 
     def part(group: pa.Table) -> pa.Table:
-        return _mined(group, longest, least, maps.value[1], bits)
+        return _mined(group, longest, least)
 
-    sent = in_arrow(rows, project, "part long, lang string, projections binary")
+    sent = in_arrow(rows, project, "part long, lang string, known int, projections binary")
     grown = sent.groupBy("part").applyInArrow(part, "lang string, phrase string, words int, f long")
-    grown = grown.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     phrases = written(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f").unionByName(grown), "phrases")
     totals = written(words.filter("word is null and f > 0").select("lang", F.col("f").alias("n")), "totals")
     dropped(words)
