@@ -1,9 +1,9 @@
-"""Models of one whole series, or pair of series, in order: unit roots, cointegration, breaks, filters.
+"""Models of one whole series, or pair of series, in order: unit roots, cointegration, breaks.
 
 Each is a fit over the ordered rows of a key in one Arrow group. A group is one series, a row a day, so a
 task holds days, not a table; keys are spread over tasks.
 
-Defined results: rows with a null in a column that is read are left out (`kalman` keeps its state over them); too few rows,
+Defined results: rows with a null in a column that is read are left out; too few rows,
 or rows that do not determine a fit, give null; rows that tie in `order` are taken in any order; repeated rows count each; an empty
 table gives an empty one.
 """
@@ -114,20 +114,6 @@ def engle_granger(df: DataFrame, y: str, x: str, key: list[str], order: list[str
     return _by_key(df, [y, x], key, order, "dependent string, slope double, intercept double, statistic double, n long, critical_1 double, critical_5 double, critical_10 double", run)
 
 
-def rolling_engle_granger(df: DataFrame, y: str, x: str, key: list[str], order: list[str], rows: int = 500, lags: int = 1) -> DataFrame:
-    """statistic of y on x over the `rows` rows up to each row, null before there are as many (M7); rejects if it is under the 5 % value."""
-    kinds = dict(df.dtypes)
-
-    def run(group: pd.DataFrame) -> list[tuple]:
-        known = group.dropna(subset=[y, x])
-        a, b = known[y].to_numpy(float), known[x].to_numpy(float)
-        stat = [None if i + 1 < rows else _engle_granger(a[i + 1 - rows : i + 1], b[i + 1 - rows : i + 1], lags)[2] for i in range(len(a))]
-        limit = _critical(COINTEGRATED, rows - 1 - lags)[1]
-        return [(*at, s, None if s is None else bool(s < limit)) for at, s in zip(known[order].itertuples(index=False, name=None), stat, strict=True)]
-
-    return _by_key(df, [y, x], key, order, ", ".join([*(f"{c} {kinds[c]}" for c in order), "statistic double", "rejects boolean"]), run)
-
-
 def johansen(df: DataFrame, a: str, b: str, key: list[str], order: list[str], lags: int = 1) -> DataFrame:
     """For the ranks 0 and 1 of two series: root, trace and largest-root statistics with 5 % values; at rank 0 the cointegrating weight of b for one of a (M8)."""
 
@@ -227,24 +213,3 @@ def half_life_interval(df: DataFrame, value: str, key: list[str], order: list[st
         return [(whole if math.isfinite(whole) else None, low, high if math.isfinite(high) else None, len(d))]
 
     return _by_key(df, [value], key, order, "half_life double, low double, high double, n long", run)
-
-
-def kalman(df: DataFrame, y: str, x: str, key: list[str], order: list[str], drift: float = 1e-4, noise: float = 1e-2) -> DataFrame:
-    """alpha and beta of y on x that drift as random walks, filtered in order within each key; both before the row is seen (M9)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        mean, cov = np.zeros(2), np.eye(2)
-        out = np.full((len(group), 2), np.nan)
-        for i, (b, a) in enumerate(zip(group[y].to_numpy(float), group[x].to_numpy(float), strict=True)):
-            out[i] = mean
-            cov = cov + drift * np.eye(2)
-            if np.isfinite(a) and np.isfinite(b):
-                h = np.array([1.0, a])
-                gain = cov @ h / (h @ cov @ h + noise)
-                mean = mean + gain * (b - h @ mean)
-                cov = cov - np.outer(gain, h @ cov)
-        return group[[*key, *order]].assign(alpha=out[:, 0], beta=out[:, 1])
-
-    kinds = dict(df.dtypes)
-    return df.select(*key, *order, y, x).groupBy(*key).applyInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in [*key, *order]], "alpha double, beta double"]))

@@ -7,34 +7,50 @@ are taken in any order; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds on |z|, and the most rows that a position is held."""
+
+    enter: float = 2.0
+    leave: float = 0.25
+    stop: float = 3.5
+    most_rows: int = 60
+
+
+def step(position: int, held: int, barred: bool, value: float | None, rules: Rules) -> tuple[int, int, bool, str | None]:
+    """position, rows held, whether barred and the reason after a row with the z-score `value`: the one rule of the fold and of the daily run."""
+    known = value is not None and not math.isnan(value)
+    size, reason = abs(value) if known else 0.0, None
+    if position:
+        held += 1
+        reason = "stop" if known and size >= rules.stop else "exit" if known and size <= rules.leave else "time" if held >= rules.most_rows else None
+        position = position if reason is None else 0
+    elif known and rules.enter <= size < rules.stop and not barred:
+        position, held, reason = -1 if value > 0 else 1, 0, "enter"
+    return position, held, reason == "stop" or barred and not (known and size <= rules.leave), reason
+
+
 def signal_states(df: DataFrame, z: str, key: list[str], order: list[str], enter: float = 2.0, leave: float = 0.25, stop: float = 3.5, most_rows: int = 60) -> DataFrame:
     """position (-1, 0, 1) and reason after each row: a fold in order within a key.
 
     A position opens against z at `enter`, closes at `leave`, at `stop`, or after most_rows rows; after a
     stop it opens again only once |z| has been under `leave`. One key's rows, a row a day, are one group, read once.
     """
-    kinds = dict(df.dtypes)
+    kinds, rules = dict(df.dtypes), Rules(enter, leave, stop, most_rows)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
         position, held, barred = 0, 0, False
         positions, reasons = [], []
         for value in group["z"].tolist():
-            known = value is not None and not math.isnan(value)
-            size, reason = abs(value) if known else 0.0, None
-            if position:
-                held += 1
-                reason = "stop" if known and size >= stop else "exit" if known and size <= leave else "time" if held >= most_rows else None
-                position = position if reason is None else 0
-            elif known and enter <= size < stop and not barred:
-                position, held, reason = -1 if value > 0 else 1, 0, "enter"
-            barred = reason == "stop" or barred and not (known and size <= leave)
+            position, held, barred, reason = step(position, held, barred, value, rules)
             positions.append(position)
             reasons.append(reason)
         return group[[*key, *order, "z"]].assign(position=positions, reason=reasons)
@@ -43,6 +59,20 @@ def signal_states(df: DataFrame, z: str, key: list[str], order: list[str], enter
     return rows.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*key, *order]), "z double, position int, reason string"]))
 
 
+def volatility_scaled(df: DataFrame, position: str, price: str, key: list[str], order: list[str], target: float = 0.1, rows: int = 60, most: float = 3.0, per_year: int = 252) -> DataFrame:
+    """df with size: the position times the yearly volatility aimed at, over that of the price in the `rows` returns up to the row, `most` at most.
+
+    A size is decided on its own row and held from the next one on, so the return of the row may count. Without a full window, or without
+    movement, the position itself stays.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    moved = df.withColumn("_move", F.col(price) / F.nullif(F.lag(price).over(w), F.lit(0.0)) - 1)
+    inside = w.rowsBetween(1 - rows, 0)
+    sd = F.when(F.count("_move").over(inside) == rows, F.stddev_samp("_move").over(inside))
+    scale = F.when(sd > 0, F.least(F.lit(target) / (sd * math.sqrt(per_year)), F.lit(most))).otherwise(F.lit(1.0))
+    return moved.withColumn("size", F.col(position) * scale).drop("_move")
+
+
 def backtest(df: DataFrame, position: str, price: str, key: list[str], order: list[str], carry: str | None = None, cost_bps: float = 1.0, per_year: int = 252) -> DataFrame:
     """df with spot, carry_return, cost and value, the return of a row.
 

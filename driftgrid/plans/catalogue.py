@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, parse
+from ..functions import filters, ledger, rolling, significance, stats, sweeps, trading
 from ..functions import series as models
-from ..functions import stats, trading
 from ..operators import align, asof, calendars, dedup, provenance, validate
 from ..sources import feeds, landing
+from ..streaming import signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -493,10 +494,20 @@ def engle_granger(spark, sf_dir):
     return found.select("series", "dependent", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n", F.round("statistic", 4).alias("statistic"))
 
 
-@query(None)
+#: Every window fitted anew: its line, its residual, and the regression of that.
+WINDOWED = f"""{PRICES}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM prices),
+w AS (SELECT series, date, k, regr_slope(price, n) OVER b AS s, regr_intercept(price, n) OVER b AS c FROM p WINDOW b AS (PARTITION BY series ORDER BY k ROWS 499 PRECEDING)),
+j AS (SELECT w.series, w.k, p.k AS t, p.price - c - s * p.n AS e FROM w JOIN p ON p.series = w.series AND p.k BETWEEN w.k - 499 AND w.k WHERE w.k >= 500),
+l AS (SELECT series, k, e - lag(e) OVER o AS y, lag(e) OVER o AS x, lag(e) OVER o - lag(e, 2) OVER o AS z FROM j WINDOW o AS (PARTITION BY series, k ORDER BY t)),
+q AS (SELECT series, k, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM l WHERE z IS NOT NULL GROUP BY series, k),
+fits AS (SELECT series, k, bx / sqrt((yy - bx * xy - bz * zy) / 496 * zz / (xx * zz - xz * xz)) AS statistic FROM (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM q)),
+tests AS (SELECT w.series, w.date, w.k, round(statistic, 4) AS statistic, statistic < -3.33613 - 6.1101 / 498 - 6.823 / 498 ** 2 AS rejects FROM w LEFT JOIN fits USING (series, k))"""
+
+
+@query(f"WITH {WINDOWED} SELECT series, date, statistic, rejects FROM tests")
 def rolling_cointegration(spark, sf_dir):
-    """Held in the tests against the whole-series statistic of each window."""
-    return models.rolling_engle_granger(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], rows=500)
+    found = rolling.rolling_engle_granger(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], rows=500)
+    return found.withColumn("statistic", F.round("statistic", 4))
 
 
 @query(None)
@@ -524,7 +535,169 @@ UNION ALL SELECT series, k, obs_date, a + u / s * e, b + v / s * e, p - u / s *
 SELECT series, obs_date, round(a0, 4) AS alpha, round(b0, 4) AS beta FROM f WHERE k > 0""")
 def kalman_beta(spark, sf_dir):
     rows = _closes(spark, sf_dir).withColumn("x", F.dayofmonth("obs_date") / 10.0)
-    return models.kalman(rows, "value", "x", ["series"], ["obs_date"]).select("series", "obs_date", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
+    return filters.kalman(rows, "value", "x", ["series"], ["obs_date"]).select("series", "obs_date", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
+
+
+# --- sweeps, trades, significance, the daily run ---------------------------------------
+
+GRID = sweeps.Grid(z=("z60", "z120"), enter=(1.5, 2.0, 2.5), leave=(0.25, 0.5))
+#: The fold and the returns of every cell, row by row.
+CELLS = f"""WITH RECURSIVE {PRICES}, zw AS (SELECT series, date, mean, n, count(*) OVER a AS ka, avg(mean) OVER a AS ma, stddev_samp(mean) OVER a AS sa, count(*) OVER b AS kb, avg(mean) OVER b AS mb, stddev_samp(mean) OVER b AS sb, row_number() OVER o AS k FROM prices
+  WINDOW o AS (PARTITION BY series ORDER BY date), a AS (PARTITION BY series ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY series ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)),
+i AS (SELECT series, date, mean, n, k, CASE WHEN ka = 60 THEN round((mean - ma) / nullif(sa, 0), 5) END AS z0, CASE WHEN kb = 120 THEN round((mean - mb) / nullif(sb, 0), 5) END AS z1 FROM zw),
+g(i_z, i_enter, i_leave, e, l) AS (VALUES {", ".join(f"({c[0]}, {c[1]}, {c[2]}, {GRID.enter[c[1]]}, {GRID.leave[c[2]]})" for c in GRID.cells())}),
+f AS (SELECT series, g.*, 0::BIGINT AS k, 0 AS position, 0 AS held, false AS barred, NULL::VARCHAR AS reason FROM (SELECT DISTINCT series FROM i), g
+UNION ALL SELECT series, i_z, i_enter, i_leave, e, l, k, CASE WHEN p <> 0 THEN CASE WHEN reason IS NULL THEN p ELSE 0 END WHEN reason = 'enter' THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+  CASE WHEN p <> 0 THEN held + 1 ELSE 0 END, coalesce(reason = 'stop', false) OR barred AND NOT coalesce(abs(z) <= l, false), reason
+FROM (SELECT *, CASE WHEN p <> 0 THEN CASE WHEN abs(z) >= 3.5 THEN 'stop' WHEN abs(z) <= l THEN 'exit' WHEN held + 1 >= 60 THEN 'time' END WHEN abs(z) >= e AND abs(z) < 3.5 AND NOT barred THEN 'enter' END AS reason
+  FROM (SELECT f.series, f.i_z, f.i_enter, f.i_leave, f.e, f.l, i.k, f.position AS p, f.held, f.barred, CASE f.i_z WHEN 0 THEN i.z0 ELSE i.z1 END AS z FROM f JOIN i ON i.series = f.series AND i.k = f.k + 1))),
+h AS (SELECT f.*, lag(position, 1, 0) OVER w AS own, i.mean / lag(i.mean) OVER w - 1 AS move, coalesce(lag(i.n) OVER w, 0) AS carry FROM f JOIN i USING (series, k) WINDOW w AS (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k)),
+m AS (SELECT *, abs(own - lag(own, 1, 0) OVER (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k)) AS moved FROM h),
+v AS (SELECT *, own * move + own * carry / 100 / 252 - moved * 2.0 / 1e4 AS value FROM m),
+eq AS (SELECT *, sum(value) OVER (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k) AS equity FROM v),
+dd AS (SELECT *, equity - greatest(max(equity) OVER (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k), 0) AS down FROM eq),
+cells AS (SELECT series, i_z, i_enter, i_leave, e, l, count(value) AS n, sum(value) AS pnl, avg(value) AS a1, avg(value ** 2) AS a2, avg(value ** 3) AS a3, avg(value ** 4) AS a4, stddev_samp(value) AS sd, stddev_pop(value) AS sp, min(down) AS max_drawdown,
+  count(*) FILTER (value <> 0) / nullif(count(value), 0) AS exposure, count(*) FILTER (reason = 'enter') AS n_trades, count(*) FILTER (reason = 'stop') AS n_stops, sum(moved)::DOUBLE AS turnover, sum(CASE WHEN value IS NOT NULL THEN moved * 2.0 / 1e4 END) AS cost FROM dd GROUP BY ALL)
+"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.rolling_zscore(_prices(spark, sf_dir), "mean", ["series"], ["date"], 60).withColumn("z60", F.round("z", 5))
+    rows = stats.rolling_zscore(rows, "mean", ["series"], ["date"], 120).withColumn("z120", F.round("z", 5))
+    return sweeps.sweep(rows, GRID, "mean", ["series"], ["date"], carry="n", cost_bps=2.0)
+
+
+@query(CELLS + """SELECT series, CASE i_z WHEN 0 THEN 'z60' ELSE 'z120' END AS z, e::DOUBLE AS enter, l::DOUBLE AS leave, n, round(pnl, 6) AS pnl, round(a1 / nullif(sd, 0), 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure,
+n_trades, n_stops, turnover, round(cost, 6) AS cost FROM cells""")
+def parameter_sweep(spark, sf_dir):
+    """Every cell of windows, entries and exits in one pass over each series."""
+    rounded = [F.round(c, 6).alias(c) for c in ("pnl", "sharpe", "max_drawdown", "exposure")]
+    return _cells(spark, sf_dir).select("series", "z", "enter", "leave", "n", *rounded, "n_trades", "n_stops", "turnover", F.round("cost", 6).alias("cost"))
+
+
+@query(CELLS.rstrip() + """, near AS (SELECT a.series, a.i_z, a.i_enter, a.i_leave, any_value(a.pnl) AS pnl, avg(b.pnl) AS near FROM cells a LEFT JOIN cells b ON a.series = b.series AND abs(a.i_z - b.i_z) + abs(a.i_enter - b.i_enter) + abs(a.i_leave - b.i_leave) = 1 GROUP BY ALL),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY series ORDER BY pnl DESC, i_z, i_enter, i_leave) = 1),
+t AS (SELECT series, count(pnl) AS n_cells, count(*) FILTER (pnl > 0) / count(pnl) AS share, nullif(stddev_pop(pnl), 0) AS sd, avg((pnl - near) ** 2) AS rough FROM near GROUP BY series)
+SELECT series, n_cells, round(share, 6) AS share_positive, round(best.pnl, 6) AS best, round(best.near, 6) AS neighbours, round((best.pnl - best.near) / sd, 4) AS spike, round(rough / sd ** 2, 4) AS roughness FROM t JOIN best USING (series)""")
+def sweep_surface(spark, sf_dir):
+    """Whether the P&L is smooth over the grid, or one spike."""
+    found = sweeps.surface(_cells(spark, sf_dir), ["series"])
+    return found.select("series", "n_cells", *[F.round(c, k).alias(c) for c, k in {"share_positive": 6, "best": 6, "neighbours": 6, "spike": 4, "roughness": 4}.items()])
+
+
+def _poly_sql(x: str, powers: tuple[float, ...]) -> str:
+    out = repr(powers[0]) + "::DOUBLE"
+    for c in powers[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _cdf_sql(x: str) -> str:
+    """As the quotient of polynomials within seven deviations, which these figures never leave."""
+    above = f"exp(-(({x}) ** 2) / 2) * {_poly_sql(f'abs({x})', significance.CDF_TOP)} / {_poly_sql(f'abs({x})', significance.CDF_BOTTOM)}"
+    return f"CASE WHEN ({x}) > 0 THEN 1 - {above} ELSE {above} END"
+
+
+def _inverse_sql(p: str) -> str:
+    q, r = f"(({p}) - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    middle = f"{q} * {_poly_sql(f'({q} ** 2)', significance.INVERSE_A)} / {_poly_sql(f'({q} ** 2)', significance.INVERSE_B)}"
+    tail = f"{_poly_sql(r, significance.INVERSE_C)} / {_poly_sql(r, significance.INVERSE_D)}"
+    return f"CASE WHEN least({p}, 1 - ({p})) >= {significance.TAIL} THEN {middle} WHEN ({p}) < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+@query(CELLS.rstrip() + f""", c AS (SELECT *, a1 / sd AS sharpe, (a3 - 3 * a1 * a2 + 2 * a1 ** 3) / sp ** 3 AS skew, (a4 - 4 * a1 * a3 + 6 * a1 ** 2 * a2 - 3 * a1 ** 4) / sp ** 4 AS kurt FROM cells WHERE sd > 0),
+t AS (SELECT series, count(*) AS n_trials, stddev_samp(sharpe) AS spread FROM c GROUP BY series), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series ORDER BY sharpe DESC, i_z, i_enter, i_leave) = 1),
+x AS (SELECT *, coalesce(spread * ((1 - {significance.EULER}) * ({_inverse_sql("(1 - 1.0 / n_trials)")}) + {significance.EULER} * ({_inverse_sql("(1 - 1.0 / (n_trials * exp(1.0)))")})), 0) AS expected FROM t JOIN b USING (series)),
+y AS (SELECT *, sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe ** 2) AS width FROM x)
+SELECT series, n_trials, round(sharpe, 6) AS sharpe, round(expected, 6) AS expected, round({_cdf_sql("((sharpe - expected) * width)")}, 6) AS deflated, round({_cdf_sql("(sharpe * width)")}, 6) AS undeflated FROM y""")
+def deflated_sharpe(spark, sf_dir):
+    """The best cell's ratio against the greatest that as many trials would show by chance."""
+    found = significance.deflated_sharpe(_cells(spark, sf_dir), ["series"], sweeps.AXES)
+    return found.select("series", "n_trials", *[F.round(c, 6).alias(c) for c in ("sharpe", "expected", "deflated", "undeflated")])
+
+
+@query(RETURNS.rstrip() + """, kept AS MATERIALIZED (SELECT series, value AS x, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM v WHERE value IS NOT NULL),
+whole AS (SELECT series, count(*) AS n, avg(x) / stddev_samp(x) * sqrt(252) AS sharpe FROM kept GROUP BY series),
+picks AS (SELECT series, draw, n, ('0x' || substr(md5('7|' || series || '|' || draw || '|' || slot), 1, 12))::BIGINT % n AS start FROM whole, generate_series(0, 199) d(draw), generate_series(0, 1000) t(slot) WHERE slot < ceil(n / 20.0)),
+places AS MATERIALIZED (SELECT series, draw, unnest([(start + o) % n for o in range(20)]) AS i FROM picks),
+made AS (SELECT series, draw, avg(x) / stddev_samp(x) * sqrt(252) AS r FROM places JOIN kept USING (series, i) GROUP BY series, draw)
+SELECT series, any_value(n) AS n, round(any_value(sharpe), 5) AS sharpe, count(r) AS n_draws, round(quantile_cont(r, 0.05), 5) AS low, round(quantile_cont(r, 0.95), 5) AS high, count(*) FILTER (r <= 0) / count(r) AS share_not_positive FROM whole JOIN made USING (series) GROUP BY series""")
+def bootstrap_sharpe(spark, sf_dir):
+    """Ratios of resampled blocks of returns."""
+    found = significance.bootstrap_sharpe(_returns(spark, sf_dir), "value", ["series"], ["date"], draws=200, block=20)
+    return found.select("series", "n", F.round("sharpe", 5).alias("sharpe"), "n_draws", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "share_not_positive")
+
+
+#: Trades by their entries, each with the first way out after it.
+LEDGER = RETURNS.rstrip() + """, en AS (SELECT series, date AS entry, position AS side, row_number() OVER (PARTITION BY series ORDER BY date) AS trade FROM states WHERE reason = 'enter'),
+ways AS (SELECT en.*, (SELECT min(x.date) FROM states x WHERE x.series = en.series AND x.date > en.entry AND x.reason IN ('exit', 'stop', 'time')) AS exit FROM en),
+spans AS (SELECT ways.*, (SELECT min(x.date) FROM states x WHERE x.series = ways.series AND x.date > ways.exit) AS paid FROM ways),
+own AS (SELECT spans.*, v.date, v.spot, v.carry_return, v.cost + CASE WHEN v.date = spans.exit AND paid IS NOT NULL THEN 2.0 / 1e4 ELSE 0 END AS cost FROM spans JOIN v ON v.series = spans.series AND v.date > spans.entry AND (spans.exit IS NULL OR v.date <= spans.exit)),
+along AS (SELECT *, spot + carry_return - cost AS gain, sum(spot + carry_return - cost) OVER (PARTITION BY series, trade ORDER BY date) AS running FROM own),
+ledger AS (SELECT series, trade, any_value(side) AS side, any_value(entry) AS entry, any_value(exit) AS exit, count(*) AS n_rows, sum(spot) AS spot, sum(carry_return) AS carry, sum(cost) AS cost, sum(gain) AS pnl, least(min(running), 0) AS worst,
+  (1 + CASE WHEN any_value(paid) IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS turnover FROM along GROUP BY series, trade),
+book AS (SELECT l.*, x.reason, a.mean AS entry_price, b.mean AS exit_price FROM ledger l JOIN prices a ON a.series = l.series AND a.date = l.entry LEFT JOIN prices b ON b.series = l.series AND b.date = l.exit LEFT JOIN states x ON x.series = l.series AND x.date = l.exit)
+"""
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.trades(_returns(spark, sf_dir), "position", "mean", ["series"], ["date"], "reason")
+
+
+@query(LEDGER + """SELECT series, trade, side, entry, exit, reason, n_rows, entry_price, exit_price, round(spot, 6) AS spot, round(carry, 8) AS carry, round(cost, 8) AS cost, round(pnl, 6) AS pnl, round(worst, 6) AS worst, turnover FROM book""")
+def trade_ledger(spark, sf_dir):
+    """Every trade with its entry, exit, reason and what it earned."""
+    digits = {"spot": 6, "carry": 8, "cost": 8, "pnl": 6, "worst": 6}
+    return _ledger(spark, sf_dir).select("series", "trade", "side", F.col("entry.date").alias("entry"), F.col("exit.date").alias("exit"), "reason", "n_rows", "entry_price", "exit_price", *[F.round(c, k).alias(c) for c, k in digits.items()], "turnover")
+
+
+@query(LEDGER + """SELECT series, count(*) AS n_trades, count(*) FILTER (exit IS NULL) AS n_open, count(*) FILTER (side > 0) AS n_long, count(*) FILTER (reason = 'exit') AS n_exit, count(*) FILTER (reason = 'stop') AS n_stop, count(*) FILTER (reason = 'time') AS n_time,
+round(count(*) FILTER (exit IS NOT NULL AND pnl > 0) / count(exit), 6) AS hit_rate, round(avg(n_rows) FILTER (exit IS NOT NULL), 6) AS mean_rows, round(avg(pnl) FILTER (exit IS NOT NULL), 6) AS mean_pnl,
+round(sum(pnl) FILTER (exit IS NOT NULL AND pnl > 0) / -sum(pnl) FILTER (exit IS NOT NULL AND pnl < 0), 5) AS profit_factor, round(sum(spot), 6) AS spot, round(sum(carry), 6) AS carry, round(sum(cost), 6) AS cost, round(sum(pnl), 6) AS pnl, sum(turnover) AS turnover, round(min(worst), 6) AS worst FROM book GROUP BY series""")
+def trade_figures(spark, sf_dir):
+    """Holding periods, turnover and hit rates of the ledger."""
+    digits = {"hit_rate": 6, "mean_rows": 6, "mean_pnl": 6, "profit_factor": 5, "spot": 6, "carry": 6, "cost": 6, "pnl": 6, "worst": 6}
+    found = ledger.trade_figures(_ledger(spark, sf_dir), ["series"])
+    return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in found.columns])
+
+
+@query(STATES.rstrip() + """, q AS (SELECT series, date, mean, mean / lag(mean) OVER (PARTITION BY series ORDER BY date) - 1 AS move FROM prices),
+w AS (SELECT *, count(move) OVER a AS k, stddev_samp(move) OVER a AS sd FROM q WINDOW a AS (PARTITION BY series ORDER BY date ROWS 59 PRECEDING)),
+z AS (SELECT s.series, s.date, s.position * CASE WHEN k = 60 AND sd > 0 THEN least(0.5 / (sd * sqrt(252)), 3) ELSE 1 END AS size, w.mean, lag(w.mean) OVER o AS before FROM states s JOIN w USING (series, date) WINDOW o AS (PARTITION BY s.series ORDER BY s.date)),
+y AS (SELECT *, lag(size, 1, 0) OVER o AS held, coalesce(lag(size, 2) OVER o, 0) AS was FROM z WINDOW o AS (PARTITION BY series ORDER BY date))
+SELECT series, date, round(size, 6) AS size, round(held * (mean / before - 1) - abs(held - was) * 2.0 / 1e4, 6) + 0.0 AS value FROM y""")
+def scaled_backtest(spark, sf_dir):
+    """Positions scaled to a volatility, in place of one notional."""
+    rows = trading.volatility_scaled(_states(spark, sf_dir).join(_prices(spark, sf_dir), ["series", "date"]), "position", "mean", ["series"], ["date"], target=0.5)
+    found = trading.backtest(rows, "size", "mean", ["series"], ["date"], cost_bps=2.0)
+    return found.select("series", "date", F.round("size", 6).alias("size"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {PRICES}, k AS (SELECT series, date, mean, row_number() OVER o AS k, lag(mean) OVER o AS x, mean - lag(mean) OVER o AS y FROM prices WINDOW o AS (PARTITION BY series ORDER BY date)),
+h AS (SELECT *, CASE WHEN k > 250 THEN regr_slope(y, x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING) END AS kappa FROM k),
+w AS (SELECT *, CASE WHEN kappa < 0 THEN least(greatest(round(-ln(2) / kappa * 20), 5), 120)::INTEGER END AS window_rows FROM h)
+SELECT w.series, w.date, any_value(w.window_rows) AS window_rows, round((any_value(w.mean) - avg(q.mean)) / nullif(stddev_samp(q.mean), 0), 5) AS z FROM w LEFT JOIN k q ON q.series = w.series AND q.k BETWEEN w.k - w.window_rows AND w.k - 1 GROUP BY w.series, w.date""")
+def half_life_windows(spark, sf_dir):
+    """z-scores over windows of twenty half-lives, each row's own."""
+    rows = rolling.rolling_half_life(_prices(spark, sf_dir), "mean", ["series"], ["date"], rows=250)
+    rows = rows.withColumn("window_rows", rolling.window_rows(F.col("half_life"), 20, 5, 120))
+    return rolling.zscore_of_length(rows, "mean", "window_rows", ["series"], ["date"]).select("series", "date", "window_rows", F.round("z", 5).alias("z"))
+
+
+def _run_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the history of four runs over rows that arrive by years, one of them a second time."""
+    folder, rows = landing.scratch(spark), rolling_zscore(spark, sf_dir)
+    for first, last in ((0, 1996), (1997, 1998), (1997, 1998), (1999, 9999)):
+        rows.filter(F.year("date").between(first, last)).write.mode("append").parquet(f"{folder}/rows")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{folder}/rows")
+        signals.run_signals(arrived, "z", ["series"], "date", folder)
+    return folder
+
+
+@query(STATES + "SELECT * FROM states")
+def signal_run(spark, sf_dir):
+    """The daily run's history equals one fold over all rows."""
+    return signals.history(spark, _run_folder(spark, sf_dir))
 
 
 # --- a whole alignment -----------------------------------------------------------------

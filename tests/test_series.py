@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.functions import series, stats, trading
+from driftgrid.functions import filters, rolling, series, stats, trading
 
 
 def _frame(spark, **columns):
@@ -60,7 +60,7 @@ def test_engle_granger(spark, walk):
         d = np.diff(e)
         assert found[name]["slope"] == pytest.approx(slope) and found[name]["statistic"] == pytest.approx(_t_value(np.stack([e[1:-1], d[:-1]], axis=1), d[1:], 0))
         assert found[name]["statistic"] < found[name]["critical_1"] < found[name]["critical_5"]
-    rows = {r["i"]: r for r in series.rolling_engle_granger(_frame(spark, a=a, b=b), "a", "b", ["k"], ["i"], rows=100).collect()}
+    rows = {r["i"]: r for r in rolling.rolling_engle_granger(_frame(spark, a=a, b=b), "a", "b", ["k"], ["i"], rows=100).collect()}
     assert rows[98]["statistic"] is None and len(rows) == 400
     for end in (99, 250, 399):
         part = series._engle_granger(a[end - 99 : end + 1], b[end - 99 : end + 1], 1)
@@ -135,7 +135,7 @@ def test_kalman_against_a_loop(spark):
             h = np.array([[1.0, a]])
             gain = cov @ h.T / (h @ cov @ h.T + 1e-2)
             mean, cov = mean + (gain * (b - h @ mean)).ravel(), (np.eye(2) - gain @ h) @ cov
-    found = series.kalman(_frame(spark, y=[None if np.isnan(v) else v for v in y], x=x), "y", "x", ["k"], ["i"]).orderBy("i").collect()
+    found = filters.kalman(_frame(spark, y=[None if np.isnan(v) else v for v in y], x=x), "y", "x", ["k"], ["i"]).orderBy("i").collect()
     assert [(r["alpha"], r["beta"]) for r in found] == [pytest.approx(tuple(w)) for w in want]
 
 
