@@ -13,8 +13,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import store
 from .config import Config, load
-from .operators import align, provenance, validate
+from .operators import provenance, validate
 from .sources import feeds, landing
 
 REPORT = "validation.md"
@@ -23,15 +24,9 @@ REPORT = "validation.md"
 def fetch(spark: SparkSession, config: Config, provider: str | None = None, **fetchers) -> dict:
     """Land, align and save; the metadata document."""
     landed, records = landing.land_all(spark, config, provider, **fetchers)
-    observations = feeds.fetch_all(spark, config, landed, provider).persist()
-    try:
-        series = sorted({r["series"] for r in observations.select("series").distinct().collect()})  # those of the settings
-        aligned = align.align(spark, observations, config, series)
-        document = provenance.metadata(observations, aligned, config, records)
-        provenance.save(aligned, document, str(config.folder("processed")))
-    finally:
-        observations.unpersist()
-    return document
+    observations = feeds.fetch_all(spark, config, landed, provider)
+    series = sorted({*config.sources.fred.series, *config.sources.mof.tenors, "usdjpy"})
+    return provenance.publish(spark, observations, config, series, str(config.folder("processed")), records)
 
 
 def check(spark: SparkSession, config: Config) -> tuple[str, bool]:
@@ -48,14 +43,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, **fet
     parser.add_argument("--root")
     parser.add_argument("--fx-provider", choices=["yahoo", "ibkr"])
     args = parser.parse_args(argv)
-    config = load(args.config, args.root)
     spark = spark or SparkSession.builder.appName("driftgrid").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    config = load(args.config, args.root)  # a root by URI is read through the session
     if args.command == "fetch":
         document = fetch(spark, config, args.fx_provider, **fetchers)
         print(f"{document['row_count']} rows, {document['range']}, {document['convention']}, {document['alignment']['rows_dropped']} days dropped")
         return 0
     text, ok = check(spark, config)
-    provenance.write_text(text, str(config.folder("reports") / REPORT))
+    provenance.write_text(text, store.join(config.folder("reports"), REPORT))
     print(text)
     return 0 if ok else 1
 

@@ -17,6 +17,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
+
 #: Fixed values of the data model: required and optional columns, groups, output order.
 REQUIRED = ["usdjpy", "us2y", "us10y", "jgb2y", "jgb10y"]
 OPTIONAL = ["us10y_real"]
@@ -139,9 +141,10 @@ class Config:
     #: The folder that `paths` start from, set by `load`.
     root: str = "."
 
-    def folder(self, kind: str) -> Path:
-        """The raw, processed, reports or signals folder."""
-        return Path(self.root) / getattr(self.paths, f"{kind}_dir")
+    def folder(self, kind: str) -> Path | str:
+        """The raw, processed, reports or signals folder: a path, or a URI if the root is one."""
+        name = getattr(self.paths, f"{kind}_dir")
+        return store.join(self.root, name) if store.is_uri(self.root) else Path(self.root) / name
 
 
 def _value(kind: Any, value: Any, where: str) -> Any:
@@ -208,9 +211,10 @@ def parse(data: dict) -> Config:
 DEFAULT_PATH = "configs/default.yaml"
 
 
-def resolve_root(root: str | Path | None = None) -> Path:
-    """The folder that relative paths start from: the argument, DRIFTGRID_ROOT, or the current one."""
-    return Path(root or os.environ.get("DRIFTGRID_ROOT") or ".").expanduser().resolve()
+def resolve_root(root: str | Path | None = None) -> Path | str:
+    """The folder that relative paths start from: the argument, DRIFTGRID_ROOT, or the current one; a URI stays as it is."""
+    found = root or os.environ.get("DRIFTGRID_ROOT") or "."
+    return str(found).rstrip("/") if store.is_uri(str(found)) else Path(found).expanduser().resolve()
 
 
 def load(path: str | Path | None = None, root: str | Path | None = None) -> Config:
@@ -218,7 +222,12 @@ def load(path: str | Path | None = None, root: str | Path | None = None) -> Conf
     import yaml
 
     base = resolve_root(root)
-    data = yaml.safe_load((base / (path or DEFAULT_PATH)).read_text(encoding="utf-8")) or {}
+    name = str(path or DEFAULT_PATH)
+    if store.is_uri(name) or isinstance(base, str) and not Path(name).is_absolute():
+        text = store.read(name if store.is_uri(name) else store.join(base, name)).decode()
+    else:
+        text = (Path(name) if isinstance(base, str) else base / name).read_text(encoding="utf-8")
+    data = yaml.safe_load(text) or {}
     if isinstance(data, dict) and "root" in data:
         raise ConfigError("config: unknown keys root")
     return replace(parse(data), root=str(base))

@@ -10,14 +10,14 @@ from __future__ import annotations
 import json
 import subprocess
 from dataclasses import asdict
-from pathlib import Path
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..config import Config
-from .align import Aligned, dropped_dates, report
+from .align import Aligned, align, report_of
 
 SCHEMA_VERSION = "1.0"
 NOTES = {
@@ -38,38 +38,63 @@ def git_revision(root: str = ".") -> str | None:
         return None
 
 
-def metadata(observations: DataFrame, aligned: Aligned, config: Config, files: DataFrame | None = None) -> dict:
-    """One document for a run; every part is aggregated before it is gathered."""
-    span = aligned.daily.agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")).first()
+def _document(found: dict, ranges: list[dict], columns: list[str], config: Config, files: DataFrame | None) -> dict:
     return {
         "schema_version": SCHEMA_VERSION,
         "versions": {"spark": pyspark.__version__, "revision": git_revision()},
         "convention": config.alignment.convention,
-        "row_count": span["n"],
-        "range": [str(span["first"]), str(span["last"])] if span["n"] else None,
-        "columns": aligned.daily.columns,
+        "row_count": found["rows_out"],
+        "range": [str(found["first"]), str(found["last"])] if found["rows_out"] else None,
+        "columns": columns,
         "notes": NOTES[config.alignment.convention],
         "sources": [r.asDict() for r in files.collect()] if files is not None else [],
-        "series": [r.asDict() for r in source_ranges(observations).orderBy("series").collect()],
-        "alignment": report(aligned),
-        "dropped_dates": [r.asDict() for r in dropped_dates(aligned.drops).orderBy("date").collect()],
+        "series": ranges,
+        "alignment": report_of(found),
+        "dropped_dates": [{"date": d["date"], "columns": sorted(m["column"] for m in d["missing"]), "reasons": sorted({m["reason"] for m in d["missing"]})} for d in found["dropped_dates"]],
         "config": asdict(config),
     }
 
 
-def save(aligned: Aligned, document: dict, folder: str) -> None:
-    """daily.parquet, one file in date order, and metadata.json beside it."""
-    aligned.daily.coalesce(1).sortWithinPartitions("date").write.mode("overwrite").parquet(f"{folder}/daily.parquet")
-    spark = aligned.daily.sparkSession
+def metadata(observations: DataFrame, aligned: Aligned, config: Config, files: DataFrame | None = None) -> dict:
+    """One document for a run, by one aggregation over its days and one over its observations."""
+    found = aligned.days.agg(*[c.alias(k) for k, c in aligned.metrics.items()]).first().asDict()
+    ranges = [r.asDict() for r in source_ranges(observations).orderBy("series").collect()]
+    return _document(found, ranges, aligned.daily.columns, config, files)
+
+
+def _save_daily(daily: DataFrame, folder: str) -> None:
+    daily.coalesce(1).sortWithinPartitions("date").write.mode("overwrite").parquet(f"{folder}/daily.parquet")
+
+
+def _save_document(spark: SparkSession, document: dict, folder: str) -> None:
     text = json.dumps(document, indent=2, default=str)
     spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata.json")
 
 
+def save(aligned: Aligned, document: dict, folder: str) -> None:
+    """daily.parquet, one file in date order, and metadata.json beside it."""
+    _save_daily(aligned.daily, folder)
+    _save_document(aligned.daily.sparkSession, document, folder)
+
+
+def publish(spark: SparkSession, observations: DataFrame, config: Config, series: list[str], folder: str, files: DataFrame | None = None) -> dict:
+    """Align and save in one job that reads the observations once; its document is filled by what is observed on the way."""
+    seen = Observation("ranges")
+    known = F.col("value").isNotNull()
+    each = {name: known & (F.col("series") == name) for name in series}
+    ranges = [c.alias(f"{k}|{name}") for name, own in each.items() for k, c in (("n_rows", F.count_if(own)), ("first", F.min(F.when(own, F.col("obs_date")))), ("last", F.max(F.when(own, F.col("obs_date")))))]
+    aligned = align(spark, observations.observe(seen, *ranges), config, series, Observation("report"))
+    _save_daily(aligned.daily, folder)
+    spans = [{"series": name, **{k: seen.get[f"{k}|{name}"] for k in ("n_rows", "first", "last")}} for name in sorted(series) if seen.get[f"n_rows|{name}"]]
+    document = _document(aligned.observed.get, spans, aligned.daily.columns, config, files)
+    _save_document(spark, document, folder)
+    return document
+
+
 def load_daily(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     lines = spark.read.option("wholetext", True).text(f"{folder}/metadata.json").collect()
     return spark.read.parquet(f"{folder}/daily.parquet"), json.loads("".join(r["value"] for r in lines))
 
 
 def write_text(text: str, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    store.write(path, text.encode())

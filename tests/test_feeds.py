@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import hashlib
 import math
 from types import SimpleNamespace
@@ -78,6 +79,20 @@ def test_fetch_and_metadata(spark, tmp_path):
     daily, read = provenance.load_daily(spark, str(tmp_path / "out"))
     assert daily.count() == read["row_count"] == 14 and read["dropped_dates"] == [{"date": "2024-07-04", "columns": ["us10y", "us2y"], "reasons": ["missing_on_snapshot_date"]}]
 
+    # published in one job: the same document and table, and the observations are read once
+    obs.write.parquet(str(tmp_path / "obs"))
+    stored = spark.read.parquet(str(tmp_path / "obs"))
+    for convention in ("ny_close", "tokyo_close"):
+        config = parse(settings(convention))
+        a = align.align(spark, stored, config, SERIES)
+        want = json.loads(json.dumps(provenance.metadata(stored, a, config), default=str))
+        once = provenance.publish(spark, stored, config, SERIES, str(tmp_path / convention))
+        daily, read = provenance.load_daily(spark, str(tmp_path / convention))
+        assert read == want == json.loads(json.dumps(once, default=str)) and sorted(map(tuple, daily.collect())) == sorted(map(tuple, a.daily.collect()))
+        fresh = align.align(spark, stored, config, SERIES)
+        for frame in (fresh.daily, align.report_rows(fresh), fresh.carries):
+            assert frame._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+
 
 def test_stream(spark, tmp_path):
     rules = spark.createDataFrame([("a", "g", "us", 2, "none", True, False)], "series string, grp string, market string, max_lag int, shift string, required boolean, exact boolean")

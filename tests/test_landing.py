@@ -150,3 +150,41 @@ def test_http_feed(spark, tmp_path):
     spark.dataSource.register(feeds.HttpFeed)
     urls = ",".join((tmp_path / n).as_uri() for n in ("a.txt", "b.txt"))
     assert sorted(bytes(r["content"]) for r in spark.read.format("http_feed").option("urls", urls).load().collect()) == [b"one", b"two"]
+
+
+def test_root_by_uri(spark, root, monkeypatch):
+    """The whole run with a file: URI as the root; a failed landing leaves the former one whole."""
+    uri = root.as_uri()
+    settings = config.load(root=uri)
+    assert settings.folder("raw") == f"{uri}/data/raw" and config.resolve_root("s3://bucket/x/") == "s3://bucket/x"
+    whole = lambda u: get(u) if "now" not in u else get("http://mof/all.csv")
+    assert cli.main(["fetch", "--root", uri], spark, get=whole, download=download) == 0 and cli.main(["validate", "--root", uri], spark) == 0
+    assert (root / "reports" / cli.REPORT).exists() and (root / "data/processed/daily.parquet").is_dir()
+    archive = landing.Archive(settings.folder("raw"))
+    first = archive.manifest()
+    assert len(first) == 6 and all(r.path.startswith(uri) for r in first) and len(list((root / "data/raw/manifests").iterdir())) == 1
+    changed = {"n": 0}
+
+    def failing(url):
+        changed["n"] += 1
+        if "mof" in url:
+            raise OSError("down")
+        return get(url).replace(b"4.", b"5.")
+
+    with pytest.raises(OSError):
+        landing.land_all(spark, settings, get=failing, download=download)
+    assert changed["n"] == 4 and archive.manifest() == first  # three series had been fetched
+    assert (root / "data/raw/fred/DGS2.csv").read_bytes() == get("http://fred/DGS2")
+    records = spark.createDataFrame(first, landing.RECORDS)
+    assert landing.changed(spark, records).count() == 0
+    (root / "data/raw/fred/DGS2.csv").write_text("broken")
+    assert [r["source"] for r in landing.changed(spark, records).collect()] == ["fred:DGS2"]
+    archive.restore()
+    assert landing.changed(spark, records).count() == 0
+    # the same bytes are held once, a second landing is a second manifest
+    objects = sorted(p.name for p in (root / "data/raw/objects").glob("*/*"))
+    landing.land_all(spark, settings, get=whole, download=download)
+    assert sorted(p.name for p in (root / "data/raw/objects").glob("*/*")) == objects and len(list((root / "data/raw/manifests").iterdir())) == 2
+    assert not [p for p in root.rglob(".*") if p.suffix != ".crc" and "raw" in p.parts]
+    with pytest.raises(FileNotFoundError):
+        config.load("none.yaml", uri)
