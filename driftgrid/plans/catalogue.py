@@ -528,6 +528,56 @@ def structural_breaks(spark, sf_dir):
     return models.breaks(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], most=1).select("series", "n_breaks", "segment", "first", "last")
 
 
+def _cuts_sql(cost: str, sums: str, source: str, free: int, each: int, kind: str) -> str:
+    """The best of no, one and two cuts over all of them; cost is of the rows i + 1 to j, from the prefix sums a (up to i) and b (up to j)."""
+    return f"""p AS (SELECT series, 0::BIGINT AS k, {", ".join(f"0.0::DOUBLE AS {name}" for name, _ in [x.split(":") for x in sums.split(";")])} FROM (SELECT DISTINCT series FROM {source}) UNION ALL
+  SELECT series, k, {", ".join(f"sum({value}) OVER w AS {name}" for name, value in [x.split(":") for x in sums.split(";")])} FROM {source} WINDOW w AS (PARTITION BY series ORDER BY k)),
+size AS (SELECT series, max(k) AS n FROM p GROUP BY series),
+seg AS (SELECT a.series, a.k AS i, b.k AS j, {cost} AS c FROM p a JOIN p b ON a.series = b.series AND b.k - a.k >= 30 JOIN size s ON s.series = a.series WHERE a.k = 0 OR b.k = s.n OR a.k >= 30 AND s.n - b.k >= 30),
+ways AS (SELECT s.series, 0 AS m, c AS total, NULL::BIGINT AS c1, NULL::BIGINT AS c2 FROM seg JOIN size s ON s.series = seg.series WHERE i = 0 AND j = n
+  UNION ALL SELECT x.series, 1, min(x.c + y.c), arg_min(x.j, x.c + y.c), NULL FROM seg x JOIN seg y ON x.series = y.series AND x.i = 0 AND y.i = x.j JOIN size s ON s.series = x.series WHERE y.j = n GROUP BY x.series
+  UNION ALL SELECT x.series, 2, min(x.c + y.c + z.c), arg_min(x.j, x.c + y.c + z.c), arg_min(y.j, x.c + y.c + z.c) FROM seg x JOIN seg y ON x.series = y.series AND x.i = 0 AND y.i = x.j JOIN seg z ON z.series = y.series AND z.i = y.j JOIN size s ON s.series = x.series WHERE z.j = n AND y.i > 0 GROUP BY x.series),
+best AS (SELECT ways.*, n FROM ways JOIN size USING (series) QUALIFY row_number() OVER (PARTITION BY series ORDER BY {"n * ln(total / n)" if kind == "rss" else "total"} + ({each} * m + {free}) * ln(n)) = 1),
+bounds AS (SELECT series, m, n, unnest(CASE m WHEN 0 THEN [0] WHEN 1 THEN [0, c1] ELSE [0, c1, c2] END) AS first FROM best)
+SELECT series, m::BIGINT AS n_breaks, row_number() OVER (PARTITION BY series ORDER BY first) - 1 AS segment, first, coalesce(lead(first) OVER (PARTITION BY series ORDER BY first), n) - 1 AS last FROM bounds"""
+
+
+@query(f"""WITH {PRICES}, m AS (SELECT series, avg(price) AS py, avg(n) AS px FROM prices GROUP BY series),
+i AS (SELECT series, price - py AS v, n - px AS u, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM prices JOIN m USING (series) WHERE year(date) >= 1999),
+""" + _cuts_sql("(b.vv - a.vv) - (b.v - a.v) ** 2 / (b.k - a.k) - coalesce(((b.uv - a.uv) - (b.u - a.u) * (b.v - a.v) / (b.k - a.k)) ** 2 / nullif((b.uu - a.uu) - (b.u - a.u) ** 2 / (b.k - a.k), 0), 0)", "u:u;v:v;uu:u * u;uv:u * v;vv:v * v", "i", 2, 3, "rss"))
+def several_breaks(spark, sf_dir):
+    """Up to two breaks of the line since 1999, against all cuts."""
+    rows = _prices(spark, sf_dir).filter(F.year("date") >= 1999)
+    return models.breaks(rows, "price", "n", ["series"], ["date"], most=2).select("series", "n_breaks", "segment", "first", "last")
+
+
+@query(f"""WITH {PRICES}, r AS (SELECT series, date, mean - 150000 + CASE WHEN year(date) = 2000 THEN 3 * (mean - 150000) ELSE 0 END AS e FROM prices WHERE year(date) >= 1999), i AS (SELECT series, e, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM r),
+""" + _cuts_sql("(b.k - a.k) * ln((b.q - a.q) / (b.k - a.k))", "q:e * e", "i", 1, 2, "log"))
+def variance_breaks(spark, sf_dir):
+    """Up to two breaks of the variance of a residual that is wider in one year, against all cuts."""
+    wide = F.when(F.year("date") == 2000, 4).otherwise(1)
+    rows = _prices(spark, sf_dir).filter(F.year("date") >= 1999).withColumn("e", (F.col("mean") - 150000) * wide)
+    return models.variance_breaks(rows, "e", ["series"], ["date"], most=2).select("series", "n_breaks", "segment", "first", "last")
+
+
+@query(None)
+def unit_root_tests(spark, sf_dir):
+    """Both tests with p-values and chosen lags; held in the tests against published values and plain regressions."""
+    return models.unit_roots(_prices(spark, sf_dir), "mean", ["series"], ["date"])
+
+
+@query(None)
+def cointegration_tests(spark, sf_dir):
+    """Both orderings with p-values and chosen lags; held in the tests as above."""
+    return models.cointegration(_prices(spark, sf_dir), "price", "n", ["series"], ["date"])
+
+
+@query(None)
+def johansen_three(spark, sf_dir):
+    """Three series with 10, 5 and 1 % values; held in the tests against the definition."""
+    return models.johansen_of(_prices(spark, sf_dir), ["price", "n", "mean"], ["series"], ["date"])
+
+
 @query(f"""WITH RECURSIVE {CLOSES}, i AS (SELECT user_id AS series, obs_date, value AS y, day(obs_date) / 10.0 AS x, row_number() OVER (PARTITION BY user_id ORDER BY obs_date) AS k FROM closes),
 f AS (SELECT series, 0::BIGINT AS k, NULL::DATE AS obs_date, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS b0 FROM (SELECT DISTINCT series FROM i)
 UNION ALL SELECT series, k, obs_date, a + u / s * e, b + v / s * e, p - u / s * u, q - u / s * v, r - v / s * v, a, b FROM (SELECT *, u + x * v + 1e-2 AS s, y - a - b * x AS e FROM (

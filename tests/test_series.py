@@ -104,6 +104,85 @@ def test_breaks_against_all_cuts(spark):
     assert found[0]["slope"] == pytest.approx(2, abs=0.2) and series.breaks(_frame(spark, y=y[:5], x=x[:5]), "y", "x", ["k"], ["i"]).count() == 0
 
 
+def test_pruned_cuts_equal_all_cuts():
+    rng = np.random.default_rng(21)
+    for trial in range(12):
+        n, least = int(rng.integers(20, 70)), int(rng.integers(3, 8))
+        e = rng.normal(size=n) * np.where(np.arange(n) < n // 2, 1, rng.choice([1.0, 3.0]))
+        sums = series._prefix(e, e * e)
+        kinds = {
+            "level": lambda i, j: (sums[j, 1] - sums[i, 1]) - (sums[j, 0] - sums[i, 0]) ** 2 / (j - i),
+            "variance": lambda i, j: (j - i) * np.log((sums[j, 1] - sums[i, 1]) / (j - i)),
+        }
+        for cost in kinds.values():
+            found, bounds = series._best_cuts(n, cost, 2, least)
+            for m in range(3):
+                every = [[0, *c, n] for c in itertools.combinations(range(1, n), m) if min(b - a for a, b in zip([0, *c], [*c, n], strict=True)) >= least]
+                price = lambda at: sum(float(cost(np.array([a]), b)[0]) for a, b in zip(at[:-1], at[1:], strict=True))
+                assert found[m] == (pytest.approx(min(map(price, every))) if every else math.inf)
+                assert not every or price(bounds[m]) == pytest.approx(found[m])
+
+
+def test_variance_breaks_and_intervals(spark):
+    rng = np.random.default_rng(22)
+    e = rng.normal(size=300) * np.where(np.arange(300) < 120, 1.0, 4.0)
+    found = series.variance_breaks(_frame(spark, e=e), "e", ["k"], ["i"], most=3, least=20).orderBy("segment").collect()
+    assert len(found) == 2 and abs(found[1]["first"] - 120) < 8 and found[1]["first_low"] <= 120 <= found[1]["first_high"] and found[0]["first_low"] is None
+    assert found[1]["variance"] == pytest.approx((e[found[1]["first"] :] ** 2).mean())
+    # the interval of a line's break holds the true one
+    for _ in range(2):
+        x = rng.normal(size=160)
+        y = np.where(np.arange(160) < 80, 1 + x, 1.8 + 1.4 * x) + rng.normal(size=160)
+        row = series.breaks(_frame(spark, y=y, x=x), "y", "x", ["k"], ["i"], most=1, least=20).filter("segment = 1").first()
+        assert row["first_low"] <= 80 <= row["first_high"] and row["first_low"] <= row["first"] <= row["first_high"]
+    assert series.variance_breaks(_frame(spark, e=e[:5]), "e", ["k"], ["i"]).count() == 0
+
+
+def test_p_values_and_lags(spark, walk):
+    for statistic, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.1)):
+        assert series.unit_root_p(statistic) == pytest.approx(p, rel=0.02)
+    for statistic, p in ((-3.9, 0.01), (-3.34, 0.05), (-3.04, 0.1)):
+        assert series.unit_root_p(statistic, 2) == pytest.approx(p, rel=0.03)
+    assert series.unit_root_p(-25.0) == 0 and series.unit_root_p(3.0) == 1 and series.unit_root_p(None) is None
+    assert [series.stationary_p(v) for v in (0.1, 0.463, 0.6565, 2.0)] == pytest.approx([0.1, 0.05, 0.0175, 0.01])
+    a, b = walk
+    d = np.diff(a)
+    scores = []
+    for lags in range(5):
+        design = np.stack([np.ones(len(d) - 4), a[4:-1], *[d[4 - k : len(d) - k] for k in range(1, lags + 1)]], axis=1)
+        rest = d[4:] - design @ np.linalg.lstsq(design, d[4:], rcond=None)[0]
+        scores.append(len(rest) * math.log(rest @ rest / len(rest)) + 2 * design.shape[1])
+    row = series.unit_roots(_frame(spark, v=a), "v", ["k"], ["i"], most=4).first()
+    assert row["adf_lags"] == int(np.argmin(scores)) and row["adf"] == pytest.approx(series.dickey_fuller(_frame(spark, v=a), "v", ["k"], ["i"], row["adf_lags"]).first()["statistic"])
+    assert row["adf_p"] > 0.05 and row["kpss_p"] == 0.01 and series.unit_roots(_frame(spark, v=np.diff(a)), "v", ["k"], ["i"]).first()["adf_p"] < 0.001
+    both = {r["dependent"]: r for r in series.cointegration(_frame(spark, a=a, b=b), "a", "b", ["k"], ["i"]).collect()}
+    assert both["a"]["p"] < 0.01 and both["b"]["p"] < 0.01 and both["a"]["slope"] == pytest.approx(np.polyfit(b, a, 1)[0])
+    assert series.unit_roots(_frame(spark, v=[1.0, 2.0]), "v", ["k"], ["i"]).first()["adf_p"] is None
+
+
+def test_johansen_of_three(spark, walk):
+    a, b = walk
+    rng = np.random.default_rng(23)
+    x = np.stack([a, b, np.cumsum(rng.normal(size=400))], axis=1)
+    df = _frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2])
+    d = np.diff(x, axis=0)
+    own = np.concatenate([np.ones((len(d) - 1, 1)), d[:-1]], axis=1)
+    project = np.eye(len(own)) - own @ np.linalg.inv(own.T @ own) @ own.T
+    r0, r1 = project @ d[1:], project @ x[1:-1]
+    s = lambda p, q: p.T @ q / len(own)
+    roots = sorted(np.linalg.eigvals(np.linalg.inv(s(r1, r1)) @ s(r1, r0) @ np.linalg.inv(s(r0, r0)) @ s(r0, r1)).real, reverse=True)
+    found = series.johansen_of(df, ["a", "b", "c"], ["k"], ["i"]).orderBy("rank").collect()
+    assert [r["root"] for r in found] == pytest.approx(roots) and [r["trace"] for r in found] == pytest.approx([-len(own) * sum(math.log(1 - v) for v in roots[k:]) for k in range(3)])
+    assert found[0]["trace"] > found[0]["trace_1"] > found[0]["trace_5"] > found[0]["trace_10"] and found[1]["trace"] < found[1]["trace_5"]
+    assert found[0]["vector"][0] == 1 and found[0]["vector"][1] == pytest.approx(-2, abs=0.2)
+    two = series.johansen_of(df, ["a", "b"], ["k"], ["i"]).orderBy("rank").collect()
+    plain = series.johansen(df, "a", "b", ["k"], ["i"]).orderBy("rank").collect()
+    assert [(r["trace"], r["trace_5"], r["largest_5"]) for r in two] == [(r["trace"], r["trace_5"], r["largest_5"]) for r in plain]
+    with pytest.raises(ValueError):
+        series.johansen_of(df, ["a"], ["k"], ["i"])
+    assert all(r["root"] is None for r in series.johansen_of(_frame(spark, a=[1.0] * 30, b=[2.0] * 30), ["a", "b"], ["k"], ["i"]).collect())
+
+
 def test_half_life_interval(spark):
     rng = np.random.default_rng(5)
     x = [0.0]
