@@ -119,9 +119,13 @@ def asof_unbounded(spark, sf_dir):
     return found.select(F.col("series").alias("user_id"), F.col("target").alias("date"), "value", F.datediff("target", "obs_date").alias("lag_days"))
 
 
-@query(f"WITH {CALENDAR} SELECT date, CAST(back AS INTEGER) AS back, CAST(date - back AS DATE) AS before FROM cal")
+@query("""SELECT CAST(o_orderdate AS DATE) AS date, any_value(CASE WHEN isodow(o_orderdate) = 1 THEN 3 ELSE 1 END)::INTEGER AS back, any_value(CAST(o_orderdate AS DATE) - CASE WHEN isodow(o_orderdate) = 1 THEN 3 ELSE 1 END)::DATE AS before, count(*) AS n_orders
+FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY CAST(o_orderdate AS DATE)""")
 def prev_weekday_shift(spark, sf_dir):
-    return _calendar(spark).select("date", "back", F.expr("date_sub(date, back)").alias("before"))
+    """The weekday before each weekday on which something was ordered."""
+    days = _read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n_orders"))
+    calendar = calendars.weekday_calendar(spark, dt.date(1990, 1, 1), dt.date(2030, 12, 31))
+    return days.join(calendar, "date").select("date", "back", F.expr("date_sub(date, back)").alias("before"), "n_orders")
 
 
 @query(_long_sql(3, "back") + "SELECT user_id, date, value, lag_days, CASE WHEN required AND value IS NULL THEN 'stale_beyond_max_lag' END AS drop_reason FROM long")
@@ -215,10 +219,13 @@ CLOSED = {
 }
 
 
-@query("SELECT market, CAST('2024-' || day AS DATE) AS date FROM (VALUES " + ", ".join(f"('{m}', '{d}')" for m, days in CLOSED.items() for d in days) + ") AS c(market, day)")
+@query("""SELECT market, CAST('2024-' || day AS DATE) AS date, count(event_id) AS n_events FROM (VALUES """ + ", ".join(f"('{m}', '{d}')" for m, days in CLOSED.items() for d in days) + """) AS c(market, day)
+LEFT JOIN events ON CAST(ts AS DATE) = CAST('2024-' || day AS DATE) GROUP BY ALL""")
 def holiday_table(spark, sf_dir):
-    """The rules against the published closures of a whole year."""
-    return calendars.holidays(spark, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).select("market", "date")
+    """The rules against the published closures of a whole year, and the events on each of them."""
+    closed = calendars.holidays(spark, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).select("market", "date")
+    days = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("event_id").alias("n_events"))
+    return closed.join(days, "date", "left").select("market", "date", F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
 @query("SELECT user_id, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
@@ -750,9 +757,23 @@ def signal_run(spark, sf_dir):
     return signals.history(spark, _run_folder(spark, sf_dir))
 
 
+@query(STATES.rstrip() + ", " + WINDOWED[len(PRICES) + 2 :] + """, guard AS (SELECT series, date, sum(CASE WHEN coalesce(rejects, false) THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY date ROWS 4 PRECEDING) >= 5 AS failed FROM tests),
+newest AS (SELECT s.*, failed, day(s.date) > 15 AS stale, day(s.date) > 15 OR failed AS guarded, CASE WHEN s.position > 0 THEN 'LONG' ELSE 'SHORT' END AS side FROM states s JOIN guard USING (series, date) QUALIFY row_number() OVER (PARTITION BY s.series ORDER BY s.date DESC) = 1)
+SELECT series, date, CASE WHEN guarded OR position = 0 THEN 'FLAT' ELSE side END AS state, CASE WHEN guarded OR reason IS NULL THEN 'NONE' WHEN reason = 'enter' THEN 'ENTER_' || side WHEN reason = 'stop' THEN 'STOP' ELSE 'EXIT' END AS action,
+'1.0' AS schema_version, CAST(date AS VARCHAR) AS as_of, z, position, CASE WHEN stale THEN 'age' ELSE '' END AS stale_inputs, concat_ws('; ', CASE WHEN stale THEN 'stale inputs' END, CASE WHEN failed THEN 'regime not trusted' END) AS warnings FROM newest""")
+def signal_latest(spark, sf_dir):
+    """The newest document of the daily run, read back: guarded by the age of its inputs (here the day of the month) and by five failed windows of the cointegration test."""
+    guard = signals.failed_runs(rolling.rolling_engle_granger(_prices(spark, sf_dir), "price", "n", ["series"], ["date"], rows=500), "rejects", ["series"], "date", 5)
+    inputs = guard.withColumn("age", F.dayofmonth("date")).select("series", "date", "age", "regime_failed")
+    newest = signals.latest(signals.history(spark, _run_folder(spark, sf_dir)), ["series"], "date", inputs, {"age": 15}, F.col("regime_failed"), ["z", "position"])
+    document = F.from_json("document", "schema_version string, as_of string, z double, position int, state string, action string, data_quality struct<stale_inputs: array<string>, warnings: array<string>>")
+    found = newest.select("series", "date", document.alias("d"))
+    return found.select("series", "date", "d.state", "d.action", "d.schema_version", "d.as_of", "d.z", "d.position", F.array_join("d.data_quality.stale_inputs", "; ").alias("stale_inputs"), F.array_join("d.data_quality.warnings", "; ").alias("warnings"))
+
+
 # --- a whole alignment -----------------------------------------------------------------
 
-#: Users whose closes stand for the series of the data model.
+#: The six series of the data model: every user's events belong to one of them, by user_id modulo 6; a day whose last event is a click has no observation.
 NAMES = {1: "usdjpy", 2: "us2y", 3: "us10y", 4: "jgb2y", 5: "jgb10y", 6: "us10y_real"}
 
 
@@ -769,20 +790,26 @@ def _config(convention: str, start: str = "2024-01-01", end: str = "2024-01-30",
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col("series").cast("int"))
-    return _closes(spark, sf_dir).filter(F.col("series").isin(*NAMES)).select(names.alias("series"), "obs_date", "value")
+    names = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), (F.pmod("user_id", F.lit(6)) + 1).cast("int"))
+    events = _read(spark, sf_dir, "events").filter("ts is not null and user_id is not null")
+    rows = events.select(names.alias("series"), F.to_date("ts").alias("obs_date"), F.when(F.col("event_type") != "click", F.col("value")).alias("value"), "ts", "event_id")
+    return dedup.keep_last(rows, ["series", "obs_date"], ["ts", "event_id"]).filter("value is not null").select("series", "obs_date", "value")
 
 
 def _aligned(spark: SparkSession, sf_dir: str, convention: str) -> align.Aligned:
     return align.align(spark, _observed(spark, sf_dir), _config(convention), list(NAMES.values()))
 
 
+FEEDS = """closes AS (SELECT user_id, obs_date, value FROM (SELECT user_id % 6 + 1 AS user_id, CAST(ts AS DATE) AS obs_date, CASE WHEN event_type <> 'click' THEN value END AS value,
+  row_number() OVER (PARTITION BY user_id % 6, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL) WHERE r = 1 AND value IS NOT NULL)"""
+
+
 def _aligned_sql(convention: str) -> str:
     rules = _config(convention).alignment
     shifted = {"fx": 1, "us": 1, "jgb": 0} if convention == "tokyo_close" else {"fx": 0, "us": 0, "jgb": 0}
     groups = {"usdjpy": "fx", "jgb2y": "jgb", "jgb10y": "jgb"}
     rows = ", ".join(f"({u}, '{n}', '{groups.get(n, 'us')}', {rules.asof_max_lag_days.get(n, 0)}, {shifted[groups.get(n, 'us')]}, {n in rules.drop_if_missing}, {n != 'us10y_real'})" for u, n in NAMES.items())
-    return f"""WITH {CLOSES}, {CALENDAR}, {US_DAYS}, {JP_DAYS}, pol(user_id, series, grp, max_lag, shift, exact, required) AS (VALUES {rows}),
+    return f"""WITH {FEEDS}, {CALENDAR}, {US_DAYS}, {JP_DAYS}, pol(user_id, series, grp, max_lag, shift, exact, required) AS (VALUES {rows}),
 t AS (SELECT pol.*, cal.date, cal.back * shift AS back, CAST(cal.date - cal.back * shift AS DATE) AS target FROM cal CROSS JOIN pol),
 a AS (SELECT t.*, c.obs_date AS o, c.value AS v FROM t ASOF LEFT JOIN closes c ON t.user_id = c.user_id AND t.target >= c.obs_date),
 long AS (SELECT date, series, grp, exact, required, shift, back, CASE WHEN target - o <= max_lag THEN v END AS value, CASE WHEN target - o <= max_lag THEN CAST(date - o AS INTEGER) END AS lag_days FROM a),
