@@ -24,6 +24,10 @@ from .asof import asof_lookup
 from .calendars import closures_between, gap_reason, weekday_calendar
 
 
+#: No weekday lies further back from the next one of a mask.
+WEEK = dt.timedelta(days=7)
+
+
 class Aligned:
     """One alignment: its days, and what is made of them when it is asked for."""
 
@@ -81,21 +85,25 @@ def targets_of(rules: DataFrame, calendar: DataFrame) -> DataFrame:
     return targets.withColumn("target", F.expr("date_sub(date, back)")).select("date", "series", "target", "grp", "required", "exact", "shift", "back")
 
 
-def looked_up(targets: DataFrame, observations: DataFrame, rules: DataFrame, longest: int | None = None) -> DataFrame:
+def looked_up(targets: DataFrame, observations: DataFrame, rules: DataFrame, longest: int | None = None, between: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Targets with the observation that each may read."""
-    found = asof_lookup(targets, observations, rules, longest)
+    found = asof_lookup(targets, observations, rules, longest, between)
     return found.withColumn("lag_days", F.datediff("date", "obs_date")).drop("target")
 
 
-def aligned_long(observations: DataFrame, rules: DataFrame, calendar: DataFrame, longest: int | None = None) -> DataFrame:
+def aligned_long(observations: DataFrame, rules: DataFrame, calendar: DataFrame, longest: int | None = None, between: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """(date, series, grp, required, exact, shift, back, obs_date, value, lag_days) for each calendar day and series."""
-    return looked_up(targets_of(rules, calendar), observations, rules, longest)
+    return looked_up(targets_of(rules, calendar), observations, rules, longest, between)
+
+
+def drop_reason() -> Column:
+    """Why a row of `aligned_long` drops its day; null where it does not."""
+    return F.when(F.col("required") & F.col("value").isNull(), F.when(F.col("exact"), F.lit("missing_on_snapshot_date")).otherwise(F.lit("stale_beyond_max_lag")))
 
 
 def drop_log(long: DataFrame) -> DataFrame:
     """(date, series, reason) of each required series that is missing on a day."""
-    reason = F.when(F.col("exact"), F.lit("missing_on_snapshot_date")).otherwise(F.lit("stale_beyond_max_lag"))
-    return long.filter("required and value is null").select("date", "series", reason.alias("reason"))
+    return long.filter("required and value is null").select("date", "series", drop_reason().alias("reason"))
 
 
 def group_lags(long: DataFrame) -> DataFrame:
@@ -158,7 +166,7 @@ class Rules:
         return out
 
 
-def day_table(observations: DataFrame, rules: DataFrame, calendar: DataFrame, series: list[str], longest: int | None = None) -> DataFrame:
+def day_table(observations: DataFrame, rules: DataFrame, calendar: DataFrame, series: list[str], longest: int | None = None, between: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """(date, back, v_*, g_*, o_*): for each calendar day, and each series, the value looked up, its lag, and whether the day has an observation of its own.
 
     A series that is read on another day asks twice, for the day that is read and for its own; all else asks once.
@@ -166,7 +174,7 @@ def day_table(observations: DataFrame, rules: DataFrame, calendar: DataFrame, se
     asked = rules.crossJoin(F.broadcast(calendar)).withColumn("read", F.expr("if(shift = 'previous', date_sub(date, back), date)"))
     roles = F.expr("if(read = date, array(named_struct('target', read, 'reads', true)), array(named_struct('target', read, 'reads', true), named_struct('target', date, 'reads', false)))")
     targets = asked.select("date", "series", "back", F.explode(roles).alias("r")).select("date", "series", "back", "r.target", "r.reads")
-    found = asof_lookup(targets, observations, rules, longest)
+    found = asof_lookup(targets, observations, rules, longest, between)
     columns = []
     for name in series:
         columns += [F.expr(f"max(if(series = '{name}' and reads, value, null)) as v_{name}"), F.expr(f"max(if(series = '{name}' and reads, datediff(date, obs_date), null)) as g_{name}")]
@@ -180,7 +188,7 @@ def align(spark: SparkSession, observations: DataFrame, config: Config, series:
     table = policy(spark, config.alignment, series)
     calendar = weekday_calendar(spark, start, end, weekdays_of(config.alignment.weekmask))
     rules = Rules(policy_rows(config.alignment, series), {m: closures_between(m, start, end) for m in ("us", "jp")}, end, config.alignment.publication_lag_days)
-    days = day_table(observations, table, calendar, series, max(config.alignment.asof_max_lag_days.values(), default=0))
+    days = day_table(observations, table, calendar, series, max(config.alignment.asof_max_lag_days.values(), default=0), (start - WEEK, end))
     return Aligned(rules.reasons(days), rules, observed)
 
 

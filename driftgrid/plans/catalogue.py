@@ -73,7 +73,7 @@ def _calendar(spark: SparkSession) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str, max_lag: int, shift: str) -> DataFrame:
-    return align.aligned_long(_closes(spark, sf_dir), _rules(spark, sf_dir, max_lag, shift), _calendar(spark))
+    return align.aligned_long(_closes(spark, sf_dir), _rules(spark, sf_dir, max_lag, shift), _calendar(spark), max_lag, (START - align.WEEK, END))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +130,7 @@ def prev_weekday_shift(spark, sf_dir):
 
 @query(_long_sql(3, "back") + "SELECT user_id, date, value, lag_days, CASE WHEN required AND value IS NULL THEN 'stale_beyond_max_lag' END AS drop_reason FROM long")
 def aligned_shifted(spark, sf_dir):
-    long = _long(spark, sf_dir, 3, "previous")
-    reasons = align.drop_log(long)
-    return long.join(reasons, ["date", "series"], "left").select(F.col("series").alias("user_id"), "date", "value", "lag_days", F.col("reason").alias("drop_reason"))
+    return _long(spark, sf_dir, 3, "previous").select(F.col("series").alias("user_id"), "date", "value", "lag_days", align.drop_reason().alias("drop_reason"))
 
 
 @query(_long_sql(3, "back") + "SELECT date, user_id, 'stale_beyond_max_lag' AS reason FROM long WHERE required AND value IS NULL")

@@ -90,6 +90,9 @@ def test_asof_tolerance(spark):
     far = {(r["series"], r["target"]): r["value"] for r in asof.asof_unbounded(targets.filter("series = 'a' and target is not null"), obs).collect()}
     assert far["a", day(9)] == 1.5 and far["a", day(10)] == 2.0
     assert asof.asof_lookup(targets.limit(0), obs, rules).count() == 0
+    first, last = targets.agg(F.min("target"), F.max("target")).first()
+    most = rules.agg(F.max("max_lag")).first()[0]
+    assert {(r["series"], r["target"]): r["value"] for r in asof.asof_lookup(targets, obs, rules, most, (first, last)).collect()} == got
     # a long tolerance takes the other way, with the same answers
     long = {(r["series"], r["target"]): r["value"] for r in asof.asof_lookup(targets, obs, rules, longest=400).collect()}
     assert long == got
