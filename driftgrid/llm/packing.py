@@ -15,8 +15,9 @@ of a place is found by bisection over what all sources are due. So each lane of
 `lane_windows` windows is filled by itself, from the deficits that all lanes before it leave,
 and a document needs only its place in its source's queue to know its pieces. Two-level prefix sums
 over (source, bucket) give that; no source's queue is ever in one task. The driver holds one
-number for each queue, at most `queues` of them: where there are more sources,
-those without a target share queues by a hash of their names, and proportions hold for each such group.
+number for each queue, at most `queues` of them. Where there are more sources, those without a target are members of
+groups by a hash of their names. A group is a queue, and its own stream is dealt in the same way to its members, in pieces, so each source keeps its share,
+to within three pieces, at any number of sources. The members' sizes are a table that is joined to the documents; the driver never sees them.
 
 By default the weights are the sources' token counts, so every window has the
 proportions of the whole corpus and all queues end together.
@@ -240,21 +241,40 @@ def slices(mix: Mixture, queue: int, start: int, stop: int) -> tuple[np.ndarray,
     return begin[lo:hi], window[lo:hi], offset[lo:hi]
 
 
+def member_slices(mix: Mixture, queue: int, inner: Mixture, member: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `slices`, of the tokens of a member of a group: its pieces in the group's stream, and what the queue of the group makes of these."""
+    begin, window, offset = slices(inner, member, start, stop)
+    low = np.maximum(begin, start)
+    at = window * inner.window + offset + low - begin
+    out = []
+    for p, q, g in zip(low.tolist(), np.append(low[1:], stop).tolist(), at.tolist(), strict=True):
+        first, of, place = slices(mix, queue, g, g + q - p)
+        inside = np.maximum(first, g)
+        out.append((p + inside - g, of, place + inside - first))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], mix: Mixture) -> Iterator[pa.RecordBatch]:
     """Pieces of documents; documents that follow on in one queue are cut at once."""
     for batch in batches:
-        queue, n, place = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+        queue, n, place, member = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 5))
+        totals = batch.column(6)
         data, _ = text_buffers(batch.column(4))
         ids = data.view(np.uint16)
-        fresh = np.flatnonzero(np.concatenate([[True], (queue[1:] != queue[:-1]) | (place[1:] != place[:-1] + n[:-1])]))
+        fresh = np.flatnonzero(np.concatenate([[True], (queue[1:] != queue[:-1]) | (member[1:] != member[:-1]) | (place[1:] != place[:-1] + n[:-1])]))
         at = np.concatenate([[0], np.cumsum(n)])
         docs, lengths, starts, windows, offsets = [], [], [], [], []
         for a, b in zip(fresh.tolist(), np.append(fresh[1:], len(n)).tolist(), strict=True):
             low, high = int(place[a]), int(place[b - 1] + n[b - 1])
-            begin, window, offset = slices(mix, int(queue[a]), low, high)
+            if totals[a].is_valid:
+                own = tuple(totals[a].as_py())
+                inner = Mixture(own, own, mix.piece, mix.span // mix.piece, mix.piece)
+                begin, window, offset = member_slices(mix, int(queue[a]), inner, int(member[a]), low, high)
+            else:
+                begin, window, offset = slices(mix, int(queue[a]), low, high)
             edges = np.union1d(place[a:b], np.append(np.maximum(begin, low), high))
             doc = np.searchsorted(place[a:b], edges[:-1], "right") - 1
             part = np.searchsorted(begin, edges[:-1], "right") - 1
@@ -288,13 +308,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
     encoded = written(encoded, "tokens")
     name = F.col("source").cast("string")
     source = F.coalesce(F.concat(F.lit("source:"), name), F.lit("null"))
-    if encoded.select("source").distinct().count() > queues - len(targets):
-        own = F.coalesce(name.isin([str(t) for t in targets if t is not None]), F.lit(None in targets))
-        grouped = F.pmod(F.xxhash64(name), F.lit(max(1, queues - len(targets)))).cast("string")
-        key = F.when(own, source).otherwise(F.concat(F.lit("group:"), grouped))
-    else:
-        key = source
-    keyed = encoded.withColumn("key", key)
+    many = encoded.select("source").distinct().count() > queues - len(targets)
+    own = F.coalesce(name.isin([str(t) for t in targets if t is not None]), F.lit(None in targets))
+    group = F.concat(F.lit("group:"), F.pmod(F.xxhash64(name), F.lit(max(1, queues - len(targets)))).cast("string"))
+    keyed = encoded.withColumn("key", F.when(own, source).otherwise(group) if many else source).withColumn("of", source)
     sizes = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy("key").collect()  # at most `queues` rows
     shares = {"null" if k is None else f"source:{k}": w / max(1, sum(targets.values())) for k, w in targets.items()}
     own = [shares.get(r["key"]) for r in sizes]
@@ -302,14 +319,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
     mix = Mixture(tuple(r["n"] for r in sizes), tuple(w or r["n"] * rest for r, w in zip(sizes, own, strict=True)), window, lane_windows, least_piece)
     buckets = max(64, math.ceil(sum(r["docs"] for r in sizes) / BUCKET_DOCS))
     numbers = docs.sparkSession.createDataFrame([(r["key"], i) for i, r in enumerate(sizes)], "key string, queue int")
-    keyed = keyed.join(F.broadcast(numbers), "key").select("doc_id", "queue", "n", "tie", "ids", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)).alias("bucket"))
-    sums = keyed.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = written(sums.select(F.col("queue").alias("of"), F.col("bucket").alias("in"), F.coalesce(before, F.lit(0)).alias("before")), "queues")
-    order = Window.partitionBy("queue", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # copies under one id, and rows without one, are told apart by their text
+    bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), F.lit(buckets))
+    if many:
+        members = written(keyed.groupBy("key", "of").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("of", "n"))).alias("m")), "members")
+        slots = members.select("key", F.posexplode("m").alias("member", "m")).select("key", "member", F.col("m.of").alias("of"))
+        keyed = keyed.join(slots, ["key", "of"]).join(members.select("key", F.col("m.n").alias("totals")), "key")
+    else:
+        keyed = keyed.withColumns({"member": F.lit(0), "totals": F.lit(None).cast("array<long>")})
+    keyed = keyed.join(F.broadcast(numbers), "key").select("doc_id", "queue", "n", "tie", "ids", "member", "totals", bucket.alias("bucket"))
+    sums = keyed.groupBy("queue", "member", "bucket").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("queue", "member").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = written(sums.select(F.col("queue").alias("_q"), F.col("member").alias("_m"), F.col("bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("before")), "queues")
+    order = Window.partitionBy("queue", "member", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    placed = placed.join(sums, (F.col("queue") == F.col("of")) & (F.col("bucket") == F.col("in")))
-    placed = placed.select("doc_id", "queue", "n", (F.col("before") + F.col("inside")).alias("place"), "ids")
+    placed = placed.join(sums, (F.col("queue") == F.col("_q")) & (F.col("member") == F.col("_m")) & (F.col("bucket") == F.col("_b")))
+    placed = placed.select("doc_id", "queue", "n", (F.col("before") + F.col("inside")).alias("place"), "ids", "member", "totals")
     return in_arrow(placed, partial(_cut, mix=mix), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

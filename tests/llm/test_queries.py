@@ -88,3 +88,45 @@ def test_suffix_dedup_query(spark, docs):
         want[d] = (len(text), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest())
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op8_suffix_dedup(spark, SF).collect()}
     assert got == want and any(n for _, n, _, _ in want.values())
+
+
+def test_packing_of_many_sources(spark):
+    """Far more sources than queues: each keeps its share of every window, and every token is in one piece."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "some plain words of a text here "
+    rows = [(i, f"s{i % 40}", text * (20 + i % 7)) for i in range(2000)] + [(None, None, text * 30)] * 50 + [(7, "s1", text * 9)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for targets, queues in (({}, 3), ({"s1": 0.25}, 6)):
+        pieces = packing.pack(docs, path, least_piece=32, queues=queues, lane_windows=8, targets=targets).collect()
+        of = {d: s for d, s, _ in rows}
+        window, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+        spans = defaultdict(list)
+        for r in pieces:
+            window[r["sequence_id"]][of[r["doc_id"]]] += r["length"]
+            total[of[r["doc_id"]]] += r["length"]
+            spans[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in spans.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 4096
+        everything = sum(total.values())
+        assert everything == sum(r[0] for r in packing.pack(docs, path, queues=4096).select("length").collect()) and len(spans) == -(-everything // 4096)
+        rest = {s: n for s, n in total.items() if s not in targets}
+        share = {s: 4096 * (1 - sum(targets.values())) * n / sum(rest.values()) for s, n in rest.items()} | {s: 4096 * w for s, w in targets.items()}
+        lasting = [w for w in window if not targets or window[w]["s1"] > 900]
+        assert len(lasting) > 3
+        for w in lasting[:-1] if targets else [w for w in window if w < len(spans) - 1]:
+            assert all(abs(window[w][s] - share[s]) <= 2 * 32 + 32 for s in share), w
+    ids = {}
+    for r in pieces:
+        if r["doc_id"] is not None and r["doc_id"] != 7:
+            ids.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for own in ids.values():
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
