@@ -206,3 +206,23 @@ def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+#: Every period tried on every word: pairs of equal words a period apart, in stretches. The checksum is computed bit by bit.
+ORACLE_SQL = r"""
+WITH tab AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM generate_series(0, 255) s(b))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT rid, doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) AS h FROM d, tab),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS c FROM h),
+x AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(generate_series(0, n - 1), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // c) + 1] END) END AS w FROM g),
+t AS (SELECT rid, n, i, w[i + 1] AS word FROM (SELECT rid, n, w, unnest(generate_series(0, n - 1)) AS i FROM x WHERE n > 0)),
+m AS (SELECT p.rid, p.i, q.i - p.i AS q FROM t p JOIN t q ON p.rid = q.rid AND p.word = q.word AND q.i > p.i AND 4 * (q.i - p.i) <= p.n),
+s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS part FROM m) GROUP BY rid, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT rid, start, length, min(q) AS period FROM s GROUP BY rid, start, length),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / period DESC, start, period) = 1),
+said AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(start + period, start + length - 1)) AS i FROM r),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+FROM x LEFT JOIN said USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -32,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_periodic_runs": periodic_runs.ORACLE_SQL,
     "rule_ablation": quality_rules.ABLATION_SQL,
 }
