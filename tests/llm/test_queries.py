@@ -130,3 +130,31 @@ def test_packing_of_many_sources(spark):
         for start, length in sorted(own):
             assert start == at
             at += length
+
+
+def test_very_long_texts_of_the_others(spark):
+    """A text of 20 MB in the operators that `test_very_long_texts` leaves out: 6, 10, 11, 12 and 13."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from driftgrid.llm import chat_format, collocations, periodic_runs, token_counts, toxicity
+
+    rng = np.random.default_rng(31)
+    vocabulary = [f"word{x:05d}" for x in range(40_000)]
+    lines = [" ".join(vocabulary[i] for i in rng.integers(0, 40_000, 20)) + " same four words here." for _ in range(91_000)]
+    text = "\n".join(lines)
+    assert len(text) > 20_000_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, "short text", None)], "doc_id long, text string, lang string").repartition(2)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, path, pattern, rule="most").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum("n_tokens").alias("tokens")).collect()}
+    assert got[1]["n"] == len(lines) and got[1]["chars"] == len(text) and got[1]["tokens"] > 20 * len(lines)
+    found = {r["phrase"]: r for r in collocations.collocations(docs.select("lang", "text"), least=80_000).collect()}
+    assert set(found) == {"same four words here"} and found["same four words here"]["a"] == len(lines) and found["same four words here"]["n"] == 24 * len(lines)
+    scored = {r["row"]["doc_id"]: r for r in toxicity.score(docs, toxicity.SegmentModel()).collect()}
+    assert scored[1]["n_tokens"] == 24 * len(lines)
+    units = " ".join(f"unit{k:06d}" for k in range(7))
+    runs = spark.createDataFrame([(1, " ".join([units] * 260_000)), (2, text)], "doc_id long, text string").repartition(2)
+    assert sorted((r["row"]["doc_id"], [tuple(x) for x in r["runs"]], len(r["collapsed"].split())) for r in periodic_runs.find_runs(runs, texts=True).collect()) == [(1, [(0, 1_820_000, 7)], 7), (2, [], 24 * len(lines))]
+    said = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "### " + text)], "conv_id long, turn long, role string, text string")
+    back = chat_format.read_back(chat_format.format_chats(said.select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("content")))).first()
+    assert back["loss_text"] == "### " + text and [t["text"] for t in back["turns"]] == [text, "### " + text]
