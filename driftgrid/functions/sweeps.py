@@ -3,7 +3,8 @@
 `sweep` simulates every cell of a grid in one pass over the rows of a key: the state of all cells (position, rows held, barred, sums of returns)
 are arrays, and a row is one step for all of them. Rows are dealt by key, sorted, and read as a stream of Arrow batches, so a task
 holds the state of one key and never its rows; a grid whose state passes `group_bytes` is cut into groups of cells that
-run beside each other. `surface` tells whether a figure is smooth over the grid or one spike.
+run beside each other. `surface` tells whether a figure is smooth over the grid or one spike, `out_of_sample` what the best cell of the past
+makes in the block after it.
 
 Defined results: as `signal_states` and `backtest` give for one cell; rows without a return (the first of a key, a null or zero price) count for no
 cell; keys without any return have null figures; rows that tie in `order` are taken in any order; an empty table gives an empty one.
@@ -17,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,11 @@ class _State:
         k = len(cells)
         self.position, self.rows_held, self.barred = np.zeros(k), np.zeros(k, np.int64), np.zeros(k, bool)
         self.was, self.price, self.carry = np.zeros(k), None, 0.0
+        self.clear()
+
+    def clear(self) -> None:
+        """Begin the figures anew; positions stay."""
+        k = len(self.cells)
         self.n, self.sums = 0, np.zeros((4, k))
         self.equity, self.peak, self.down = np.zeros(k), np.zeros(k), np.zeros(k)
         self.active, self.trades, self.stops, self.turnover = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
@@ -107,46 +113,52 @@ class _State:
 
 
 def _run(batches: Iterator[pa.RecordBatch], grid: Grid, groups: list[np.ndarray], n_key: int, cost_bps: float, per_year: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows are (key..., group, price, carry, z...), sorted by key, group and order."""
-    now, state = None, None
+    """Rows are (key..., group, block, price, carry, z...), sorted by key, group and order; the schema has the block behind the key if it is asked for."""
+    now, state, part = None, None, None
+    blocks = len(schema) - n_key - len(AXES) - len(_RULES) - len(_FIGURES)
 
     def done() -> pa.RecordBatch:
         cells = state.cells
-        key = [pa.array([v] * len(cells), schema.field(i).type) for i, v in enumerate(now[:-1])]
-        rules = [pa.array(np.array(a, dtype=object if i == 0 else None)[cells[:, i]].tolist(), schema.field(n_key + len(AXES) + i).type) for i, a in enumerate((grid.z, grid.enter, grid.leave, grid.stop, grid.most_rows))]
-        figures = [x.cast(schema.field(n_key + len(AXES) + len(_RULES) + i).type) for i, x in enumerate(state.figures())]
+        key = [pa.array([v] * len(cells), schema.field(i).type) for i, v in enumerate([*now[:-1], part][: n_key + blocks])]
+        at = n_key + blocks + len(AXES)
+        rules = [pa.array(np.array(a, dtype=object if i == 0 else None)[cells[:, i]].tolist(), schema.field(at + i).type) for i, a in enumerate((grid.z, grid.enter, grid.leave, grid.stop, grid.most_rows))]
+        figures = [x.cast(schema.field(at + len(_RULES) + i).type) for i, x in enumerate(state.figures())]
         return pa.RecordBatch.from_arrays([*key, *(pa.array(cells[:, i]) for i in range(len(AXES))), *rules, *figures], schema=schema)
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[: n_key + 3]]
-        z = np.stack([c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns[n_key + 3 :]], axis=1) if batch.num_rows else np.zeros((0, 1))
+        columns = [c.to_pylist() for c in batch.columns[: n_key + 4]]
+        z = np.stack([c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns[n_key + 4 :]], axis=1) if batch.num_rows else np.zeros((0, 1))
         for i in range(batch.num_rows):
             own = tuple(c[i] for c in columns[: n_key + 1])
             if own != now:
                 if state is not None:
                     yield done()
-                now, state = own, _State(grid, groups[own[-1]], cost_bps, per_year)
-            state.row(columns[n_key + 1][i], columns[n_key + 2][i], z[i])
+                now, state, part = own, _State(grid, groups[own[-1]], cost_bps, per_year), columns[n_key + 1][i]
+            elif blocks and columns[n_key + 1][i] != part:
+                yield done()
+                state.clear()
+                part = columns[n_key + 1][i]
+            state.row(columns[n_key + 2][i], columns[n_key + 3][i], z[i])
     if state is not None:
         yield done()
 
 
-def sweep(df: DataFrame, grid: Grid, price: str, key: list[str], order: list[str], carry: str | None = None, cost_bps: float = 1.0, per_year: int = 252, group_bytes: int = 16 << 20) -> DataFrame:
-    """For each key and cell: the cell's place on AXES and its rules, n returns, pnl (their sum), sharpe of a row, skewness and kurtosis, max_drawdown, exposure, trades, stops, turnover and cost."""
+def sweep(df: DataFrame, grid: Grid, price: str, key: list[str], order: list[str], carry: str | None = None, cost_bps: float = 1.0, per_year: int = 252, group_bytes: int = 16 << 20, block: str | None = None) -> DataFrame:
+    """For each key (and each stretch of equal values of `block`, if one is named, with positions carried on) and cell: the cell's place on AXES and its rules, n returns, pnl (their sum), sharpe of a row, skewness and kurtosis, max_drawdown, exposure, trades, stops, turnover and cost."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     cells = np.array(grid.cells(), np.int64).reshape(-1, len(AXES))
     size = max(1, group_bytes // CELL_BYTES)
     groups = [cells[i : i + size] for i in range(0, len(cells), size)]
-    fields = [*(df.schema[k] for k in key), *(T.StructField(a, T.LongType()) for a in AXES)]
+    fields = [*(df.schema[k] for k in [*key, *([block] if block else [])]), *(T.StructField(a, T.LongType()) for a in AXES)]
     schema = T.StructType([*fields, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in {**_RULES, **_FIGURES}.items())).fields])
     if not groups:
         return df.sparkSession.createDataFrame([], schema)
     at = F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))) if len(groups) > 1 else F.lit(0)
-    values = [F.col(price).cast("double").alias("_price"), (F.col(carry).cast("double") if carry else F.lit(0.0)).alias("_carry"), *[F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(grid.z)]]
+    values = [(F.col(f"`{block}`") if block else F.lit(0)).alias("_block"), F.col(price).cast("double").alias("_price"), (F.col(carry).cast("double") if carry else F.lit(0.0)).alias("_carry"), *[F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(grid.z)]]
     rows = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)], *values).withColumn("_group", at)
     dealt, sort = [f"_k{i}" for i in range(len(key))] + ["_group"], [f"_o{i}" for i in range(len(order))]
-    rows = rows.repartition(*dealt).sortWithinPartitions(*dealt, *sort).select(*dealt, "_price", "_carry", *[f"_z{i}" for i in range(len(grid.z))])
+    rows = rows.repartition(*dealt).sortWithinPartitions(*dealt, *sort).select(*dealt, "_block", "_price", "_carry", *[f"_z{i}" for i in range(len(grid.z))])
     arrow, n_key = to_arrow_schema(schema), len(key)
     return rows.mapInArrow(lambda batches: _run(batches, grid, groups, n_key, cost_bps, per_year, arrow), schema)
 
@@ -165,3 +177,14 @@ def surface(cells: DataFrame, key: list[str], figure: str = "pnl") -> DataFrame:
     first = F.max_by(F.struct("_v", "_near"), F.struct("_v", *[-F.col(a) for a in AXES]))
     out = rows.groupBy(*key).agg(F.count("_v").alias("n_cells"), (F.count_if(F.col("_v") > 0) / F.nullif(F.count("_v"), F.lit(0))).alias("share_positive"), first.alias("_b"), F.nullif(F.stddev_pop("_v"), F.lit(0.0)).alias("_sd"), F.avg(F.pow(F.col("_v") - F.col("_near"), 2)).alias("_rough"))
     return out.select(*key, "n_cells", "share_positive", F.col("_b._v").alias("best"), F.col("_b._near").alias("neighbours"), ((F.col("_b._v") - F.col("_b._near")) / F.col("_sd")).alias("spike"), (F.col("_rough") / F.pow("_sd", F.lit(2.0))).alias("roughness"))
+
+
+def out_of_sample(cells: DataFrame, key: list[str], block: str, figure: str = "pnl") -> DataFrame:
+    """For each key and block of a sweep by blocks: the cell that was best by `figure` over all blocks before, what it had there (in_sample, in_rows), and what it then made (out_of_sample, out_rows).
+
+    Nothing of a block takes part in its own choice; the first block of a key has none, so no row.
+    """
+    before = Window.partitionBy(*key, *AXES).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cells.withColumns({"_past": F.sum(figure).over(before), "_rows": F.sum("n").over(before)}).filter(F.col("_past").isNotNull())
+    best = F.max_by(F.struct(*AXES, *_RULES, F.col("_past").alias("in_sample"), F.col("_rows").alias("in_rows"), F.col(figure).alias("out_of_sample"), F.col("n").alias("out_rows")), F.struct("_past", *[-F.col(a) for a in AXES]))
+    return rows.groupBy(*key, block).agg(best.alias("_b")).select(*key, block, "_b.*")

@@ -606,7 +606,7 @@ UNION ALL SELECT series, i_z, i_enter, i_leave, e, l, k, CASE WHEN p <> 0 THEN C
   CASE WHEN p <> 0 THEN held + 1 ELSE 0 END, coalesce(reason = 'stop', false) OR barred AND NOT coalesce(abs(z) <= l, false), reason
 FROM (SELECT *, CASE WHEN p <> 0 THEN CASE WHEN abs(z) >= 3.5 THEN 'stop' WHEN abs(z) <= l THEN 'exit' WHEN held + 1 >= 60 THEN 'time' END WHEN abs(z) >= e AND abs(z) < 3.5 AND NOT barred THEN 'enter' END AS reason
   FROM (SELECT f.series, f.i_z, f.i_enter, f.i_leave, f.e, f.l, i.k, f.position AS p, f.held, f.barred, CASE f.i_z WHEN 0 THEN i.z0 ELSE i.z1 END AS z FROM f JOIN i ON i.series = f.series AND i.k = f.k + 1))),
-h AS (SELECT f.*, lag(position, 1, 0) OVER w AS own, i.mean / lag(i.mean) OVER w - 1 AS move, coalesce(lag(i.n) OVER w, 0) AS carry FROM f JOIN i USING (series, k) WINDOW w AS (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k)),
+h AS (SELECT f.*, year(i.date) AS yr, lag(position, 1, 0) OVER w AS own, i.mean / lag(i.mean) OVER w - 1 AS move, coalesce(lag(i.n) OVER w, 0) AS carry FROM f JOIN i USING (series, k) WINDOW w AS (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k)),
 m AS (SELECT *, abs(own - lag(own, 1, 0) OVER (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k)) AS moved FROM h),
 v AS (SELECT *, own * move + own * carry / 100 / 252 - moved * 2.0 / 1e4 AS value FROM m),
 eq AS (SELECT *, sum(value) OVER (PARTITION BY series, i_z, i_enter, i_leave ORDER BY k) AS equity FROM v),
@@ -616,10 +616,10 @@ cells AS (SELECT series, i_z, i_enter, i_leave, e, l, count(value) AS n, sum(val
 """
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, block: str | None = None) -> DataFrame:
     rows = stats.rolling_zscore(_prices(spark, sf_dir), "mean", ["series"], ["date"], 60).withColumn("z60", F.round("z", 5))
     rows = stats.rolling_zscore(rows, "mean", ["series"], ["date"], 120).withColumn("z120", F.round("z", 5))
-    return sweeps.sweep(rows, GRID, "mean", ["series"], ["date"], carry="n", cost_bps=2.0)
+    return sweeps.sweep(rows.withColumn("year", F.year("date")), GRID, "mean", ["series"], ["date"], carry="n", cost_bps=2.0, block=block)
 
 
 @query(CELLS + """SELECT series, CASE i_z WHEN 0 THEN 'z60' ELSE 'z120' END AS z, e::DOUBLE AS enter, l::DOUBLE AS leave, n, round(pnl, 6) AS pnl, round(a1 / nullif(sd, 0), 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure,
@@ -640,6 +640,16 @@ def sweep_surface(spark, sf_dir):
     return found.select("series", "n_cells", *[F.round(c, k).alias(c) for c, k in {"share_positive": 6, "best": 6, "neighbours": 6, "spike": 4, "roughness": 4}.items()])
 
 
+@query(CELLS.rstrip() + """, years AS (SELECT series, i_z, i_enter, i_leave, e, l, yr, count(value) AS n, sum(value) AS pnl FROM v GROUP BY ALL),
+past AS (SELECT *, sum(pnl) OVER b AS in_sample, sum(n) OVER b AS in_rows FROM years WINDOW b AS (PARTITION BY series, i_z, i_enter, i_leave ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+picked AS (SELECT * FROM past WHERE in_sample IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series, yr ORDER BY in_sample DESC, i_z, i_enter, i_leave) = 1)
+SELECT series, yr::INTEGER AS year, CASE i_z WHEN 0 THEN 'z60' ELSE 'z120' END AS z, e::DOUBLE AS enter, l::DOUBLE AS leave, round(in_sample, 6) AS in_sample, in_rows::BIGINT AS in_rows, round(pnl, 6) AS out_of_sample, n AS out_rows FROM picked""")
+def walk_forward_sweep(spark, sf_dir):
+    """Each year traded with the cell that was best in the years before, beside what that cell had made there."""
+    found = sweeps.out_of_sample(_cells(spark, sf_dir, "year"), ["series"], "year")
+    return found.select("series", "year", "z", "enter", "leave", F.round("in_sample", 6).alias("in_sample"), "in_rows", F.round("out_of_sample", 6).alias("out_of_sample"), "out_rows")
+
+
 def _poly_sql(x: str, powers: tuple[float, ...]) -> str:
     out = repr(powers[0]) + "::DOUBLE"
     for c in powers[1:]:

@@ -70,6 +70,25 @@ def test_sweep_equals_the_fold(spark):
     assert flat["n"] == 0 and flat["pnl"] is None and flat["sharpe"] is None
 
 
+def test_out_of_sample(spark):
+    rows = _rows(4)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("month", F.month("d"))
+    grid = sweeps.Grid(z=("z", "fast"), enter=(1.0, 1.5), leave=(0.25,), stop=(3.0,), most_rows=(10,))
+    parts = sweeps.sweep(df, grid, "price", ["k"], ["d"], carry="carry", cost_bps=3.0, block="month")
+    whole = {(r["k"], r["i_z"], r["i_enter"]): r for r in sweeps.sweep(df, grid, "price", ["k"], ["d"], carry="carry", cost_bps=3.0).collect()}
+    own = parts.collect()
+    for at, r in whole.items():
+        mine = [p for p in own if (p["k"], p["i_z"], p["i_enter"]) == at]
+        assert sum(p["pnl"] for p in mine) == pytest.approx(r["pnl"], abs=1e-12) and sum(p["n"] for p in mine) == r["n"] and sum(p["n_trades"] for p in mine) == r["n_trades"] and len(mine) == 9
+    found = {(r["k"], r["month"]): r for r in sweeps.out_of_sample(parts, ["k"], "month").collect()}
+    assert len(found) == 2 * 8
+    for (key, month), r in found.items():
+        past = {c: sum(p["pnl"] for p in own if p["k"] == key and p["month"] < month and (p["i_z"], p["i_enter"]) == c) for c in ((0, 0), (0, 1), (1, 0), (1, 1))}
+        best = max(past, key=past.get)
+        assert (r["i_z"], r["i_enter"]) == best and r["in_sample"] == pytest.approx(past[best], abs=1e-12)
+        assert r["out_of_sample"] == pytest.approx(next(p["pnl"] for p in own if p["k"] == key and p["month"] == month and (p["i_z"], p["i_enter"]) == best), abs=1e-12)
+
+
 def _book(rows, key_rows):
     """A loop over (position, price, spot, carry, cost) rows: every stretch of one side that is held."""
     out, held, was = [], 0.0, 0.0
