@@ -18,7 +18,6 @@ gives an empty one; of runs with equal exponents the one that starts first, then
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
