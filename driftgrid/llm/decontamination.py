@@ -18,15 +18,15 @@ every item: of an item of L words a leak holds K = `COVER_ANSWER` * L or more, s
 words it holds j or more. Every block in which j of these begin within a span of L + min(L, `BLOCK`) words is
 checked with the words that far around it, and what passes again in each such span there, as common words alone can make
 up half of an item in a wider stretch by chance; no leak within such a span is lost, whatever its cosine or weights. The same count
-over the words to be checked spares the check of hits that cannot be leaks. The cosines are looked up in an index: item vectors are clustered, about `CLUSTER`
-in each, and a block is compared with those of its `PROBES` nearest clusters, or a quarter of them if that is more (so with all where the items are few); tests hold its recall to that of
-the full product. The benchmark is a set of queries: items go to the tasks in groups of at most `GROUP` passages, `GROUPS` groups in one
+over the words to be checked spares the check of hits that cannot be leaks. The cosines are looked up in an index: there is a centre for `CLUSTER` item vectors
+and each vector is kept at its `SPILL` nearest centres, as hits lie all round a block; a block is compared with what its `PROBES` nearest centres hold, or one in `SHARE` of them if that
+is more, and with all items where there are no more centres. A test holds the recall at 20,000 vectors, and how much is compared, to the full product. The benchmark is a set of queries: items go to the tasks in groups of at most `GROUP` passages, `GROUPS` groups in one
 scan of the texts; more take another scan, after which the groups before are let go, so what is broadcast is bounded.
 
 A candidate is confirmed on the words around it by the longest common subsequence with
 the whole item: it is a leak if this covers `COVER` of the item's words, or
 `COVER_ANSWER` of them and `ANSWER` of those of the item's answer (its last
-sentence, or its last quarter if it has one sentence only). Retrieval and confirmation are one more scan; no text is
+sentence, or its last quarter if it has one sentence only). `latent` tells whether the document was a candidate for the item by cosine, or by counts alone; `counts` switches the counts off. Retrieval and confirmation are one more scan; no text is
 shuffled.
 
 Defined results: null and empty texts and items have no words and match nothing; an item
@@ -52,8 +52,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, in_arrow, mix, runs_of, table, text_buffers, word_hashes, written
 
 TERMS, RANK, SKETCH, BLOCK, ITEM, NEAR, COMMON, GROUP = 1 << 14, 96, 192, 16, 48, 0.34, 0.05, 20_000
-#: Groups of items for one scan of the texts; item vectors in a cluster, and clusters looked into for each block.
-GROUPS, CLUSTER, PROBES = 4, 64, 12
+#: Groups of items for one scan of the texts; item vectors for a centre, centres that hold a vector, and centres looked into for each block: so many, or one in so many.
+GROUPS, CLUSTER, SPILL, PROBES, SHARE = 4, 16, 3, 48, 18
 FLOOR = 0.1
 COVER, COVER_ANSWER, ANSWER, LEAST = 0.7, 0.5, 0.8, 5
 #: Words and blocks handled at once.
@@ -165,36 +165,45 @@ def passages(weights: np.ndarray, used: np.ndarray, terms: np.ndarray, begin: np
 
 
 def clusters(vectors: np.ndarray, size: int = CLUSTER, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of clusters of about `size` unit vectors, and the cluster of each vector."""
+    """A centre for about `size` unit vectors each, and the `SPILL` nearest centres of each vector, the nearest first."""
     centres = vectors[np.linspace(0, len(vectors) - 1, max(1, len(vectors) // size)).astype(np.int64)]
+    parts = range(0, len(vectors), CHUNK_BLOCKS)
     for _ in range(rounds):
-        of = np.concatenate([np.argmax(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T, axis=1) for lo in range(0, len(vectors), CHUNK_BLOCKS)])
+        of = np.concatenate([np.argmax(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T, axis=1) for lo in parts])
         sums = np.zeros_like(centres)
         np.add.at(sums, of, vectors)
         centres = np.where(np.bincount(of, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
-    return centres, np.concatenate([np.argmax(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T, axis=1) for lo in range(0, len(vectors), CHUNK_BLOCKS)])
+    return centres, np.concatenate([np.argsort(-(vectors[lo : lo + CHUNK_BLOCKS] @ centres.T), axis=1, kind="stable")[:, :SPILL] for lo in parts])
 
 
 def near_items(rows: np.ndarray, vectors: np.ndarray, centres: np.ndarray, of: np.ndarray, near: float, probes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, vector, cosine) of the pairs with a cosine of `near` or more in the clusters nearest to each row."""
-    probes = probes or max(PROBES, len(centres) // 4)
+    """(row, vector, cosine) of the pairs with a cosine of `near` or more among the vectors that the centres nearest to each row hold."""
+    probes = probes or max(PROBES, len(centres) // SHARE)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    members = [np.flatnonzero(of == c) for c in range(len(centres))]
+    members = np.argsort(of.ravel(), kind="stable") // of.shape[1]
+    edges = np.append(0, np.cumsum(np.bincount(of.ravel(), minlength=len(centres)))).tolist()
     for lo in range(0, len(rows), CHUNK_BLOCKS):
         part = rows[lo : lo + CHUNK_BLOCKS]
-        if len(centres) > probes:
-            picked = np.zeros((len(part), len(centres)), bool)
-            np.put_along_axis(picked, np.argpartition(part @ centres.T, -probes, axis=1)[:, -probes:], True, axis=1)
-        else:
-            picked = np.ones((len(part), len(centres)), bool)
-        for c, own in enumerate(members):
-            at = np.flatnonzero(picked[:, c])
+        if len(centres) <= probes:
+            cosines = part @ vectors.T
+            row, vector = np.nonzero(cosines >= near)
+            found.append((row + lo, vector, cosines[row, vector]))
+            continue
+        nearest = np.argpartition(part @ centres.T, -probes, axis=1)[:, -probes:].ravel()
+        asking = np.argsort(nearest, kind="stable") // probes
+        ends = np.append(0, np.cumsum(np.bincount(nearest, minlength=len(centres)))).tolist()
+        codes, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for c in range(len(centres)):
+            at, own = asking[ends[c] : ends[c + 1]], members[edges[c] : edges[c + 1]]
             if not len(at) or not len(own):
                 continue
             cosines = part[at] @ vectors[own].T
-            hit = np.flatnonzero(cosines >= near)
-            if len(hit):
-                found.append((at[hit // len(own)] + lo, own[hit % len(own)], cosines.ravel()[hit]))
+            i, j = np.nonzero(cosines >= near)
+            codes.append(at[i] * len(vectors) + own[j])
+            hits.append(cosines[i, j])
+        # several of a row's centres may hold one vector
+        code, first = np.unique(np.concatenate(codes), return_index=True)
+        found.append((code // len(vectors) + lo, code % len(vectors), np.concatenate(hits)[first]))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -241,8 +250,8 @@ def _counted(index: tuple[np.ndarray, ...], hashes: np.ndarray) -> Iterator[tupl
         yield lo, hi, ((item << PLACE) + np.repeat(place, n))[order]
 
 
-def candidates(index: tuple[np.ndarray, ...], hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(block, item, cosine, first and last word to check) of the hits, and of the blocks found by counts (cosine -2), for ranges of items."""
+def candidates(index: tuple[np.ndarray, ...], hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, counts: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """(block, item, cosine, first and last word to check) of the hits, and of the blocks found by counts (cosine -2), for ranges of items; without `counts`, of the hits alone."""
     least, span, size = index[3:]
     ends = lambda block, before, after: (np.maximum(bounds[row[block]], begin[block] - before), np.minimum(bounds[row[block] + 1], begin[block] + after))
     for lo, hi, code in _counted(index, hashes):
@@ -253,6 +262,8 @@ def candidates(index: tuple[np.ndarray, ...], hashes: np.ndarray, bounds: np.nda
         enough = np.searchsorted(code, base + b) - np.searchsorted(code, base + a) >= least[item[own]]
         own = own[enough]
         yield block[own], item[own], cosine[own], a[enough], b[enough]
+        if not counts:
+            continue
         of, place = code >> PLACE, code & ((1 << PLACE) - 1)
         last = np.arange(len(code)) + least[of] - 1
         at = np.flatnonzero(last < len(code))
@@ -296,7 +307,7 @@ def _masks(words: list[int]) -> tuple[dict[int, int], int]:
     return places, (1 << len(words)) - 1
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], weights, groups: list, near: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _leaks(batches: Iterator[pa.RecordBatch], weights, groups: list, near: float, counts: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Leaks of some groups of items into (doc_id, text)."""
     w = weights.value
     used = w.any(axis=1)
@@ -307,12 +318,12 @@ def _leaks(batches: Iterator[pa.RecordBatch], weights, groups: list, near: float
         begin, row = _block_bounds(bounds)
         rows = passages(w, used, (hashes % np.uint64(TERMS)).astype(np.int64), begin, row)
         for group, own_masks in zip(groups, masks, strict=True):
-            found = _leaks_of(group.value, own_masks, rows, hashes, bounds, begin, row, ids.to_pylist(), near)
+            found = _leaks_of(group.value, own_masks, rows, hashes, bounds, begin, row, ids.to_pylist(), near, counts)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
-def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, doc_ids: list, near: float) -> list[tuple]:
+def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, begin: np.ndarray, row: np.ndarray, doc_ids: list, near: float, counts: bool) -> list[tuple]:
     """Leaks of a group of items into some texts."""
     items, vectors, of_vector, centres, cluster, index = group
     block, vector, cosine = near_items(rows, vectors, centres, cluster, near)
@@ -320,9 +331,12 @@ def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds:
     # the code of a block skips one between rows, so that runs end there
     order = _by_runs(item, block + row[block], cosine) if len(item) else item
     found: dict[tuple[int, int], tuple] = {}
-    for part_ in candidates(index, hashes, bounds, begin, row, block[order], item[order], cosine[order]):
+    latent = set()
+    for part_ in candidates(index, hashes, bounds, begin, row, block[order], item[order], cosine[order], counts):
         for block_, item_, cosine_, a, b in zip(*(c.tolist() for c in part_), strict=True):
             i = int(row[block_])
+            if cosine_ >= -1:
+                latent.add((i, item_))
             item_id, own, last = items[item_]
             places, full, answer, full_answer = masks[item_]
             part = [x for x in hashes[a:b].tolist() if x in places]
@@ -348,10 +362,10 @@ def _leaks_of(group, masks: list, rows: np.ndarray, hashes: np.ndarray, bounds:
                 a, cosine_ = a - at, float((vectors[of_vector == item_] @ rows[block_]).max())
             if n > found.get((i, item_), (0,) * 5)[4]:
                 found[i, item_] = (doc_ids[i], item_id, a - int(bounds[i]), len(own), n, last, m, cosine_)
-    return list(found.values())
+    return [(*leak, pair in latent) for pair, leak in found.items()]
 
 
-_KINDS = [("doc_id", pa.int64(), "long"), ("item_id", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("item_words", pa.int64(), "long"), ("common_words", pa.int64(), "long"), ("answer_words", pa.int64(), "long"), ("answer_common", pa.int64(), "long"), ("cosine", pa.float64(), "double")]
+_KINDS = [("doc_id", pa.int64(), "long"), ("item_id", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("item_words", pa.int64(), "long"), ("common_words", pa.int64(), "long"), ("answer_words", pa.int64(), "long"), ("answer_common", pa.int64(), "long"), ("cosine", pa.float64(), "double"), ("latent", pa.bool_(), "boolean")]
 
 
 def _item_groups(benchmark: DataFrame) -> Iterator[list[tuple[int, list[int], int]]]:
@@ -383,8 +397,8 @@ def item_passages(items: list[tuple[int, list[int], int]], weights: np.ndarray)
     return _unit(np.array(rows, np.float32)), np.array(of, np.int64)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
-    """(doc_id, item_id, first_word, item_words, common_words, answer_words, answer_common, cosine) of each leak."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, counts: bool = True) -> DataFrame:
+    """(doc_id, item_id, first_word, item_words, common_words, answer_words, answer_common, cosine, latent) of each leak."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([(name, kind) for name, kind, _ in _KINDS])
@@ -401,7 +415,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
     groups: list = []
 
     def scan() -> DataFrame:
-        return in_arrow(texts, partial(_leaks, weights=sent, groups=list(groups), near=near, schema=schema), out.schema)
+        return in_arrow(texts, partial(_leaks, weights=sent, groups=list(groups), near=near, counts=counts, schema=schema), out.schema)
 
     for items in _item_groups(benchmark):
         if len(groups) == GROUPS:  # what is broadcast at once is bounded: this scan is done before the next groups are sent

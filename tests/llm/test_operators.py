@@ -518,6 +518,73 @@ def test_leak_index(spark, capsys):
     assert by_part[0] == 1 and by_part[15] == 1 and by_part[25] >= 0.95  # with 25 % replaced, some are beyond the rule
 
 
+def test_leak_index_of_many(spark, capsys):
+    """The index at a full group of 20,000 item passages against the full product, and how much of that it compares."""
+    rng = np.random.default_rng(5)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").filter("text is not null").collect()]
+    hashes, bounds = decontamination.word_ids(*_joined(texts))
+    terms = (hashes % np.uint64(decontamination.TERMS)).astype(np.int64)
+    half = (len(bounds) - 1) // 2  # items are passages of one half, blocks those of the other
+    starts = rng.integers(0, bounds[half] - decontamination.ITEM, decontamination.GROUP)
+    own = terms[starts[:, None] + np.arange(decontamination.ITEM)]
+    weights, _ = decontamination.latent_space(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), np.bincount(own.ravel(), minlength=decontamination.TERMS), len(own))
+    vectors = decontamination._unit(weights[own].sum(axis=1))
+    begin, row = decontamination._block_bounds(bounds[half:] - bounds[half])
+    blocks_ = decontamination.passages(weights, weights.any(axis=1), terms[bounds[half] :], begin, row)
+    blocks_ = blocks_[rng.permutation(len(blocks_))[:3000]]
+    planted, parts = [], np.tile([0, 15, 25, 40], 200)
+    for k, part in enumerate(parts):
+        words_ = own[k].copy()
+        words_[rng.permutation(len(words_))[: round(len(words_) * part / 100)]] = rng.choice(terms, round(len(words_) * part / 100))
+        cut = int(rng.integers(0, 16))
+        planted.append(weights[words_[cut : cut + 32]].sum(axis=0))
+    rows = np.concatenate([blocks_, decontamination._unit(np.array(planted))])
+    centres, cluster = decontamination.clusters(vectors)
+    block, vector, _ = decontamination.near_items(rows, vectors, centres, cluster, decontamination.NEAR)
+    full = rows @ vectors.T >= decontamination.NEAR
+    got = np.zeros_like(full)
+    got[block, vector] = True
+    probes = max(decontamination.PROBES, len(centres) // decontamination.SHARE)
+    held = np.bincount(cluster.ravel(), minlength=len(centres))
+    compared = held[np.argpartition(rows @ centres.T, -probes, axis=1)[:, -probes:]].sum() / full.size
+    at = len(blocks_) + np.arange(len(parts))
+    by_part = {int(p): float(got[at, np.arange(len(parts))][(parts == p) & full[at, np.arange(len(parts))]].mean()) for p in np.unique(parts)}
+    recall = (got & full).sum() / full.sum()
+    with capsys.disabled():
+        print(f"\nindex of {len(vectors)}: {recall:.3f} of all hits, {by_part} of planted ones by percent of words replaced, with {compared:.3f} of all pairs and {len(centres) / len(vectors):.3f} for the centres")
+    assert not (got & ~full).any() and len(block) == got.sum()  # a pair comes once
+    assert recall >= 0.9 and compared < 0.25 and by_part[0] >= 0.95
+
+
+def test_leaks_of_each_way(spark, capsys):
+    """What the latent space finds without the counts, the counts without it, and both: words replaced by others of the corpus."""
+    rng = np.random.default_rng(11)
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text is not null")
+    texts = [r["text"].split() for r in docs_.orderBy("doc_id").collect()]
+    texts = [t for t in texts if len(t) > 120]
+    pool = [w for t in texts for w in t]
+    items, rows, part_of = [], [], {}
+    for k in range(200):
+        t = texts[k % len(texts)]
+        words_, part = [*t[20:50], *(f"k{k}x{i}" for i in range(6))], (0, 15, 25, 40)[k % 4]
+        words_ = [words_[i] for i in rng.permutation(len(words_))]  # in an order that no document has
+        items.append((k, " ".join(words_)))
+        changed = set(rng.permutation(len(words_))[: round(len(words_) * part / 100)].tolist())
+        own = [pool[int(rng.integers(len(pool)))] if i in changed else w for i, w in enumerate(words_)]
+        other = texts[(k * 7 + 3) % len(texts)]
+        rows.append((10_000_000 + k, " ".join([*other[:60], *own, *other[60:120]])))
+        part_of[10_000_000 + k, k] = part
+    docs_ = docs_.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    both, latent, counts = ({(r["doc_id"], r["item_id"]): r["latent"] for r in decontamination.find_leaks(docs_, benchmark, **how).collect()} for how in ({}, {"counts": False}, {"near": 2.0}))
+    by = {part: {name: sum(part_of.get(pair) == part for pair in found) for name, found in (("both", both), ("latent", latent), ("counts", counts))} for part in (0, 15, 25, 40)}
+    with capsys.disabled():
+        print(f"\nof 50 leaks each by percent of words replaced: {by}; of all {len(both)} the latent space alone {len(latent)}, the counts alone {len(counts)}")
+    assert set(both) == set(latent) | set(counts) and all(latent.values()) and not any(counts.values())
+    assert {pair for pair, way in both.items() if way} >= set(latent)
+    assert by[0]["latent"] == by[0]["both"] == 50 and all(v["latent"] >= 0.9 * v["both"] for v in by.values())
+
+
 def _joined(texts):
     data = [t.encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
