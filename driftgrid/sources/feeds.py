@@ -10,26 +10,122 @@ are an error in the FRED reader and dropped in the MoF reader; repeated dates ar
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import datetime as dt
+import re
 import warnings
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import store
 from ..config import WARM_UP_DAYS, Config
+from ..functions import digest
 from ..functions.parsing import loose_date, number, strict_date, wall_date
 
 OBSERVATIONS = "series string, obs_date date, value double, ordinal long"
+#: Bytes of the largest file that one task reads whole for its hash, and of the splits of longer ones.
+WHOLE, SPLIT = 64 << 20, 128 << 20
+BOM = b"\xef\xbb\xbf"
 
 
-def raw_files(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
-    """Provenance of landed files: (source, path, landed_at, sha256, bytes); contents are hashed in place."""
+def raw_files(spark: SparkSession, path: str | list[str], source: str = "file", whole: int = WHOLE, split: int = SPLIT) -> DataFrame:
+    """Provenance of landed files: (source, path, landed_at, sha256, bytes); contents are hashed in place.
+
+    Files of more than `whole` bytes are hashed split by split while the frame is built, by jobs with a task for each such file. A file whose
+    name ends like a packed one (`.gz`) is a single split; a stretch without a newline is in a task's memory at once.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.lit(source).alias("source"), "path", F.col("modificationTime").alias("landed_at"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    short, long = files.filter(F.col("length") <= whole), files.filter(F.col("length") > whole).drop("content")
+    out = short.withColumn("sha256", F.sha2("content", 256)).drop("content")
+    if lengths := {r["path"]: r["length"] for r in long.select("path", "length").collect()}:
+        hashes = spark.createDataFrame(list(_long_hashes(spark, lengths, split).items()), "path string, sha256 string")
+        out = out.unionByName(long.join(F.broadcast(hashes), "path"))
+    return out.select(F.lit(source).alias("source"), "path", F.col("modificationTime").alias("landed_at"), "sha256", F.col("length").alias("bytes"))
+
+
+class _Hashed(NamedTuple):
+    """How far a file is hashed: the state, whether a line has begun, and where the last split with lines starts."""
+
+    words: tuple[int, ...]
+    tail: bytes
+    n: int
+    begun: bool = False
+    at: int = -1
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a job is planned."""
+    held = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _split_hashes(spark: SparkSession, path: str, before: _Hashed) -> RDD:
+    """What `before` becomes in each split of a file, if that is the one behind it; a job runs one of them.
+
+    Spark's lines keep their bytes, whatever these are, but for the newline behind each; it is hashed before the next.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, begun, at = digest.State(*before[:3]), before.begun, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None and (at := batch.column(1)[0].as_py()) <= before.at:
+                raise ValueError(f"{path}: the split at {at} comes after the one at {before.at}")
+            lines = pa.LargeListArray.from_arrays(pa.array([0, batch.num_rows], pa.int64()), batch.column(0))
+            state = digest.update(state, (b"\n" if begun else b"") + pc.binary_join(lines, b"\n")[0].as_py())
+            begun = True
+        row = _Hashed(*state, begun, before.at if at is None else at)
+        yield pa.RecordBatch.from_pylist([row._asdict()], pa.schema({"words": pa.list_(pa.int64()), "tail": pa.binary(), "n": pa.int64(), "begun": pa.bool_(), "at": pa.int64()}))
+
+    literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    lines = spark.read.options(**store.as_it_is(spark, path)).text(literal, lineSep="\n").select(F.col("value").cast("binary"), "_metadata.file_block_start")
+    return lines.mapInArrow(hashed, "words array<long>, tail binary, n long, begun boolean, at long").rdd
+
+
+def _long_hashes(spark: SparkSession, lengths: dict[str, int], split: int) -> dict[str, str]:
+    """Hashes of whole files by path.
+
+    A hash follows its file from front to back, so the state after a split is handed to the task of the next one: a job takes the k-th split of all files.
+    """
+    planned = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    marks = {path: store.head(spark, path, len(BOM)) for path in lengths}  # lines leave it out
+    rest = {path: _Hashed(*digest.update(digest.State(), mark if mark == BOM else b"")) for path, mark in marks.items()}
+    found, k = {}, 0
+    while rest:
+        with _settings(spark, planned):
+            parts = {path: _split_hashes(spark, path, before) for path, before in rest.items()}
+            counts = [part.getNumPartitions() for part in parts.values()]
+        wanted = [behind + k for behind in accumulate(counts[:-1], initial=0)]
+        rows = spark.sparkContext.runJob(spark.sparkContext.union(list(parts.values())), list, wanted)
+        k += 1
+        for path, row, count in zip(parts, rows, counts, strict=True):
+            now = rest[path] = _Hashed(tuple(row["words"]), bytes(row["tail"]), row["n"], row["begun"], row["at"])
+            if k == count:
+                del rest[path]
+                state = digest.State(*now[:3])
+                state = digest.update(state, b"\n") if state.n == lengths[path] - 1 else state  # the last line's
+                if state.n != lengths[path]:
+                    raise ValueError(f"{path}: {state.n} of {lengths[path]} bytes were read")
+                found[path] = digest.finish(state)
+    return found
 
 
 def _lines(files: DataFrame, encodings: tuple[str, ...]) -> DataFrame:

@@ -73,6 +73,26 @@ def read(path: str) -> bytes:
         stream.close()
 
 
+def head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file, at most n."""
+    system, at = file_system(spark, path)
+    stream = system.open(at)
+    try:
+        got = [stream.read() for _ in range(n)]
+    finally:
+        stream.close()
+    return bytes(x for x in got if x >= 0)
+
+
+def as_it_is(spark: SparkSession, path: str) -> dict[str, str]:
+    """Options by which Spark's line reader takes a file's bytes as they are, where its name would have them unpacked. Such a file is not split."""
+    codecs = spark.sparkContext._jvm.org.apache.hadoop.io.compress
+    _, at = file_system(spark, path)
+    codec = codecs.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(at)
+    plain = codecs.PassthroughCodec
+    return {} if codec is None else {"io.compression.codecs": plain.CLASSNAME, plain.OPT_EXTENSION: codec.getDefaultExtension()}
+
+
 def write(path: str, body: bytes) -> None:
     spark = _session()
     jvm = spark.sparkContext._jvm
