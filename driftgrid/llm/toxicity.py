@@ -126,14 +126,13 @@ class SegmentModel:
         """Minus the log of the chance that a clean text of n tokens has r segments as good as its best r, for the best r; higher is less like a clean text."""
         base, best = math.log(self.often * max(n, 1)), 0.0
         for r, value in enumerate(sorted(scores, reverse=True)[:RANKS], 1):
-            # of r or more by the law of rare events with the mean exp(-x)
+            # of r or more by the law of rare events with the mean exp(-x); in logs, as long passages make the mean 0 in a double
             x = self.slope * value - base
-            mean = math.exp(-x) if x > -30 else math.inf
             if r == 1:
                 best = x
-            elif mean < 1:
-                tail = sum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(r, r + 20))
-                best = max(best, -math.log(max(tail, 1e-300)) - math.log(RANKS))
+            elif x > 0:
+                tail = sum(math.exp(math.lgamma(r + 1) - math.lgamma(r + k + 1) - k * x) for k in range(20))
+                best = max(best, math.exp(-x) + r * x + math.lgamma(r + 1) - math.log(tail) - math.log(RANKS))
         return best if scores else min(-base, 0.0)
 
     def score(self, statistic: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force, on odd rows, and on held-out labels."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -186,6 +187,29 @@ def test_extreme_value_law():
     assert toxicity.fit_law(np.zeros(0), np.zeros(0))[1] > 0
 
 
+def test_statistic_of_long_passages(spark):
+    """Scores of which a double holds no chance, against sums of exact fractions; and a text of two passages of 600 words."""
+    model = toxicity.SegmentModel(rate=0.1, slope=2.0, often=1 / 1024)
+
+    def plain(n, scores):
+        best = 0.0
+        for r, value in enumerate(sorted(scores, reverse=True)[: toxicity.RANKS], 1):
+            mean = Fraction(np.exp(-model.slope * value / 4)) ** 4 * Fraction(n, 1024)
+            tail = sum(mean**k * Fraction(1, math.factorial(k)) for k in range(r, r + 20))
+            chance = math.log(tail.numerator) - math.log(tail.denominator) - float(mean)
+            best = max(best, -math.log(mean.numerator) + math.log(mean.denominator) if r == 1 else -chance - math.log(toxicity.RANKS) if mean < 1 else best)
+        return best
+
+    for n, scores in ((2048, [3.0, 2.5, 2.0, 1.0]), (2048, [60.0, 55.0, 40.0]), (2048, [400.0, 390.0, 380.0, 3.0]), (4096, [900.0, 700.0])):
+        assert abs(model.statistic(n, scores) / plain(n, scores) - 1) < 1e-9
+    rows = [(i, "plain words of text " * (1 + i % 9) + ("you idiota " if i % 4 == 0 else "")) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    passage = "idiota " * 600
+    got = toxicity.score(spark.createDataFrame([(1, passage + "plain words " * 3000 + passage)], "doc_id long, text string"), model).first()
+    assert [p["tokens"] for p in got["passages"]] == [600, 600] and got["score"] > 0.9
+
+
 def test_tree_of_rates():
     """Rates of the tree against counting each document's tokens one by one."""
     texts = ["stupid stupido plain", "stupid plain words", "plain words here stu", "words stupidity plain", "here plain", "Stupid, here"]
