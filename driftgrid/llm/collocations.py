@@ -4,11 +4,12 @@ Texts are lower-cased (A-Z), split at `.,;:!?` and line ends into pieces, and pi
 piece. Counts are by language. `mine` returns every phrase of one to `longest` words found `least` times, `collocations` scores the longer ones.
 
 First the words are counted. Then every frequent word followed by another one sends its projection, the up to longest - 1 words
-after it, equal ones of a batch as one with a count, to the part of its prefix. A part sorts its projections and grows each prefix to the right depth-first:
+after it, to the part of its prefix: equal ones of about `send_words` words of text as one with a count, and all of a part in one row, so that
+rows do not multiply with the parts. A part sorts its projections and grows each prefix to the right word by word:
 an extension is a stretch of the pointers of the prefix, and is grown on if it is frequent.
 
 Hot prefixes: a part should hold about `part_words` projections. Words with a quarter of that or more are no prefix of their own: each pair of such a word
-and the next is one, and so are its first three words. A pair's count goes to the pair's part, one number for a batch; its longer projections
+and the next is one, and so are its first three words. A pair's count goes to the pair's part, one number for a row; its longer projections
 go to the part of their first three words and are grown from there. So no part holds all projections of a hot word or of a hot pair.
 
 Tasks know frequent and hot words by bit maps of hashes of `bits` bits (a size that does not grow). A word that shares its
@@ -23,8 +24,10 @@ count, then by the phrase's bytes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, dropped, in_arrow, mix, rows_of, runs_of, table, text_buffers, word_hashes, written
+from .common import ARROW_BYTES, LOWER, blocks, dropped, in_arrow, mix, rows_of, runs_of, table, text_buffers, word_hashes, written
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
-PART_WORDS, BITS = 2_000_000, 25
+PART_WORDS, SEND_WORDS, BITS = 2_000_000, 2_000_000, 25
 _BLOCK = 1 << 15
 _SPLIT = np.zeros(256, bool)
 _SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -117,136 +120,176 @@ def _is_set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _grouped(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows as one, in order, with their counts."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
+    """Equal rows of numbers under 2**32 as one, in order, with their counts."""
+    wide = [c.astype(np.uint64) for c in columns]
+    keys = [c if other is None else c << np.uint64(32) | other for c, other in zip_longest(wide[::2], wide[1::2])]
+    order = np.lexsort(keys[::-1])
     fresh = np.zeros(len(order), bool)
     fresh[:1] = True
-    for c in columns:
-        fresh[1:] |= c[1:] != c[:-1]
+    for key in keys:
+        key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
     at = np.flatnonzero(fresh)
     weight = np.ones(len(order), np.int64) if counts is None else counts[order]
-    return [c[at] for c in columns], np.add.reduceat(weight, at) if len(at) else np.zeros(0, np.int64)
-
-
-def _projected(batches: Iterator[pa.RecordBatch], parts: int, longest: int, frequent: np.ndarray, hot: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """(part, lang, known, projections): for each part, its words and the numbers of `longest` words (0: none) with counts; the first `known` words are their prefix."""
+    return [c[order[at]] for c in columns], np.add.reduceat(weight, at) if len(at) else np.zeros(0, np.int64)
+
+
+def _projections(lang: np.ndarray, ids: np.ndarray, joined: np.ndarray, names: list[str], words: pa.Array, parts: int, longest: int, frequent: np.ndarray, hot: np.ndarray, bits: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(language, words of a prefix, columns, counts, parts) of the projections; columns hold numbers of words from 1 on (0: none)."""
+    tongue = _language_hash(names)
+    for k in range(len(names)):
+        slots = _slots(tongue[k], words, bits)
+        known, busy = _is_set(frequent, slots), _is_set(hot, slots)
+        # rare words and ends of pieces part the frequent ones
+        at = np.flatnonzero((lang == k) & known[ids])
+        if len(at) < 2:
+            continue
+        word, next_to = ids[at].astype(np.uint32) + np.uint32(1), np.concatenate([(at[1:] == at[:-1] + 1) & joined[at[:-1]], np.zeros(longest, bool)])
+        word = np.concatenate([word, np.zeros(longest, np.uint32)])
+        columns, on = [word[: len(at)]], np.ones(len(at), bool)
+        for step in range(1, longest):
+            on = on & next_to[step - 1 : step - 1 + len(at)]
+            columns.append(np.where(on, word[step : step + len(at)], np.uint32(0)))
+        some = columns[1] > 0
+        columns, counts = _grouped([c[some] for c in columns])
+        if not len(counts):
+            continue
+        hashes = np.concatenate([[np.uint64(0)], mix(slots.astype(np.uint64) + np.uint64(1))])
+        to = lambda h: (mix(h) % np.uint64(parts)).astype(np.int64)
+        hot_word = busy[columns[0].astype(np.int64) - 1]
+        plain = [c[~hot_word] for c in columns]
+        yield k, 1, plain, counts[~hot_word], to(hashes[plain[0]] * np.uint64(3) + tongue[k])
+        if hot_word.any():
+            pairs, n = _grouped([c[hot_word] for c in columns[:2]], counts[hot_word])
+            yield k, 1, [*pairs, *[np.zeros(len(n), np.uint32)] * (longest - 2)], n, to(hashes[pairs[0]] * np.uint64(3) + hashes[pairs[1]] * np.uint64(5) + tongue[k])
+            if longest > 2:
+                deep = hot_word & (columns[2] > 0)
+                own = [c[deep] for c in columns]
+                yield k, 2, own, counts[deep], to(hashes[own[0]] * np.uint64(3) + hashes[own[1]] * np.uint64(5) + hashes[own[2]] * np.uint64(7) + tongue[k])
+
+
+def _packed(names: list[str], words: pa.Array, found: list[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+    """(part, projections): for each part once the kinds of its projections (language, words of the prefix, number), its words, and the numbers of `longest` words with counts."""
     zip_up = zstandard.ZstdCompressor(level=3).compress
-    text = np.zeros(0, object)
-
-    def packed(name: str, known: int, columns: list[np.ndarray], counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (hashes % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            rows = order[a:b]
-            table_ = np.stack([c[rows] for c in columns])
-            seen = np.zeros(len(text) + 1, bool)
-            seen[table_.ravel()] = True
-            seen[0] = False
-            number = np.cumsum(seen)
-            number[0] = 0
-            numbers = np.concatenate([number[table_], counts[rows][None]]).astype(np.uint32)
-            head = "\n".join(text[np.flatnonzero(seen) - 1].tolist()).encode()
-            blob = zip_up(len(head).to_bytes(8, "little") + head + numbers.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[rows[0]])]), pa.array([name], pa.string()), pa.array([known], pa.int32()), pa.array([blob])], names=["part", "lang", "known", "projections"])
-
+    kind = np.repeat(np.arange(len(found)), [len(x[3]) for x in found])
+    part = np.concatenate([x[4] for x in found])
+    rows = np.stack([np.concatenate([x[2][c] for x in found]) for c in range(len(found[0][2]))] + [np.concatenate([x[3] for x in found])]).astype(np.uint32)
+    order = np.argsort(part, kind="stable")
+    part, kind, rows = part[order], kind[order], rows[:, order]
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    seen, number = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, np.uint32)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = rows[:, a:b].copy()
+        for c in own[:-1]:
+            seen[c] = True
+        seen[0] = False
+        used = np.flatnonzero(seen)
+        seen[used] = False
+        number[used] = np.arange(1, len(used) + 1)
+        for c in own[:-1]:
+            c[:] = number[c]
+        size = np.bincount(kind[a:b], minlength=len(found)).tolist()
+        data, offsets = text_buffers(words.take(pa.array(used - 1)))
+        head = json.dumps({"words": len(used), "bytes": len(data), "kinds": [[names[x[0]], x[1], n] for x, n in zip(found, size, strict=True) if n]}).encode()
+        yield int(part[a]), zip_up(b"".join([len(head).to_bytes(8, "little"), head, np.diff(offsets).astype(np.uint32).tobytes(), data.tobytes(), own.tobytes()]))
+
+
+def _projected(batches: Iterator[pa.RecordBatch], parts: int, longest: int, frequent: np.ndarray, hot: np.ndarray, bits: int, send_words: int = SEND_WORDS) -> Iterator[pa.RecordBatch]:
+    """(part, projections): `_packed` for each `send_words` words of a task, so that few rows go to a part however many parts there are."""
+    names: dict[str, int] = {}
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([x[0] for x in held]).dictionary_encode()
+        of = coded.indices.to_numpy()
+        first = np.cumsum([0, *[len(x[0]) for x in held]])
+        ids = np.concatenate([of[a + x[1]] for a, x in zip(first.tolist(), held, strict=False)])
+        lang, joined = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+        held.clear()
+        found = list(_projections(lang, ids, joined, list(names), coded.dictionary, parts, longest, frequent, hot, bits))
+        to, blobs, size = [], [], 0
+        for part, blob in _packed(list(names), coded.dictionary, found) if found else ():
+            to.append(part)
+            blobs.append(blob)
+            size += len(blob)
+            if size >= ARROW_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(blobs)], names=["part", "projections"])
+                to, blobs, size = [], [], 0
+        if to:
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(blobs)], names=["part", "projections"])
+
+    waiting = 0
     for batch in batches:
-        names, lang = _languages(batch.column(0))
-        tongue = _language_hash(names)
+        own, lang = _languages(batch.column(0))
+        lang = np.array([names.setdefault(x, len(names)) for x in own], np.int32)[lang]
         data, offsets = text_buffers(batch.column(1))
         for lo, hi in blocks(offsets):
             words, row, piece = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            if not len(words):
+                continue
             coded = words.dictionary_encode()
-            ids = coded.indices.to_numpy().astype(np.int64)
-            of = lang[lo:hi][row]
-            text = np.array(coded.dictionary.to_pylist(), object)
-            for k, name in enumerate(names):
-                own = of == k
-                slots = _slots(tongue[k], coded.dictionary, bits)
-                known, busy = _is_set(frequent, slots), _is_set(hot, slots)
-                # rare words and ends of pieces part the frequent ones
-                at = np.flatnonzero(own & known[ids])
-                if len(at) < 2:
-                    continue
-                word, next_to = ids[at], np.concatenate([(at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]), np.zeros(longest, bool)])
-                word = np.concatenate([word, np.zeros(longest, np.int64)])
-                columns, on = [word[: len(at)] + 1], np.ones(len(at), bool)
-                for step in range(1, longest):
-                    on = on & next_to[step - 1 : step - 1 + len(at)]
-                    columns.append(np.where(on, word[step : step + len(at)] + 1, 0))
-                some = columns[1] > 0
-                columns, counts = _grouped([c[some] for c in columns])
-                if not len(counts):
-                    continue
-                hashes = np.concatenate([[np.uint64(0)], mix(slots.astype(np.uint64) + np.uint64(1))])
-                hot_word = busy[columns[0] - 1]
-                plain = [c[~hot_word] for c in columns]
-                yield from packed(name, 1, plain, counts[~hot_word], mix(hashes[plain[0]] * np.uint64(3) + tongue[k]))
-                if hot_word.any():
-                    pairs, n = _grouped([c[hot_word] for c in columns[:2]], counts[hot_word])
-                    pair_hash = hashes[pairs[0]] * np.uint64(3) + hashes[pairs[1]] * np.uint64(5) + tongue[k]
-                    yield from packed(name, 1, [*pairs, *[np.zeros(len(n), np.int64)] * (longest - 2)], n, mix(pair_hash))
-                    if longest > 2:
-                        deep = hot_word & (columns[2] > 0)
-                        own = [c[deep] for c in columns]
-                        yield from packed(name, 2, own, counts[deep], mix(hashes[own[0]] * np.uint64(3) + hashes[own[1]] * np.uint64(5) + hashes[own[2]] * np.uint64(7) + tongue[k]))
-
-
-def _grow(columns: list[np.ndarray], counts: np.ndarray, least: int, known: int) -> Iterator[tuple[int, int, int]]:
-    """(pointer, words, count) of each frequent phrase longer than the `known` words of a prefix: sorted projections, grown to the right depth-first."""
-    total = np.concatenate([[0], np.cumsum(counts)])
-    # where a column or one before it changes
-    change, edges = np.zeros(len(counts), bool), []
-    for c in columns:
-        change = change.copy()
-        change[:1] = True
-        change[1:] |= c[1:] != c[:-1]
-        edges.append(np.append(np.flatnonzero(change), len(counts)))
+            held.append((coded.dictionary, coded.indices.to_numpy(), lang[lo:hi][row], np.append(piece[1:] == piece[:-1], False)))
+            waiting += len(words)
+            if waiting >= send_words:
+                yield from sent()
+                waiting = 0
+    if held:
+        yield from sent()
+
 
-    def extend(lo: int, hi: int, depth: int) -> Iterator[tuple[int, int, int]]:
-        own = edges[depth]
-        cuts = own[np.searchsorted(own, lo) : np.searchsorted(own, hi) + 1]
-        found = total[cuts[1:]] - total[cuts[:-1]]
-        for i in np.flatnonzero((columns[depth][cuts[:-1]] > 0) & (found >= least)).tolist():
-            yield int(cuts[i]), depth + 1, int(found[i])
-            if depth + 1 < len(columns):
-                yield from extend(int(cuts[i]), int(cuts[i + 1]), depth + 1)
+def _grow(columns: list[np.ndarray], counts: np.ndarray, least: int, known: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(pointers, words, counts) of the frequent phrases longer than the `known` words of a prefix: sorted projections, grown to the right a word at a time.
 
-    tops = edges[known - 1]
-    for i in np.flatnonzero(total[tops[1:]] - total[tops[:-1]] >= least).tolist():
-        yield from extend(int(tops[i]), int(tops[i + 1]), known)
+    A prefix is a stretch of pointers, and its extensions are the stretches in it; one that is found `least` times has a prefix found as often.
+    """
+    total = np.concatenate([[0], np.cumsum(counts)])
+    change = np.zeros(len(counts), bool)
+    change[:1] = True
+    for depth, c in enumerate(columns):
+        change[1:] |= c[1:] != c[:-1]
+        if depth >= known:
+            cuts = np.append(np.flatnonzero(change), len(counts))
+            found = total[cuts[1:]] - total[cuts[:-1]]
+            some = np.flatnonzero((c[cuts[:-1]] > 0) & (found >= least))
+            yield cuts[some], depth + 1, found[some]
 
 
 def _mined(group: pa.Table, longest: int, least: int) -> pa.Table:
     """Phrases of one part."""
     unzip = zstandard.ZstdDecompressor().decompress
-    out = {"lang": [], "phrase": [], "words": [], "f": []}
-    kinds = list(zip(group.column("lang").to_pylist(), group.column("known").to_pylist(), strict=True))
-    for name, known in sorted(set(kinds)):
-        number: dict[str, int] = {}
-        tables = []
-        for kind, blob in zip(kinds, group.column("projections"), strict=True):
-            if kind != (name, known):
-                continue
-            raw = unzip(blob.as_py())
-            size = int.from_bytes(raw[:8], "little")
-            own = np.array([0, *[number.setdefault(w, len(number) + 1) for w in raw[8 : 8 + size].decode().split("\n")]], np.int64)
-            packed = np.frombuffer(raw, np.uint32, offset=8 + size).reshape(longest + 1, -1)
-            tables.append(np.concatenate([own[packed[:-1]].astype(np.uint32), packed[-1:]]))
-        merged = np.concatenate(tables, axis=1)
-        del tables
+    sent, heads = [], []
+    for blob in group.column("projections"):
+        raw = unzip(blob.as_py())
+        at = 8 + int.from_bytes(raw[:8], "little")
+        head = json.loads(raw[8:at])
+        size = np.frombuffer(raw, np.uint32, head["words"], at)
+        at += size.nbytes
+        words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size, dtype=np.int64)])), pa.py_buffer(raw[at : at + head["bytes"]]))
+        sent.append((words, np.frombuffer(raw[at + head["bytes"] :], np.uint32).reshape(longest + 1, -1)))
+        heads.append(head["kinds"])
+    coded = pa.concat_arrays([x[0] for x in sent]).dictionary_encode()
+    number, first = coded.indices.to_numpy().astype(np.uint32) + np.uint32(1), 0
+    tables: dict[tuple[str, int], list[np.ndarray]] = {}
+    for (words, packed), kinds in zip(sent, heads, strict=True):
+        own = np.concatenate([[np.uint32(0)], number[first : first + len(words)]])
+        first, at = first + len(words), 0
+        table_ = np.stack([*[own[c] for c in packed[:-1]], packed[-1]])
+        for name, known, n in kinds:
+            tables.setdefault((name, known), []).append(table_[:, at : at + n])
+            at += n
+    del sent
+    text = np.array(["", *coded.dictionary.to_pylist()], object)
+    out = []
+    for name, known in sorted(tables):
+        merged = np.concatenate(tables.pop((name, known)), axis=1)
         columns, counts = _grouped(list(merged[:-1]), merged[-1].astype(np.int64))
-        text = ["", *number]
         for at, words, f in _grow(columns, counts, least, known):
-            out["lang"].append(name)
-            out["phrase"].append(" ".join(text[c[at]] for c in columns[:words]))
-            out["words"].append(words)
-            out["f"].append(f)
-    return pa.table({"lang": pa.array(out["lang"], pa.string()), "phrase": pa.array(out["phrase"], pa.string()), "words": pa.array(out["words"], pa.int32()), "f": pa.array(out["f"], pa.int64())})
+            phrases = [" ".join(w) for w in zip(*(text[c[at]].tolist() for c in columns[:words]), strict=True)]
+            out.append(pa.table({"lang": pa.array([name] * len(at), pa.string()), "phrase": pa.array(phrases, pa.string()), "words": pa.array(np.full(len(at), words, np.int32)), "f": pa.array(f, pa.int64())}))
+    return pa.concat_tables(out).combine_chunks()
 
 
-def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_words: int = PART_WORDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_words: int = PART_WORDS, bits: int = BITS, send_words: int = SEND_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every phrase of one to `longest` words found `least` times; and (lang, n), all words of each language. Both lie in the shared folder."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     counted = in_arrow(rows, _counted, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
@@ -260,12 +303,12 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_words
     maps = spark.sparkContext.broadcast((known, hot))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _projected(batches, parts, longest, *maps.value, bits)
+        return _projected(batches, parts, longest, *maps.value, bits, send_words)
 
     def part(group: pa.Table) -> pa.Table:
         return _mined(group, longest, least)
 
-    sent = in_arrow(rows, project, "part long, lang string, known int, projections binary")
+    sent = in_arrow(rows, project, "part long, projections binary")
     grown = sent.groupBy("part").applyInArrow(part, "lang string, phrase string, words int, f long")
     phrases = written(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f").unionByName(grown), "phrases")
     totals = written(words.filter("word is null and f > 0").select("lang", F.col("f").alias("n")), "totals")
@@ -295,9 +338,9 @@ def scored(phrases: DataFrame, cover: int = COVER) -> DataFrame:
     return rows.select("lang", "phrase", "words", "a", "_b.l", "_b.r", "_b.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, cover: int = COVER, part_words: int = PART_WORDS, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, cover: int = COVER, part_words: int = PART_WORDS, bits: int = BITS, send_words: int = SEND_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of each language."""
-    phrases, totals = mine(docs, least, longest, part_words, bits)
+    phrases, totals = mine(docs, least, longest, part_words, bits, send_words)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     rows = scored(phrases, cover).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

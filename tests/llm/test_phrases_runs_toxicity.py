@@ -85,6 +85,22 @@ def test_collocations(spark, odd, docs):
     assert sorted(map(tuple, collocations.op11_collocations(spark, SF).collect())) == brute_collocations(docs, 30, 2000)
 
 
+def test_collocations_sent(spark, odd):
+    """A part gets one row for `send_words` words, not one for each block, language and kind; and sends of a few words give the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 400)) for _ in range(64)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array(texts[i : i + 2])], names=["lang", "text"]) for i in range(0, 64, 2)]
+    every = np.full(1 << 9, 255, np.uint8)
+    for hot in (every, np.zeros_like(every)):
+        sent = pa.Table.from_batches(collocations._projected(iter(batches), 50, 4, every, hot, 12))
+        assert sent.num_rows == len(set(sent.column("part").to_pylist())) <= 50
+    wanted = brute_collocations([(d, t, lang) for d, t, lang in ODD], 2, 2000)
+    for part_words, bits, send_words in ((8, 4, 1), (1000, 16, 7)):
+        assert sorted(map(tuple, collocations.collocations(odd, least=2, part_words=part_words, bits=bits, send_words=send_words).collect())) == wanted
+
+
 def brute_runs(w, times=4, least=6):
     out = {}
     for q in range(1, len(w) // times + 1):
